@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, packing, wordpiece
+from . import decontam, media, packing, simhash, wordpiece
 from .shared import table
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_media_columns, op6_best_fit_packing, op7_benchmark_decontamination, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_near_dedup, op4_media_columns, op6_best_fit_packing, op7_benchmark_decontamination, op10_token_counts)
 }
 
 ORACLE: dict[str, str] = {}
