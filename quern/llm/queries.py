@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, packing, simhash, wordpiece
+from . import decontam, media, packing, simhash, substring, wordpiece
 from .shared import table
 
 
@@ -14,6 +14,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op4_media_columns, op6_best_fit_packing, op7_benchmark_decontamination, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op4_media_columns, op6_best_fit_packing, op7_benchmark_decontamination, op10_token_counts)
 }
 
-ORACLE: dict[str, str] = {}
+#: Words of a text as DuckDB lists, for the rules that part words at U+0020 and U+0009 to U+000D.
+_WORDS = r"""regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"""
+
+ORACLE: dict[str, str] = {
+    "op2_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+firsts AS (SELECT v, min(doc_id) AS m FROM win GROUP BY v),
+cut AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM win JOIN firsts USING (v) WHERE doc_id > m),
+gone AS (SELECT doc_id, list(k) AS ks FROM cut GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda k: ks IS NULL OR NOT list_contains(ks, k)), lambda k: w[k]), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)""",
+}

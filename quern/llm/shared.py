@@ -99,20 +99,28 @@ def _digest(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-# Packed cells: sorted distinct integers as 16-bit steps; 65535 means "that many more, no cell here".
+# Packed cells: sorted distinct integers as their steps, of 2 bytes or, where steps are wide, 4; a first byte says which.
+# The largest value of the type means "that many more, no cell here".
 
 
 def pack_cells(cells: np.ndarray) -> bytes:
+    kind = np.uint16 if not len(cells) or int(cells[-1]) < 16000 * len(cells) else np.uint32
+    most = np.uint64(np.iinfo(kind).max)
     steps = np.diff(cells.astype(np.uint64), prepend=np.uint64(0))
-    more, rest = np.divmod(steps, np.uint64(65535))
-    out = np.full(int(more.sum()) + len(cells), 65535, np.uint16)
+    more, rest = np.divmod(steps, most)
+    out = np.full(int(more.sum()) + len(cells), most, kind)
     out[np.cumsum(more.astype(np.int64) + 1) - 1] = rest
-    return out.tobytes()
+    return bytes([out.itemsize]) + out.tobytes()
 
 
 def unpack_cells(data: bytes) -> np.ndarray:
-    steps = np.frombuffer(data, np.uint16)
-    return np.cumsum(steps, dtype=np.uint64)[steps != 65535]
+    kind = np.uint16 if data[0] == 2 else np.uint32
+    steps = np.frombuffer(data, kind, offset=1)
+    return np.cumsum(steps, dtype=np.uint64)[steps != np.iinfo(kind).max]
+
+
+def bits_of(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
