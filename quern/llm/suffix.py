@@ -3,7 +3,7 @@
 Sharding. A string of `length` bytes is named by the least hash among its 32-byte grams, so equal strings have equal names.
 Consecutive starts with one name make a segment: its text runs from the first start to the last one's end. Segments part
 a document's starts. A sketch, merged in blocks over all groups of documents, tells each group which names several
-segments have; only those segments go on, each distinct text of a group once, to the shard of their name. Every two equal
+segments have, or one that repeats itself; only those segments go on, each distinct text of a group once, to the shard of their name. Every two equal
 strings meet in one shard, and a passage that a third of all documents share arrives once per group of documents.
 
 In a shard, equal segments collapse to their earliest owner, and the distinct ones, in the order of their owners, are joined
@@ -42,12 +42,12 @@ SHARD_BYTES = 4_000_000
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Least of each `width` consecutive entries, by doubling."""
+def sliding(best, x: np.ndarray, width: int) -> np.ndarray:
+    """Least or greatest (best: np.minimum or np.maximum) of each `width` consecutive entries, by doubling."""
     done = 1
     while done < width:
         step = min(done, width - done)
-        x = np.minimum(x[: len(x) - step], x[step:])
+        x = best(x[: len(x) - step], x[step:])
         done += step
     return x
 
@@ -72,7 +72,8 @@ class Pieces:
         np.add.at(edge, self.first[1:][long] - length + 1, -1)
         valid = np.cumsum(edge[:-1]) > 0
         gram = min(GRAM, length)
-        name = sliding_min(mix(rolling(_TABLE[np.frombuffer(self.data, np.uint8)], gram)), length - gram + 1) if n > 0 else np.zeros(0, np.uint64)
+        grams = mix(rolling(_TABLE[np.frombuffer(self.data, np.uint8)], gram))
+        name = sliding(np.minimum, grams, length - gram + 1) if n > 0 else np.zeros(0, np.uint64)
         new = np.ones(len(valid), bool)
         new[1:] = (name[1:] != name[:-1]) | ~valid[:-1]
         self.lo = np.flatnonzero(valid & new)
@@ -81,6 +82,16 @@ class Pieces:
         self.hi = np.flatnonzero(valid & last)
         self.h1 = name[self.lo]
         self.doc = np.searchsorted(self.first, self.lo, "right") - 1
+        self.inner = np.isin(self.h1, self._inner(grams, name, length - gram + 1)) if n > 0 else np.zeros(0, bool)
+
+    @staticmethod
+    def _inner(grams: np.ndarray, name: np.ndarray, width: int) -> np.ndarray:
+        """Names whose gram occurs twice within one reach: only a segment of such a name can hold equal strings in itself."""
+        none = np.zeros(width - 1, np.uint64)
+        at = np.flatnonzero(grams == sliding(np.maximum, np.concatenate((none, name, none)), width))
+        order = np.argsort(grams[at], kind="stable")
+        at, value = at[order], grams[at[order]]
+        return np.unique(value[1:][(value[1:] == value[:-1]) & (np.diff(at) <= width)])
 
     def cells(self, row: int, width: int) -> np.ndarray:
         return mix(self.h1, row + 3) % np.uint64(width)
@@ -212,12 +223,14 @@ def _sketch(length: int, depth: int, width: int, block: int):
         pieces = Pieces(docs, length)
         out: list[list] = [[] for _ in range(5)]
         for row in range(depth):
-            cells, counts = np.unique(pieces.cells(row, width), return_counts=True)
+            cells, back, counts = np.unique(pieces.cells(row, width), return_inverse=True, return_counts=True)
+            several = counts > 1
+            several[back[pieces.inner]] = True
             blocks = (cells // np.uint64(block)).astype(np.int64)
             cuts = (np.flatnonzero(np.diff(blocks)) + 1).tolist()
             for a, b in zip([0, *cuts], [*cuts, len(cells)]):
                 if b > a:
-                    for to, x in zip(out, (row, int(blocks[a]), key[0].as_py(), pack_cells(cells[a:b] - np.uint64(int(blocks[a]) * block)), np.packbits(counts[a:b] > 1).tobytes())):
+                    for to, x in zip(out, (row, int(blocks[a]), key[0].as_py(), pack_cells(cells[a:b] - np.uint64(int(blocks[a]) * block)), np.packbits(several[a:b]).tobytes())):
                         to.append(x)
         return rows(out, schema)
 
