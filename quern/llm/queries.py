@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, media, packing, simhash, substring, suffix, wordpiece
+from . import decontam, langid, media, packing, simhash, substring, suffix, wordpiece
 from .shared import table
 
 
@@ -22,6 +22,11 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.digest(docs, langid.train(docs))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op4_media_columns, op6_best_fit_packing, op7_benchmark_decontamination, op9_suffix_array_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op4_media_columns, op5_language_id, op6_best_fit_packing, op7_benchmark_decontamination, op9_suffix_array_dedup, op10_token_counts)
 }
 
 #: Words of a text as DuckDB lists, for the rules that part words at U+0020 and U+0009 to U+000D.
