@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, media, packing, simhash, substring, suffix, wordpiece
+from . import decontam, langid, media, packing, secrets, simhash, substring, suffix, wordpiece
 from .shared import table
 
 
@@ -18,6 +18,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op4_media_columns, op5_language_id, op6_best_fit_packing, op7_benchmark_decontamination, op9_suffix_array_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_secret_scans, op4_media_columns, op5_language_id, op6_best_fit_packing, op7_benchmark_decontamination, op9_suffix_array_dedup, op10_token_counts)
 }
 
 #: Words of a text as DuckDB lists, for the rules that part words at U+0020 and U+0009 to U+000D.
