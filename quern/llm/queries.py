@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, media, packing, secrets, simhash, substring, suffix, wordpiece
+from . import decontam, langid, media, packing, secrets, simhash, substring, suffix, urls, wordpiece
 from .shared import table
 
 
@@ -39,6 +39,10 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.digest(decontam.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_secret_scans, op4_media_columns, op5_language_id, op6_best_fit_packing, op7_benchmark_decontamination, op9_suffix_array_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_secret_scans, op4_media_columns, op5_language_id, op6_best_fit_packing, op7_benchmark_decontamination, op8_url_filters, op9_suffix_array_dedup, op10_token_counts)
 }
 
 #: Words of a text as DuckDB lists, for the rules that part words at U+0020 and U+0009 to U+000D.
@@ -90,4 +94,15 @@ hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op8_url_filters": r"""
+WITH u AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT page_id, host, path, CASE
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+  regexp_matches(coalesce(html, ''), '(?is)<link[^>]*rel\s*=\s*["'']?canonical|<meta[^>]*http-equiv\s*=\s*["'']?refresh') AS edge FROM u)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict, CAST(NULL AS VARCHAR) AS alias_of
+FROM r WHERE NOT edge""",
 }
