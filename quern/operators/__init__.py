@@ -1 +1 @@
-"""."""
+"""Operators: DataFrame in, DataFrame out, with column names as arguments."""
