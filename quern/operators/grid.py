@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once a row; written out, each use inside a lambda would compute it anew."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _at(a: Column, y, x, w: int, h: int, edge: str) -> Column:
     if edge == "mirror":
         fold = lambda v, n: F.when(v < 0, -v).when(v >= n, 2 * (n - 1) - v).otherwise(v)
@@ -23,12 +28,15 @@ def convolve(a: Column, kernel: list[list[float]], w: int, h: int, edge: str = "
     cy, cx = centre if centre is not None else (len(kernel) // 2, len(kernel[0]) // 2)
     wo, ho = -(-w // stride), -(-h // stride)
 
-    def pixel(k):
-        y, x = F.floor(k / wo) * stride, (k % wo) * stride
-        terms = [_at(a, y + i - cy, x + j - cx, w, h, edge) * float(v) for i, row in enumerate(kernel) for j, v in enumerate(row) if v]
-        return sum(terms[1:], terms[0])
+    def pixel(g):
+        def one(k):
+            y, x = F.floor(k / wo) * stride, (k % wo) * stride
+            terms = [_at(g, y + i - cy, x + j - cx, w, h, edge) * float(v) for i, row in enumerate(kernel) for j, v in enumerate(row) if v]
+            return sum(terms[1:], terms[0])
+
+        return F.transform(F.sequence(F.lit(0), F.lit(wo * ho - 1)), one)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(wo * ho - 1)), pixel)
+    return let(a, pixel)
 
 
 SOBEL_Y = [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
@@ -44,7 +52,7 @@ def sobel(a: Column, w: int, h: int) -> Column:
 
 
 def over_max(a: Column) -> Column:
-    return F.transform(a, lambda v: v / (F.array_max(a) + 1e-7))
+    return let(a, lambda g: let(F.array_max(g) + 1e-7, lambda m: F.transform(g, lambda v: v / m)))
 
 
 def gradient_covariance(a: Column, w: int, h: int) -> Column:
@@ -68,7 +76,7 @@ def haar(a: Column, w: int, h: int, scale: float = 2.0) -> Column:
 
 
 def min_max(a: Column) -> Column:
-    return F.transform(a, lambda v: (v - F.array_min(a)) / (F.array_max(a) - F.array_min(a) + 1e-7))
+    return let(a, lambda g: let(F.array_min(g), lambda low: let(F.array_max(g) - low + 1e-7, lambda span: F.transform(g, lambda v: (v - low) / span))))
 
 
 def haar_detail(a: Column, w: int, h: int) -> Column:
@@ -93,22 +101,23 @@ def quantize(a: Column, levels: int = 8, most: float = 256.0) -> Column:
 
 def co_occurrence(a: Column, w: int, h: int, levels: int = 8) -> Column:
     """levels * levels counts, row-major, of horizontally neighbouring levels, both ways. a: levels 0 .. levels - 1."""
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda k: k % w < w - 1),
-        lambda k: F.element_at(a, k + 1) * levels + F.element_at(a, k + 2),
-    )
-    back = F.transform(pairs, lambda p: (p % levels) * levels + F.floor(p / levels).cast("int"))
-    both = F.concat(pairs, back)
-    return F.transform(F.sequence(F.lit(0), F.lit(levels * levels - 1)), lambda c: F.size(F.filter(both, lambda p: p == c)))
+    cells = F.sequence(F.lit(0), F.lit(w * h - 1))
+
+    def pairs(g):
+        one = F.transform(F.filter(cells, lambda k: k % w < w - 1), lambda k: F.element_at(g, k + 1) * levels + F.element_at(g, k + 2))
+        return let(one, lambda p: F.concat(p, F.transform(p, lambda v: (v % levels) * levels + F.floor(v / levels).cast("int"))))
+
+    count = lambda both: F.transform(F.sequence(F.lit(0), F.lit(levels * levels - 1)), lambda c: F.size(F.filter(both, lambda p: p == c)))
+    return let(let(a, pairs), count)
 
 
 def flip(a: Column, w: int, h: int, horizontal: bool = True) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda k: F.element_at(a, ((F.floor(k / w) * w + (w - 1 - k % w)) if horizontal else ((h - 1 - F.floor(k / w)) * w + k % w)).cast("int") + 1))
+    return let(a, lambda g: F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda k: F.element_at(g, ((F.floor(k / w) * w + (w - 1 - k % w)) if horizontal else ((h - 1 - F.floor(k / w)) * w + k % w)).cast("int") + 1)))
 
 
 def rot90(a: Column, w: int, h: int) -> Column:
     """Counter-clockwise; the result is h wide and w high."""
-    return F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda k: F.element_at(a, ((k % h) * w + (w - 1 - F.floor(k / h))).cast("int") + 1))
+    return let(a, lambda g: F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda k: F.element_at(g, ((k % h) * w + (w - 1 - F.floor(k / h))).cast("int") + 1)))
 
 
 def clip(a: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -121,8 +130,13 @@ def blur(a: Column, w: int, h: int) -> Column:
 
 def down_up(a: Column, w: int, h: int) -> Column:
     """Halve by 2 x 2 means and repeat each value: a resize there and back. w and h are even."""
-    small = haar(a, w, h, 4.0)["ll"]
-    return F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda k: F.element_at(small, (F.floor(F.floor(k / w) / 2) * (w // 2) + F.floor((k % w) / 2)).cast("int") + 1))
+    small = F.transform(convolve(a, HAAR["ll"], w, h, stride=2, centre=(0, 0)), lambda v: v / 4.0)
+    return let(small, lambda g: _double(g, w, h))
+
+
+def _double(g: Column, w: int, h: int) -> Column:
+    """Each value of a half-size grid four times, cut to w x h."""
+    return F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda k: F.element_at(g, (F.floor(F.floor(k / w) / 2) * -(-w // 2) + F.floor((k % w) / 2)).cast("int") + 1))
 
 
 def add_noise(a: Column, key: Column, sigma: float = 0.05) -> Column:
@@ -144,9 +158,12 @@ def corrupt(a: Column, key: Column, kind: str, w: int, h: int) -> Column:
 
 def dispatch(a: Column, mode: str, w: int, h: int) -> Column:
     """rgb (the grid itself), sobel, rgb+sobel, wavelet or rgb+wavelet; mixtures are means, clipped."""
-    half = lambda b: F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda k: F.element_at(b, (F.floor(F.floor(k / w) / 2) * (-(-w // 2)) + F.floor((k % w) / 2)).cast("int") + 1))
     mean = lambda p, q: clip(F.zip_with(p, q, lambda s, t: (s + t) / 2))
-    detail = lambda: half(F.zip_with(F.zip_with(haar_detail(a, w, h)["lh"], haar_detail(a, w, h)["hl"], lambda s, t: s + t), haar_detail(a, w, h)["hh"], lambda s, t: (s + t) / 3))
+
+    def detail():
+        third = lambda b: F.zip_with(F.zip_with(b["lh"], b["hl"], lambda s, t: s + t), b["hh"], lambda s, t: (s + t) / 3)
+        return let(let(haar_detail(a, w, h), third), lambda g: _double(g, w, h))
+
     modes = {"rgb": lambda: a, "sobel": lambda: sobel(a, w, h), "rgb+sobel": lambda: mean(a, sobel(a, w, h)), "wavelet": detail, "rgb+wavelet": lambda: mean(a, detail())}
     if mode not in modes:
         raise ValueError(f"no mode {mode}")

@@ -22,10 +22,10 @@ def manifest(spark, sf):
     )
 
 
-@query("SELECT doc_id, md5(text) AS h, lang, NULL::BIGINT AS item_id FROM documents UNION ALL SELECT NULL, md5(text), NULL, item_id FROM benchmark")
+@query("SELECT doc_id::VARCHAR AS doc_id, md5(text) AS h, lang, NULL::VARCHAR AS item_id FROM documents UNION ALL SELECT NULL, md5(text), NULL, item_id::VARCHAR FROM benchmark")
 def union_by_name(spark, sf):
-    a = table(spark, sf, "documents").select("doc_id", F.md5("text").alias("h"), "lang")
-    return dedup.union_all(a, table(spark, sf, "benchmark").select(F.md5("text").alias("h"), "item_id"))
+    a = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.md5("text").alias("h"), "lang")
+    return dedup.union_all(a, table(spark, sf, "benchmark").select(F.md5("text").alias("h"), F.col("item_id").cast("string").alias("item_id")))
 
 
 @query("SELECT doc_id, lang FROM (SELECT *, row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
@@ -104,10 +104,10 @@ def value_frequency(spark, sf):
     return dedup.with_frequency(table(spark, sf, "documents").select("doc_id", "lang"), "lang")
 
 
-@query("SELECT doc_id, source, m.y FROM documents LEFT JOIN (VALUES ('src0', 0), ('src1', 1)) AS m(source, y) USING (source)")
+@query("SELECT doc_id, source, coalesce(m.y, -1) AS y FROM documents LEFT JOIN (VALUES ('src0', 0), ('src1', 1)) AS m(source, y) USING (source)")
 def mapping_join(spark, sf):
     dim = spark.createDataFrame([("src0", 0), ("src1", 1)], "source string, y int")
-    return dedup.lookup(table(spark, sf, "documents"), dim, "source").select("doc_id", "source", "y")
+    return dedup.lookup(table(spark, sf, "documents"), dim, "source").select("doc_id", "source", F.coalesce("y", F.lit(-1)).alias("y"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

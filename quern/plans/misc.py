@@ -75,9 +75,9 @@ def metric_extraction(spark, sf):
     return table(spark, sf, "events").select("event_id", L.safe_float(F.get_json_object("props", "$.k")).alias("value"))
 
 
-@query("SELECT conv_id, turn, CASE lower(trim(role)) WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 END AS y FROM conversations")
+@query("SELECT conv_id, turn, CASE lower(trim(role)) WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE -1 END AS y FROM conversations")
 def normalized_labels(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", L.map_normalized(F.col("role"), {"user": 0, "assistant": 1}).alias("y"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.coalesce(L.map_normalized(F.col("role"), {"user": 0, "assistant": 1}), F.lit(-1)).alias("y"))
 
 
 @query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 0 ELSE 1 END AS y FROM conversations WHERE role <> 'system'")
