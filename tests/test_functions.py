@@ -1,0 +1,195 @@
+"""Cleaning, features, filters and chunkers on hand-made rows and against plain Python."""
+
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.functions import labels as L
+from quern.functions import text as T
+from quern.functions.features import BRACKETED, START_STOP, STOP_ARCHIVE, STOP_STORY, with_features
+from quern.operators import chunk, filters
+
+
+def one(spark, value, f):
+    df = spark.createDataFrame([(value,)], "t string")
+    return df.select(f(F.col("t")).alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    "f, text, want",
+    [
+        (T.strip_leak_labels, "a [AI-Generated] b [Human] [ai] c", "a  b  [ai] c"),
+        (T.squeeze, " a  b\n\tc\x1f d ", "a b c d"),
+        (T.remove_markdown, "# Head\nText **bold** and *it*.\n- one\n* two", "Text bold and it.\none\ntwo"),
+        (T.remove_meta, "Here is the rewritten text:\nBody stays. Let me know if you need more.", "text:\nBody stays."),
+        (T.remove_meta, "This is a rewritten essay about x. Body.", "Body."),
+        (T.remove_filler, "So, basically, we went home.", "We went home."),
+        (T.remove_filler, "Sober minds", "Sober minds"),
+        (T.fold_ascii, "“Æ” café — œuvre naïve ß 中", '"" cafe - oeuvre naive ss '),
+        (T.normalize, "Wait!!! What??... so---on", "Wait! What?. so-on"),
+        (T.clean_wiki, "Rome[1] [[Italy|it]] (IPA ˈr) {{x}} ''b'' (short) <i>t</i>[note 3][a]", "Rome it b t"),
+        (T.clean_abstract, "We show $x^2$ by \\emph{fast} \\alpha {grp} [12] (cf. this) café...", "We show by caf."),
+        (T.lower_squeezed, None, ""),
+        (T.clean_ocr, "an ox is bigé here", "big here"),
+        (T.preview, "x" * 81, "x" * 80 + "..."),
+        (T.slug, "  a b/c! ", "a_b_c"),
+        (T.slug, "//", "unknown"),
+        (T.slug, None, "unknown"),
+        (T.slug_each, "a  b", "a__b"),
+        (T.strip_data_url, "data:image/png;base64,QUJD", "QUJD"),
+    ],
+)
+def test_cleaning(spark, f, text, want):
+    assert one(spark, text, f) == want
+
+
+def test_forum_and_entities(spark):
+    text = "&lt;b&gt; [deleted] see https://x.y/z **bold** ~~no~~ `code` u/me r/sub EDIT 2: more\n> quote\nTL;DR gone\nall"
+    assert one(spark, text, T.clean_forum) == "<b> see bold no more quote"
+
+
+def test_book(spark):
+    text = "junk\n*** START OF THE PROJECT GUTENBERG X ***\nThis line has enough words.\nSHORT CAPS LINE HERE NOW\ntoo short\nAnother _good_ line -- with words!!\nEnd of the Project Gutenberg\ntail tail tail tail"
+    assert one(spark, text, T.clean_book) == "This line has enough words. Another good line - with words!"
+
+
+def test_sentences(spark):
+    text = "Dr. Smith met Mr. Jones. They paid 3.50 in the U.S. Army shop! ok then? Yes."
+    assert one(spark, text, T.sentences_protected) == ["Dr. Smith met Mr. Jones.", "They paid 3.50 in the U.S. Army shop! ok then?", "Yes."]
+    assert one(spark, "Dr. Smith left. He ran.", lambda c: T.sentences_protected(c, compat=True)) == ["dr Smith left.", "He ran."]
+    assert one(spark, "a. b! C", T.sentences_any) == ["a.", "b!", "C"]
+
+
+def test_uploads(spark):
+    rows = [("QUJD", "png"), ("data:image/png;base64,QUJD", "PNG"), ("@@", "png"), ("QUJD", "exe"), ("QUJDQUJD", "gif")]
+    df = spark.createDataFrame(rows, "d string, e string").withColumn("u", T.decode_upload(F.col("d"), F.col("e"), 4))
+    assert [(bytes(r["content"]) if r["content"] else None, r["reason"]) for r in df.select("u.*").collect()] == [(b"ABC", None), (b"ABC", None), (None, "encoding"), (None, "extension"), (None, "size")]
+
+
+def test_labels(spark):
+    df = spark.createDataFrame([("human",), (" AI ",)], "y string")
+    assert [r["v"] for r in L.binary_labels(df, "y", "v").collect()] == [0, 1]
+    df = spark.createDataFrame([("1",), ("0.0",)], "y string")
+    assert [r["v"] for r in L.binary_labels(df, "y", "v").collect()] == [1, 0]
+    df = spark.createDataFrame([("b",), ("a",)], "y string")
+    assert [r["v"] for r in L.binary_labels(df, "y", "v").collect()] == [1, 0]
+    with pytest.raises(ValueError):
+        L.binary_labels(spark.createDataFrame([("a",), ("b",), ("c",)], "y string"), "y")
+    got = spark.createDataFrame([("0.95",), ("0.4",), ("x",), ("-1",)], "s string").select(L.verdict(F.col("s")).alias("v"), L.safe_float(F.col("s")).alias("f")).collect()
+    assert [r["v"] for r in got] == ["Very likely AI-generated", "Uncertain origin", "Unknown Result (Raw: x)", "Almost certainly human-generated"]
+    assert got[2]["f"] == float("-inf")
+
+
+# The rules in plain Python, by their description: the first that fails names the reason.
+
+
+def content(words, stop, marks, before_strip=False):
+    strip = lambda w: w.lower().strip(marks)
+    return [strip(w) for w in words if len(w) > 3 and (w.lower() if before_strip else strip(w)) not in stop]
+
+
+def judge(text, kind, least=50):
+    words = text.split()
+    any_split = [s for s in re.split(r"(?<=[.!?])\s+", text) if s.strip()]
+    capital = [s.strip() for s in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text) if s.strip()]
+    sentences = any_split if kind in ("book", "abstract") else capital
+    sizes = [len(s.split()) for s in sentences]
+    letters = [c for c in text if c.isalpha()]
+    upper = sum(c.isupper() for c in letters)
+    quoted = sum(len(q.split()) for q in re.findall('"([^"]*)"', text))
+    stop = STOP_STORY if kind in ("book", "modern") else STOP_ARCHIVE
+    counts = Counter(content(words, stop, '.,!?";:' if kind == "book" else BRACKETED, kind == "abstract"))
+    total, top = sum(counts.values()), counts.most_common(10)
+    starts = Counter(s.split()[0].lower() for s in sentences)
+    starts = Counter({k: v for k, v in starts.items() if k not in START_STOP})
+    mean = sum(sizes) / len(sizes) if sizes else None
+    lower = text[:1].islower()
+    over = lambda a, b, share: b and a / b > share
+    outside = lambda lo, hi: mean is not None and not lo <= mean <= hi
+    short = sizes and sum(s <= 3 for s in sizes) / len(sizes) > 0.30
+    long = any(s > 100 for s in sizes)
+    repeated = len(sizes) >= 4 and starts and starts.most_common(1)[0][1] / len(sizes) > 0.40
+    word = lambda share: total and top[0][1] / total > share
+    top10 = total and sum(n for _, n in top) / total > 0.60
+    digits = sum(c.isdigit() for c in text)
+    symbols = sum(not c.isalpha() and not c.isspace() for c in text)
+    rules = {
+        "book": [("starts_lower", lower), ("quoted", over(quoted, len(words), 0.30)), ("dialect", re.search(r"\b(gonna|wanna|gotta)\b", text, re.I)), ("top_word", word(0.03)), ("mean_sentence", outside(10, 40)),
+                 ("quote_chars", over(text.count('"'), len(text), 0.05)), ("short_sentences", short), ("top10_words", top10), ("long_sentence", long)],
+        "archive": [("too_short", len(words) < least), ("starts_lower", lower), ("url", re.search("https?://", text)), ("digits", over(digits, len(text), 0.08)), ("upper", over(upper, len(letters), 0.15)),
+                    ("quoted", over(quoted, len(words), 0.30)), ("mean_sentence", outside(8, 45)), ("short_sentences", short), ("long_sentence", long), ("repeated_start", repeated), ("top_word", word(0.04))],
+        "abstract": [("word_count", not 100 <= len(words) <= 350), ("symbols", over(symbols, len(text), 0.15)), ("starts_lower", lower), ("upper", over(upper, len(letters), 0.20)), ("mean_sentence", outside(8, 60)), ("top_word", word(0.05))],
+    }[kind]
+    return next((name for name, holds in rules if holds), None)
+
+
+@pytest.mark.parametrize("kind", ["book", "archive", "abstract"])
+def test_filters_against_plain_rules(spark, sf, kind):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    extra = [(10_000 + k, t) for k, t in enumerate(["I'm gonna " + "walk there slowly today " * 10 + ".", '"All of this" said he. ' * 20, "Visit https://a.b now. " + "More words come here. " * 30, "A1 22 33 44 55 66. " * 20, ""])]
+    rows = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    texts = dict(rows.collect())
+    got = dict(map(tuple, filters.with_reason(rows, kind, least_words=50).select("doc_id", "reason").collect()))
+    assert got == {k: judge(t, kind) for k, t in texts.items()}
+    kept = filters.with_reason(rows, kind, least_words=50).where("reason is null").select("doc_id", "text")
+    counts = dict(map(tuple, filters.quality_counts(kept, kind, least_words=50).collect()))
+    assert set(counts.values()) <= {0}
+
+
+def test_modern_order_and_nulls(spark):
+    rows = [(1, None), (2, "short"), (3, "x" + " lower words go on and on" * 20), (4, "List, of, many, words, here, " * 12 + "end.")]
+    got = dict(map(tuple, filters.with_reason(spark.createDataFrame(rows, "doc_id long, text string"), "modern", least_words=10).select("doc_id", "reason").collect()))
+    assert got == {1: None, 2: "too_short", 3: "starts_lower", 4: "mean_sentence"}
+    assert with_features(spark.createDataFrame(rows, "doc_id long, text string")).count() == 4
+
+
+def test_simple_filters(spark):
+    df = spark.createDataFrame([("val", 1, "a", " "), ("val", -1, "a", "x"), ("test", 0, "b", None)], "split string, label int, domain string, text string")
+    assert filters.split_frame(df, "val").count() == 1 and filters.training_rows(df).count() == 1
+    assert filters.drop_blank(df, "text").count() == 1
+    for bad in (dict(split="none"), dict(split="val", dataset_id="x")):
+        with pytest.raises(ValueError):
+            filters.split_frame(df, **bad)
+
+
+def test_image_headers(spark):
+    import struct
+    import zlib
+
+    chunk_ = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    png = b"\x89PNG\r\n\x1a\n" + chunk_(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 0, 0, 0, 0)) + chunk_(b"IDAT", zlib.compress(b"\0ab")) + chunk_(b"IEND", b"")
+    rows = [(bytearray(png),), (bytearray(png[:-20]),), (bytearray(png[:40] + b"zz" + png[42:]),), (bytearray(b"GIF89a\x03\0\x04\0"),), (None,), (bytearray(b"hello"),)]
+    df = spark.createDataFrame(rows, "content binary")
+    got = [(r["valid"], r["reason"], r["width"], r["height"]) for r in filters.validate_images(df).select("image.*").collect()]
+    assert got[0] == (True, None, 2, 1) and got[3] == (True, None, 3, 4) and [g[0] for g in got] == [True, False, False, True, False, False]
+    assert filters.decodable(df, height=1).count() == 1
+
+
+def test_fixed_chunks(spark):
+    df = spark.createDataFrame([(1, " ".join(map(str, range(25)))), (2, ""), (3, None)], "doc_id long, text string")
+    got = chunk.fixed_chunks(df, size=10, least=5, most=10).select("doc_id", "chunk_no", "chunk").collect()
+    assert [(r[0], r[1], len(r[2].split())) for r in got] == [(1, 0, 10), (1, 1, 10), (1, 2, 5)]
+
+
+def test_sentence_chunks(spark):
+    sentences = [f"Sentence number {k} has exactly seven words." for k in range(40)]
+    chunks = chunk.cut_sentences(sentences, size=20, least=5, most=30, share=10, skip=3, always=False)
+    assert all(c.endswith(".") and len(c.split()) <= 20 for c in chunks)
+    body = [w for s in sentences[4:-4] for w in s.split()]
+    assert " ".join(chunks).split() == body[: sum(len(c.split()) for c in chunks)]  # in order, nothing lost but the tail
+    assert chunk.cut_sentences(["One."], size=1, least=1, most=2, share=10, skip=50, always=True) == []
+    df = spark.createDataFrame([(1, " ".join(sentences)), (2, None)], "doc_id long, text string")
+    got = chunk.sentence_chunks(df, "archive", size=20, least=5, most=30, skip=3).orderBy("chunk_no").collect()
+    assert [r["chunk"] for r in got] == chunks and {r["doc_id"] for r in got} == {1}
+
+
+def test_caps_and_answers(spark):
+    df = spark.createDataFrame([("a", k) for k in range(9)] + [("b", 0)], "doc_id string, chunk_no int")
+    assert sorted(r["chunk_no"] for r in chunk.middle_slice(df, "doc_id", 4).where("doc_id = 'a'").collect()) == [2, 3, 4, 5]
+    assert chunk.middle_slice(df, "doc_id", 4).where("doc_id = 'b'").count() == 1
+    assert chunk.until_target(df, "doc_id", 3, "chunk_no").count() == 4 and chunk.first_raw(df, "doc_id", 2).count() == 3
+    rows = [('["one ", "", 5, null]', '["two"]'), ("broken", "[]"), (None, '{"a": 1}')]
+    got = chunk.explode_answers(spark.createDataFrame(rows, "human_answers string, chatgpt_answers string")).collect()
+    assert sorted(map(tuple, got)) == [("one", 0), ("two", 1)]
