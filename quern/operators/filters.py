@@ -104,6 +104,16 @@ def old_abstract_rules() -> list[tuple[str, Column]]:
     ]
 
 
+def _rules(kind: str, text: str = "text", repeat: float = 0.03, least_words: int = 200) -> list[tuple[str, Column]]:
+    if kind == "book":
+        return book_rules(text)
+    if kind == "archive":
+        return archive_rules(least_words)
+    if kind == "modern":
+        return modern_rules(repeat, least_words)
+    return {"abstract": abstract_rules, "old_abstract": old_abstract_rules}[kind]()
+
+
 def with_reason(df: DataFrame, kind: str, text: str = "text", repeat: float = 0.03, least_words: int = 200, out: str = "reason") -> DataFrame:
     """Add the features and the reason of a rule set: book, archive, modern, abstract or old_abstract."""
     setup = {
@@ -113,14 +123,7 @@ def with_reason(df: DataFrame, kind: str, text: str = "text", repeat: float = 0.
         "abstract": dict(stop=STOP_ARCHIVE, split="any", punctuation=BRACKETED, strip_stop=False),
         "old_abstract": dict(stop=STOP_ARCHIVE, split="any", punctuation=BRACKETED),
     }[kind]
-    rules = {
-        "book": lambda: book_rules(text),
-        "archive": lambda: archive_rules(least_words),
-        "modern": lambda: modern_rules(repeat, least_words),
-        "abstract": abstract_rules,
-        "old_abstract": old_abstract_rules,
-    }[kind]()
-    return with_features(df, text, **setup).withColumn(out, _first(rules))
+    return with_features(df, text, **setup).withColumn(out, _first(_rules(kind, text, repeat, least_words)))
 
 
 def min_words(df: DataFrame, least: int, text: str = "text") -> DataFrame:
@@ -158,7 +161,7 @@ def existing_files(df: DataFrame, listing: DataFrame, path: str = "path") -> Dat
 
 def quality_counts(df: DataFrame, kind: str, text: str = "text", **how) -> DataFrame:
     """(check, n): how many rows break each rule of a set, whatever the order; what a curated corpus should have zero of. One pass."""
-    rules = {"book": lambda: book_rules(text), "archive": archive_rules, "modern": modern_rules, "abstract": abstract_rules, "old_abstract": old_abstract_rules}[kind]()
+    rules = _rules(kind, text, **how)
     found = with_reason(df, kind, text, **how).agg(*[F.count_if(holds).alias(name) for name, holds in rules])
     pairs = ", ".join(f"'{name}', `{name}`" for name, _ in rules)
     return found.selectExpr(f"stack({len(rules)}, {pairs}) as (check, n)")

@@ -50,7 +50,9 @@ IMAGE_TYPES_MORE = (*IMAGE_TYPES, "webp")
 
 
 def list_files(spark: SparkSession, path: str, types: tuple[str, ...] | None = None) -> DataFrame:
-    """(path, length, modified) of all files below a folder, contents not read; filtered by extension in any case."""
+    """(path, length, modified) of all files below a folder, contents not read; filtered by extension in any case.
+
+    Spark hides files and folders whose names begin with _ or a dot."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
     if types:
         df = df.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*types))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """A folder of Parquet files as a stream; timestamps without a zone are read as the session's, which watermarks need."""
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
 def daily_counts(events: DataFrame, types: list[str], ts: str = "ts", late: str = "1 day") -> DataFrame:
@@ -28,9 +29,9 @@ def without_repeats(events: DataFrame, keys: list[str], ts: str = "ts", late: st
     return events.dropDuplicates(keys)
 
 
-def running_quota(events: DataFrame, key: str, limit: int, ts: str = "ts") -> DataFrame:
+def running_quota(events: DataFrame, key: str, limit: int, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """(key, ts, n, allowed) for each event of a stream: its number on its day, and whether the day's limit allows it. State is a
-    day and a count for each key, dropped when a day passes without events."""
+    day and a count for each key, dropped when the watermark is two days past the key's last event."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -45,12 +46,12 @@ def running_quota(events: DataFrame, key: str, limit: int, ts: str = "ts") -> Da
             day, n = (day, n + 1) if today == day else (today, 1)
             out.append((k[0], t, n, n <= limit))
         state.update((day, n))
-        state.setTimeoutDuration(86_400_000)
+        state.setTimeoutTimestamp(max(int(rows[ts].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 2 * 86_400_000)
         yield pd.DataFrame(out, columns=[key, ts, "n", "allowed"])
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, {ts} timestamp, n long, allowed boolean", "day string, n long", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.select(key, ts).withWatermark(ts, late).groupBy(key).applyInPandasWithState(
+        run, f"{key} {kind}, {ts} timestamp, n long, allowed boolean", "day string, n long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
