@@ -108,7 +108,7 @@ def test_streams_agree_with_batch(spark, sf, tmp_path):
     folder = f"{tmp_path}/in"
     batch.repartition(3).write.parquet(folder)
     stream = events.read_events(spark, folder, batch.schema)
-    q = events.without_repeats(stream, ["event_id"]).writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start()
+    q = events.without_repeats(stream, ["event_id"], late="100 days").writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == events.without_repeats(batch, ["event_id"]).count()
     q = events.daily_counts(events.read_events(spark, folder, batch.schema), ["click"], late="100 days").writeStream.format("memory").queryName("days").outputMode("update").trigger(availableNow=True).start()
