@@ -32,6 +32,7 @@ ORDER = 4
 #: Labelled rows of each language in the sample: those with the least hash of their id. One in CALIBRATE is left out of the counts.
 SAMPLE_ROWS = 600
 CALIBRATE = 4
+OVERSAMPLE = 1.5
 #: Times the largest distance met in calibration.
 MARGIN = 2.0
 #: Characters read at once.
@@ -218,25 +219,33 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from (doc_id, text, lang) of rows that are not held out: sample_rows of each language, whatever the table's size.
 
-    The sample's bound in hash is found per language first (each task keeps sample_rows ids of a language); then the
+    The sample's bound in hash is found per language first, from counts; then the
     sampled texts' n-grams are counted where they are, and only counts and calibration texts reach the driver.
     """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)).alias("h"), F.col("text").cast("string").alias("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
+    if not counts:
+        return Model(pd.DataFrame({"lang": [], "gram": [], "n": []}))
+    # Hashes are uniform: this share of their range holds about OVERSAMPLE times the rows wanted, so the exact bound is
+    # looked for among few rows, whatever the size of a language.
+    share = {r["lang"]: min(1.0, OVERSAMPLE * sample_rows / r["n"]) for r in counts}
+    reach = F.create_map(*[x for lang, f in share.items() for x in (F.lit(lang), F.lit(min(int(f * 2**64) - 2**63, 2**63 - 1)))])
     order = Window.partitionBy("lang").orderBy("h")
-    bounds = rows.select("lang", "h").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).groupBy("lang").agg(F.max("h").alias("most")).collect()
+    few = rows.select("lang", "h").where(F.col("h") <= reach[F.col("lang")])
+    bounds = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).groupBy("lang").agg(F.max("h").alias("most")).collect()
     if not bounds:
         return Model(pd.DataFrame({"lang": [], "gram": [], "n": []}))
     most = F.create_map(*[x for r in bounds for x in (F.lit(r["lang"]), F.lit(r["most"]))])
     sample = rows.where(F.col("h") <= most[F.col("lang")])
     aside = F.pmod(F.xxhash64("h"), F.lit(CALIBRATE)) == 0
-    counts = (
+    grams = (
         sample.where(~aside).select("lang", "text").mapInArrow(_count, "lang string, gram string, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     )
-    if not len(counts):
+    if not len(grams):
         return Model(pd.DataFrame({"lang": [], "gram": [], "n": []}))
-    model = Model(counts)
+    model = Model(grams)
     left = sample.where(aside).select("lang", "text").collect()
     model.calibrate([r["text"] for r in left], [r["lang"] for r in left])
     return model
