@@ -94,3 +94,10 @@ def holdout_aggregate(long: DataFrame) -> DataFrame:
 def last_epoch(log: DataFrame, run: str = "run", epoch: str = "epoch") -> DataFrame:
     """The last row of each run's training log."""
     return log.groupBy(run).agg(F.max_by(F.struct(*log.columns), epoch).alias("r")).select("r.*")
+
+
+def first_known(df: DataFrame, column: str) -> str | None:
+    """One known value of a column as text, the least, so that it does not depend on the order of rows; None without column or value."""
+    if column not in df.columns:
+        return None
+    return df.agg(F.min(F.col(column).cast("string"))).first()[0]

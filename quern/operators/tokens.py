@@ -117,3 +117,13 @@ def score_images(df: DataFrame, load: Callable, content: str = "content", out: s
     from pyspark.sql.types import DoubleType
 
     return df.withColumn(out, predict_batch_udf(load, return_type=DoubleType(), batch_size=batch)(F.col(content)))
+
+
+#: Model families that read plain RGB only, as they learn their own artifact features.
+RGB_ONLY = ("clip_vit_b32", "dual_artifact_cnn")
+
+
+def check_preprocessing(family: str, mode: str) -> None:
+    """Raise for a model family that does not go with a mode of preprocessing."""
+    if family.strip().lower() in RGB_ONLY and mode.strip().lower() != "rgb":
+        raise ValueError(f"{family} takes mode rgb, not {mode}")

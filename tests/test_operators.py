@@ -246,3 +246,11 @@ def test_cross_validation(spark):
     got = tokens.cross_validate(df, lambda: tokens.tfidf_pipeline(terms=50, max_iter=10))
     assert got.count() == 3 and got.where("accuracy < 1").count() == 0
     assert profile.mean_std(got.withColumn("run", F.lit("r")), "run", "f1").first()["mean"] == 1.0
+
+
+def test_small_rules(spark):
+    df = spark.createDataFrame([(None,), ("2",), ("1",)], "dataset_version string")
+    assert profile.first_known(df, "dataset_version") == "1" and profile.first_known(df, "other") is None
+    tokens.check_preprocessing("cnn", "sobel")
+    with pytest.raises(ValueError):
+        tokens.check_preprocessing("CLIP_vit_b32", "sobel")
