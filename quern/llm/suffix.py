@@ -55,7 +55,8 @@ def sliding(best, x: np.ndarray, width: int) -> np.ndarray:
 class Pieces:
     """The segments of one group of documents, in an order that depends on ids and texts only."""
 
-    def __init__(self, docs: pa.Table, length: int = LENGTH):
+    def __init__(self, docs: pa.Table, length: int = LENGTH, inner: bool = False):
+        """inner: also tell which segments may repeat themselves, which only the sketch asks."""
         import xxhash
 
         ids = [NO_ID if i is None else i for i in docs.column("doc_id").to_pylist()]
@@ -82,7 +83,7 @@ class Pieces:
         self.hi = np.flatnonzero(valid & last)
         self.h1 = name[self.lo]
         self.doc = np.searchsorted(self.first, self.lo, "right") - 1
-        self.inner = np.isin(self.h1, self._inner(grams, name, length - gram + 1)) if n > 0 else np.zeros(0, bool)
+        self.inner = np.isin(self.h1, self._inner(grams, name, length - gram + 1)) if inner and n > 0 else np.zeros(len(self.h1), bool)
 
     @staticmethod
     def _inner(grams: np.ndarray, name: np.ndarray, width: int) -> np.ndarray:
@@ -220,7 +221,7 @@ def _sketch(length: int, depth: int, width: int, block: int):
     schema = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("g", pa.int32()), ("cells", pa.binary()), ("several", pa.binary())])
 
     def run(key, docs):
-        pieces = Pieces(docs, length)
+        pieces = Pieces(docs, length, inner=True)
         out: list[list] = [[] for _ in range(5)]
         for row in range(depth):
             cells, back, counts = np.unique(pieces.cells(row, width), return_inverse=True, return_counts=True)
