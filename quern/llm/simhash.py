@@ -173,6 +173,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
     best = marked.groupBy("fp").agg(F.min(order).alias("best"))
     best = best.join(_rooted(marked), "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.text_hash")
+    return kept_rows(docs, marked, best)
+
+
+def kept_rows(docs: DataFrame, marked: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of docs that best names by (doc_id, text_hash), one of each; marked has both for every row of docs."""
     best = stage(best, "kept")
     same = lambda a, b: F.expr(f"{a}.doc_id <=> {b}.doc_id and xxhash64(cast({a}.text as string)) = {b}.text_hash")
     kept = docs.alias("d").join(best.alias("k"), same("d", "k"), "left_semi")
