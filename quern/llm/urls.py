@@ -5,7 +5,7 @@ wins, by host and then by path. Few rules become one column expression; their nu
 
 Pages that no rule fits take the method's verdict. Redirects (`<meta http-equiv="refresh">`, and a table of redirects where
 one is given) and canonical links (`<link rel="canonical">`) are edges between URLs, read without scheme and fragment, with the
-host in lower case. Connected components of these edges are found in distributed rounds; an alias is blocked if its
+host in lower case; relative targets are resolved against the page's own URL. Connected components of these edges are found in distributed rounds; an alias is blocked if its
 component has a page that a rule blocks and none that a rule allows: an explicit allow takes precedence. All others
 are allowed. URLs without an edge stay out of the graph and of every join on it.
 
@@ -57,11 +57,28 @@ _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
 
 
-def edges_of(pages: DataFrame) -> DataFrame:
-    """(a, b): the node of a page's own URL and that of each redirect or canonical link in its text.
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its `.` and `..` segments worked out."""
+    segments = F.split(F.substring(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), 2, 1 << 30), "/", -1)
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(segments, F.expr("cast(array() as array<string>)"), step), "/"))
 
-    Targets that begin with a slash stand on the page's own host; other relative targets are no edges.
-    """
+
+def resolved(url: Column, to: Column) -> Column:
+    """The target of a link on a page, by the rules for relative references; null where it names the page itself or nothing."""
+    home, path = F.concat(F.lit("http://"), host_of(url)), path_of(url)
+    whole = F.when(to.startswith("/"), to).otherwise(F.concat(F.regexp_replace(F.when(path == "", "/").otherwise(path), "[^/]*$", ""), to))
+    parts = lambda k: F.regexp_extract(whole, r"(?s)^([^?#]*)(.*)$", k)
+    return (
+        F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.startswith("?"), F.concat(home, path, to))
+        .when((to != "") & ~to.startswith("#"), F.concat(home, without_dots(parts(1)), parts(2)))
+    )
+
+
+def edges_of(pages: DataFrame) -> DataFrame:
+    """(a, b): the node of a page's own URL and that of each redirect or canonical link in its text."""
     tags = F.filter(
         F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)),
         lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"),
@@ -70,7 +87,7 @@ def edges_of(pages: DataFrame) -> DataFrame:
     found = (
         pages.where(F.col("url").contains("://") & (F.rlike("html", F.lit(r"(?i)canonical|refresh"))))
         .select("url", F.explode(F.transform(tags, target)).alias("to"))
-        .select("url", F.when(F.rlike("to", F.lit("^//")), F.concat(F.lit("http:"), "to")).when(F.rlike("to", F.lit("^/")), F.concat(F.lit("http://"), host_of(F.col("url")), "to")).otherwise(F.col("to")).alias("to"))
+        .select("url", resolved(F.col("url"), F.col("to")).alias("to"))
     )
     return found.select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b")).where("a is not null and b is not null and a <> b").distinct()
 

@@ -1,12 +1,13 @@
 """Cases from reviews: what a query once did less of than the whole job."""
 
 import random
+from urllib.parse import urljoin
 
 import pytest
 
 pytest.importorskip("quern.llm")
 import corpus_pipeline  # noqa: E402
-from quern.llm import minhash  # noqa: E402
+from quern.llm import minhash, urls  # noqa: E402
 
 
 def kept_by_definition(rows):
@@ -42,3 +43,20 @@ def test_near_dedup_by_shingle_similarity(spark, sf):
     got = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"] for r in got.collect()} == kept_by_definition(rows)
     assert minhash.keep_one(docs.where("false")).count() == 0
+
+
+RELATIVE = ["page2.html", "../x", "?p=1", "./y/../z?q=/../r", "..", ".", "../../../up", "/abs/./w", "//other.org/v", "a:b", "HTTP://Far.org/a", "#top", "?u=http://far.org/b", "sub/"]
+
+
+def test_relative_links(spark):
+    bases = ["http://h.com", "http://h.com/", "https://h.com/d/e/f.html?s=/t#u", "http://h.com/d/e/"]
+    rows = [(b, t) for b in bases for t in RELATIVE]
+    made = spark.createDataFrame(rows, "url string, to string")
+    want = spark.createDataFrame([(urljoin(b, t),) for b, t in rows], "to string")
+    nodes = lambda df, c: [r[0] for r in df.select(urls.node_of(c)).collect()]
+    got = nodes(made, urls.resolved(made["url"], made["to"]))
+    for (b, t), g, w in zip(rows, got, nodes(want, want["to"]), strict=True):
+        assert g == (None if t == "#top" else w), (b, t)
+    pages = [(1, "http://bad.net/d/page2.html", ""), (2, "http://sub.bad.org/d/a.html", '<link rel="canonical" href="http://bad.net/d/page2.html">'), (3, "http://sub.bad.org/d/b.html", '<link rel=canonical href="a.html">'), (4, "http://sub.bad.org/e/c", '<meta http-equiv="refresh" content="0; url=../d/b.html">'), (5, "http://sub.bad.org/e/c?p=1", None), (6, "http://sub.bad.org/e/c", '<link rel=canonical href="?p=1">')]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"block"} and len(got) == 6
