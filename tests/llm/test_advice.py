@@ -1,6 +1,8 @@
 """Cases from reviews: what a query once did less of than the whole job."""
 
 import random
+import re
+from collections import Counter
 from urllib.parse import urljoin
 
 import pytest
@@ -60,3 +62,42 @@ def test_relative_links(spark):
     pages = [(1, "http://bad.net/d/page2.html", ""), (2, "http://sub.bad.org/d/a.html", '<link rel="canonical" href="http://bad.net/d/page2.html">'), (3, "http://sub.bad.org/d/b.html", '<link rel=canonical href="a.html">'), (4, "http://sub.bad.org/e/c", '<meta http-equiv="refresh" content="0; url=../d/b.html">'), (5, "http://sub.bad.org/e/c?p=1", None), (6, "http://sub.bad.org/e/c", '<link rel=canonical href="?p=1">')]
     got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert set(got.values()) == {"block"} and len(got) == 6
+
+
+def judged_by_definition(pages, rules=urls.RULES):
+    """(page_id, host, path, rule, verdict, alias_of) by plain loops over URLs; links are given, not read from the text."""
+    def parts(url):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)", url or "")
+        return (m[1].lower(), m[2], m[1].lower() + (m[2] + m[3] or "/") if m[1] else None) if m else ("", "", None)
+
+    def ruled(url):
+        host, path, _ = parts(url)
+        fit = [(len(h), len(p), h + p, said) for said, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[2:] if fit else (None, None)
+
+    group = {}
+    for _, url, link in pages:
+        a, b = parts(url)[2], parts(urljoin(url, link))[2] if url and link else None
+        if a and b and a != b:
+            both = group.get(a, {a}) | group.get(b, {b})
+            group |= dict.fromkeys(both, both)
+    out = []
+    for page, url, _ in pages:
+        host, path, node = parts(url)
+        rule, said = ruled(url)
+        near = [ruled(u)[1] for _, u, _ in pages if node in group and parts(u)[2] in group[node]]
+        out.append((page, host, path, rule, said or ("block" if "block" in near and "allow" not in near else "allow"), min(group[node]) if node in group else None))
+    return Counter(out)
+
+
+def test_urls_by_definition(spark):
+    draw = random.Random(8)
+    hosts = ["a.net", "b.example.net", "example.com", "x.org", "plain.com", "Plain.COM", "other.de", *(f"p{k}.com" for k in range(40))]
+    links = [*[None] * 8, "/de/1", "../2", "?p=1", "3", "http://a.net/fr/1", "http://z.net/1", "https://x.org/fr/2", "//p1.com/en/3"]
+    pages = [(k, f"http://{draw.choice(hosts)}/{draw.choice(['de', 'fr', 'en'])}/{draw.randrange(4)}{draw.choice(['', '', '?p=1'])}", draw.choice(links)) for k in range(120)]
+    pages += [(800, "http://z.net/1", None), (900, None, None), (901, "no-scheme", None), (5, "http://a.net/en/1", None)]
+    tag = lambda k, to: to and (f'<p><link rel="canonical" href="{to}">' if k % 2 else f"<META http-equiv=refresh content='0; URL={to}'>")
+    df = spark.createDataFrame([(k, u, tag(k, to)) for k, u, to in pages], "page_id long, url string, html string")
+    want = judged_by_definition(pages)
+    assert sum(r[3] is None and r[4] == "block" for r in want) > 3 and sum(r[5] is not None for r in want) > 20
+    assert Counter(map(tuple, urls.judge(df).collect())) == want
