@@ -7,8 +7,9 @@ the length in the pattern. Places come from the gaps between matches, summed in
 The entropy scan reads candidate strings, maximal runs of `[A-Za-z0-9+/_=-]` of at least WINDOW characters. A fold keeps the
 counts of the WINDOW last characters and the sum of c log2 c, in fixed point, and updates both by the character that comes and
 the one that goes. Windows whose Shannon entropy reaches the threshold of the candidate's class (hex digits; letters with
-digits; letters) hit; the span goes from the first hit window to the end of the last. Candidates on the allow list, and
-those that overlap a base match, add nothing; base spans are never suppressed.
+digits; letters) hit; the span goes from the first hit window to the end of the last. Base spans are cut
+out of a candidate first, and each part left of at least WINDOW characters is a candidate of its own. Candidates on the allow
+list add nothing; base spans are never suppressed.
 
 A narrow plan: no shuffle, no Python. Null texts are empty; null ids and repeated rows pass through.
 """
@@ -99,6 +100,16 @@ def _entropy_span(candidate: str) -> str:
       acc -> named_struct('first', acc.first, 'last', acc.last))""", limits
 
 
+#: SQL for the candidates without the base spans: parts of at least WINDOW characters.
+_PART = "if({end} - acc.at >= %d, concat(acc.out, array(named_struct('s', acc.at, 'e', {end}, 'v', substring(x.v, cast(acc.at - x.s + 1 as int), cast({end} - acc.at as int))))), acc.out)" % WINDOW
+_UNCOVERED = f"""
+  flatten(transform(__cand, x -> if(not exists(__base, b -> b.s < x.e and b.e > x.s), array(x),
+    aggregate(array_sort(filter(__base, b -> b.s < x.e and b.e > x.s)),
+      named_struct('at', x.s, 'out', cast(array() as array<struct<s:bigint,e:bigint,v:string>>)),
+      (acc, b) -> named_struct('at', greatest(acc.at, b.e), 'out', {_PART.format(end="b.s")}),
+      acc -> {_PART.format(end="x.e")}))))"""
+
+
 def find_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """Add `out`: array of (s, rank, e, kind), sorted, of base spans (rank 0 to 2) and entropy spans (rank 3)."""
     t = "__t"
@@ -112,7 +123,8 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
     names = [f"__{kind}" for kind, *_ in BASE]
     df = df.withColumn("__base", F.concat(*names)).drop(*names)
     df = _located(df, t, CANDIDATE, "__cand")
-    allowed = lambda x: F.exists("__base", lambda b: (b.s < x.e) & (b.e > x.s)) | F.rlike(x.v, F.lit("|".join(f"({a})" for a in ALLOW)))
+    df = df.withColumn("__cand", F.expr(_UNCOVERED))
+    allowed = lambda x: F.rlike(x.v, F.lit("|".join(f"({a})" for a in ALLOW)))
     df = df.withColumn("__cand", F.filter("__cand", lambda x: ~allowed(x)))
     fold, limits = _entropy_span("x")
     hits = F.expr(f"""

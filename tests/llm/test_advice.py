@@ -9,7 +9,7 @@ import pytest
 
 pytest.importorskip("quern.llm")
 import corpus_pipeline  # noqa: E402
-from quern.llm import minhash, urls  # noqa: E402
+from quern.llm import minhash, secrets, urls  # noqa: E402
 
 
 def kept_by_definition(rows):
@@ -101,3 +101,17 @@ def test_urls_by_definition(spark):
     want = judged_by_definition(pages)
     assert sum(r[3] is None and r[4] == "block" for r in want) > 3 and sum(r[5] is not None for r in want) > 20
     assert Counter(map(tuple, urls.judge(df).collect())) == want
+
+
+def test_keys_joined_to_base_matches(spark):
+    key = "Zk3x9Qp7Lm2Vt8Rw4Ys6Bn1"
+    other = "qW8eR2tY6uI0oP4aS1dF5gH"
+    cases = [
+        (f"{key}/token=abcdef", "entropy:0:24,assign:24:36"), (f"é {key}/{'ab' * 14}/{other}", "entropy:2:26,hex:26:54,entropy:54:78"),
+        ("Zk3x9Qp7Lm2Vt8R/token=abcdef", "assign:16:28"), (f"{'x' * 30}/token=abcdef", "assign:31:43"),
+        (f"{key}/token=example-token=abcdef", "entropy:0:24,assign:24:50"), (f"example{key}/token=abcdef", "assign:31:43"),
+    ]
+    df = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in secrets.digest(df).collect()} == {k: want for k, (_, want) in enumerate(cases)}
+    clean = [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()]
+    assert clean[0] == "[SECRET][SECRET]" and not any(s in clean[1] for s in (key, other))
