@@ -2,12 +2,11 @@
 
 1. Tokens: a narrow map makes one row per piece (documents longer than the capacity are cut; the first piece holds the rest
    that is left over), with the ids' checksum; ids themselves are not kept.
-2. Bulk-synchronous best fit. Pieces are range-sorted by length and ranked inside their length; open sequences are
-   range-sorted by gap. In a round each length's pieces look up the successor gap, the smallest one that holds them;
-   where several lengths want one gap, the longer goes first and ranks decide which piece gets which sequence; gaps are
-   updated, and the next round begins. Lengths and gaps are integers up to the capacity, so a round's state is two tables
-   of runs (length or gap, first rank, count) of at most `capacity` lengths each; they do not grow with the corpus.
-   Only these counts reach the driver. Pieces stay distributed and take their place by rank from the table of runs.
+2. Best fit on the driver, over counts by length. One length after another, the longest first, takes the successor gaps, the
+   smallest that hold it, and leaves the smaller gaps that remain; so no two lengths compete for a gap. Lengths and gaps
+   are integers up to the capacity, so the state is two tables of runs (length or gap, first rank, count) of at most
+   `capacity` lengths each; they do not grow with the corpus. Only these counts reach the driver. Pieces are ranked
+   inside their length, stay distributed and take their place by rank from the table of runs.
 
 Nulls and empty texts are documents of one token, the end mark. Null ids and repeated rows are packed as rows of their own.
 """
@@ -109,7 +108,7 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     """Runs (length, first rank, count, first sequence, offset) that place every piece: `count` pieces of a length, from a
     rank on, go to as many consecutive sequences, all at one offset.
 
-    A superstep takes the longest length left. Its pieces sweep the gaps upwards from the successor gap; by rank they fill a
+    A step takes the longest length left. Its pieces sweep the gaps upwards from the successor gap; by rank they fill a
     run of sequences with that gap, as many pieces each as fit, and what remains of those gaps joins the table at once.
     Pieces that no gap holds open new sequences. Each step uses up the length or a run of gaps, and there are at most
     `capacity` lengths and gaps, so the number of runs depends on the capacity and not on the corpus.
