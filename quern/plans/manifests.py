@@ -92,6 +92,19 @@ def dup_summary(spark, sf):
     return dedup.audit_summary(m, pairs, pairs.where("false"))
 
 
+@query(f"""{_AHASH}, m AS (SELECT vec_id AS path, embedding, bits, CASE WHEN vec_id % 10 < 7 THEN 'train' WHEN vec_id % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM e JOIN embeddings USING (vec_id)),
+p AS (SELECT a.split <> b.split AS x FROM m a JOIN m b ON a.embedding = b.embedding AND a.path < b.path),
+n AS (SELECT a.split <> b.split AS x FROM m a JOIN m b ON substr(a.bits, 1, 16) = substr(b.bits, 1, 16) AND a.path < b.path WHERE hamming(a.bits, b.bits) <= 5)
+SELECT (SELECT count(*) FROM m) AS files, (SELECT count(*) FROM m WHERE embedding IS NULL) AS errors, (SELECT count(*) FROM p) AS exact_pairs, (SELECT count(*) FROM p WHERE x) AS exact_cross_split, (SELECT count(*) FROM n) AS near_pairs, (SELECT count(*) FROM n WHERE x) AS near_cross_split""")
+def dup_summary_near(spark, sf):
+    """The audit summary with both halves, over embeddings as files; dup_summary's texts have no average hash."""
+    d = F.col("path") % 10
+    split = F.when(d < 7, "train").when(d < 9, "val").otherwise("test")
+    raw = table(spark, sf, "embeddings").select(F.col("vec_id").alias("path"), F.col("embedding").alias("hash"))
+    m = hashed(spark, sf).join(raw, "path").withColumn("split", split)
+    return dedup.audit_summary(m, dedup.exact_pairs(m), dedup.near_pairs(m))
+
+
 @query(f"""{_MAN}, t AS (SELECT hash, CASE WHEN count(*) FILTER (split = 'train') >= count(*) FILTER (split = 'val') THEN 'train' ELSE 'val' END AS target FROM m WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) > 1 AND count(DISTINCT split) > 1)
 SELECT path, coalesce(target, split) AS split FROM m LEFT JOIN t USING (hash)""")
 def leakage_repair(spark, sf):
