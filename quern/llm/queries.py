@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontam, langid, media, packing, secrets, simhash, substring, suffix, urls, wordpiece
 from .shared import table
@@ -43,6 +44,15 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a table of redirects made from them: short links that join pages, and mirrors under a blocked name."""
+    pages = table(spark, sf_dir, "pages")
+    short = pages.select(F.concat(F.lit("http://go.example.edu/"), F.floor(F.col("page_id") / 3)).alias("source"), F.col("url").alias("target"))
+    host, path = urls.host_of(F.col("url")), urls.path_of(F.col("url"))
+    mirrors = pages.where(host.startswith("m.")).select(F.col("url").alias("source"), F.concat(F.lit("http://mirror.net"), path).alias("target"))
+    return urls.judge(pages, redirects=short.unionByName(mirrors))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"), texts=False).drop("kept")
 
@@ -52,12 +62,48 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_secret_scans, op4_media_columns, op5_language_id, op6_best_fit_packing, op7_benchmark_decontamination, op8_url_filters, op9_suffix_array_dedup, op10_token_counts)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_secret_scans, op4_media_columns, op5_language_id, op6_best_fit_packing, op7_benchmark_decontamination, op8_url_filters, op9_suffix_array_dedup, op10_token_counts, url_redirects)
 }
 
 #: Words of a text as DuckDB lists, for the rules that part words at U+0020 and U+0009 to U+000D.
 _WORDS = r"""regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"""
 
+#: Pages judged by SQL; @LINKS: further rows (a, url) for links, by node and target.
+_HOST = "translate(regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce({0}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+_NODE = f"""CASE WHEN {_HOST} <> '' THEN {_HOST} || coalesce(nullif(regexp_extract({{0}}, '(?s)^.*?://[^/?#]*([^#]*)', 1), ''), '/') END"""
+_RULE = """CASE
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END"""
+_JUDGED = rf"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_NODE.format('url')} AS node FROM pages),
+p AS (SELECT page_id, host, path, node, {_RULE} AS rule FROM u),
+t AS (SELECT url, host, path, node, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM u WHERE contains(url, '://')),
+v AS (SELECT host, path, node, CASE WHEN regexp_matches(t, '(?is)^<link') THEN regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(t, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1) END AS v
+  FROM t WHERE regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b') OR regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
+w AS (SELECT host, path, node, array_to_string(list_transform(regexp_extract_all(v, '(?i)&(?:amp|lt|gt|quot|apos|#[0-9]{{1,7}}|#x[0-9a-f]{{1,6}});|[^&]+|&'), lambda x: CASE
+    WHEN lower(x) = '&amp;' THEN '&' WHEN lower(x) = '&lt;' THEN '<' WHEN lower(x) = '&gt;' THEN '>' WHEN lower(x) = '&quot;' THEN '"' WHEN lower(x) = '&apos;' THEN ''''
+    WHEN regexp_matches(x, '^&#[0-9]+;$') THEN chr(CAST(x[3:-2] AS INT)) WHEN regexp_matches(x, '^&#[xX].+;$') THEN chr(CAST('0x' || x[4:-2] AS INT)) ELSE x END), '') AS v FROM v),
+x AS (SELECT *, CASE WHEN starts_with(v, '/') THEN v ELSE regexp_replace(CASE WHEN path = '' THEN '/' ELSE path END, '[^/]*$', '') || v END AS whole FROM w),
+y AS (SELECT *, regexp_extract(whole, '(?s)^([^?#]*)(.*)$', 1) AS way, regexp_extract(whole, '(?s)^([^?#]*)(.*)$', 2) AS tail FROM x),
+z AS (SELECT node AS a, CASE WHEN regexp_matches(v, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN v WHEN starts_with(v, '//') THEN 'http:' || v WHEN starts_with(v, '?') THEN 'http://' || host || path || v
+    WHEN v <> '' AND NOT starts_with(v, '#') THEN 'http://' || host || '/' || substr(list_reduce(list_prepend('', string_split(substr(regexp_replace(way, '/(\.\.?)$', '/\1/'), 2), '/')),
+      lambda done, s: CASE s WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || s END), 2) || tail END AS url FROM y @LINKS),
+e AS (SELECT DISTINCT a, {_NODE.format('url')} AS b FROM z),
+ways AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+r AS (SELECT a AS node, a AS other FROM ways UNION SELECT r.node, ways.b FROM r JOIN ways ON r.other = ways.a),
+roots AS (SELECT node, min(other) AS root FROM r GROUP BY node),
+says AS (SELECT node, rule FROM p WHERE rule IS NOT NULL UNION SELECT node, rule FROM (SELECT node, {_RULE} AS rule FROM (SELECT {_NODE.format('url')} AS node, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path FROM z)) WHERE rule IS NOT NULL),
+bad AS (SELECT root, bool_or(rule IN ('net/', 'example.com/de/')) AND NOT bool_or(rule NOT IN ('net/', 'example.com/de/')) AS bad FROM roots JOIN says USING (node) GROUP BY root)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') OR (rule IS NULL AND coalesce(bad, false)) THEN 'block' ELSE 'allow' END AS verdict, root AS alias_of
+FROM p LEFT JOIN roots USING (node) LEFT JOIN bad USING (root)"""
+#: Short links, each to the pages of three ids, and a page's mirror under a blocked name, in neither case a page.
+_HUBS = f"""
+  UNION ALL SELECT {_NODE.format("('http://go.example.edu/' || (page_id // 3))")}, url FROM pages WHERE page_id IS NOT NULL
+  UNION ALL SELECT {_NODE.format('url')}, 'http://mirror.net' || {_PATH.format('url')} FROM pages WHERE {_HOST.format('url')} LIKE 'm.%'"""
+
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -94,15 +140,6 @@ hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
-    "op8_url_filters": r"""
-WITH u AS (SELECT page_id, url, html, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-r AS (SELECT page_id, host, path, CASE
-  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
-  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
-  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-  WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-  regexp_matches(coalesce(html, ''), '(?is)<link[^>]*rel\s*=\s*["'']?canonical|<meta[^>]*http-equiv\s*=\s*["'']?refresh') AS edge FROM u)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict, CAST(NULL AS VARCHAR) AS alias_of
-FROM r WHERE NOT edge""",
+    "op8_url_filters": _JUDGED.replace("@LINKS", ""),
+    "url_redirects": _JUDGED.replace("@LINKS", _HUBS),
 }

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import functools
 import math
+import shutil
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +21,8 @@ GROUP_BYTES = 6_000_000
 #: A corpus is dealt into no fewer groups than this, so that small inputs still spread over the cluster.
 LEAST_GROUPS = 64
 
-_staged: list[str] = []
+#: Staged tables, per thread: a stack with a list of (path, table) for each open scope(), and one below for those of none.
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,9 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="quern-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    """Made once a process and removed at its end."""
+    made = tempfile.mkdtemp(prefix="quern-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return "file://" + made
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -36,16 +48,49 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _tables().append((path, out))
+    return out
+
+
+def _tables() -> list[tuple[str, DataFrame]]:
+    if not hasattr(_open, "stack"):
+        _open.stack = [[]]
+    return _open.stack[-1]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
 
+@contextlib.contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """with scope() as keep: the staged tables made inside by this thread are deleted at its end, but for those given to
+    keep(), which belong to the scope around it."""
+    _tables()
+    mine, kept = [], []
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the staged tables made after the first `keep`; call it when the results that read them are written."""
-    jvm = spark.sparkContext._jvm
-    while len(_staged) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _open.stack.append(mine)
+    try:
+        yield keep
+    finally:
+        _open.stack.remove(mine)
+        for path, df in mine:
+            if any(df is k for k in kept):
+                _tables().append((path, df))
+            else:
+                _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the staged tables that this thread still holds; call it when the results that read them are written."""
+    while _tables():
+        _delete(spark, _tables().pop()[0])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,30 +114,33 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Alternating large-star and small-star rounds; each round is a written table, so nothing is collected
     and a star with a hot centre only meets partial aggregates and joins that can split it.
     """
-    spark = edges.sparkSession
-    mark = len(_staged)
     now = stage(
         edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         label,
     )
     seen = _digest(now)
-    if not seen[0]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label)
-        got = _digest(new)
+    while seen[0]:
+        with scope() as keep:
+            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            new = keep(stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), label))
+            got = _digest(new)
+        drop(now)  # the round before is no longer read by anything
+        now = new
         if got == seen:
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        # the round before is no longer read by anything
-        last = _staged.pop()
-        release(spark, mark)
-        _staged.append(last)
-        now, seen = new, got
+            break
+        seen = got
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def drop(df: DataFrame) -> None:
+    """Delete one staged table of the open scope."""
+    for x in [x for x in _tables() if x[1] is df]:
+        _tables().remove(x)
+        _delete(df.sparkSession, x[0])
 
 
 def _digest(df: DataFrame) -> tuple:

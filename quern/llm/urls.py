@@ -6,7 +6,8 @@ wins, by host and then by path. Few rules become one column expression; their nu
 Pages that no rule fits take the method's verdict. Redirects (`<meta http-equiv="refresh">`, and a table of redirects where
 one is given) and canonical links (`<link rel="canonical">`) are edges between URLs, read without scheme and fragment, with the
 host in lower case; relative targets are resolved against the page's own URL. Connected components of these edges are found in distributed rounds; an alias is blocked if its
-component has a page that a rule blocks and none that a rule allows: an explicit allow takes precedence. All others
+component has a URL that a rule blocks and none that a rule allows: an explicit allow takes precedence. Rules speak about every
+URL of the graph, crawled or not, each read as it is written: a blocked URL is usually no page of the table. All others
 are allowed. URLs without an edge stay out of the graph and of every join on it.
 
 A null url, or one without "://", has an empty host and path, fits no rule, joins no component and is allowed. A null page
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, stage
+from .shared import components, scope, stage
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -52,6 +53,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+_COMMENT = r"(?s)<!--.*?-->"
 _TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
@@ -77,19 +79,38 @@ def resolved(url: Column, to: Column) -> Column:
     )
 
 
+# The named character references that can stand in a URL.
+NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
+
+
+def unescaped(value: Column) -> Column:
+    """An attribute's value without character references: the named ones of NAMED, and numbers in decimal or hex."""
+    part = F.regexp_extract_all(value, F.lit(r"(?i)&(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#x[0-9a-f]{1,6});|[^&]+|&"), F.lit(0))
+
+    def one(x):
+        number = F.when(x.rlike("(?i)^&#x"), F.conv(F.regexp_extract(x, "(?i)x([0-9a-f]+)", 1), 16, 10)).otherwise(F.regexp_extract(x, "#([0-9]+)", 1)).cast("int")
+        sound = x.rlike("^&#.*;$") & ((number < 0xD800) | (number > 0xDFFF)) & (number <= 0x10FFFF)
+        out = F.when(sound, F.decode(F.unhex(F.lpad(F.hex(F.when(sound, number)), 8, "0")), "UTF-32"))
+        for name, letter in NAMED.items():
+            out = out.when(F.lower(x) == name, letter)
+        return out.otherwise(x)
+
+    return F.when(value.contains("&"), F.array_join(F.transform(part, one), "")).otherwise(value)
+
+
 def edges_of(pages: DataFrame) -> DataFrame:
-    """(a, b): the node of a page's own URL and that of each redirect or canonical link in its text."""
+    """(a, b, to): the node of a page's own URL, that of each redirect or canonical link in its text, and the link's URL."""
     tags = F.filter(
-        F.regexp_extract_all("html", F.lit(_TAG), F.lit(0)),
+        F.regexp_extract_all(F.regexp_replace("html", _COMMENT, ""), F.lit(_TAG), F.lit(0)),
         lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"),
     )
     target = lambda t: F.when(t.rlike(r"(?is)^<link"), F.regexp_extract(t, _HREF, 1)).otherwise(F.regexp_extract(t, _REFRESH, 1))
     found = (
         pages.where(F.col("url").contains("://") & (F.rlike("html", F.lit(r"(?i)canonical|refresh"))))
         .select("url", F.explode(F.transform(tags, target)).alias("to"))
-        .select("url", resolved(F.col("url"), F.col("to")).alias("to"))
+        .select("url", resolved(F.col("url"), unescaped(F.col("to"))).alias("to"))
     )
-    return found.select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    return found.select(node_of(F.col("url")).alias("a"), node_of(F.col("to")).alias("b"), "to").where("a is not null and b is not null and a <> b").distinct()
 
 
 def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -98,22 +119,30 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     alias_of is the least URL of the page's component, null for pages outside the graph.
     """
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    ruled = slim.select("page_id", node_of(F.col("url")).alias("node"), host.alias("host"), path.alias("path"))
-    rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = ruled.withColumns({"rule": rule, "said": said})
-    edges = edges_of(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
-    if redirects is not None:
-        more = redirects.select(node_of(F.col("source")).alias("a"), node_of(F.col("target")).alias("b")).where("a <> b")
-        edges = edges.unionByName(more)
-    roots = components(edges, "urls")
-    if roots.isEmpty():  # no alias at all: the rules decide alone
-        return ruled.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("alias_of"))
-    named = stage(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "aliases")
-    # pages of one URL meet as partial sums; what is joined has a row per URL with an edge
-    seen = ruled.where("said is not null and node is not null").groupBy("node").agg(F.max((F.col("said") == "block").cast("int")).alias("blocked"), F.max((F.col("said") == "allow").cast("int")).alias("allowed"))
-    spread = named.join(seen, "node", "left").groupBy("root").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed"))
-    marked = named.join(spread, "root").select("node", "root", (F.coalesce("blocked", F.lit(0)) > F.coalesce("allowed", F.lit(0))).alias("bad"))
+
+    def ruled_of(df: DataFrame, url: str, *more: str) -> DataFrame:
+        made = df.select(*more, node_of(F.col(url)).alias("node"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+        rule, said = rule_of(F.col("host"), F.col("path"), rules)
+        return made.withColumns({"rule": rule, "said": said})
+
+    ruled = ruled_of(slim, "url", "page_id")
+    with scope() as keep:
+        edges = stage(edges_of(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))), "links")
+        ends = edges.select(F.col("to").alias("url"))
+        if redirects is not None:
+            more = redirects.select(F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))
+            ends = ends.unionByName(more.select(F.col("source").alias("url"))).unionByName(more.select(F.col("target").alias("url")))
+            edges = edges.unionByName(more.select(node_of(F.col("source")).alias("a"), node_of(F.col("target")).alias("b"), F.col("target").alias("to")).where("a <> b"))
+        roots = components(edges, "urls")
+        if roots.isEmpty():  # no alias at all: the rules decide alone
+            return ruled.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("alias_of"))
+        named = stage(roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct(), "aliases")
+        # what rules say about each URL, of pages and of links' ends alike; those of one node meet as partial sums
+        said = ruled.select("node", "said").unionByName(ruled_of(ends, "url").select("node", "said"))
+        both = [F.max((F.col("said") == v).cast("int")).alias(v) for v in ("block", "allow")]
+        seen = said.where("said is not null and node is not null").groupBy("node").agg(*both)
+        spread = named.join(seen, "node", "left").groupBy("root").agg(*[F.max(v).alias(v) for v in ("block", "allow")])
+        marked = keep(stage(named.join(spread, "root").select("node", "root", (F.coalesce("block", F.lit(0)) > F.coalesce("allow", F.lit(0))).alias("bad")), "marked"))
     return ruled.join(marked, "node", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("said", F.when(F.col("bad"), "block"), F.lit("allow")).alias("verdict"),

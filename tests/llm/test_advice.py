@@ -5,11 +5,12 @@ import re
 from collections import Counter
 from urllib.parse import urljoin
 
+import duckdb
 import pytest
 
 pytest.importorskip("quern.llm")
 import corpus_pipeline  # noqa: E402
-from quern.llm import minhash, secrets, urls  # noqa: E402
+from quern.llm import minhash, queries, secrets, urls  # noqa: E402
 
 
 def kept_by_definition(rows):
@@ -75,9 +76,10 @@ def judged_by_definition(pages, rules=urls.RULES):
         fit = [(len(h), len(p), h + p, said) for said, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return max(fit)[2:] if fit else (None, None)
 
-    group = {}
+    group, known = {}, {u for _, u, _ in pages}
     for _, url, link in pages:
         a, b = parts(url)[2], parts(urljoin(url, link))[2] if url and link else None
+        known |= {urljoin(url, link)} if b else set()
         if a and b and a != b:
             both = group.get(a, {a}) | group.get(b, {b})
             group |= dict.fromkeys(both, both)
@@ -85,7 +87,7 @@ def judged_by_definition(pages, rules=urls.RULES):
     for page, url, _ in pages:
         host, path, node = parts(url)
         rule, said = ruled(url)
-        near = [ruled(u)[1] for _, u, _ in pages if node in group and parts(u)[2] in group[node]]
+        near = [ruled(u)[1] for u in known if node in group and parts(u)[2] in group[node]]
         out.append((page, host, path, rule, said or ("block" if "block" in near and "allow" not in near else "allow"), min(group[node]) if node in group else None))
     return Counter(out)
 
@@ -93,14 +95,30 @@ def judged_by_definition(pages, rules=urls.RULES):
 def test_urls_by_definition(spark):
     draw = random.Random(8)
     hosts = ["a.net", "b.example.net", "example.com", "x.org", "plain.com", "Plain.COM", "other.de", *(f"p{k}.com" for k in range(40))]
-    links = [*[None] * 8, "/de/1", "../2", "?p=1", "3", "http://a.net/fr/1", "http://z.net/1", "https://x.org/fr/2", "//p1.com/en/3"]
+    links = [*[None] * 40, "/de/1", "../2", "?p=1", "?p=1&q=2", "3", "http://a.net/fr/1", "http://z.net/1", "https://x.org/fr/2", "//p1.com/en/3"]
+    links += [f"http://{h}/never/{k}" for h in ("uncrawled.net", "y.example.net/en", "gone.org/fr", "plain.com") for k in range(4)]
     pages = [(k, f"http://{draw.choice(hosts)}/{draw.choice(['de', 'fr', 'en'])}/{draw.randrange(4)}{draw.choice(['', '', '?p=1'])}", draw.choice(links)) for k in range(120)]
     pages += [(800, "http://z.net/1", None), (900, None, None), (901, "no-scheme", None), (5, "http://a.net/en/1", None)]
-    tag = lambda k, to: to and (f'<p><link rel="canonical" href="{to}">' if k % 2 else f"<META http-equiv=refresh content='0; URL={to}'>")
+    refer = lambda to: draw.choice([lambda x: x.replace("&", "&amp;"), lambda x: x.replace("/", "&#47;").replace("?", "&#x3F;"), lambda x: x])(to)
+    tag = lambda k, to: to and (f'<p><!-- <link rel="canonical" href="/no"> --><link rel="canonical" href="{refer(to)}">' if k % 2 else f"<META http-equiv=refresh content='0; URL={refer(to)}'>")
     df = spark.createDataFrame([(k, u, tag(k, to)) for k, u, to in pages], "page_id long, url string, html string")
     want = judged_by_definition(pages)
     assert sum(r[3] is None and r[4] == "block" for r in want) > 3 and sum(r[5] is not None for r in want) > 20
     assert Counter(map(tuple, urls.judge(df).collect())) == want
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert Counter(con.sql(queries.ORACLE["op8_url_filters"]).fetchall()) == want
+
+
+def test_blocked_urls_need_not_be_pages(spark):
+    link = '<link rel="canonical" href="{}">'
+    pages = [
+        (1, "http://a.com/1", link.format("http://bad.net/z")), (2, "http://a.com/2", link.format("http://bad.net/z")),
+        (3, "http://b.com/1", link.format("http://bad.net/y?a=1&amp;b=2")), (4, "http://b.com/2", link.format("http://bad.net/y?a=1&#38;b=2")),
+        (5, "http://good.org/fr/1", link.format("http://bad.net/y?a=1&b=2")), (6, "http://c.com/1", link.format("http://d.com/")), (7, "http://bad.net", None),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow", 6: "allow", 7: "allow"}  # page 7 has no path, so no rule fits
 
 
 def test_keys_joined_to_base_matches(spark):
