@@ -187,19 +187,22 @@ def test_packing(docs, empty, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
-    got = packing.pack_documents(docs).collect()
+    special = [(20, "<|endoftext|> z", None, 0, "u", 0, "v"), (21, "a <|endoftext|><|endoftext|>", "en", 0, "u", 0, "v")]
+    more = docs.unionByName(spark.createDataFrame(special, docs.schema))
+    got = packing.pack_documents(more).collect()
     check_packing(got, 1024)
     want = []
-    for doc, text, _ in ROWS:
+    for doc, text, *_ in ROWS + special:
         x = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         want += [(doc, k, a, n, zlib.crc32(x[a : a + n].tobytes())) for k, (a, n) in enumerate(packing.cut(len(x)))]
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == Counter(want)
     assert packing.pack_documents(empty).count() == 0
-    made = packing.pieces(docs, public_tokenizers.path(packing.VOCABULARY), 16)
-    sliced = packing.pack(made, 16, slice_rows=3).collect()
-    check_packing(sliced, 16)
-    assert len(sliced) == made.count()
+    from quern.llm.shared import stage
+
+    made = stage(packing.pieces(docs.repartition(5), public_tokenizers.path(packing.VOCABULARY), 16), "pieces")
+    spread = packing.pack(made, 16).collect()
+    check_packing(spread, 16)
+    assert len(spread) == made.count() > 200
 
 
 def test_decontamination(docs, empty, spark):
