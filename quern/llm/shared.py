@@ -136,6 +136,17 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def kept_rows(docs: DataFrame, best: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of docs that best names by (doc_id, text_hash), one of each; again has those of best that docs has several times."""
+    same = lambda a, b: F.expr(f"{a}.doc_id <=> {b}.doc_id and xxhash64(cast({a}.text as string)) = {b}.text_hash")
+    kept = docs.alias("d").join(best.alias("k"), same("d", "k"), "left_semi")
+    if again.isEmpty():
+        return kept
+    rest = kept.alias("d").join(again.alias("a"), same("d", "a"), "left_anti")
+    one = kept.alias("d").join(again.alias("a"), same("d", "a"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.unionByName(one)
+
+
 def drop(df: DataFrame) -> None:
     """Delete one staged table of the open scope."""
     for x in [x for x in _tables() if x[1] is df]:

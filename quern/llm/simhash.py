@@ -12,8 +12,14 @@
    one link less than members, never all pairs. A ball bounds the members of a variant, whatever the corpus.
 4. Links are deduplicated and their connected components taken in distributed rounds.
 
+`near_duplicates` takes those links as they are: three words, 3 bits. `keep_one`, for a corpus to be filtered, takes five words and
+a similarity of shingle sets of 0.8: the links are only candidates there, held against the sets themselves. Two sets
+that are 0.8 alike differ in 10 bits on average, which no ball of half that radius can span (10^7 variants), so candidates from
+`minhash`, which reach that far, come on top.
+
 Nulls, empty texts and texts without words get fingerprint zero and link like any other. A null doc_id is no candidate for a
-component's name; a component with no other gets null. Repeated rows return one row each.
+component's name; a component with no other gets null. Repeated rows return one row each, an empty table none. Very long texts
+are read whole, shingles hashed in one pass. Other columns than doc_id and text are not read; keep_one returns them all.
 """
 
 from __future__ import annotations
@@ -25,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, mix, stage
+from . import minhash
+from .shared import components, kept_rows, mix, scope, stage
 
 SHINGLE = 3
 SEED = 42
@@ -34,6 +41,9 @@ RADIUS = 3
 BUCKET_VARIANTS = 2_000_000
 PACKET = 4096
 LEAST_BUCKETS = 64
+#: Variants that one task emits, and that one task holds when it repacks; codes that a packet's row has at least on average.
+TASK_VARIANTS = 8_000_000
+ROW_CODES = 128
 
 
 def fingerprint(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
@@ -82,6 +92,22 @@ NEAR = 65  # masks of at most one bit
 _PACKETS = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("codes", pa.binary())])
 
 
+def _packed(fps: np.ndarray, who: np.ndarray, what: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    """A row per bucket: the fingerprints that have a variant there, once each, and the variants' codes (owner, mask)."""
+    bucket = bucket.astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    who, what, bucket = who[order], what[order], bucket[order]
+    found, owners, packed = [], [], []
+    cuts = (np.flatnonzero(np.diff(bucket)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(bucket)]):
+        if b > a:
+            used, index = np.unique(who[a:b], return_inverse=True)
+            found.append(int(bucket[a]))
+            owners.append(fps[used].tobytes())
+            packed.append((index.astype(np.uint32) << np.uint32(11) | what[a:b].astype(np.uint32)).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(owners, pa.binary()), pa.array(packed, pa.binary())], schema=_PACKETS)
+
+
 def _emit(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,17 +120,7 @@ def _emit(buckets: int):
                     who.append(np.repeat(part, n))
                     what.append(np.tile(np.arange(n), len(part)))
                 who, what = np.concatenate(who), np.concatenate(what)
-                bucket = (mix(fps[who] ^ MASKS[what]) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(bucket, kind="stable")
-                codes = (who << 11 | what).astype(np.uint32)[order]
-                bucket = bucket[order]
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                found, owners, packed = bucket[np.concatenate(([0], cuts))] if len(bucket) else [], [], []
-                for part in np.split(codes, cuts) if len(bucket) else []:
-                    used, index = np.unique(part >> 11, return_inverse=True)
-                    owners.append(fps[used].tobytes())
-                    packed.append((index.astype(np.uint32) << 11 | part & 2047).astype(np.uint32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(owners, pa.binary()), pa.array(packed, pa.binary())], schema=_PACKETS)
+                yield _packed(fps, who, what, mix(fps[who] ^ MASKS[what]) % np.uint64(buckets))
 
     return run
 
@@ -141,21 +157,60 @@ def _meet(packets: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(found[:, 0].view(np.int64)), "b": pa.array(found[:, 1].view(np.int64))})
 
 
-def _rooted(marked: DataFrame) -> DataFrame:
-    """(fp, root) for every fingerprint of a table of them: root names its component."""
-    distinct = stage(marked.select("fp").distinct(), "distinct")
-    buckets = max(LEAST_BUCKETS, -(-distinct.count() * (len(MASKS) + NEAR) // 2 // BUCKET_VARIANTS))
-    packets = distinct.mapInArrow(_emit(buckets), "bucket int, owners binary, codes binary")
-    roots = components(packets.groupBy("bucket").applyInArrow(_meet, "a long, b long"), "simhash")
-    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+def _repacked(split: int):
+    """Packets of coarse buckets, `split` buckets each, parted by bucket; a task holds TASK_VARIANTS codes at a time."""
+
+    def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        fps, who, what, at = [], [], [], 0
+        for f, x in held:
+            fps.append(f)
+            who.append((x >> 11).astype(np.int64) + at)
+            what.append(x & 2047)
+            at += len(f)
+        fps, who, what = np.concatenate(fps), np.concatenate(who), np.concatenate(what)
+        return _packed(fps, who, what, mix(fps[who] ^ MASKS[what]) % np.uint64(split))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for o, c in zip(batch.column("owners"), batch.column("codes")):
+                held.append((np.frombuffer(o.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint32)))
+                n += len(held[-1][1])
+                if n >= TASK_VARIANTS:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def links(fps: DataFrame, bucket_variants: int = BUCKET_VARIANTS, row_codes: int = ROW_CODES) -> DataFrame:
+    """(a, b): links that join every two values of `fp` (distinct, a written table) within RADIUS bits.
+
+    Where there are so many buckets that a packet's rows would hold few codes each, packets go to coarse buckets first,
+    and are parted there, many together.
+    """
+    variants = fps.count() * (len(MASKS) + NEAR) // 2
+    buckets = max(LEAST_BUCKETS, -(-variants // bucket_variants))
+    coarse = min(buckets, max(LEAST_BUCKETS, PACKET * (len(MASKS) + NEAR) // 2 // row_codes))
+    form = "bucket int, owners binary, codes binary"
+    packets = fps.repartition(max(1, -(-variants // TASK_VARIANTS)), "fp").mapInArrow(_emit(coarse), form)
+    if buckets > coarse:
+        split = coarse * -(-buckets // coarse)  # a multiple, so that a bucket lies in one coarse bucket
+        packets = packets.repartition(coarse, "bucket").mapInArrow(_repacked(split), form)
+    return packets.groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """(doc_id, fp, component_id) per row of (doc_id, text); component_id is the least doc_id reachable over links."""
-    marked = stage(fingerprints(docs, k, seed), "fingerprints")
-    firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    rooted = firsts.join(_rooted(marked), "fp")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
+    with scope() as keep:
+        marked = keep(stage(fingerprints(docs, k, seed), "fingerprints"))
+        firsts = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+        roots = components(links(firsts.select("fp")), "simhash")
+        rooted = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+        named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
+        named = keep(stage(named, "named"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -164,28 +219,27 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates, all columns kept: of each component the row with the least doc_id stays.
+    """docs without near-duplicates, all columns kept: of each component of texts whose sets of five-word shingles are at least
+    0.8 alike, the row with the least doc_id stays.
 
     Null doc_ids come last, and rows that share an id follow the hash of their texts; of rows that agree in id and text
-    one stays, whichever.
+    one stays, whichever. Nulls and texts without words have the empty set in common.
     """
-    marked = stage(fingerprints(docs), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
-    best = marked.groupBy("fp").agg(F.min(order).alias("best"))
-    best = best.join(_rooted(marked), "fp").groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.text_hash")
-    return kept_rows(docs, marked, best)
-
-
-def kept_rows(docs: DataFrame, marked: DataFrame, best: DataFrame) -> DataFrame:
-    """The rows of docs that best names by (doc_id, text_hash), one of each; marked has both for every row of docs."""
-    best = stage(best, "kept")
-    same = lambda a, b: F.expr(f"{a}.doc_id <=> {b}.doc_id and xxhash64(cast({a}.text as string)) = {b}.text_hash")
-    kept = docs.alias("d").join(best.alias("k"), same("d", "k"), "left_semi")
-    # rows that agree in id and text, if the table has any at all
-    counts = marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
-    again = stage(counts.alias("c").join(best.alias("k"), F.expr("c.doc_id <=> k.doc_id and c.text_hash = k.text_hash"), "left_semi").select("doc_id", "text_hash"), "repeated") if not counts.isEmpty() else None
-    if again is None or again.isEmpty():
-        return kept
-    rest = kept.alias("d").join(again.alias("a"), same("d", "a"), "left_anti")
-    one = kept.alias("d").join(again.alias("a"), same("d", "a"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return rest.unionByName(one)
+    with scope() as keep:
+        marked = stage(minhash.signatures(docs), "signatures")
+        order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+        distinct = stage(marked.groupBy("fp").agg(F.min(order).alias("best"), *[F.first(c).alias(c) for c in ("n", "sim", "bands")]), "distinct")
+        # sets of one fingerprint, and fingerprints within a ball, as pairs of sets
+        sims = stage(distinct.where("n > 0").groupBy("sim").agg(F.min("fp").alias("one")), "sims")
+        near = links(sims.select(F.col("sim").alias("fp")))
+        name = lambda side: sims.select(F.col("sim").alias(side), F.col("one").alias(f"{side}_set"))
+        balls = near.join(name("a"), "a").join(name("b"), "b").select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+        same = distinct.where("n > 0").join(sims, "sim").where("fp <> one").select(F.col("one").alias("a"), F.col("fp").alias("b"))
+        pairs = stage(balls.union(same).union(minhash.candidates(distinct)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        roots = components(minhash.verified(docs, distinct, pairs), "similar")
+        named = distinct.select("fp", "best").join(roots, distinct.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "best")
+        best = keep(stage(named.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.text_hash"), "kept"))
+        # rows that agree in id and text, if the table has any at all
+        again = marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+        again = keep(stage(again.join(best, (again.doc_id.eqNullSafe(best.doc_id)) & (again.text_hash == best.text_hash), "left_semi").select("doc_id", "text_hash"), "repeated"))
+    return kept_rows(docs, best, again)

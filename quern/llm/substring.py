@@ -4,7 +4,7 @@ Documents are dealt into groups of a few megabytes. First pass: each group sketc
 sketch is kept as its sorted cells, packed, and cut into blocks of cells. Blocks of all groups are merged: a cell that two
 documents touch is repeated, whatever touched it, so counts are overestimated and never missed. Each group gets back one
 bit per cell it touched. Second pass: windows whose cells are repeated in every row are grouped exactly, by the 128-bit
-value of their words; each group sends one record per value with its first document, and gets back one bit: whether
+XXH3 digest of their words' own bytes; each group sends one record per value with its first document, and gets back one bit: whether
 another group has an earlier one. The last pass removes words.
 
 Sketch and records are sharded over the cluster and grow with the corpus, so the share of windows estimated repeated by
@@ -12,8 +12,9 @@ chance stays the same at every size; nothing is broadcast or collected. A passag
 one record per group of documents, not per document.
 
 A window belongs to one document; windows of a document do not count against itself. A null text is empty: no words.
-A null doc_id counts as larger than any other and is earlier than none; rows that share a doc_id are no duplicates of
-each other. Texts of fewer words than a window keep everything.
+A null doc_id counts as the largest number there is, and so is earlier than none; rows that share a doc_id are no duplicates of
+each other. Texts of fewer words than a window keep everything; very long ones are one document of their group. An
+empty table gives no rows, and other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ CELLS_PER_WINDOW = 8
 #: Windows that a block of cells, or a bucket of records, gets on average.
 BLOCK_WINDOWS = 1_500_000
 NO_ID = np.int64(2**63 - 1)
-REMEMBERED = 2_000_000
+#: Words of up to LONGEST bytes whose hashes a worker remembers before it starts anew.
+REMEMBERED, LONGEST = 1_000_000, 64
 
 
 class _Hashes(dict):
@@ -42,12 +44,15 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = h
         return h
 
 
+#: One a Python worker, which serves one task at a time.
 _hashes = _Hashes()
 
 
@@ -55,9 +60,11 @@ class Group:
     """The windows of one group of documents, in an order that depends on ids and texts only."""
 
     def __init__(self, docs: pa.Table, window: int = WINDOW):
-        ids = [NO_ID if i is None else i for i in docs.column("doc_id").to_pylist()]
+        names = docs.column("doc_id").to_pylist()
+        ids = [NO_ID if i is None else i for i in names]
         texts = [t or "" for t in docs.column("text").to_pylist()]
-        self.order = sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
+        self.window, self.order = window, sorted(range(len(ids)), key=lambda k: (ids[k], texts[k]))
+        self.names = [names[k] for k in self.order]
         self.ids = np.array([ids[k] for k in self.order], np.int64)
         self.words = [texts[k].encode().split() for k in self.order]
         counts = np.array([len(w) for w in self.words], np.int64)
@@ -68,11 +75,26 @@ class Group:
         self.doc = np.repeat(np.arange(len(counts)), n)
         self.at = np.arange(len(self.doc)) + np.repeat(self.first[:-1] - (np.cumsum(n) - n), n)  # first word of each window
         self.h1 = mix(rolling(h, window)[self.at]) if len(self.at) else h[:0]
-        self.h2 = mix(rolling(mix(h, 1), window, 0xD6E8FEB86659FD93)[self.at], 2) if len(self.at) else h[:0]
 
     def cells(self, row: int, width: int) -> np.ndarray:
         return mix(self.h1, row + 3) % np.uint64(width)
 
+    def digests(self, windows: np.ndarray) -> np.ndarray:
+        """The two halves of the digest of some windows' words, joined by blanks."""
+        import xxhash
+
+        digest, out = xxhash.xxh3_128_digest, []
+        doc, at = self.doc[windows], self.at[windows]
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)])).tolist() if len(doc) else [0]
+        for a, b in zip(edges, edges[1:]):  # windows come by document
+            words = self.words[doc[a]]
+            line = b" ".join(words)
+            ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+            first = at[a:b] - self.first[doc[a]]
+            starts = np.where(first > 0, ends[first - 1] + 1, 0)
+            out += [digest(line[x:y]) for x, y in zip(starts.tolist(), ends[first + self.window - 1].tolist())]
+        return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+
 
 def _sketch(window: int, depth: int, width: int, block: int):
     """A row per (sketch row, block): this group's cells, and which of them several of its documents touch."""
@@ -131,7 +153,8 @@ class Records:
 
     def __init__(self, group: Group, flags: np.ndarray, buckets: int):
         self.windows = np.flatnonzero(flags)
-        h1, h2, ids = group.h1[self.windows], group.h2[self.windows], group.ids[group.doc[self.windows]]
+        halves, ids = group.digests(self.windows), group.ids[group.doc[self.windows]]
+        h1, h2 = halves[:, 0], halves[:, 1]
         bucket = h1 % np.uint64(buckets)
         order = np.lexsort((ids, h2, h1, bucket))
         self.windows, h1, h2, ids, bucket = self.windows[order], h1[order], h2[order], ids[order], bucket[order]
@@ -189,8 +212,7 @@ def _remove(window: int, depth: int, width: int, block: int, buckets: int, texts
             flags = gone[group.first[k] : group.first[k + 1]]
             n = int(flags.sum())
             kept = b" ".join([w for w, f in zip(words, flags.tolist()) if not f] if n else words)
-            doc = None if group.ids[k] == NO_ID else int(group.ids[k])
-            for to, x in zip(out, (doc, len(words), n, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None)):
+            for to, x in zip(out, (group.names[k], len(words), n, hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None)):
                 to.append(x)
         return rows(out, schema)
 

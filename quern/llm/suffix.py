@@ -4,7 +4,12 @@ Sharding. A string of `length` bytes is named by the least hash among its 32-byt
 Consecutive starts with one name make a segment: its text runs from the first start to the last one's end. Segments part
 a document's starts. A sketch, merged in blocks over all groups of documents, tells each group which names several
 segments have, or one that repeats itself; only those segments go on, each distinct text of a group once, to the shard of their name. Every two equal
-strings meet in one shard, and a passage that a third of all documents share arrives once per group of documents.
+strings meet in one shard, and the inside of a passage that a third of all documents share arrives once per group of documents.
+
+Hot names. Where a common passage begins or ends, a segment holds some of its document's own text too, so one name has a
+distinct segment per document. The sketch also adds up distinct segments, and of names with more than HOT_SEGMENTS
+the strings go on one by one, as the 128-bit digest of their bytes with the first owner in the group, dealt by the digest; the
+earliest owner of each is found by sorting. So neither a shard nor a bucket grows with the number of documents that share a passage.
 
 In a shard, equal segments collapse to their earliest owner, and the distinct ones, in the order of their owners, are joined
 with separators. Suffixes are sorted by their first `length` symbols (prefix doubling stops there), which gives the transform.
@@ -14,8 +19,9 @@ part after exactly |w| symbols, and an end seen before is not walked again. So c
 value, and the walk stops at `length`: suffixes never parted share at least that much. Of each such class all but the
 earliest start are repeats. Groups get one bit per start back and remove the covered bytes.
 
-A null text is empty. A null doc_id comes after all others; rows that share an id are ordered by the hash of their text,
-and equal rows count as copies of one another. Texts shorter than `length` keep everything.
+A null text is empty. A null doc_id counts as the largest number there is; rows that share an id are ordered by the hash of their
+text, and equal rows count as copies of one another. Texts shorter than `length` keep everything; very long ones are one
+document of their group. An empty table gives no rows, and other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,8 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .shared import GROUP_BYTES, bits_of, covered, grouped, mix, pack_cells, rolling, rows, spans_of, stage
-from .substring import NO_ID, RECORDS, REPLY, _merge_cells, _repeated
+from .shared import GROUP_BYTES, bits_of, covered, grouped, mix, pack_cells, rolling, rows, spans_of, stage, unpack_cells
+from .substring import NO_ID, RECORDS, REPLY, _repeated
 
 LENGTH = 100
 GRAM = 32
@@ -38,6 +44,10 @@ SEGMENT_BYTES = 30
 BLOCK_SEGMENTS = 500_000
 #: Corpus bytes for each shard of segments.
 SHARD_BYTES = 4_000_000
+#: Distinct segments of one name from which its strings are told apart one by one.
+HOT_SEGMENTS = 1500
+#: Added to the row of a sketch reply: which of the cells are hot.
+HOT = 1000
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 
@@ -59,10 +69,12 @@ class Pieces:
         """inner: also tell which segments may repeat themselves, which only the sketch asks."""
         import xxhash
 
-        ids = [NO_ID if i is None else i for i in docs.column("doc_id").to_pylist()]
+        names = docs.column("doc_id").to_pylist()
+        ids = [NO_ID if i is None else i for i in names]
         texts = [(t or "").encode() for t in docs.column("text").to_pylist()]
         marks = [xxhash.xxh64_intdigest(t) for t in texts]
         order = sorted(range(len(ids)), key=lambda k: (ids[k], marks[k]))
+        self.names = [names[k] for k in order]
         self.ids, self.marks = np.array([ids[k] for k in order], np.int64), np.array([marks[k] for k in order], np.uint64)
         self.data = b"".join([texts[k] for k in order])
         self.first = np.concatenate(([0], np.cumsum([len(texts[k]) for k in order], dtype=np.int64)))
@@ -97,11 +109,26 @@ class Pieces:
     def cells(self, row: int, width: int) -> np.ndarray:
         return mix(self.h1, row + 3) % np.uint64(width)
 
-    def candidates(self, flags: np.ndarray, shards: int) -> None:
-        """Flagged segments: `rep` has those that come first with their text in this group, by shard; `copies` the others."""
+    def distinct(self, cell: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of each cell the segments of distinct texts, given those of all segments, which only matter where there are many."""
+        counts = np.minimum(counts, 65535).astype(np.uint16)
+        many = np.flatnonzero(counts[cell] > 8)
+        texts: dict[int, set[bytes]] = {}
+        for c, a, b in zip(cell[many].tolist(), self.lo[many].tolist(), self.hi[many].tolist()):
+            texts.setdefault(c, set()).add(self.data[a : b + self.length])
+        for c, found in texts.items():
+            counts[c] = min(len(found), 65535)
+        return counts
+
+    def candidates(self, flags: np.ndarray, hot: np.ndarray, shards: int) -> None:
+        """Flagged segments: `rep` has those that come first with their text in this group, by shard; `copies` the others.
+        Of hot ones `strings` has the starts, each with its digest (two halves), by bucket, and `head` those that come first."""
+        import xxhash
+
         seen: set[bytes] = set()
         rep, copies, texts, data, length = [], [], [], self.data, self.length
-        for k, a, b in zip(np.flatnonzero(flags).tolist(), self.lo[flags].tolist(), self.hi[flags].tolist()):
+        some = flags & ~hot
+        for k, a, b in zip(np.flatnonzero(some).tolist(), self.lo[some].tolist(), self.hi[some].tolist()):
             text = data[a : b + length]
             if text in seen:
                 copies.append(k)
@@ -113,6 +140,25 @@ class Pieces:
         order = np.argsort(shard, kind="stable")
         self.rep, self.copies, self.texts = np.array(rep, np.int64)[order], np.array(copies, np.int64), [texts[k] for k in order]
         self.shard = shard[order]
+        at = self.starts(np.flatnonzero(flags & hot))
+        digest = xxhash.xxh3_128_digest
+        halves = np.frombuffer(b"".join([digest(data[a : a + length]) for a in at.tolist()]), np.uint64).reshape(-1, 2)
+        bucket = (halves[:, 0] % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((at, halves[:, 1], halves[:, 0], bucket))
+        self.strings, self.halves, self.bucket = at[order], halves[order], bucket[order]
+        self.head = np.ones(len(order), bool)
+        self.head[1:] = (self.halves[1:] != self.halves[:-1]).any(axis=1)
+
+    def starts(self, segments: np.ndarray) -> np.ndarray:
+        """All starts of some segments, one segment after another."""
+        lo, n = self.lo[segments], (self.hi - self.lo + 1)[segments]
+        return np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+
+    def buckets(self):
+        """(bucket, from, to) among the strings that come first in this group."""
+        bucket = self.bucket[self.head]
+        cuts = (np.flatnonzero(np.diff(bucket)) + 1).tolist()
+        return [(int(bucket[a]), a, b) for a, b in zip([0, *cuts], [*cuts, len(bucket)]) if b > a]
 
     def parts(self):
         cuts = (np.flatnonzero(np.diff(self.shard)) + 1).tolist()
@@ -217,56 +263,112 @@ def repeats(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     return [again[a : a + n - length + 1] for a, n in zip(starts.tolist(), sizes.tolist())]
 
 
+_SKETCH = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("g", pa.int32()), ("cells", pa.binary()), ("several", pa.binary()), ("counts", pa.binary())])
+
+
 def _sketch(length: int, depth: int, width: int, block: int):
-    schema = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("g", pa.int32()), ("cells", pa.binary()), ("several", pa.binary())])
+    """A row per (sketch row, block): this group's cells, which of them have several segments or one that repeats itself, and
+    how many distinct ones those have."""
 
     def run(key, docs):
         pieces = Pieces(docs, length, inner=True)
-        out: list[list] = [[] for _ in range(5)]
+        out: list[list] = [[] for _ in _SKETCH]
         for row in range(depth):
             cells, back, counts = np.unique(pieces.cells(row, width), return_inverse=True, return_counts=True)
             several = counts > 1
             several[back[pieces.inner]] = True
+            counts = pieces.distinct(back, counts)
             blocks = (cells // np.uint64(block)).astype(np.int64)
             cuts = (np.flatnonzero(np.diff(blocks)) + 1).tolist()
             for a, b in zip([0, *cuts], [*cuts, len(cells)]):
                 if b > a:
-                    for to, x in zip(out, (row, int(blocks[a]), key[0].as_py(), pack_cells(cells[a:b] - np.uint64(int(blocks[a]) * block)), np.packbits(several[a:b]).tobytes())):
+                    packed = pack_cells(cells[a:b] - np.uint64(int(blocks[a]) * block))
+                    for to, x in zip(out, (row, int(blocks[a]), key[0].as_py(), packed, np.packbits(several[a:b]).tobytes(), counts[a:b][several[a:b]].tobytes())):
                         to.append(x)
-        return rows(out, schema)
+        return rows(out, _SKETCH)
+
+    return run
+
+
+def _merge_names(hot_segments: int):
+    """One block of one sketch row, of all groups: for each group, which of its cells are repeated, and which are hot."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [unpack_cells(x.as_py()) for x in table.column("cells")]
+        several = [bits_of(x.as_py(), len(p)) for x, p in zip(table.column("several"), parts)]
+        cells, flags = np.concatenate(parts), np.concatenate(several)
+        counts = np.ones(len(cells), np.int64)
+        counts[flags] = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in table.column("counts")])
+        _, back = np.unique(cells, return_inverse=True)
+        repeated = (np.bincount(back) > 1) | (np.bincount(back, flags) > 0)
+        hot = np.bincount(back, counts) > hot_segments
+        out: list[list] = [[], [], [], []]
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        for g, row, block, a, b in zip(*(table.column(c).to_pylist() for c in ("g", "row", "block")), np.split(repeated[back], cuts), np.split(hot[back], cuts)):
+            for kind, bits in ((row, a), (row + HOT, b)):
+                if kind < HOT or bits.any():
+                    for to, x in zip(out, (g, kind, block, np.packbits(bits).tobytes())):
+                        to.append(x)
+        return rows(out, REPLY)
 
     return run
 
 
+def _candidates(pieces: Pieces, said: list[dict], depth: int, width: int, block: int, shards: int) -> None:
+    flags = _repeated(pieces, said, depth, width, block)
+    warm = [{**r, "row": r["row"] - HOT} for r in said if r["row"] >= HOT]
+    hot = _repeated(pieces, warm, depth, width, block) if warm else np.zeros(len(flags), bool)
+    pieces.candidates(flags, hot, shards)
+
+
+_FOUND = pa.schema([("shard", pa.int32()), ("g", pa.int32()), *((c, pa.binary()) for c in ("sizes", "ids", "marks", "lo", "texts"))])
+
+
 def _segments(length: int, depth: int, width: int, block: int, shards: int):
-    names = ("shard", "g", "sizes", "ids", "marks", "lo", "texts")
-    schema = pa.schema([(c, pa.int32() if c in ("shard", "g") else pa.binary()) for c in names])
+    """Rows for shards of segments (0 .. shards - 1), and for buckets of hot strings behind them, whose texts are digests."""
 
     def run(key, docs, replies):
         p = Pieces(docs, length)
-        p.candidates(_repeated(p, replies.to_pylist(), depth, width, block), shards)
-        out: list[list] = [[] for _ in names]
-        for shard, a, b in p.parts():
-            rep, texts = p.rep[a:b], p.texts[a:b]
-            doc = p.doc[rep]
-            sizes = np.array([len(t) for t in texts], np.uint32)
-            for to, x in zip(out, (shard, key[0].as_py(), sizes.tobytes(), p.ids[doc].tobytes(), p.marks[doc].tobytes(), (p.lo[rep] - p.first[doc]).tobytes(), b"".join(texts))):
+        _candidates(p, replies.to_pylist(), depth, width, block, shards)
+        out: list[list] = [[] for _ in _FOUND]
+
+        def add(shard, sizes, start, texts):
+            doc = np.searchsorted(p.first, start, "right") - 1
+            for to, x in zip(out, (shard, key[0].as_py(), sizes, p.ids[doc].tobytes(), p.marks[doc].tobytes(), (start - p.first[doc]).tobytes(), texts)):
                 to.append(x)
-        return rows(out, schema)
+
+        for shard, a, b in p.parts():
+            texts = p.texts[a:b]
+            add(shard, np.array([len(t) for t in texts], np.uint32).tobytes(), p.lo[p.rep[a:b]], b"".join(texts))
+        first, halves = p.strings[p.head], p.halves[p.head]
+        for bucket, a, b in p.buckets():
+            add(shards + bucket, b"", first[a:b], halves[a:b].tobytes())
+        return rows(out, _FOUND)
 
     return run
 
 
-def _shard(length: int):
+def _shard(length: int, shards: int):
     def run(table: pa.Table) -> pa.Table:
-        per = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("sizes")]
         ids, marks, lo = (np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(c)]) for c, kind in (("ids", np.int64), ("marks", np.uint64), ("lo", np.int64)))
+        g, shard = (table.column(c).to_pylist() for c in ("g", "shard"))
+        if shard[0] >= shards:
+            halves = [np.frombuffer(x.as_py(), np.uint64).reshape(-1, 2) for x in table.column("texts")]
+            sizes, halves = [len(x) for x in halves], np.concatenate(halves)
+            group = np.repeat(g, sizes)  # equal rows of one id in several groups: the least group is first
+            order = np.lexsort((group, lo, marks, ids, halves[:, 1], halves[:, 0]))
+            again = np.zeros(len(order), bool)
+            again[order[1:]] = (halves[order][1:] == halves[order][:-1]).all(axis=1)
+            bits = [np.packbits(x).tobytes() for x in np.split(again, np.cumsum(sizes)[:-1])]
+            return rows([g, [RECORDS] * len(sizes), shard, bits], REPLY)
+        per = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("sizes")]
         texts = []
         for sizes, data in zip(per, table.column("texts")):
             data, ends = data.as_py(), np.cumsum(sizes, dtype=np.int64)
             texts += [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+        group = np.repeat(g, [len(x) for x in per])
         owner: dict[bytes, int] = {}
-        for k in np.lexsort((lo, marks, ids)).tolist():
+        for k in np.lexsort((group, lo, marks, ids)).tolist():
             owner.setdefault(texts[k], k)
         flags = dict(zip(owner.values(), repeats(list(owner), length)))
         bits, at = [], 0
@@ -274,7 +376,7 @@ def _shard(length: int):
             own = [flags[k] if k in flags else np.ones(len(texts[k]) - length + 1, bool) for k in range(at, at + len(sizes))]
             bits.append(np.packbits(np.concatenate(own)).tobytes())
             at += len(sizes)
-        return rows([table.column("g").to_pylist(), [RECORDS] * len(per), table.column("shard").to_pylist(), bits], REPLY)
+        return rows([g, [RECORDS] * len(per), shard, bits], REPLY)
 
     return run
 
@@ -284,15 +386,15 @@ def _remove(length: int, depth: int, width: int, block: int, shards: int, texts:
 
     def run(key, docs, replies):
         p, said = Pieces(docs, length), replies.to_pylist()
-        p.candidates(_repeated(p, said, depth, width, block), shards)
+        _candidates(p, said, depth, width, block, shards)
         answer = {x["block"]: x["bits"] for x in said if x["row"] == RECORDS}
-        hit = [np.zeros(0, np.int64)]
+        hit = [p.strings[~p.head], p.starts(p.copies)]
         for shard, a, b in p.parts():
-            lo, n = p.lo[p.rep[a:b]], (p.hi - p.lo + 1)[p.rep[a:b]]
-            starts = np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n)
+            starts = p.starts(p.rep[a:b])
             hit.append(starts[bits_of(answer[shard], len(starts))])
-        lo, n = p.lo[p.copies], (p.hi - p.lo + 1)[p.copies]
-        hit.append(np.arange(int(n.sum())) + np.repeat(lo - (np.cumsum(n) - n), n))
+        first = p.strings[p.head]
+        for bucket, a, b in p.buckets():
+            hit.append(first[a:b][bits_of(answer[shards + bucket], b - a)])
         gone = covered(np.concatenate(hit), length, len(p.data))
         data = np.frombuffer(p.data, np.uint8)
         out: list[list] = [[] for _ in schema]
@@ -300,15 +402,14 @@ def _remove(length: int, depth: int, width: int, block: int, shards: int, texts:
             flags = gone[a:b]
             n = int(flags.sum())
             kept = data[a:b][~flags].tobytes() if n else p.data[a:b]
-            doc = None if p.ids[k] == NO_ID else int(p.ids[k])
-            for to, x in zip(out, (doc, b - a, n, len(spans_of(flags)[0]) if n else 0, hashlib.sha256(kept).hexdigest(), kept if texts else None)):
+            for to, x in zip(out, (p.names[k], b - a, n, len(spans_of(flags)[0]) if n else 0, hashlib.sha256(kept).hexdigest(), kept if texts else None)):
                 to.append(x)
         return rows(out, schema)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, texts: bool = True, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of (doc_id, text): without each byte that a string of
     `length` bytes covers which also starts earlier, in a smaller doc_id or before in the same document. `kept` has the
     bytes that stay (null if not texts)."""
@@ -319,10 +420,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, gr
     shards = max(64, -(-size // SHARD_BYTES))
     shape = (length, depth, width, block)
     reply = "g int, row int, block int, bits binary"
-    sketch = base.groupBy("g").applyInArrow(_sketch(*shape), "row int, block int, g int, cells binary, several binary")
-    cells = stage(sketch.groupBy("row", "block").applyInArrow(_merge_cells, reply), "names")
+    sketch = base.groupBy("g").applyInArrow(_sketch(*shape), "row int, block int, g int, cells binary, several binary, counts binary")
+    cells = stage(sketch.groupBy("row", "block").applyInArrow(_merge_names(hot_segments), reply), "names")
     found = base.groupBy("g").cogroup(cells.groupBy("g")).applyInArrow(_segments(*shape, shards), "shard int, g int, sizes binary, ids binary, marks binary, lo binary, texts binary")
-    answers = found.groupBy("shard").applyInArrow(_shard(length), reply)
+    answers = found.groupBy("shard").applyInArrow(_shard(length, shards), reply)
     return base.groupBy("g").cogroup(cells.unionByName(answers).groupBy("g")).applyInArrow(
         _remove(*shape, shards, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )

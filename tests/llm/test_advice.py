@@ -10,7 +10,7 @@ import pytest
 
 pytest.importorskip("quern.llm")
 import corpus_pipeline  # noqa: E402
-from quern.llm import minhash, queries, secrets, urls  # noqa: E402
+from quern.llm import minhash, queries, secrets, simhash, urls  # noqa: E402
 
 
 def kept_by_definition(rows):
@@ -43,9 +43,9 @@ def test_near_dedup_by_shingle_similarity(spark, sf):
             copy[at] = f"x{draw.randrange(10**6)}"
         rows.append((k + 200, " ".join(copy)))
     rows += [(1, ""), (2, None), (3, "Short text"), (4, "short  TEXT"), (5, "other")]
-    got = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc_id"] for r in got.collect()} == kept_by_definition(rows)
-    assert minhash.keep_one(docs.where("false")).count() == 0
+    assert simhash.keep_one(docs.where("false")).count() == 0
 
 
 RELATIVE = ["page2.html", "../x", "?p=1", "./y/../z?q=/../r", "..", ".", "../../../up", "/abs/./w", "//other.org/v", "a:b", "HTTP://Far.org/a", "#top", "?u=http://far.org/b", "sub/"]
