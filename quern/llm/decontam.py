@@ -2,15 +2,15 @@
 
 The test items' word n-grams become a hash set that every executor holds; one narrow scan of the corpus looks up each
 window, verifies hits word by word, and removes spans or documents. The set is only broadcast while its items are below a
-byte bound; a larger test set is cut into blocks below it, each scanned the same way, and the blocks' hits are merged.
+byte bound; a larger test set is cut into blocks of about that size, each scanned the same way, and the blocks' hits are merged.
 
 Nulls and texts without words have no windows: nothing in them is hit, and such items never occur. A null item_id cannot be
-named: its item marks hits and counts, but is left out of the list of ids. Null or repeated doc_ids pass through as rows.
+named: its item marks hits and counts, but is left out of the list of ids; equal items count once. Null or repeated doc_ids pass
+through as rows, an empty table gives no rows, and a very long text is one row's arrays. decontaminate keeps all columns.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import covered, mix, rolling, spans_of, stage
+from .shared import covered, fresh, mix, rolling, spans_of, stage
 
 #: Consecutive words of a window.
 WINDOW = 10
-#: Bytes of test items in one broadcast block.
-BLOCK_BYTES = 64_000_000
+#: Bytes of test items' texts in one broadcast block. What is built of them takes up to about ten times as much: 20 bytes a window
+#: and a dictionary of the distinct words.
+BLOCK_BYTES = 8_000_000
+
+#: Windows compared at once when the set is built.
+CHUNK = 100_000
 
 # Word characters are digits, letters and everything from U+0080 on; A-Z are lowered.
 _CLASSES = bytes(b if b >= 128 or 48 <= b < 58 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
@@ -34,22 +38,41 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Ngrams:
-    """Windows of the test items: their words numbered, windows by length as a hash set with the words to verify."""
+    """Windows of the test items, in arrays: `line` has all items' words as numbers; for each length of window, hashes in order,
+    where in `line` the window of each begins, and where in `owners` the items that have it begin."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         self.ids: dict[bytes, int] = {}
         self.names = [i for i, _ in items]
-        owners: dict[tuple, set[int]] = defaultdict(set)
-        for k, (_, text) in enumerate(items):
-            w = [self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text)]
-            for a in range(max(1, len(w) - window + 1) if w else 0):
-                owners[tuple(w[a : a + window])].add(k)
+        parts = [np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in words_of(text)], np.uint64) for _, text in items]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        first = np.cumsum(sizes) - sizes
+        self.line = np.concatenate([*parts, np.zeros(0, np.uint64)])
+        hashed = mix(self.line)
         self.by_length = {}
-        for n in sorted({len(k) for k in owners}):
-            keys = np.array([k for k in owners if len(k) == n], np.uint64)
-            hashes = mix(rolling(mix(keys).ravel(), n)[::n])
-            order = np.argsort(hashes, kind="stable")
-            self.by_length[n] = hashes[order], keys[order], [sorted(owners[tuple(int(x) for x in keys[i])]) for i in order]
+        for n in sorted({min(int(k), window) for k in sizes if k}):
+            who = np.flatnonzero(sizes >= n if n == window else sizes == n)
+            count = sizes[who] - n + 1
+            at = np.arange(int(count.sum())) + np.repeat(first[who] - (np.cumsum(count) - count), count)
+            owner = np.repeat(who, count)
+            h = mix(rolling(hashed, n)[at])
+            order = np.lexsort((owner, h))
+            h, at, owner = h[order], at[order], owner[order]
+            head = np.ones(len(h), bool)
+            head[1:] = h[1:] != h[:-1]
+            lead = at[head][np.cumsum(head) - 1]
+            for a in range(0, len(at), CHUNK):
+                b = a + CHUNK
+                for k in a + np.flatnonzero((self._words(at[a:b], n) != self._words(lead[a:b], n)).any(axis=1)):  # hashes collide: a group each
+                    head[k : k + 2] = True
+            twin = np.zeros(len(h), bool)
+            twin[1:] = ~head[1:] & (owner[1:] == owner[:-1])  # an item that has a window twice
+            keep = head | ~twin
+            group = np.flatnonzero(head[keep])
+            self.by_length[n] = h[head], at[head], np.append(group, int(keep.sum())), owner[keep].astype(np.int32)
+
+    def _words(self, at: np.ndarray, n: int) -> np.ndarray:
+        return self.line[at[:, None] + np.arange(n)]
 
     def hits(self, numbers: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """Flags of a document's words that an occurring window covers, and the items that have one. 0: a word of no item."""
@@ -59,20 +82,22 @@ class Ngrams:
             return flags, items
         hashed = mix(numbers)
         upto = np.concatenate(([0], np.cumsum(known)))
-        for n, (hashes, keys, owners) in self.by_length.items():
+        for n, (hashes, at, first, owners) in self.by_length.items():
             starts = np.flatnonzero(upto[n:] - upto[:-n] == n) if len(numbers) >= n else upto[:0]
             if not len(starts):
                 continue
             h = mix(rolling(hashed, n)[starts])
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             found = []
-            for s, a, b in zip(starts[low < high], low[low < high], high[low < high]):
-                for k in range(a, b):  # more than one only where hashes collide
-                    if (keys[k] == numbers[s : s + n]).all():
-                        found.append(s)
-                        items.update(owners[k])
+            while (some := low < high).any():  # more than one round only where hashes collide
+                starts, low, high = starts[some], low[some], high[some]
+                same = (self._words(at[low], n) == numbers[starts[:, None] + np.arange(n)]).all(axis=1)
+                found.append(starts[same])
+                for k in np.unique(low[same]).tolist():
+                    items.update(owners[first[k] : first[k + 1]].tolist())
+                low = low + 1
             if found:
-                flags |= covered(np.array(found), n, len(numbers))
+                flags |= covered(np.concatenate(found), n, len(numbers))
         return flags, items
 
 
@@ -87,7 +112,7 @@ SCAN = "doc_id long, text string, n_words long, spans array<struct<s:long,e:long
 
 def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[Ngrams, bool]]:
     """The test items' windows, in blocks whose size is known to be below the bound before they are collected; True with the last."""
-    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for k in range(blocks):
@@ -152,27 +177,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, remove: str = "documents",
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    names, now = docs.columns, docs.withColumn(CUTS, F.expr("cast(array() as array<struct<s:long,e:long>>)"))
+    names, (mark,) = docs.columns, fresh(docs, "cuts")
+    now = docs.withColumn(mark, F.expr("cast(array() as array<struct<s:long,e:long>>)"))
     for k, (grams, _) in enumerate(_blocks(items, window, block_bytes)):
-        now = _mark(stage(now, "decontam") if k else now, grams)
+        now = _mark(stage(now, "decontam") if k else now, grams, mark)
     if remove == "documents":
-        return now.where(F.size(CUTS) == 0).select(*names)
+        return now.where(F.size(mark) == 0).select(*names)
     # the spans of several blocks may overlap: a cut begins where the text kept so far ends, at the least
     raw = "encode(text, 'utf-8')"
     kept = F.expr(
-        f"decode(aggregate(array_sort({CUTS}), named_struct('at', 1L, 'out', cast('' as binary)), "
+        f"decode(aggregate(array_sort({mark}), named_struct('at', 1L, 'out', cast('' as binary)), "
         f"(acc, x) -> named_struct('at', greatest(acc.at, x.e + 1L), 'out', concat(acc.out, substring({raw}, cast(acc.at as int), cast(greatest(0L, x.s + 1 - acc.at) as int)))), "
         f"acc -> concat(acc.out, substring({raw}, cast(acc.at as int), length({raw})))), 'utf-8')"
     )
-    out = now.withColumn("text", F.when(F.size(CUTS) > 0, kept).otherwise(F.col("text"))).select(*names)
+    out = now.withColumn("text", F.when(F.size(mark) > 0, kept).otherwise(F.col("text"))).select(*names)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
-#: A column of byte spans to cut, only there inside decontaminate().
-CUTS = "__quern_cuts"
-
-
-def _mark(docs: DataFrame, grams: Ngrams) -> DataFrame:
+def _mark(docs: DataFrame, grams: Ngrams, out: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(grams)
 
     @F.pandas_udf("array<struct<s:long,e:long>>")
@@ -196,4 +218,4 @@ def _mark(docs: DataFrame, grams: Ngrams) -> DataFrame:
 
         return pd.Series([one(t) for t in texts], dtype=object)
 
-    return docs.withColumn(CUTS, F.concat(CUTS, cuts(F.col("text").cast("string"))))
+    return docs.withColumn(out, F.concat(out, cuts(F.col("text").cast("string"))))

@@ -9,10 +9,16 @@ cross-entropy per character wins.
 
 Rejection is calibrated on part of the sample that the counts leave out: a language's cross-entropies have a mean and a
 variance that falls with a text's length; a text is rejected whose distance from its own language's mean exceeds the
-largest one met there by a margin, which is the case for what is no language but not for clean text.
+largest one met there by a margin, which is the case for what is no language but not for clean text. A language of fewer than
+2 * CALIBRATE sampled rows leaves none out, and one with fewer than LEAST texts left out takes the median mean and
+variance of the others; where no language has as many, nothing is rejected but texts without a letter.
+
+The sample is bounded: SAMPLE_ROWS rows a language, of a row's text SAMPLE_CHARS characters, LANGUAGES languages. Only counts of
+n-grams, which follow from that, and a few numbers for each row left out reach the driver. Predictions read whole texts.
 
 Null texts and texts without a letter are `und`, rejected, score 0. Without any labelled row everything is `und`. Null
-langs are not learned from; rows with a null doc_id neither, and count as not held out. Repeated rows pass through.
+langs are not learned from; rows with a null doc_id neither, and count as not held out. Of languages at the same
+cross-entropy the first by name wins. Repeated rows pass through, an empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -26,13 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import mix, rolling
+from .shared import fresh, mix, rolling
 
 ORDER = 4
-#: Labelled rows of each language in the sample: those with the least hash of their id. One in CALIBRATE is left out of the counts.
+#: Labelled rows of each language in the sample: those with the least hash of id and text, equal rows once. One in CALIBRATE is left out of the counts.
 SAMPLE_ROWS = 600
 CALIBRATE = 4
 OVERSAMPLE = 1.5
+#: Characters of a sampled row's text that are learned from; languages that one model may have, more are an error.
+SAMPLE_CHARS, LANGUAGES = 50_000, 1000
+#: Texts left out that a mean and a variance of a language's own take.
+LEAST = 5
 #: Times the largest distance met in calibration.
 MARGIN = 2.0
 #: Characters read at once.
@@ -174,21 +184,28 @@ class Model:
             a = b
         return ce, n
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
+    def own_entropies(self, texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text its language's number (-1: not learned), its cross-entropy there, and the characters."""
         ce, n = self.entropies(texts)
         own = np.array([self.names.index(x) if x in self.names else -1 for x in langs], np.int64)
+        return own, ce[np.arange(len(own)), np.maximum(own, 0)], n
+
+    def calibrate(self, own: np.ndarray, own_ce: np.ndarray, n: np.ndarray) -> None:
         ok = (own >= 0) & (n > 0)
-        own_ce = ce[np.arange(len(own)), np.maximum(own, 0)]
-        worst = 0.0
-        for j in range(len(self.names)):
-            at = ok & (own == j)
-            if at.sum() < 5:
-                self.var[j], self.mean[j] = np.inf, 0
-                continue
+        own, own_ce, n = own[ok], own_ce[ok], n[ok]
+        sizes = np.bincount(own, minlength=len(self.names))
+        sure = np.flatnonzero(sizes >= LEAST)
+        if not len(sure):
+            return
+        for j in sure:
+            at = own == j
             self.mean[j] = np.median(own_ce[at])
             # spread = a text's own plus that of its length
             self.var[j] = np.mean((own_ce[at] - self.mean[j]) ** 2 / self._widen(n[at]))
-            worst = max(worst, float(np.max((own_ce[at] - self.mean[j]) / np.sqrt(self.var[j] * self._widen(n[at])), initial=0)))
+        others = sizes < LEAST
+        self.mean[others], self.var[others] = np.median(self.mean[sure]), np.median(self.var[sure])
+        far = (own_ce - self.mean[own]) / np.sqrt(np.maximum(self.var[own], 1e-12) * self._widen(n))
+        worst = float(np.max(far[sizes[own] >= LEAST], initial=0))
         self.limit = MARGIN * worst if worst else np.inf
 
     @staticmethod
@@ -202,7 +219,7 @@ class Model:
         best = ce.argmin(axis=1)
         least = ce[np.arange(len(best)), best]
         score = 1 / np.exp(-SHARPNESS * (ce - least[:, None])).sum(axis=1)
-        far = (least - self.mean[best]) / np.sqrt(self.var[best] * self._widen(n))
+        far = (least - self.mean[best]) / np.sqrt(np.maximum(self.var[best], 1e-12) * self._widen(n))
         none = n == 0
         return pd.DataFrame({
             "lang_pred": np.where(none, "und", np.array(self.names, object)[best]),
@@ -219,35 +236,47 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from (doc_id, text, lang) of rows that are not held out: sample_rows of each language, whatever the table's size.
 
-    The sample's bound in hash is found per language first, from counts; then the
-    sampled texts' n-grams are counted where they are, and only counts and calibration texts reach the driver.
+    The sample's bound in hash is found per language first, from counts; then the sampled texts' n-grams are counted, and the
+    texts left out scored, where they are.
     """
+    nothing = Model(pd.DataFrame({"lang": [], "gram": [], "n": []}))
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), F.lit(5)).alias("h"), F.col("text").cast("string").alias("text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(5)).alias("h"), F.col("text").cast("string").alias("text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()  # a row per language
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not counts:
-        return Model(pd.DataFrame({"lang": [], "gram": [], "n": []}))
+        return nothing
     # Hashes are uniform: this share of their range holds about OVERSAMPLE times the rows wanted, so the exact bound is
     # looked for among few rows, whatever the size of a language.
     share = {r["lang"]: min(1.0, OVERSAMPLE * sample_rows / r["n"]) for r in counts}
-    reach = F.create_map(*[x for lang, f in share.items() for x in (F.lit(lang), F.lit(min(int(f * 2**64) - 2**63, 2**63 - 1)))])
+    of = lambda values: F.create_map(*[x for lang, v in values.items() for x in (F.lit(lang), F.lit(v))])[F.col("lang")]
     order = Window.partitionBy("lang").orderBy("h")
-    few = rows.select("lang", "h").where(F.col("h") <= reach[F.col("lang")])
-    bounds = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).groupBy("lang").agg(F.max("h").alias("most")).collect()
+    few = rows.select("lang", "h").where(F.col("h") <= of({lang: min(int(f * 2**64) - 2**63, 2**63 - 1) for lang, f in share.items()})).distinct()
+    bounds = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).groupBy("lang").agg(F.max("h").alias("most"), F.count("*").alias("n")).collect()
     if not bounds:
-        return Model(pd.DataFrame({"lang": [], "gram": [], "n": []}))
-    most = F.create_map(*[x for r in bounds for x in (F.lit(r["lang"]), F.lit(r["most"]))])
-    sample = rows.where(F.col("h") <= most[F.col("lang")])
-    aside = F.pmod(F.xxhash64("h"), F.lit(CALIBRATE)) == 0
+        return nothing
+    sample = rows.where(F.col("h") <= of({r["lang"]: r["most"] for r in bounds})).dropDuplicates(["lang", "h"]).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    spare = {r["lang"]: r["n"] >= 2 * CALIBRATE for r in bounds}
+    aside = of(spare) & (F.pmod(F.xxhash64("h"), F.lit(CALIBRATE)) == 0)
     grams = (
         sample.where(~aside).select("lang", "text").mapInArrow(_count, "lang string, gram string, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     )
     if not len(grams):
-        return Model(pd.DataFrame({"lang": [], "gram": [], "n": []}))
+        return nothing
     model = Model(grams)
-    left = sample.where(aside).select("lang", "text").collect()
-    model.calibrate([r["text"] for r in left], [r["lang"] for r in left])
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = held.value.own_entropies(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["own", "ce", "n"])
+
+    left = sample.where(aside).select("lang", "text").mapInArrow(score, "own long, ce double, n long").toPandas()
+    if len(left):
+        model.calibrate(*(left[c].to_numpy() for c in ("own", "ce", "n")))
+    held.destroy()
     return model
 
 
@@ -283,5 +312,5 @@ def digest(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """docs without those that are rejected, all columns kept; learned from docs' own labelled rows."""
-    out = "__quern_lang_id"
+    (out,) = fresh(docs, "lang_id")
     return identify(docs, train(docs), out).where(~F.col(f"{out}.rejected")).drop(out)

@@ -1,8 +1,10 @@
 """Media columns: lossless PNG in binary columns, read back with checksum tests, and low-frequency cosine hashes.
 
 Encoder and decoder are written on zlib and numpy: 8-bit greyscale or RGB, no interlace, all five row filters.
-Nulls: a null payload is stored as the empty text is (one row of spaces); a null image decodes to null.
-Bytes that are no PNG, or a chunk whose checksum fails, raise ValueError in `decode_png`; `read_media` turns that into null.
+Nulls: a null payload is stored as the empty text is (one row of spaces); a null image decodes to null. Bytes that are no sound
+PNG, or a chunk whose checksum fails, raise ValueError in `decode_png`; `read_media` turns that into null. What an image
+unpacks to is bounded by its header, and the header by `most`. Null ids and repeated rows pass through, an empty
+table gives no rows, very long texts are one tall image, and other columns stay whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stage
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: 64 RGB pixels: one row of samples. Payloads are padded to whole rows.
 ROW_BYTES = 192
@@ -100,8 +104,12 @@ def encode_png(samples: np.ndarray, channels: int = CHANNELS, level: int = 1) ->
     return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(body.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
-def decode_png(data: bytes) -> tuple[np.ndarray, int]:
-    """(rows of samples, channels). Every chunk's checksum is tested."""
+#: Bytes that a foreign image may unpack to.
+MOST = 1 << 28
+
+
+def decode_png(data: bytes, most: int = 2**31 - 1) -> tuple[np.ndarray, int]:
+    """(rows of samples, channels). Every chunk's checksum is tested; an image of more than `most` bytes is not unpacked."""
     if data[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, packed, head, ended = 8, [], None, False
@@ -111,6 +119,8 @@ def decode_png(data: bytes) -> tuple[np.ndarray, int]:
         if len(data) < at + 12 + size or struct.unpack_from(">I", data, at + 8 + size)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"checksum of chunk {kind!r}")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("size of the header")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
@@ -119,8 +129,17 @@ def decode_png(data: bytes) -> tuple[np.ndarray, int]:
         raise ValueError("no 8-bit greyscale or RGB image without interlace")
     channels = 3 if head[3] == 2 else 1
     width, height = head[0] * channels, head[1]
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
-    if len(raw) != height * (width + 1):
+    size = height * (width + 1)
+    if not 0 < size <= most:
+        raise ValueError("size of the image")
+    unpack = zlib.decompressobj()
+    try:
+        raw = np.frombuffer(unpack.decompress(b"".join(packed), size + 1), np.uint8)
+        if len(raw) == size and not unpack.eof:  # the stream's own checksum may be left to read
+            raw = np.concatenate((raw, np.frombuffer(unpack.decompress(unpack.unconsumed_tail, 1), np.uint8)))
+    except zlib.error as e:
+        raise ValueError(str(e)) from e
+    if len(raw) != size or not unpack.eof:
         raise ValueError("size of the image data")
     raw = raw.reshape(height, width + 1)
     return unfilter_rows(raw[:, 0], raw[:, 1:], channels), channels
@@ -169,13 +188,13 @@ def store_media(df: DataFrame, text: str = "text", out: str = "media") -> DataFr
     return df.withColumn(out, run(F.col(text).cast("string")))
 
 
-def read_media(df: DataFrame, media: str = "media", out: str = "payload") -> DataFrame:
-    """Add the bytes that the PNG holds; null where the column is null or no sound PNG."""
+def read_media(df: DataFrame, media: str = "media", out: str = "payload", most: int = MOST) -> DataFrame:
+    """Add the bytes that the PNG holds; null where the column is null or no sound PNG of at most `most` bytes."""
 
     def one(data):
         try:
-            return None if data is None else decode_png(bytes(data))[0].tobytes()
-        except (ValueError, zlib.error):
+            return None if data is None else decode_png(bytes(data), most)[0].tobytes()
+        except ValueError:
             return None
 
     @F.pandas_udf("binary")
@@ -188,23 +207,33 @@ def read_media(df: DataFrame, media: str = "media", out: str = "payload") -> Dat
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_digest(df: DataFrame) -> DataFrame:
-    """One row per row of (doc_id, text): store each text as PNG, read the stored bytes back, and describe both.
+def described(df: DataFrame, media: str = "media", most: int = MOST) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of a table with doc_id,
+    n_bytes and a binary column of images: what reading each back gives. Nulls where there is no sound image. A narrow map."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
-    Narrow: no shuffle, memory of one text at a time. A null text counts as empty; null ids and repeated rows pass through.
-    """
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6
+        try:
+            samples, channels = decode_png(data, most)
+        except ValueError:
+            return (None, None, None, len(data), hashlib.sha256(data).hexdigest(), None)
+        payload = samples.tobytes()
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(samples, channels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for text in batch.column("text").to_pylist():
-                media = to_media(text)
-                samples, channels = decode_png(media)
-                payload = samples.tobytes()
-                for to, x in zip(out, (len((text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(samples, channels))):
-                    to.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, kinds))], ["doc_id", *names])
-
-    return df.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, DIGEST)
+            found = [one(x.as_py()) for x in batch.column("media")]
+            columns = list(zip(*found)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(x, f.type) for x, f in zip(columns, list(schema)[2:]))], schema=schema)
+
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), F.col(media).alias("media")).mapInArrow(run, DIGEST)
+
+
+def media_digest(df: DataFrame) -> DataFrame:
+    """One row per row of (doc_id, text): each text is stored as PNG in a binary column of a written table; the table is read
+    back, and both are described. No shuffle."""
+    text = F.col("text").cast("string")
+    slim = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("text"))
+    return described(stage(store_media(slim).drop("text"), "media"), most=2**31 - 1)

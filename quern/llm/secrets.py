@@ -11,7 +11,8 @@ digits; letters) hit; the span goes from the first hit window to the end of the
 out of a candidate first, and each part left of at least WINDOW characters is a candidate of its own. Candidates on the allow
 list add nothing; base spans are never suppressed.
 
-A narrow plan: no shuffle, no Python. Null texts are empty; null ids and repeated rows pass through.
+A narrow plan: no shuffle, no Python. Null texts are empty; null ids and repeated rows pass through, an empty table gives no rows.
+Very long texts are read whole, in one row's arrays. Other columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 #: kind, pattern, group whose length counts, least length. In the order in which spans at one place are listed.
 BASE = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -55,22 +58,23 @@ def _prefix_sums(steps: Column) -> Column:
 def _located(df: DataFrame, text: str, pattern: str, out: str, group: int | None = None) -> DataFrame:
     """Add `out`: array of (s, e, v) for the pattern's matches; v is the group's text."""
     t = F.col(text)
-    df = df.withColumn("__m", F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
-    some = F.size("__m") > 0
-    value = F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) if group else F.col("__m")
-    df = df.withColumn("__g", F.when(some, F.transform(F.split(t, pattern, -1), lambda g: F.length(g).cast("long"))))
-    df = df.withColumn("__v", F.when(some, value))
-    df = df.withColumn("__p", F.when(some, _prefix_sums(F.transform("__m", lambda m, i: F.element_at("__g", i + 1) + F.length(m)))))
+    m, g, v, p = fresh(df, "matches", "gaps", "values", "places")
+    df = df.withColumn(m, F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    some = F.size(m) > 0
+    value = F.regexp_extract_all(t, F.lit(pattern), F.lit(group)) if group else F.col(m)
+    df = df.withColumn(g, F.when(some, F.transform(F.split(t, pattern, -1), lambda x: F.length(x).cast("long"))))
+    df = df.withColumn(v, F.when(some, value))
+    df = df.withColumn(p, F.when(some, _prefix_sums(F.transform(m, lambda x, i: F.element_at(g, i + 1) + F.length(x)))))
     found = F.transform(
-        "__m",
-        lambda m, i: F.struct(
-            (F.element_at("__p", i + 1) + F.element_at("__g", i + 1)).alias("s"),
-            (F.element_at("__p", i + 1) + F.element_at("__g", i + 1) + F.length(m)).alias("e"),
-            F.element_at("__v", i + 1).alias("v"),
+        m,
+        lambda x, i: F.struct(
+            (F.element_at(p, i + 1) + F.element_at(g, i + 1)).alias("s"),
+            (F.element_at(p, i + 1) + F.element_at(g, i + 1) + F.length(x)).alias("e"),
+            F.element_at(v, i + 1).alias("v"),
         ),
     )
     empty = F.expr("cast(array() as array<struct<s:bigint,e:bigint,v:string>>)")
-    return df.withColumn(out, F.when(some, found).otherwise(empty)).drop("__m", "__g", "__v", "__p")
+    return df.withColumn(out, F.when(some, found).otherwise(empty)).drop(m, g, v, p)
 
 
 def _entropy_span(candidate: str) -> str:
@@ -103,8 +107,8 @@ def _entropy_span(candidate: str) -> str:
 #: SQL for the candidates without the base spans: parts of at least WINDOW characters.
 _PART = "if({end} - acc.at >= %d, concat(acc.out, array(named_struct('s', acc.at, 'e', {end}, 'v', substring(x.v, cast(acc.at - x.s + 1 as int), cast({end} - acc.at as int))))), acc.out)" % WINDOW
 _UNCOVERED = f"""
-  flatten(transform(__cand, x -> if(not exists(__base, b -> b.s < x.e and b.e > x.s), array(x),
-    aggregate(array_sort(filter(__base, b -> b.s < x.e and b.e > x.s)),
+  flatten(transform({{cand}}, x -> if(not exists({{base}}, b -> b.s < x.e and b.e > x.s), array(x),
+    aggregate(array_sort(filter({{base}}, b -> b.s < x.e and b.e > x.s)),
       named_struct('at', x.s, 'out', cast(array() as array<struct<s:bigint,e:bigint,v:string>>)),
       (acc, b) -> named_struct('at', greatest(acc.at, b.e), 'out', {_PART.format(end="b.s")}),
       acc -> {_PART.format(end="x.e")}))))"""
@@ -112,29 +116,28 @@ _UNCOVERED = f"""
 
 def find_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """Add `out`: array of (s, rank, e, kind), sorted, of base spans (rank 0 to 2) and entropy spans (rank 3)."""
-    t = "__t"
+    t, base, cand, hits_, *names = fresh(docs, "text", "base", "cand", "hits", *(kind for kind, *_ in BASE))
     df = docs.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
-    for rank, (kind, pattern, group, least) in enumerate(BASE):
-        df = _located(df, t, SHORT_CUT.get(kind, pattern), f"__{kind}", group or None)
+    for rank, ((kind, pattern, group, least), name) in enumerate(zip(BASE, names)):
+        df = _located(df, t, SHORT_CUT.get(kind, pattern), name, group or None)
         df = df.withColumn(
-            f"__{kind}",
-            F.transform(F.filter(f"__{kind}", lambda x: F.length(x.v) >= least), lambda x: F.struct(x.s.alias("s"), F.lit(rank).alias("rank"), x.e.alias("e"), F.lit(kind).alias("kind"))),  # noqa: B023
+            name,
+            F.transform(F.filter(name, lambda x: F.length(x.v) >= least), lambda x: F.struct(x.s.alias("s"), F.lit(rank).alias("rank"), x.e.alias("e"), F.lit(kind).alias("kind"))),  # noqa: B023
         )
-    names = [f"__{kind}" for kind, *_ in BASE]
-    df = df.withColumn("__base", F.concat(*names)).drop(*names)
-    df = _located(df, t, CANDIDATE, "__cand")
-    df = df.withColumn("__cand", F.expr(_UNCOVERED))
+    df = df.withColumn(base, F.concat(*names)).drop(*names)
+    df = _located(df, t, CANDIDATE, cand)
+    df = df.withColumn(cand, F.expr(_UNCOVERED.format(cand=cand, base=base)))
     allowed = lambda x: F.rlike(x.v, F.lit("|".join(f"({a})" for a in ALLOW)))
-    df = df.withColumn("__cand", F.filter("__cand", lambda x: ~allowed(x)))
+    df = df.withColumn(cand, F.filter(cand, lambda x: ~allowed(x)))
     fold, limits = _entropy_span("x")
     hits = F.expr(f"""
-      transform(__cand, x -> named_struct('at', x.s, 'w',
+      transform({cand}, x -> named_struct('at', x.s, 'w',
         aggregate(array(named_struct('c', transform(split(x.v, ''), k -> ascii(k)), 'most', {limits})),
           named_struct('first', cast(null as bigint), 'last', cast(null as bigint)),
           (nothing, codes) -> {fold})))""")
-    df = df.withColumn("__hits", F.when(F.size("__cand") > 0, hits))
-    added = F.transform(F.filter("__hits", lambda h: h.w.first.isNotNull()), lambda h: F.struct((h.at + h.w.first).alias("s"), F.lit(3).alias("rank"), (h.at + h.w.last).alias("e"), F.lit("entropy").alias("kind")))
-    return df.withColumn(out, F.array_sort(F.when(F.col("__hits").isNull(), F.col("__base")).otherwise(F.concat("__base", added)))).drop(t, "__base", "__cand", "__hits")
+    df = df.withColumn(hits_, F.when(F.size(cand) > 0, hits))
+    added = F.transform(F.filter(hits_, lambda h: h.w.first.isNotNull()), lambda h: F.struct((h.at + h.w.first).alias("s"), F.lit(3).alias("rank"), (h.at + h.w.last).alias("e"), F.lit("entropy").alias("kind")))
+    return df.withColumn(out, F.array_sort(F.when(F.col(hits_).isNull(), F.col(base)).otherwise(F.concat(base, added)))).drop(t, base, cand, hits_)
 
 
 def _listed(spans: Column) -> Column:
@@ -155,11 +158,12 @@ MARK = "[SECRET]"
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by a mark, all rows and columns kept; n_chars follows where there is one."""
     names = docs.columns
-    df = find_spans(docs, out="__spans")
+    (spans,) = fresh(docs, "spans")
+    df = find_spans(docs, out=spans)
     joined = F.expr(f"""
-      aggregate(__spans, named_struct('at', 0L, 'out', cast(array() as array<string>)),
+      aggregate({spans}, named_struct('at', 0L, 'out', cast(array() as array<string>)),
         (acc, x) -> if(x.e <= acc.at, acc, named_struct('at', x.e, 'out',
           if(x.s < acc.at, acc.out, concat(acc.out, array(substring(text, cast(acc.at + 1 as int), cast(x.s - acc.at as int)), '{MARK}'))))),
         acc -> concat(array_join(acc.out, ''), substring(text, cast(acc.at + 1 as int))))""")
-    df = df.withColumn("text", F.when(F.size("__spans") > 0, joined).otherwise(F.col("text"))).select(*names)
+    df = df.withColumn("text", F.when(F.size(spans) > 0, joined).otherwise(F.col("text"))).select(*names)
     return df.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else df

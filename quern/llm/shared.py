@@ -93,6 +93,14 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _tables().pop()[0])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns that no column of df has; upper and lower case count as one, as they do in plans."""
+    taken, mark = {c.lower() for c in df.columns}, "__quern_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

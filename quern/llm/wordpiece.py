@@ -7,11 +7,13 @@ through the automaton once.
 
 A word is a run of characters other than U+0020 and U+0009 to U+000D, read as its UTF-8 bytes with a blank before it, as the
 byte-level vocabulary writes the begin of a word. Every byte is a token, so no word is unknown.
-Nulls and texts without words have no words and no tokens; null ids and repeated rows pass through.
+Nulls and texts without words have no words and no tokens; null ids and repeated rows pass through, an empty table gives no rows.
+Very long texts and words are read whole, byte by byte. Other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Distinct words whose counts a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+#: Distinct words of up to LONGEST bytes whose counts a worker remembers before it starts anew.
+REMEMBERED, LONGEST = 1_000_000, 64
 
 
 def load_vocabulary(path: str) -> list[bytes]:
@@ -99,24 +101,33 @@ class Counts(dict):
         self.count = automaton.count
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        n = self[word] = self.count(b" " + word)
+        n = self.count(b" " + word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = n
         return n
 
 
-DIGEST = "doc_id long, n_words long, n_tokens long, max_word_tokens long"
-
-
-def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """One row per row of (doc_id, text): words, word pieces, and the most pieces of one word. A narrow map."""
+@functools.lru_cache(maxsize=2)
+def _counts(vocabulary: str | None) -> Counts:
+    """Made once a Python worker, which serves many tasks."""
     if vocabulary is None:
         import public_tokenizers
 
         vocabulary = public_tokenizers.path(VOCABULARY)
+    return Counts(Automaton(load_vocabulary(vocabulary)))
+
+
+DIGEST = "doc_id long, n_words long, n_tokens long, max_word_tokens long"
+
+
+def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """One row per row of (doc_id, text): words, word pieces, and the most pieces of one word. A narrow map. vocabulary: the
+    file's path on the executors; unset, each process asks the installed package for its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = Counts(Automaton(load_vocabulary(vocabulary))).__getitem__
+        get = _counts(vocabulary).__getitem__
         for batch in batches:
             per = [np.fromiter(map(get, words), np.int64, len(words)) for words in ((t or "").encode().split() for t in batch.column("text").to_pylist())]
             out = [[len(x) for x in per], [int(x.sum()) for x in per], [int(x.max(initial=0)) for x in per]]
