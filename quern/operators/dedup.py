@@ -14,8 +14,11 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def dedup_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Of rows that agree in the keys the first by `order`. Null keys are a group of their own."""
-    return df.withColumn("__k", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__k = 1").drop("__k")
+    """Of rows that agree in the keys the first by `order`. Null keys are a group of their own. Groups meet by a digest of their
+    keys, and each task sends one row of a group, so a text that most rows have is no load for one task."""
+    parts = [F.coalesce(F.concat(F.length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")), F.lit("-")) for k in keys]
+    first = F.min_by(F.struct(*[F.col(c) for c in df.columns]), F.struct(F.col(order).isNotNull(), F.col(order)))
+    return df.groupBy(F.sha2(F.concat(*parts), 256).alias("__k")).agg(first.alias("__r")).select("__r.*")
 
 
 def duplicate_count(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -49,10 +52,12 @@ def with_hash(df: DataFrame, content: str) -> DataFrame:
 
 
 def exact_pairs(df: DataFrame) -> DataFrame:
-    """All pairs of paths with one hash (path, hash and any of split, label, dataset_id, domain), the lesser path left, with
-    cross_split. The report lists every pair; `exact_groups` is the form without pairs."""
-    a, b = _sides(df, "a"), _sides(df, "b")
-    out = a.join(b, "hash").where("a_path < b_path")
+    """All pairs of files with one hash (path, hash and any of split, label, dataset_id, domain), the lesser path left, with
+    cross_split; a path listed several times pairs with itself. The report lists every pair; `exact_groups` is the form without."""
+    rest = [F.col(c) for c in SIDES if c in df.columns]
+    numbered = df.withColumn("no", F.row_number().over(Window.partitionBy("hash", "path").orderBy(*rest or [F.lit(0)])))
+    a, b = _sides(numbered, "a", "no"), _sides(numbered, "b", "no")
+    out = a.join(b, "hash").where("a_path < b_path or (a_path = b_path and a_no < b_no)").drop("a_no", "b_no")
     return out.withColumn("cross_split", F.col("a_split") != F.col("b_split")) if "split" in df.columns else out
 
 

@@ -38,12 +38,28 @@ def threshold_metrics(df: DataFrame, threshold: float = 0.5, y: str = "y", score
     return with_rates(confusion(df.withColumn("__pred", (F.col(score) >= threshold).cast("int")), y, "__pred", by), strict)
 
 
-def _by_score(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
-    """Distinct scores with how many of either class lie at or above them, and the class totals."""
-    counts = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(F.col(y) == 1).alias("__a"), F.count_if(F.col(y) != 1).alias("__b"))
-    parts = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = parts.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(*by, "threshold", F.sum("__a").over(upto).alias("tp"), F.sum("__b").over(upto).alias("fp"), F.sum("__a").over(parts).alias("pos"), F.sum("__b").over(parts).alias("neg"))
+#: Slices of the distinct scores, cut at quantiles of them, so that no task sees all.
+SLICES = 64
+
+
+def _by_score(df: DataFrame, y: str, score: str, by: list[str], *more: str) -> DataFrame:
+    """Distinct scores with how many of either class lie there (a, b) and at or above (tp, fp), and the class totals. Sums run inside a
+    slice of scores; what lies above a slice is summed over slices."""
+    counts = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(F.col(y) == 1).alias("a"), F.count_if(F.col(y) != 1).alias("b"))
+    cuts = counts.agg(F.percentile_approx("threshold", [k / SLICES for k in range(1, SLICES)], 1000).alias("__cuts"))
+    counts = counts.crossJoin(cuts).withColumn("__s", F.size(F.filter("__cuts", lambda c: c < F.col("threshold")))).drop("__cuts")
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    above = whole.orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows a group
+    sliced = counts.groupBy(*by, "__s").agg(F.sum("a").alias("__a"), F.sum("b").alias("__b"))
+    over = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    sliced = sliced.select(*by, "__s", over("__a", above).alias("__ua"), over("__b", above).alias("__ub"), over("__a", whole).alias("pos"), over("__b", whole).alias("neg"))
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "__s"]]
+    upto = Window.partitionBy(*[F.col(f"l.{c}") for c in [*by, "__s"]]).orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.alias("l").join(sliced.alias("r"), on).select(
+        *[F.col(f"l.{c}") for c in by], "threshold", "a", "b",
+        (F.sum("a").over(upto) + F.col("__ua")).alias("tp"), (F.sum("b").over(upto) + F.col("__ub")).alias("fp"), "pos", "neg",
+        *[F.col(f"l.{c}") for c in more],
+    )
 
 
 def roc_points(df: DataFrame, y: str = "y", score: str = "p", by: list[str] | None = None) -> DataFrame:
@@ -69,7 +85,8 @@ def pr_points(df: DataFrame, y: str = "y", score: str = "p", by: list[str] | Non
 
 
 def area(points: DataFrame, x: str, y: str, by: list[str] | None = None, compat: bool = False) -> DataFrame:
-    """Trapezoids in order of (x, y). compat: among points of one x the curve goes from the greatest y down, as an older tool sorted them."""
+    """Trapezoids under any points in order of (x, y), by one window a group: for curves that are small. compat: among points of one x
+    the curve goes from the greatest y down, as an older tool sorted them."""
     by = by or []
     rest = [F.desc(y), F.asc("threshold")] if compat else [F.asc(y), F.desc("threshold")]
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.asc(x), *([F.desc(F.col("threshold") == float("inf"))] if compat else []), *rest)
@@ -77,20 +94,52 @@ def area(points: DataFrame, x: str, y: str, by: list[str] | None = None, compat:
     return steps.groupBy(*by).agg(F.round(F.coalesce(F.sum((F.col(x) - F.col("__x")) * (F.col(y) + F.col("__y")) / 2), F.lit(0.0)), RATES).alias("auc"))
 
 
+def _pr_area(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
+    """(by, __pr): the area under the points of pr_points in order of (recall, precision). A level of recall begins at a score with
+    positives, where its precision is greatest, and ends above the next such score, where it is least; the curve goes from
+    the greatest of one level to the least of the next. The neighbour of a slice's first or last level is another slice's."""
+    levels = _by_score(df, y, score, by, "__s").where("a > 0")
+    row, inside = F.struct("tp", "fp", "b"), Window.partitionBy(*by, "__s").orderBy(F.desc("threshold"))
+    slices = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("__s"))  # SLICES rows a group
+    ends = levels.groupBy(*by, "__s").agg(F.max_by(row, "threshold").alias("__first"), F.min_by(row, "threshold").alias("__last"))
+    ends = ends.select(*by, "__s", F.lag("__last").over(slices).alias("__up"), F.lead("__first").over(slices).alias("__down"))
+    levels = levels.withColumns({"__p": F.lag(row).over(inside), "__n": F.lead(row).over(inside)})
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "__s"]]
+    j = levels.alias("l").join(ends.alias("r"), on)
+    up, down = F.coalesce("__p", "__up"), F.coalesce("__n", "__down")
+    greatest = F.when(up.isNull(), 1.0).otherwise(up["tp"] / (up["tp"] + up["fp"]))
+    least = F.col("tp") / (F.col("tp") + F.coalesce(down["fp"] - down["b"], F.col("neg")))
+    return j.groupBy(*[F.col(f"l.{c}") for c in by]).agg(F.sum(F.col("a") / F.col("pos") * (greatest + least) / 2).alias("__pr"))
+
+
 def auc(df: DataFrame, y: str = "y", score: str = "p", by: list[str] | None = None, compat: bool = False) -> DataFrame:
-    """roc_auc and pr_auc."""
+    """roc_auc and pr_auc, from counts by score: what lies at a score and above it names the point before on the curve too. Without
+    negatives the ROC curve only has its closing step, without positives the other one has; compat as in area()."""
     by = by or []
-    roc = area(roc_points(df, y, score, by), "fpr", "tpr", by, compat).withColumnRenamed("auc", "roc_auc")
-    pr = area(pr_points(df, y, score, by), "recall", "precision", by).withColumnRenamed("auc", "pr_auc")
-    return roc.join(pr, by) if by else roc.crossJoin(pr)
+    cum = _by_score(df, y, score, by)
+    tp, a, b = (F.col(c) for c in ("tp", "a", "b"))
+    closing = F.when(F.max("neg") > 0, 0.0).when(F.max("pos") > 0, 1.0).otherwise(0.5)
+    roc = F.sum(b / F.greatest("neg", F.lit(1)) * (2 * tp - a) / F.greatest("pos", F.lit(1)) / 2) + closing
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), RATES)
+    whole = cum.groupBy(*by).agg(zero(roc).alias("roc_auc"), F.max("pos").alias("__pos"))
+    if compat:
+        whole = _beside(whole.drop("roc_auc"), area(roc_points(df, y, score, by), "fpr", "tpr", by, True).withColumnRenamed("auc", "roc_auc"), by)
+    both = _beside(whole, _pr_area(df, y, score, by), by)
+    return both.select(*by, "roc_auc", zero(F.when(F.col("__pos") == 0, 0.5).otherwise(F.col("__pr"))).alias("pr_auc"))
+
+
+def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    if not by:
+        return left.crossJoin(right)
+    renamed = right.select(*[F.col(c).alias(f"__r{k}") for k, c in enumerate(by)], *[c for c in right.columns if c not in by])
+    same = [F.col(c).eqNullSafe(F.col(f"__r{k}")) for k, c in enumerate(by)]
+    return left.join(renamed, same, "left").drop(*[f"__r{k}" for k in range(len(by))])
 
 
 def rank_auc(df: DataFrame, y: str = "y", score: str = "p") -> DataFrame:
     """The area by the rank sum, from counts by distinct score: each positive counts the negatives below it and half of those beside it."""
     cum = _by_score(df, y, score, [])
-    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("threshold"))
-    own = cum.withColumns({"a": F.col("tp") - F.lag("tp", 1, 0).over(w), "b": F.col("fp") - F.lag("fp", 1, 0).over(w)})
-    return own.agg(F.round(F.sum(F.col("a") * (F.col("neg") - F.col("fp") + F.col("b") / 2)) / (F.max("pos") * F.max("neg")), RATES).alias("roc_auc"))
+    return cum.agg(F.round(F.sum(F.col("a") * (F.col("neg") - F.col("fp") + F.col("b") / 2)) / (F.max("pos") * F.max("neg")), RATES).alias("roc_auc"))
 
 
 def select_threshold(df: DataFrame, method: str = "youden", fixed: float | None = None, y: str = "y", score: str = "p") -> DataFrame:

@@ -54,6 +54,20 @@ def file_hashes(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+#: How reasons call the artifacts.
+ARTIFACT_NAMES = {"governance_config_hash": "governance config", "manifest_hash": "manifest", "model_hash": "model", "label_mapping_hash": "label mapping"}
+
+
+def drift_message(baseline: dict[str, Column], current: dict[str, Column]) -> Column:
+    """The artifacts whose hash is there on both sides and differs, in one text; null where there is none."""
+    parts = []
+    for key, name in ARTIFACT_NAMES.items():
+        old, new = baseline[key], current[key]
+        said = F.concat(F.lit(f"{name} hash mismatch (baseline="), old, F.lit(", current="), new, F.lit(")"))
+        parts.append(F.when((old != "") & (new != "") & (old != new), said))
+    return F.nullif(F.concat_ws("; ", *parts), F.lit(""))
+
+
 def hash_drift(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """(artifact, baseline, current) of (artifact, hash) tables where both sides have a hash and they differ."""
     joined = current.alias("c").join(baseline.alias("b"), "artifact")
@@ -65,35 +79,36 @@ def heldout_counts(log: DataFrame, held_out: list[str], ts: str = "timestamp") -
     return log.where(F.col("allowed") & F.col("eval_split").isin(*held_out)).groupBy(F.substring(F.col(ts).cast("string"), 1, 10).alias("day")).agg(F.count("*").alias("n"))
 
 
-def _ladder(config: Config, manifest: Column, label_hash: Column, frozen: Column, held: Column, tuning_held: Column, forbid: Column, drift: Column, today: Column, override: Column) -> Column:
+def _ladder(config: Config, manifest: Column, label_hash: Column, frozen: Column, held: Column, tuning_held: Column, forbid: Column, drift: Column, messages: Column, today: Column, override: Column, compat: bool) -> Column:
     """struct(allowed, valid, reason) in the order of the rules. An override opens the later rules but marks the result.
 
-    Overriding the tuning rule has a reason of its own here, not the drift's.
+    Overriding the tuning rule has a reason of its own here; compat gives it the drift's, as an older tool did.
     """
-    say = lambda allowed, valid, reason: F.struct(F.lit(allowed).alias("allowed"), F.lit(valid).alias("valid"), F.lit(reason).alias("reason"))
+    say = lambda allowed, valid, reason: F.struct(F.lit(allowed).alias("allowed"), F.lit(valid).alias("valid"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"))
     over_limit = held & (today >= config.max_heldout_evals_per_day)
     return (
         F.when(F.lit(config.require_manifest) & ~manifest, say(False, False, "manifest_required"))
         .when(F.lit(config.require_label_mapping_hash) & ~label_hash, say(False, False, "label_mapping_hash_required"))
         .when(F.lit(config.require_split_policy_frozen) & ~frozen, say(False, False, "split_policy_not_frozen"))
         .when(forbid & held & tuning_held & ~override, say(False, False, "held_out_tuning_forbidden"))
-        .when(forbid & held & tuning_held, say(True, False, "override_held_out_tuning"))
-        .when(drift & ~override, say(False, False, "hash_drift_blocked"))
-        .when(over_limit & ~override, say(False, False, "daily_heldout_limit"))
+        .when(forbid & held & tuning_held, say(True, False, "override_used_hash_drift" if compat else "override_held_out_tuning"))
+        .when(drift & ~override, say(False, False, F.concat_ws(": ", F.lit("hash_drift_blocked"), messages)))
+        .when(over_limit & ~override, say(False, False, "daily_heldout_limit_exceeded"))
         .when(over_limit, say(True, False, "override_daily_heldout_limit"))
-        .when(drift, say(True, False, "override_used_hash_drift"))
-        .when(override, say(True, False, "override_used"))
+        .when(drift | override, say(True, False, "override_used_hash_drift"))
         .otherwise(say(True, True, "allowed"))
     )
 
 
-def decide(requests: DataFrame, config: Config) -> DataFrame:
+def decide(requests: DataFrame, config: Config, compat: bool = False) -> DataFrame:
     """Replay a log of requests (manifest_path, label_mapping_hash, split_frozen, eval_split, tuning_split, forbid_test_tuning,
-    drift, heldout_today, override): adds allowed, valid and reason."""
+    drift, heldout_today, override): adds allowed, valid and reason. A column drift_message, where there is one, follows the
+    reason of a block by drift; see drift_message()."""
+    messages = F.col("drift_message") if "drift_message" in requests.columns else F.lit(None).cast("string")
     there = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     held = lambda c: F.coalesce(F.col(c).isin(*config.held_out_splits), F.lit(False))
-    said = _ladder(config, there("manifest_path"), there("label_mapping_hash"), yes("split_frozen"), held("eval_split"), held("tuning_split"), yes("forbid_test_tuning"), yes("drift"), F.coalesce("heldout_today", F.lit(0)), yes("override"))
+    said = _ladder(config, there("manifest_path"), there("label_mapping_hash"), yes("split_frozen"), held("eval_split"), held("tuning_split"), yes("forbid_test_tuning"), yes("drift"), messages, F.coalesce("heldout_today", F.lit(0)), yes("override"), compat)
     return requests.withColumn("__d", said).select(*requests.columns, "__d.allowed", "__d.valid", "__d.reason")
 
 
@@ -104,6 +119,22 @@ def access_record(spark, **values) -> DataFrame:
     return spark.createDataFrame([row], ", ".join(f"{n} string" for n in names) + ", allowed boolean, valid boolean, override boolean")
 
 
+def baseline_pending(decided: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Add baseline_pending: the request is allowed and valid, no override was used, and no baseline is pinned yet."""
+    none = baseline.agg((F.count("*") == 0).alias("__none"))
+    free = F.col("allowed") & F.col("valid") & ~F.coalesce("override", F.lit(False))
+    return decided.crossJoin(none).withColumn("baseline_pending", free & F.col("__none")).drop("__none")
+
+
+def finalize(decided: DataFrame, run_id: str, user_id: str, at: str) -> tuple[DataFrame, DataFrame]:
+    """The records of a run (with run_id and baseline_created), and the baseline to write: (created_at_utc, created_by_user_id,
+    run_id and the hashes) of the first pending request, no row where none is pending."""
+    records = decided.withColumns({"run_id": F.lit(run_id), "baseline_created": F.col("baseline_pending")})
+    pending = decided.where("baseline_pending").limit(1)
+    made = pending.select(F.lit(at).alias("created_at_utc"), F.lit(user_id).alias("created_by_user_id"), F.lit(run_id).alias("run_id"), *ARTIFACTS)
+    return records, made
+
+
 def pin_baseline(log: DataFrame) -> DataFrame:
     """(artifact, hash) of the first valid run; later runs leave it as it is."""
     first = log.where("allowed and valid").agg(F.min_by(F.struct(*ARTIFACTS), "timestamp").alias("h"))

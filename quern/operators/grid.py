@@ -6,6 +6,8 @@ function. Sobel mirrors the edge without repeating it; convolutions pad with zer
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +64,12 @@ def gradient_covariance(a: Column, w: int, h: int) -> Column:
     return F.struct(mean(gx, gx).alias("xx"), mean(gx, gy).alias("xy"), mean(gy, gy).alias("yy"))
 
 
+def grey(r: Column, g: Column, b: Column) -> Column:
+    """A grid of the brightness of three channels' grids."""
+    third = F.zip_with(r, g, lambda x, y: 0.2989 * x + 0.587 * y)
+    return F.zip_with(third, b, lambda x, y: x + 0.114 * y)
+
+
 def luma(r: Column, g: Column, b: Column) -> Column:
     return 0.2126 * r + 0.7152 * g + 0.0722 * b
 
@@ -79,16 +87,90 @@ def min_max(a: Column) -> Column:
     return let(a, lambda g: let(F.array_min(g), lambda low: let(F.array_max(g) - low + 1e-7, lambda span: F.transform(g, lambda v: (v - low) / span))))
 
 
-def haar_detail(a: Column, w: int, h: int) -> Column:
-    """struct(lh, hl, hh), each scaled to its own least and greatest value."""
-    b = haar(a, w, h)
-    return F.struct(*[min_max(b[n]).alias(n) for n in ("lh", "hl", "hh")])
+def _jointly(bands: dict[str, Column], low: Column, span) -> Column:
+    """struct of bands, each value less `low` and over `span`; low and span come from all bands together."""
+    return F.struct(*[F.transform(v, lambda x: (x - low) / span).alias(n) for n, v in bands.items()])
+
+
+DETAIL = ("lh", "hl", "hh")
+
+
+def haar_detail(a: Column, w: int, h: int, size: tuple[int, int] | None = None) -> Column:
+    """struct(lh, hl, hh), each resized to `size` (width, height) where one is given, scaled to the least and greatest value of all three."""
+
+    def scaled(b):
+        bands = {n: b[n] for n in DETAIL}
+        both = F.concat(*bands.values())
+        return let(F.struct(F.array_min(both).alias("low"), (F.array_max(both) - F.array_min(both) + 1e-7).alias("span")), lambda m: _jointly(bands, m["low"], m["span"]))
+
+    return let(_resized(haar(a, w, h), w, h, size), scaled)
+
+
+def haar_layer(a: Column, w: int, h: int, size: tuple[int, int] | None = None) -> Column:
+    """The variant of a model's input layer: absolute values over 4, over the greatest of all three bands, then resized."""
+
+    def scaled(b):
+        bands = {n: F.transform(b[n], F.abs) for n in DETAIL}
+        return let(F.array_max(F.concat(*bands.values())) + 1e-7, lambda m: _jointly(bands, F.lit(0.0), m))
+
+    return _resized(let(haar(a, w, h, 4.0), scaled), w, h, size)
+
+
+def _resized(bands: Column, w: int, h: int, size: tuple[int, int] | None) -> Column:
+    """The three detail bands of a w x h grid, half its size, at `size`."""
+    if size is None:
+        return bands
+    return let(bands, lambda b: F.struct(*[resize(b[n], -(-w // 2), -(-h // 2), *size).alias(n) for n in DETAIL]))
+
 
+Taps = list[list[tuple[int, float]]]
 
-def haar_layer(a: Column, w: int, h: int) -> Column:
-    """The variant of a model's input layer: absolute values over 4, then over the maximum."""
-    b = haar(a, w, h, 4.0)
-    return F.struct(*[over_max(F.transform(b[n], F.abs)).alias(n) for n in ("lh", "hl", "hh")])
+
+def bilinear(n: int, m: int, antialias: bool = False) -> Taps:
+    """For each of m places the weights of n values. Pixel centres lie at half steps, values beyond the edge repeat it;
+    antialias widens the triangle when values are made fewer."""
+    scale, out = n / m, []
+    for j in range(m):
+        at = (j + 0.5) * scale - 0.5
+        if antialias and scale > 1:
+            near = [(i, 1 - abs(i - at) / scale) for i in range(math.floor(at - scale), math.ceil(at + scale) + 1) if 0 <= i < n and abs(i - at) < scale]
+            total = sum(v for _, v in near)
+            out.append([(i, v / total) for i, v in near])
+        else:
+            low, part = math.floor(at), at - math.floor(at)
+            out.append([(max(low, 0), 1 - part), (min(low + 1, n - 1), part)] if part else [(low, 1.0)])
+    return out
+
+
+def area(n: int, m: int) -> Taps:
+    """For each of m places the share that each of n values has in it."""
+    scale, out = n / m, []
+    for j in range(m):
+        a, b = j * scale, (j + 1) * scale
+        out.append([(i, v / scale) for i in range(math.floor(a), min(n, math.ceil(b))) if (v := min(b, i + 1) - max(a, i)) > 1e-12])
+    return out
+
+
+def resample(a: Column, w: int, rows: Taps, cols: Taps) -> Column:
+    """A grid of width w made len(cols) wide and len(rows) high: weighted sums down the columns, then along the rows."""
+    table = lambda taps: F.expr("array(" + ",".join("array(" + ",".join(f"named_struct('i', {i}, 'w', {float(v)!r}D)" for i, v in one) + ")" for one in taps) + ")")
+    wide = len(cols)
+
+    def summed(g, taps, which, at):
+        return F.aggregate(F.element_at(taps, which.cast("int") + 1), F.lit(0.0), lambda s, x: s + x["w"] * F.element_at(g, (at(x["i"])).cast("int") + 1))
+
+    def down(g):
+        return F.transform(F.sequence(F.lit(0), F.lit(w * len(rows) - 1)), lambda k: summed(g, table(rows), F.floor(k / w), lambda i: i * w + k % w))
+
+    def along(g):
+        return F.transform(F.sequence(F.lit(0), F.lit(wide * len(rows) - 1)), lambda k: summed(g, table(cols), k % wide, lambda i: F.floor(k / wide) * w + i))
+
+    return let(let(a, down), along)
+
+
+def resize(a: Column, w: int, h: int, to_w: int, to_h: int, antialias: bool = False) -> Column:
+    """Bilinear."""
+    return resample(a, w, bilinear(h, to_h, antialias), bilinear(w, to_w, antialias))
 
 
 def noise_residual(a: Column, w: int, h: int) -> Column:
@@ -128,15 +210,10 @@ def blur(a: Column, w: int, h: int) -> Column:
     return convolve(a, [[1 / 9] * 3] * 3, w, h)
 
 
-def down_up(a: Column, w: int, h: int) -> Column:
-    """Halve by 2 x 2 means and repeat each value: a resize there and back. w and h are even."""
-    small = F.transform(convolve(a, HAAR["ll"], w, h, stride=2, centre=(0, 0)), lambda v: v / 4.0)
-    return let(small, lambda g: _double(g, w, h))
-
-
-def _double(g: Column, w: int, h: int) -> Column:
-    """Each value of a half-size grid four times, cut to w x h."""
-    return F.transform(F.sequence(F.lit(0), F.lit(w * h - 1)), lambda k: F.element_at(g, (F.floor(F.floor(k / w) / 2) * -(-w // 2) + F.floor((k % w) / 2)).cast("int") + 1))
+def down_up(a: Column, w: int, h: int, to: tuple[int, int] = (112, 112)) -> Column:
+    """To another size (width, height) by area, and back bilinearly."""
+    small = resample(a, w, area(h, to[1]), area(w, to[0]))
+    return resize(small, *to, w, h, antialias=True)
 
 
 def add_noise(a: Column, key: Column, sigma: float = 0.05) -> Column:
@@ -145,29 +222,37 @@ def add_noise(a: Column, key: Column, sigma: float = 0.05) -> Column:
     return clip(F.transform(a, lambda v, k: v + sigma * (sum((unit(k, i) for i in range(1, 12)), unit(k, 0)) - 6)))
 
 
-def corrupt(a: Column, key: Column, kind: str, w: int, h: int) -> Column:
-    """blur3, resize112 or noise05; the JPEG ones need a codec and are not built."""
+def corrupt(a: Column, key: Column, kind: str, w: int, h: int, to: tuple[int, int] = (112, 112)) -> Column:
+    """One channel under blur3, resize112 (to the size `to` and back) or noise05; the JPEG ones need a codec and are not built."""
     if kind == "blur3":
         return blur(a, w, h)
     if kind == "resize112":
-        return down_up(a, w, h)
+        return down_up(a, w, h, to)
     if kind == "noise05":
         return add_noise(a, key)
     raise ValueError(f"no corruption {kind}")
 
 
-def dispatch(a: Column, mode: str, w: int, h: int) -> Column:
-    """rgb (the grid itself), sobel, rgb+sobel, wavelet or rgb+wavelet; mixtures are means, clipped."""
-    mean = lambda p, q: clip(F.zip_with(p, q, lambda s, t: (s + t) / 2))
+MODES = ("rgb", "sobel", "rgb+sobel", "wavelet", "rgb+wavelet")
 
-    def detail():
-        third = lambda b: F.zip_with(F.zip_with(b["lh"], b["hl"], lambda s, t: s + t), b["hh"], lambda s, t: (s + t) / 3)
-        return let(let(haar_detail(a, w, h), third), lambda g: _double(g, w, h))
 
-    modes = {"rgb": lambda: a, "sobel": lambda: sobel(a, w, h), "rgb+sobel": lambda: mean(a, sobel(a, w, h)), "wavelet": detail, "rgb+wavelet": lambda: mean(a, detail())}
-    if mode not in modes:
+def dispatch(r: Column, g: Column, b: Column, mode: str, w: int, h: int) -> Column:
+    """struct(r, g, b), the three channels of an image under a mode: rgb (as they are), sobel (the edges of the grey image three
+    times), wavelet (its three detail bands at full size), or the mean of rgb and one of these, clipped to [0, 1]."""
+    mode = mode.strip().lower()
+    if mode not in MODES:
         raise ValueError(f"no mode {mode}")
-    return modes[mode]()
+    image = F.struct(r.alias("r"), g.alias("g"), b.alias("b"))
+    if mode == "rgb":
+        return image
+    if mode.endswith("sobel"):
+        made = let(sobel(grey(r, g, b), w, h), lambda e: F.struct(e.alias("r"), e.alias("g"), e.alias("b")))
+    else:
+        made = let(haar_detail(grey(r, g, b), w, h, (w, h)), lambda d: F.struct(*[d[n].alias(c) for n, c in zip(DETAIL, "rgb")]))
+    if not mode.startswith("rgb+"):
+        return made
+    mean = lambda p, q: clip(F.zip_with(p, q, lambda s, t: (s + t) / 2))
+    return let(made, lambda m: F.struct(*[mean(x, m[c]).alias(c) for x, c in zip((r, g, b), "rgb")]))
 
 
 def spectrum_features(a: Column, w: int, h: int, rows_only: bool = False) -> Column:

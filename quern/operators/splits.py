@@ -10,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256
+#: Hex digits of the hash that name a slice: 65,536 slices.
+DIGITS = 4
+#: Rows that a split leaves as they are: their label is unknown.
+SKIPPED = "skipped_unknown"
+#: Copies that one row of the first level stands for when strata are balanced.
+COPIES = 4096
 
 
 def shuffle_key(key: str, seed: int) -> Column:
@@ -18,10 +23,10 @@ def shuffle_key(key: str, seed: int) -> Column:
 
 
 def ranked(df: DataFrame, key: str, seed: int, by: list[str] | None = None, out: str = "rank") -> DataFrame:
-    """Add the 1-based rank in shuffled order, over all rows or inside `by`. Rows are dealt by the first two hex digits of
-    their hash; slices are counted (SLICES rows a class), and a row's rank is its slice's offset plus its place there."""
+    """Add the 1-based rank in shuffled order, over all rows or inside `by`. Rows are dealt by the first hex digits of
+    their hash; slices are counted (65,536 rows a class at most), and a row's rank is its slice's offset plus its place there."""
     by = by or []
-    df = df.withColumn("__h", shuffle_key(key, seed)).withColumn("__s", F.substring("__h", 1, 2))
+    df = df.withColumn("__h", shuffle_key(key, seed)).withColumn("__s", F.substring("__h", 1, DIGITS))
     before = df.groupBy(*by, "__s").agg(F.count("*").alias("__n"))
     offsets = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(0)).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     before = before.withColumn("__before", F.coalesce(F.sum("__n").over(offsets), F.lit(0))).drop("__n")
@@ -50,47 +55,61 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     return r.join(counts, r[label].eqNullSafe(counts["__y"])).withColumn(out, fold.cast("int")).drop("__k", "__n", "__y")
 
 
-def group_split(df: DataFrame, group: str, fraction: float, seed: int = 42, out: str = "split") -> DataFrame:
+def eligible(df: DataFrame, out: str) -> Column:
+    """Rows that a split decides on: all but those that already say SKIPPED."""
+    return F.coalesce(F.col(out) != SKIPPED, F.lit(True)) if out in df.columns else F.lit(True)
+
+
+def group_split(df: DataFrame, group: str, fraction: float, seed: int = 42, out: str = "split", key: str | None = None) -> DataFrame:
     """Whole groups go to val, in shuffled order, until it has max(1, int(n * fraction)) rows, one group at least; rows without a
-    group (null or blank) go to train. n counts all rows. Only group sizes are put in order."""
-    named = F.when(F.trim(F.col(group)) != "", F.col(group))
-    sizes = df.groupBy(named.alias("__g")).agg(F.count("*").alias("__n"))
-    total = sizes.agg(F.sum("__n")).first()[0] or 0
+    group (null or empty) go to train. n counts eligible rows; rows that say SKIPPED keep that. Without any group it is
+    the row split by `key`. Only group sizes are put in order."""
+    takes, named = eligible(df, out), F.when(F.col(group) != "", F.col(group))
+    sizes = df.where(takes).groupBy(named.alias("__g")).agg(F.count("*").alias("__n"))
+    total, groups = sizes.agg(F.sum("__n"), F.count("__g")).first()
+    if not groups:
+        if key is None:
+            raise ValueError("there are no groups: the row split needs a key")
+        return row_split(df, key, fraction, seed, out)
     target = max(1, int(total * fraction))
-    r = sizes.where("__g is not null").withColumn("__h", shuffle_key("__g", seed)).withColumn("__s", F.substring("__h", 1, 2))
+    r = sizes.where("__g is not null").withColumn("__h", shuffle_key("__g", seed)).withColumn("__s", F.substring("__h", 1, DIGITS))
     offsets = r.groupBy("__s").agg(F.sum("__n").alias("__m")).withColumn(
         "__before", F.coalesce(F.sum("__m").over(Window.partitionBy(F.lit(0)).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
     inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__s").orderBy("__h", "__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     val = r.withColumn("__i", inside).join(offsets.drop("__m"), "__s").where(F.col("__before") + F.col("__i") < target).select("__g", F.lit("val").alias("__v"))
-    return df.withColumn("__k", named).join(val, F.col("__k") == F.col("__g"), "left").withColumn(out, F.coalesce("__v", F.lit("train"))).drop("__k", "__g", "__v")
+    said = F.when(takes, F.coalesce("__v", F.lit("train"))).otherwise(F.lit(SKIPPED))
+    return df.withColumn("__k", named).join(val, F.col("__k") == F.col("__g"), "left").withColumn(out, said).drop("__k", "__g", "__v")
 
 
 def row_split(df: DataFrame, key: str, fraction: float, seed: int = 42, out: str = "split") -> DataFrame:
-    """val for the first max(1, int(n * fraction)) shuffled rows (all of fewer than two), else train."""
-    n = df.count()
+    """val for the first max(1, int(n * fraction)) shuffled rows (all of fewer than two), else train. n counts eligible rows; rows
+    that say SKIPPED keep that and are not ranked."""
+    takes = eligible(df, out)
+    n = df.where(takes).count()
     size = max(1, int(n * fraction)) if n > 1 else n
-    return ranked(df, key, seed, None, "__k").withColumn(out, F.when(F.col("__k") <= size, "val").otherwise("train")).drop("__k")
+    made = ranked(df.where(takes), key, seed, None, "__k").withColumn(out, F.when(F.col("__k") <= size, "val").otherwise("train")).drop("__k")
+    return made.unionByName(df.where(~takes)) if out in df.columns else made
 
 
 GROUP_COLUMNS = ("group_id", "subject_id", "source_id", "generator_id")
 
 
 def derive_groups(df: DataFrame, name: str, out: str = "group") -> DataFrame:
-    """Add a group: the first of GROUP_COLUMNS that has a value, else the file name's part before _, - or blank where repeated
-    parts cover half the rows; parts that occur once are no group."""
+    """Add a group: the first of GROUP_COLUMNS that has a value, else the name without its extension up to the first _, - or blank
+    (all of it, where there is none), if parts that occur again cover half the rows; parts that occur once are no group."""
     there = [c for c in GROUP_COLUMNS if c in df.columns]
     if there:
         has = df.agg(*[F.count(c).alias(c) for c in there]).first()
         for c in there:
             if has[c]:
-                return df.withColumn(out, F.nullif(F.trim(F.col(c).cast("string")), F.lit("")))
-    prefix = F.nullif(F.regexp_extract(F.regexp_extract(F.col(name), r"([^/\\]*)$", 1), r"^([^_\- ]+)[_\- ]", 1), F.lit(""))
-    df = df.withColumn("__p", prefix)
+                return df.withColumn(out, F.nullif(F.col(c).cast("string"), F.lit("")))
+    stem = F.regexp_replace(F.col(name).cast("string"), r"(?s)\.[^.]*$", "")
+    df = df.withColumn("__p", F.regexp_extract(stem, r"(?s)^([^_\- ]*)", 1))
     counts = df.where("__p is not null").groupBy("__p").agg(F.count("*").alias("__n")).where("__n > 1")
     joined = df.join(counts.withColumnRenamed("__p", "__q"), F.col("__p") == F.col("__q"), "left")
     n, covered = joined.agg(F.count("*"), F.count("__n")).first()
-    group = F.col("__q") if n and covered * 2 >= n else F.lit(None).cast("string")
+    group = F.nullif(F.col("__q"), F.lit("")) if n and covered * 2 >= n else F.lit(None).cast("string")
     return joined.withColumn(out, group).drop("__p", "__q", "__n")
 
 
@@ -126,8 +145,12 @@ def balance(df: DataFrame, by: list[str], key: str, seed: int = 42) -> DataFrame
     sizes = sizes.crossJoin(sizes.agg(F.max("__n").alias("__m")))
     r = ranked(df, key, seed, by, "__k")
     joined = r.alias("r").join(sizes.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by])
-    copies = F.sequence(F.lit(0), F.floor((F.col("__m") - F.col("__k")) / F.col("__n")))
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns], F.explode(copies).alias("copy_no"))
+    # two levels, as one row of a small stratum may stand for most of the result
+    most = F.floor((F.col("__m") - F.col("__k")) / F.col("__n"))
+    names = [F.col(f"r.{c}").alias(c) for c in df.columns]
+    high = joined.select(*names, most.alias("__c"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(most / COPIES))).alias("__u"))
+    low = F.sequence(F.lit(0).cast("long"), F.least(F.lit(COPIES - 1).cast("long"), F.col("__c") - F.col("__u") * COPIES))
+    return high.select(*df.columns, "__u", F.explode(low).alias("__l")).select(*df.columns, (F.col("__u") * COPIES + F.col("__l")).alias("copy_no"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

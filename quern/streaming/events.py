@@ -30,28 +30,32 @@ def without_repeats(events: DataFrame, keys: list[str], ts: str = "ts", late: st
 
 
 def running_quota(events: DataFrame, key: str, limit: int, ts: str = "ts", late: str = "1 day") -> DataFrame:
-    """(key, ts, n, allowed) for each event of a stream: its number on its day, and whether the day's limit allows it. State is a
-    day and a count for each key, dropped when the watermark is two days past the key's last event."""
+    """(key, ts, n, allowed) for each event of a stream: its number on its day, in order of arrival and, within a batch, of time,
+    and whether the day's limit allows it. State is a count for each day that the watermark still lets in, so a late event
+    counts on its own day; a key's state goes when the watermark is two days past its last event."""
+    import json
+
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        day, n = state.get if state.exists else ("", 0)
-        rows = pd.concat(list(frames)).sort_values(ts)
-        out = []
-        for t in rows[ts]:
-            today = t.strftime("%Y-%m-%d")
-            day, n = (day, n + 1) if today == day else (today, 1)
-            out.append((k[0], t, n, n <= limit))
-        state.update((day, n))
-        state.setTimeoutTimestamp(max(int(rows[ts].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 2 * 86_400_000)
-        yield pd.DataFrame(out, columns=[key, ts, "n", "allowed"])
+        counts = json.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
+        days = rows[ts].dt.strftime("%Y-%m-%d")
+        n = days.groupby(days).cumcount() + 1 + days.map(counts).fillna(0).astype("int64")
+        counts.update(n.groupby(days).max().to_dict())
+        mark = state.getCurrentWatermarkMs()
+        oldest = pd.Timestamp(mark, unit="ms").strftime("%Y-%m-%d")
+        last = pd.Timestamp(max(counts)).value // 1_000_000 + 86_400_000
+        state.update((json.dumps({d: int(c) for d, c in counts.items() if d >= oldest or mark <= 0}),))
+        state.setTimeoutTimestamp(max(last, mark) + 2 * 86_400_000)
+        yield pd.DataFrame({key: k[0], ts: rows[ts], "n": n, "allowed": n <= limit})
 
     kind = events.schema[key].dataType.simpleString()
     return events.select(key, ts).withWatermark(ts, late).groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, {ts} timestamp, n long, allowed boolean", "day string, n long", "append", GroupStateTimeout.EventTimeTimeout
+        run, f"{key} {kind}, {ts} timestamp, n long, allowed boolean", "counts string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

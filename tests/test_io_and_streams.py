@@ -126,3 +126,25 @@ def test_running_quota(spark, sf, tmp_path):
     q.awaitTermination()
     got = spark.table("quota").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count("*").alias("n"), F.count_if("allowed").alias("a")).collect()
     assert sum(r["n"] for r in got) == batch.count() and all(r["a"] == min(2, r["n"]) for r in got)
+
+
+def test_running_quota_out_of_order(spark, tmp_path):
+    """Events of several days in shuffled files, late ones among them: the same counts as over the whole table."""
+    import random
+
+    draw = random.Random(4)
+    rows = [(draw.randrange(4), f"2024-01-0{draw.randrange(1, 5)} {draw.randrange(24):02d}:{draw.randrange(60):02d}:00") for _ in range(160)]
+    folder = f"{tmp_path}/shuffled"
+    for k in range(8):
+        spark.createDataFrame(rows[k::8], "user_id long, t string").select("user_id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+    stream = events.read_events(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+    q = events.running_quota(stream, "user_id", 2, late="10 days").writeStream.format("memory").queryName("late").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {}
+    for r in spark.table("late").collect():
+        assert r["allowed"] == (r["n"] <= 2)
+        got.setdefault((r["user_id"], r["ts"].date()), []).append(r["n"])
+    want = {}
+    for user, t in rows:
+        want[user, t[:10]] = want.get((user, t[:10]), 0) + 1
+    assert {(u, str(d)): sorted(n) for (u, d), n in got.items()} == {k: list(range(1, n + 1)) for k, n in want.items()}

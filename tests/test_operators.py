@@ -26,6 +26,9 @@ def test_leakage(spark):
     got = dict(map(tuple, dedup.repair_leakage(m, h).collect()))
     assert got == {"p1": "train", "p2": "train", "p3": "val", "p4": "val", "p5": "val", "p6": "val"}
     j = m.join(h, "path")
+    twice = j.unionByName(j.where("path = 'p1'")).unionByName(j.where("path = 'p5'").withColumn("split", F.lit("test")))
+    assert Counter((r["a_path"], r["b_path"], r["cross_split"]) for r in dedup.exact_pairs(twice).collect()) == Counter(
+        {("p1", "p1", False): 1, ("p1", "p2", True): 2, ("p3", "p4", True): 1, ("p5", "p5", True): 1, ("p5", "p6", False): 1, ("p5", "p6", True): 1})
     assert dedup.exact_pairs(j).where("cross_split").count() == 2 and dedup.exact_groups(j).count() == 6
 
 
@@ -73,6 +76,31 @@ def test_group_split(people):
     assert got.groupBy("grp").agg(F.count_distinct("split").alias("n")).where("grp is not null and n > 1").count() == 0
     assert got.where("grp is null and split = 'val'").count() == 0
     assert got.where("split = 'val'").count() >= 20 and got.count() == 103
+    # rows of unknown label are not counted and stay as they are; without groups rows are split
+    marked = people.withColumn("split", F.when(F.col("id") < 53, "skipped_unknown"))
+    for made in (splits.group_split(marked, "grp", 0.2), splits.row_split(marked, "id", 0.1), splits.group_split(marked.withColumn("grp", F.lit("")), "grp", 0.1, key="id")):
+        assert made.columns == marked.columns and made.where("id < 53 and split <> 'skipped_unknown'").count() == 0 and made.where("id >= 53 and split in ('train', 'val')").count() == 50
+    assert splits.row_split(marked, "id", 0.1).where("split = 'val'").count() == 5
+    assert splits.group_split(marked.withColumn("grp", F.lit("")), "grp", 0.1, key="id").where("split = 'val'").count() == 5
+    with pytest.raises(ValueError):
+        splits.group_split(marked.withColumn("grp", F.lit("")), "grp", 0.1)
+
+
+def test_derived_groups(spark):
+    of = lambda names: [r["group"] for r in splits.derive_groups(spark.createDataFrame(list(enumerate(names)), "k long, name string"), "name").orderBy("k").collect()]
+    assert of(["cat.jpg", "cat.png", "dog.jpg", "dog.png"]) == ["cat", "cat", "dog", "dog"]
+    assert of(["a_1.jpg", "a-2.jpg", "a 3.x.jpg", "b.jpg", "c.jpg"]) == ["a", "a", "a", None, None]
+    assert of(["a_1.jpg", "a_2.jpg", "b.jpg", "c.jpg", "d"]) == [None] * 5  # two of five are not half
+    assert of(["_1", "_2", "x_1"]) == [None] * 3
+    df = spark.createDataFrame([("x", None), ("y", "s1"), ("z", "")], "name string, subject_id string")
+    assert [r["group"] for r in splits.derive_groups(df, "name").orderBy("name").collect()] == [None, "s1", None]
+
+
+def test_balance_one_against_many(spark):
+    df = spark.range(20_001).select("id", F.when(F.col("id") == 0, "few").otherwise("many").alias("kind"))
+    got = splits.balance(df, ["kind"], "id")
+    assert {r["kind"]: r["count"] for r in got.groupBy("kind").count().collect()} == {"few": 20_000, "many": 20_000}
+    assert tuple(got.where("kind = 'few'").agg(F.min("copy_no"), F.max("copy_no"), F.count_distinct("copy_no")).first()) == (0, 19_999, 20_000)
 
 
 def test_holdouts_balance_weights(people):
@@ -109,6 +137,40 @@ def test_areas_agree(spark):
     assert E.auc(df).first()["roc_auc"] == E.rank_auc(df).first()["roc_auc"]
 
 
+def test_curves_by_definition(spark):
+    """Areas under the points themselves, with many scores, few, one class only, and by group."""
+    rng = random.Random(6)
+    for n, kinds, classes in ((4000, 10**9, 2), (300, 7, 2), (50, 3, 1), (40, 5, 0), (1, 1, 2)):
+        rows = [(f"g{k % 3}", rng.randint(0, 1) if classes == 2 else classes, rng.randrange(kinds) / kinds) for k in range(n)]
+        df = spark.createDataFrame(rows, "grp string, y int, p double")
+        for by in ([], ["grp"]):
+            want = {}
+            for g in sorted({r[0] for r in rows}) if by else [None]:
+                mine = [(y, p) for grp, y, p in rows if g in (None, grp)]
+                pos, neg = sum(y for y, _ in mine), sum(1 - y for y, _ in mine)
+                roc, pr = [(0.0, 0.0)], [(0.0, 1.0)]
+                for t in {p for _, p in mine}:
+                    tp, fp = sum(y for y, p in mine if p >= t), sum(1 - y for y, p in mine if p >= t)
+                    roc.append((fp / max(neg, 1), tp / max(pos, 1)))
+                    pr.append((tp / max(pos, 1), tp / (tp + fp)))
+                roc += [(1.0, 1.0)] if max(x for x, _ in roc) < 1 or max(y for _, y in roc) < 1 else []
+                pr += [(1.0, pos / (pos + neg))] if max(x for x, _ in pr) < 1 else []
+                want[g] = tuple(sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(sorted(c), sorted(c)[1:])) for c in (roc, pr))
+            got = {r["grp"] if by else None: (r["roc_auc"], r["pr_auc"]) for r in E.auc(df, by=by).collect()}
+            assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g], abs=2e-6) for g in want), (n, kinds, classes, by)
+    assert tuple(E.auc(df.where("false")).first()) == (0.0, 0.0)
+
+
+def test_curves_without_one_task(spark):
+    """A million distinct scores: no task reads more than a few slices of them."""
+    df = spark.range(1_000_000).select((F.col("id") % 2).alias("y"), (F.xxhash64("id") / 2.0**64 + F.col("id") % 2 * 0.1).alias("p"))
+    assert 0.55 < E.auc(df).first()["roc_auc"] == E.rank_auc(df).first()["roc_auc"]
+    places = E._by_score(df, "y", "p", [], "__s").groupBy("__s").count().agg(F.max("count"), F.count("*")).first()
+    assert places[0] < 40_000 and places[1] == E.SLICES
+    best = E.select_threshold(df).first()
+    assert best["objective"] > 0.09
+
+
 def test_threshold_choice(spark):
     df = scores(spark, [1, 1, 0, 0], [0.9, 0.8, 0.2, 0.1])
     assert tuple(E.select_threshold(df).first()) == (0.8, 1.0)
@@ -168,10 +230,20 @@ def test_governance(spark):
     base = dict(manifest_path="m", label_mapping_hash="h", split_frozen=True, eval_split="test", tuning_split="val", forbid_test_tuning=True, drift=False, heldout_today=0, override=False)
     cases = [({}, "allowed"), (dict(manifest_path=" "), "manifest_required"), (dict(label_mapping_hash=None), "label_mapping_hash_required"), (dict(split_frozen=False), "split_policy_not_frozen"),
              (dict(tuning_split="test"), "held_out_tuning_forbidden"), (dict(tuning_split="test", override=True), "override_held_out_tuning"), (dict(drift=True), "hash_drift_blocked"),
-             (dict(drift=True, override=True), "override_used_hash_drift"), (dict(heldout_today=2), "daily_heldout_limit"), (dict(heldout_today=2, override=True), "override_daily_heldout_limit"), (dict(eval_split="val", heldout_today=9), "allowed")]
+             (dict(drift=True, override=True), "override_used_hash_drift"), (dict(heldout_today=2), "daily_heldout_limit_exceeded"), (dict(override=True), "override_used_hash_drift"), (dict(heldout_today=2, override=True), "override_daily_heldout_limit"), (dict(eval_split="val", heldout_today=9), "allowed")]
     schema = "manifest_path string, label_mapping_hash string, split_frozen boolean, eval_split string, tuning_split string, forbid_test_tuning boolean, drift boolean, heldout_today int, override boolean"
     got = G.decide(spark.createDataFrame([tuple({**base, **c}.values()) for c, _ in cases], schema), config).collect()
     assert [r["reason"] for r in got] == [r for _, r in cases]
+    assert G.decide(spark.createDataFrame([tuple({**base, **dict(tuning_split="test", override=True)}.values())], schema), config, compat=True).first()["reason"] == "override_used_hash_drift"
+    hashes = spark.createDataFrame([("a", "b", "c", None, "a", "x", "y", "d")], ", ".join(f"{s}_{k} string" for s in ("old", "new") for k in G.ARTIFACT_NAMES))
+    message = G.drift_message(*({k: F.col(f"{s}_{k}") for k in G.ARTIFACT_NAMES} for s in ("old", "new")))
+    one = spark.createDataFrame([tuple({**base, "drift": True}.values())], schema).crossJoin(hashes.select(message.alias("drift_message")))
+    assert G.decide(one, config).first()["reason"] == "hash_drift_blocked: manifest hash mismatch (baseline=b, current=x); model hash mismatch (baseline=c, current=y)"
+    decided = G.decide(spark.createDataFrame([tuple({**base, **c}.values()) for c, _ in cases], schema), config).withColumns({k: F.lit("h") for k in G.ARTIFACTS})
+    none = spark.createDataFrame([], "artifact string, hash string")
+    records, made = G.finalize(G.baseline_pending(decided, none), "run1", "ann", "2024-01-01T00:00:00Z")
+    assert records.where("baseline_created").count() == 2 and tuple(made.collect()[0]) == ("2024-01-01T00:00:00Z", "ann", "run1", "h", "h", "h", "h")
+    assert G.baseline_pending(decided, spark.createDataFrame([("m", "h")], none.schema)).where("baseline_pending").count() == 0
     log = G.access_record(spark, timestamp="2024-01-02", model_hash="m2", allowed=True, valid=True).unionByName(G.access_record(spark, timestamp="2024-01-01", model_hash="m1", manifest_hash="x", allowed=True, valid=True))
     assert {r["artifact"]: r["hash"] for r in G.pin_baseline(log).collect()} == {"manifest_hash": "x", "model_hash": "m1"}
     calls = []
@@ -203,7 +275,30 @@ def test_grids_against_numpy(spark):
     hh = (x[::2, ::2] - x[::2, 1::2] - x[1::2, ::2] + x[1::2, 1::2]) / 2
     b = df.select(grid.haar(F.col("a"), w, h).alias("b")).first()["b"]
     assert np.allclose(b["ll"], ll.ravel()) and np.allclose(np.abs(b["hh"]), np.abs(hh).ravel())
-    assert np.allclose(value(grid.down_up(F.col("a"), w, h)), (ll / 2).repeat(2, 0).repeat(2, 1).ravel())
+    one_d = lambda v, m, wide: np.array([sum(max(0.0, 1 - abs(i - c) / wide) * v[i] for i in range(len(v))) / sum(max(0.0, 1 - abs(i - c) / wide) for i in range(len(v))) for c in ((j + 0.5) * len(v) / m - 0.5 for j in range(m))])
+    for tw, th in ((3, 2), (13, 9), (6, 4), (4, 7)):
+        for soft in (False, True):
+            got = value(grid.resize(F.col("a"), w, h, tw, th, soft)).reshape(th, tw)
+            rows = np.stack([one_d(c, th, max(1.0, h / th) if soft else 1.0) for c in x.T], axis=1)
+            assert np.allclose(got, np.stack([one_d(r, tw, max(1.0, w / tw) if soft else 1.0) for r in rows]))
+    small = grid.resample(F.col("a"), w, grid.area(h, h // 2), grid.area(w, w // 2))
+    assert np.allclose(value(small), (ll / 2).ravel())
+    back = value(grid.resize(small, w // 2, h // 2, w, h, True))
+    assert np.allclose(value(grid.down_up(F.col("a"), w, h, (w // 2, h // 2))), back)
+    lh, hl = (x[::2, ::2] + x[::2, 1::2] - x[1::2, ::2] - x[1::2, 1::2]) / 2, (x[::2, ::2] - x[::2, 1::2] + x[1::2, ::2] - x[1::2, 1::2]) / 2
+    d = df.select(grid.haar_detail(F.col("a"), w, h).alias("d"), grid.haar_layer(F.col("a"), w, h).alias("l"), grid.haar_detail(F.col("a"), w, h, (w, h)).alias("f")).first()
+    low, high = min(b.min() for b in (lh, hl, hh)), max(b.max() for b in (lh, hl, hh))
+    most = max(np.abs(b).max() for b in (lh, hl, hh)) / 2
+    for name, band in (("lh", lh), ("hl", hl), ("hh", hh)):
+        assert np.allclose(d["d"][name], ((band - low) / (high - low + 1e-7)).ravel()) and np.allclose(d["l"][name], (np.abs(band) / 2 / (most + 1e-7)).ravel())
+    full = np.array([d["f"][n] for n in ("lh", "hl", "hh")])
+    assert full.shape == (3, w * h) and full.min() == 0 and full.max() == pytest.approx(1, abs=1e-6)
+    rgb = df.select("k", *[F.transform("a", lambda v: (v * (j + 1)) % 1.0).alias(c) for j, c in enumerate("rgb")])  # noqa: B023
+    seen = {m: rgb.select(grid.dispatch(F.col("r"), F.col("g"), F.col("b"), m, w, h).alias("v")).first()["v"] for m in grid.MODES}
+    assert seen["sobel"]["r"] == seen["sobel"]["b"] and seen["wavelet"]["r"] != seen["wavelet"]["g"]
+    for m in ("sobel", "wavelet"):
+        for c in "rgb":
+            assert np.allclose(seen["rgb+" + m][c], np.clip((np.array(seen["rgb"][c]) + np.array(seen[m][c])) / 2, 0, 1))
     levels = np.minimum(7, (x * 8).astype(int))
     want = np.zeros((8, 8), int)
     for i, j in zip(levels[:, :-1].ravel(), levels[:, 1:].ravel()):
@@ -214,7 +309,7 @@ def test_grids_against_numpy(spark):
     assert df.select(grid.spectrum_features(F.col("a"), w, h).alias("s")).first()["s"]["variance"] == pytest.approx(s.var())
     noisy = value(grid.corrupt(F.col("a"), F.col("k"), "noise05", w, h))
     assert 0 < np.abs(noisy - x.ravel()).mean() < 0.15
-    for bad in (lambda: grid.corrupt(F.col("a"), F.col("k"), "jpeg30", w, h), lambda: grid.dispatch(F.col("a"), "none", w, h)):
+    for bad in (lambda: grid.corrupt(F.col("a"), F.col("k"), "jpeg30", w, h), lambda: grid.dispatch(F.col("a"), F.col("a"), F.col("a"), "none", w, h)):
         with pytest.raises(ValueError):
             bad()
 
