@@ -96,6 +96,22 @@ class Group:
         return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
 
 
+def _touched(cells: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct cells in order, and which of them several documents touch. doc: of each cell, not falling."""
+    if not len(cells):
+        return cells, np.zeros(0, bool)
+    _, rank = np.unique(doc, return_inverse=True)
+    bits = int(rank[-1]).bit_length()
+    if int(cells.max()).bit_length() + bits > 64:
+        order = np.lexsort((rank, cells))
+        cells, rank = cells[order], rank[order]
+    else:  # both fit in one number, which sorts faster than an order is found
+        both = np.sort(cells << np.uint64(bits) | rank.astype(np.uint64))
+        cells, rank = both >> np.uint64(bits), both & np.uint64((1 << bits) - 1)
+    starts = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+    return cells[starts], rank[starts] != rank[np.append(starts[1:], len(cells)) - 1]
+
+
 def _sketch(window: int, depth: int, width: int, block: int):
     """A row per (sketch row, block): this group's cells, and which of them several of its documents touch."""
     schema = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("g", pa.int32()), ("cells", pa.binary()), ("several", pa.binary())])
@@ -104,9 +120,7 @@ def _sketch(window: int, depth: int, width: int, block: int):
         group = Group(docs, window)
         out: list[list] = [[] for _ in range(5)]
         for row in range(depth):
-            cells, first, back = np.unique(group.cells(row, width), return_index=True, return_inverse=True)
-            several = np.zeros(len(cells), bool)
-            several[back[group.doc != group.doc[first][back]]] = True
+            cells, several = _touched(group.cells(row, width), group.doc)
             blocks = (cells // np.uint64(block)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(blocks)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(cells)]):
@@ -138,13 +152,19 @@ def _repeated(group: Group, replies: list[dict], depth: int, width: int, block:
     """Flags of the windows that the sketch estimates repeated."""
     out = np.ones(len(group.h1), bool)
     for row in range(depth):
-        cells, back = np.unique(group.cells(row, width), return_inverse=True)
+        own = group.cells(row, width)
+        cells = np.sort(own)
+        cells = cells[np.concatenate(([True], cells[1:] != cells[:-1]))[: len(cells)]]
         flags, blocks = np.zeros(len(cells), bool), cells // np.uint64(block)
         for r in replies:
             if r["row"] == row:
                 a, b = np.searchsorted(blocks, [r["block"], r["block"] + 1])
                 flags[a:b] = bits_of(r["bits"], b - a)
-        out &= flags[back]
+        hit, left = cells[flags], np.flatnonzero(out)
+        if not len(hit):
+            return np.zeros(len(out), bool)
+        some = own[left]
+        out[left] = hit[np.minimum(np.searchsorted(hit, some), len(hit) - 1)] == some
     return out
 
 

@@ -272,3 +272,16 @@ def test_language_predictions():
     got = m.predict(["the dog sat", "die katze", None, "", "123 !?", "THE CAT"])
     assert got["lang_pred"].tolist() == ["xx", "yy", "und", "und", "und", "xx"]
     assert got["rejected"].tolist()[2:5] == [True] * 3 and got["score"].between(0, 1).all()
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 5)), max_size=60), st.sampled_from([1, 2**40, 2**58]))
+def test_touched_cells(pairs, scale):
+    from quern.llm import substring
+
+    pairs = sorted(pairs, key=lambda p: p[1])
+    cells, docs = np.array([c * scale for c, _ in pairs], np.uint64), np.array([d * 7 for _, d in pairs], np.int64)
+    got, several = substring._touched(cells, docs)
+    by = defaultdict(set)
+    for c, d in pairs:
+        by[c * scale].add(d)
+    assert got.tolist() == sorted(by) and several.tolist() == [len(by[c]) > 1 for c in sorted(by)]
