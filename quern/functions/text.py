@@ -221,21 +221,29 @@ ABBREVIATIONS = (
 DOT = "\ue000"  # stands for a protected dot
 
 
+def _apart(pairs: list[list[str]]) -> list[list[list[str]]]:
+    """Abbreviations of two letters in parts that one pattern can replace at once: none begins with what another ends with."""
+    out: list[list[list[str]]] = [[]]
+    for x, y in pairs:
+        if any(x == b or y == a for a, b in out[-1]):
+            out.append([])
+        out[-1].append([x, y])
+    return out
+
+
 def sentences_protected(c: Column, compat: bool = False) -> Column:
     """Like sentences_capital, with the dots of abbreviations and decimals protected.
 
     compat=True repeats a known loss: the abbreviation's last dot goes and its letters become small.
     """
-    for a in ABBREVIATIONS:
-        pattern = "(?iU)\\b(" + a.replace(".", "\\.") + ")\\."
-        inner = a.replace(".", DOT)
-        if compat:
-            c = F.regexp_replace(c, pattern, inner)
-        elif "." not in a:
-            c = F.regexp_replace(c, pattern, "$1" + DOT)
-        else:
-            first, second = a.split(".")
-            c = F.regexp_replace(c, f"(?iU)\\b({first})\\.({second})\\.", f"$1{DOT}$2{DOT}")
+    if compat:
+        for a in ABBREVIATIONS:
+            c = F.regexp_replace(c, "(?iU)\\b(" + a.replace(".", "\\.") + ")\\.", a.replace(".", DOT))
+    else:
+        c = F.regexp_replace(c, "(?iU)\\b(" + "|".join(a for a in ABBREVIATIONS if "." not in a) + ")\\.", "$1" + DOT)
+        for part in _apart([a.split(".") for a in ABBREVIATIONS if "." in a]):
+            first = "|".join(f"{x}(?=\\.{y}\\.)" for x, y in part)
+            c = F.regexp_replace(c, f"(?iU)\\b({first})\\.(" + "|".join(y for _, y in part) + ")\\.", f"$1{DOT}$2{DOT}")
     c = F.regexp_replace(c, r"(\d)\.(\d)", "$1" + DOT + "$2")
     return F.transform(sentences_capital(c), lambda s: F.replace(s, F.lit(DOT), F.lit(".")))
 

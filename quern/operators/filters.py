@@ -1,7 +1,8 @@
 """Quality filters. Rules run in order and the first that fails names the reason; a null reason is a pass.
 
-Each rule set is one ordered CASE over shared feature columns, so a filter costs one projection and no shuffle. Ratios
-are compared as products where both sides are whole numbers.
+Each rule set is an ordered CASE over the features that it names, and over no others. The rules up to the first that needs sentences or
+counts of words are judged first, and only texts that pass them are taken apart. No shuffle. Ratios are compared as products where
+both sides are whole numbers.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.features import BRACKETED, PUNCTUATION, STOP_ARCHIVE, STOP_STORY, with_features
+from ..functions.features import BRACKETED, DEEP, PUNCTUATION, STOP_ARCHIVE, STOP_STORY, with_features
 
 # Fixed value: spellings of dialect.
 DIALECT = (
@@ -114,16 +115,39 @@ def _rules(kind: str, text: str = "text", repeat: float = 0.03, least_words: int
     return {"abstract": abstract_rules, "old_abstract": old_abstract_rules}[kind]()
 
 
+SETUP = {
+    "book": dict(stop=STOP_STORY, split="any", punctuation=PUNCTUATION),
+    "archive": dict(stop=STOP_ARCHIVE, split="capital", punctuation=BRACKETED),
+    "modern": dict(stop=STOP_STORY, split="protected", punctuation=BRACKETED),
+    "abstract": dict(stop=STOP_ARCHIVE, split="any", punctuation=BRACKETED, strip_stop=False),
+    "old_abstract": dict(stop=STOP_ARCHIVE, split="any", punctuation=BRACKETED),
+}
+#: The features that a rule reads, by the rule's name.
+READS = {
+    "too_short": ("word_count",), "word_count": ("word_count",), "starts_lower": ("starts_lower",), "url": ("has_url",), "digits": ("digit_count", "char_count"),
+    "upper": ("upper_count", "alpha_count"), "quoted": ("quoted_words", "word_count"), "dialect": (), "quote_chars": ("quote_chars", "char_count"),
+    "parentheses": ("paren_chars", "char_count"), "commas": ("comma_count", "word_count"), "symbols": ("symbol_count", "char_count"),
+    "short_words": ("short_word_count", "word_count"), "mean_sentence": ("avg_sentence_words",), "short_sentences": ("short_sentence_ratio",),
+    "long_sentence": ("max_sentence_words",), "repeated_start": ("sentence_count", "top_start_ratio"), "top_word": ("top_word_ratio",), "top10_words": ("top10_ratio",),
+}
+
+
+def _needed(rules: list[tuple[str, Column]]) -> set[str]:
+    return {f for name, _ in rules for f in READS[name]}
+
+
 def with_reason(df: DataFrame, kind: str, text: str = "text", repeat: float = 0.03, least_words: int = 200, out: str = "reason") -> DataFrame:
-    """Add the features and the reason of a rule set: book, archive, modern, abstract or old_abstract."""
-    setup = {
-        "book": dict(stop=STOP_STORY, split="any", punctuation=PUNCTUATION),
-        "archive": dict(stop=STOP_ARCHIVE, split="capital", punctuation=BRACKETED),
-        "modern": dict(stop=STOP_STORY, split="protected", punctuation=BRACKETED),
-        "abstract": dict(stop=STOP_ARCHIVE, split="any", punctuation=BRACKETED, strip_stop=False),
-        "old_abstract": dict(stop=STOP_ARCHIVE, split="any", punctuation=BRACKETED),
-    }[kind]
-    return with_features(df, text, **setup).withColumn(out, _first(_rules(kind, text, repeat, least_words)))
+    """Add the reason of a rule set: book, archive, modern, abstract or old_abstract."""
+    given = [F.col(f"`{c}`") for c in df.columns]
+    rules = _rules(kind, text, repeat, least_words)
+    split = next((k for k, (name, _) in enumerate(rules) if set(READS[name]) & set(DEEP)), len(rules))
+    early, late = rules[:split], rules[split:]
+    judged = with_features(df, text, **SETUP[kind], only=_needed(early)).select(*given, _first(early).alias(out))
+    if not late:
+        return judged
+    left = judged.withColumn("__left", F.when(F.col(out).isNull(), F.col(text)))
+    made = with_features(left, "__left", **SETUP[kind], only=_needed(late))
+    return made.select(*given, F.coalesce(out, F.when(F.col("__left").isNotNull(), _first(late))).alias(out))
 
 
 def min_words(df: DataFrame, least: int, text: str = "text") -> DataFrame:
@@ -162,7 +186,7 @@ def existing_files(df: DataFrame, listing: DataFrame, path: str = "path") -> Dat
 def quality_counts(df: DataFrame, kind: str, text: str = "text", **how) -> DataFrame:
     """(check, n): how many rows break each rule of a set, whatever the order; what a curated corpus should have zero of. One pass."""
     rules = _rules(kind, text, **how)
-    found = with_reason(df, kind, text, **how).agg(*[F.count_if(holds).alias(name) for name, holds in rules])
+    found = with_features(df, text, **SETUP[kind], only=_needed(rules)).agg(*[F.count_if(holds).alias(name) for name, holds in rules])
     pairs = ", ".join(f"'{name}', `{name}`" for name, _ in rules)
     return found.selectExpr(f"stack({len(rules)}, {pairs}) as (check, n)")
 

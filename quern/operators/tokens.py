@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Fixed value: characters that part words besides blanks.
 FILTERS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 OOV = 1
+#: Parts that the words of one count are ranked in.
+SLICES = 64
 
 
 def tokens(c: Column) -> Column:
@@ -19,14 +21,25 @@ def tokens(c: Column) -> Column:
 
 def vocabulary(df: DataFrame, text: str, key: str, limit: int | None = None, oov: bool = True) -> DataFrame:
     """(word, n, id): ids by falling frequency, ties by first place (least key, then place in the text). Ids begin at 2 with an
-    out-of-vocabulary id, else at 1. Only counts are ranked; with `limit` the rank is a top-k before it."""
+    out-of-vocabulary id, else at 1. With `limit` the rank is over a top-k only."""
     found = df.select(F.col(key).alias("__k"), F.posexplode(tokens(F.col(text))).alias("__p", "word"))
     counts = found.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("__k", "__p")).alias("__f"))
     order = [F.desc("n"), F.asc("__f")]
-    if limit is not None:
-        counts = counts.orderBy(*order).limit(limit)
     first = 2 if oov else 1
-    return counts.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + (first - 1)).select("word", "n", "id")
+    if limit is not None:
+        top = counts.orderBy(*order).limit(limit)
+        return top.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + (first - 1)).select("word", "n", "id")
+    # Words of one count are cut at quantiles of their first key, where there are many; slices are counted, and a word's
+    # rank is its slice's offset plus its place there. Counts that occur are few, as they grow by the square of their number.
+    numeric = df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    cuts = counts.agg(F.percentile_approx(F.col("__f.__k"), [k / SLICES for k in range(1, SLICES)], 1000).alias("__cuts")) if numeric else None
+    sliced = counts.crossJoin(cuts).withColumn("__s", F.size(F.filter("__cuts", lambda c: c < F.col("__f.__k")))).drop("__cuts") if numeric else counts.withColumn("__s", F.lit(0))
+    sizes = sliced.groupBy(F.col("n").alias("__n"), F.col("__s").alias("__z")).agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__n"), "__z").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__n", "__z", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("n", "__s").orderBy("__f"))
+    ranked = sliced.withColumn("__i", place).join(offsets, (F.col("n") == F.col("__n")) & (F.col("__s") == F.col("__z")))
+    return ranked.select("word", "n", (F.col("__before") + F.col("__i") + (first - 1)).cast("int").alias("id"))
 
 
 def encode(df: DataFrame, vocab: DataFrame, text: str, key: str, length: int, padding: str = "post", truncating: str = "post", num_words: int | None = None, oov: bool = True, out: str = "ids") -> DataFrame:
@@ -90,25 +103,39 @@ def cross_validate(df: DataFrame, make: Callable, fold: str = "fold", label: str
 
 
 def score_texts(df: DataFrame, load: Callable[[], Callable[[list[str]], list[float]]], text: str = "text", out: str = "score") -> DataFrame:
-    """Score with an external model, loaded once in a Python worker. Texts of fewer than 10 characters and failed batches get null."""
+    """Score with an external model, loaded once in a Python worker. Texts of fewer than 10 characters get null. A batch that fails is
+    tried again text by text, so one bad text costs its own score only; score_errors() has the reasons."""
+    return _scored(df, load, text).select(*[F.col(f"`{c}`") for c in df.columns], F.col("__scored.score").alias(out))
+
+
+def score_errors(df: DataFrame, load: Callable[[], Callable[[list[str]], list[float]]], text: str = "text") -> DataFrame:
+    """The rows whose text the model refuses, with the error."""
+    return _scored(df, load, text).where("__scored.error is not null").select(*[F.col(f"`{c}`") for c in df.columns], F.col("__scored.error").alias("error"))
+
+
+def _scored(df: DataFrame, load: Callable, text: str) -> DataFrame:
     import pandas as pd
 
     state: dict = {}
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("struct<score:double,error:string>")
     def run(texts):
         if "model" not in state:
             state["model"] = load()
-        ok = texts.notna() & (texts.str.len() >= 10)
-        scores = pd.Series([None] * len(texts), index=texts.index, dtype="float64")
-        if ok.any():
-            try:
-                scores[ok] = state["model"](texts[ok].tolist())
-            except Exception:  # noqa: BLE001  a bad batch must not end the job
-                pass
-        return scores
-
-    return df.withColumn(out, run(F.col(text)))
+        out = pd.DataFrame({"score": pd.Series(None, index=texts.index, dtype="float64"), "error": pd.Series(None, index=texts.index, dtype="object")})
+        ok = texts.index[texts.notna() & (texts.str.len() >= 10)]
+        try:
+            if len(ok):
+                out.loc[ok, "score"] = [float(x) for x in state["model"](texts[ok].tolist())]
+        except Exception:  # noqa: BLE001  the model's errors are not known here
+            for k in ok:
+                try:
+                    out.loc[k, "score"] = float(state["model"]([texts[k]])[0])
+                except Exception as e:  # noqa: BLE001
+                    out.loc[k, "error"] = f"{type(e).__name__}: {e}"
+        return out
+
+    return df.withColumn("__scored", run(F.col(text)))
 
 
 def score_images(df: DataFrame, load: Callable, content: str = "content", out: str = "score", batch: int = 64) -> DataFrame:

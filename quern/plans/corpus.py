@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.features import with_features
 from ..operators import chunk, dedup, filters, profile, tokens
+from ..sources.tables import spread
 from .registry import query, table
 
+
+def docs(spark, sf):
+    return spread(table(spark, sf, "documents"))
+
+
 SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 LEAKLESS = r"regexp_replace(regexp_replace(text, '\[AI[^\]]*\]', '', 'g'), '\[Human[^\]]*\]', '', 'g')"
 WORDS = r"list_filter(string_split_regex({}, '\s+'), lambda w: w <> '')"
@@ -16,7 +22,7 @@ STATS = "min({0}) AS min_{1}, max({0}) AS max_{1}, round(avg({0}), 6) AS mean_{1
 
 
 def cleaned(spark, sf):
-    return table(spark, sf, "documents").withColumn("text", T.squeeze(T.strip_leak_labels(F.col("text"))))
+    return docs(spark, sf).withColumn("text", T.squeeze(T.strip_leak_labels(F.col("text"))))
 
 
 @query(f"""
@@ -29,15 +35,18 @@ def corpus_word_stats(spark, sf):
     return profile.word_stats(dedup.dedup_first(filters.min_words(cleaned(spark, sf), 10), ["text"], "doc_id"), "lang")
 
 
-@query(f"SELECT doc_id, md5({SQUEEZE.format(LEAKLESS)}) AS h FROM documents")
+@query(f"SELECT doc_id, md5({SQUEEZE.format(LEAKLESS)}) AS h FROM (SELECT doc_id, '[AI text ' || doc_id || '] ' || text || ' [Human: ' || lang || ']' AS text FROM documents)")
 def clean_leak_labels(spark, sf):
-    return cleaned(spark, sf).select("doc_id", F.md5("text").alias("h"))
+    """Each text has a label before it and one behind."""
+    marked = docs(spark, sf).withColumn("text", F.concat(F.lit("[AI text "), F.col("doc_id").cast("string"), F.lit("] "), "text", F.lit(" [Human: "), "lang", F.lit("]")))
+    return marked.select("doc_id", F.md5(T.squeeze(T.strip_leak_labels(F.col("text")))).alias("h"))
 
 
 @query()
 def clean_markdown(spark, sf):
-    t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.remove_markdown(t)).alias("h"), (T.remove_markdown(t) != t).alias("changed"))
+    """Each text stands below a heading made of its id, with emphasis and a list, so that the rules have something to do."""
+    t = F.concat(F.lit("## Part "), "doc_id", F.lit("\n- **bold** and *thin*\n"), "text")
+    return docs(spark, sf).select("doc_id", F.md5(T.remove_markdown(t)).alias("h"), (T.remove_markdown(t) != t).alias("changed"))
 
 
 _META = (
@@ -47,16 +56,30 @@ _META = (
 )
 
 
-@query(rf"SELECT doc_id, md5(regexp_replace({_META}, '^\s+|\s+$', '', 'g')) AS h FROM documents")
+#: What rewriters put around a text, around three of four.
+_AROUND = r"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Here is the rewritten text:' || chr(10) || text || ' I hope this helps.' WHEN 1 THEN 'This is a revised essay of ' || doc_id || '. ' || text
+  WHEN 2 THEN text || ' Let me know if it is too long.' ELSE text END AS text FROM documents)"""
+
+
+def _around(spark, sf):
+    t, k = F.col("text"), F.col("doc_id") % 4
+    made = F.when(k == 0, F.concat(F.lit("Here is the rewritten text:\n"), t, F.lit(" I hope this helps."))).when(k == 1, F.concat(F.lit("This is a revised essay of "), F.col("doc_id").cast("string"), F.lit(". "), t))
+    return docs(spark, sf).withColumn("text", made.when(k == 2, F.concat(t, F.lit(" Let me know if it is too long."))).otherwise(t))
+
+
+@query(rf"{_AROUND} SELECT doc_id, md5(regexp_replace({_META}, '^\s+|\s+$', '', 'g')) AS h FROM d")
 def clean_meta(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.remove_meta(F.col("text"))).alias("h"))
+    return _around(spark, sf).select("doc_id", F.md5(T.remove_meta(F.col("text"))).alias("h"))
 
 
 @query(r"""
-WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)^(?:so[,\s]+(?:basically[,\s]+|here''?s?\s+the\s+thing[,\s]*|anyway[,\s]+|yeah[,\s]+)?)', ''), '^\s+|\s+$', '', 'g') AS t FROM documents)
+WITH c AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)^(?:so[,\s]+(?:basically[,\s]+|here''?s?\s+the\s+thing[,\s]*|anyway[,\s]+|yeah[,\s]+)?)', ''), '^\s+|\s+$', '', 'g') AS t FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'So, basically, ' || text WHEN 1 THEN 'so here''s the thing, ' || text ELSE text END AS text FROM documents))
 SELECT doc_id, md5(upper(substr(t, 1, 1)) || substr(t, 2)) AS h FROM c""")
 def clean_filler(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.remove_filler(F.col("text"))).alias("h"))
+    """Two of three texts begin with a filler."""
+    t, k = F.col("text"), F.col("doc_id") % 3
+    opened = F.when(k == 0, F.concat(F.lit("So, basically, "), t)).when(k == 1, F.concat(F.lit("so here's the thing, "), t)).otherwise(t)
+    return docs(spark, sf).select("doc_id", F.md5(T.remove_filler(opened)).alias("h"))
 
 
 _FOLD = "regexp_replace(replace(replace(replace(translate({}, '—–‘’“”éèàçêâôûîïüöä', '--''''\"\"eeaceaouiiuoa'), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss'), '[^\\x00-\\x7F]', '', 'g')"
@@ -64,7 +87,7 @@ _FOLD = "regexp_replace(replace(replace(replace(translate({}, '—–‘’“
 
 @query(f"SELECT doc_id, md5({_FOLD.format('text')}) AS h FROM documents")
 def ascii_fold(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.fold_ascii(F.col("text"))).alias("h"))
+    return docs(spark, sf).select("doc_id", F.md5(T.fold_ascii(F.col("text"))).alias("h"))
 
 
 _RUNS = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '!{{2,}}', '!', 'g'), '\?{{2,}}', '?', 'g'), '\.{{3,}}', '.', 'g'), '-{{3,}}', '-', 'g'), '\s+', ' ', 'g'))"
@@ -72,7 +95,7 @@ _RUNS = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regex
 
 @query(f"SELECT doc_id, md5({_RUNS.format(_FOLD.format('text'))}) AS h FROM documents")
 def normalize_punctuation(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("h"))
+    return docs(spark, sf).select("doc_id", F.md5(T.normalize(F.col("text"))).alias("h"))
 
 
 _FOLD_SHORT = "regexp_replace(replace(replace(translate({}, '—–‘’“”éèàç', '--''''\"\"eeac'), 'æ', 'ae'), 'œ', 'oe'), '[^\\x00-\\x7F]', '', 'g')"
@@ -84,57 +107,66 @@ k AS (SELECT doc_id, array_to_string(list_filter(ls, lambda x: x <> '' AND NOT (
 n AS (SELECT doc_id, {_FOLD_SHORT.format('t')} AS t FROM k)
 SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!{{2,}}', '!', 'g'), '\.{{3,}}', '.', 'g'), '-{{3,}}', '-', 'g'), '\s+', ' ', 'g'))) AS h FROM n""")
 def clean_archive(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_archive(F.col("text"))).alias("h"))
+    return docs(spark, sf).select("doc_id", F.md5(T.clean_archive(F.col("text"))).alias("h"))
 
 
 @query()
 def clean_book(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_book(F.col("text"))).alias("h"))
+    return docs(spark, sf).select("doc_id", F.md5(T.clean_book(F.col("text"))).alias("h"))
+
 
+def _chain(c, *pairs):
+    for pattern, new in pairs:
+        c = "regexp_replace({}, '{}', '{}', 'g')".format(c, pattern, new)
+    return c
 
-_WIKI = "html"
-for _p, _n in T.WIKI:
-    _WIKI = "regexp_replace({}, '{}', '{}', 'g')".format(_WIKI, _p.replace("'", "''"), _n.replace("$2", r"\2"))
+
+# Fixed values, written out for the SQL: the markup of wiki texts and of abstracts.
+_WIKI = _chain(
+    "html", (r"\[[0-9]+\]", ""), (r"\[note [0-9]+\]", ""), (r"\[[a-z]\]", ""), (r"\([^)]*(ˈ|ˌ)[^)]*\)", ""), (r"\([0-9]+°(N|S)[^)]*\)", ""), ("<[^>]+>", ""),
+    (r"\{{\{{[^}}]*\}}\}}".replace("{{", "{").replace("}}", "}"), ""), (r"\[\[([^\]|]+\|)?([^\]]+)\]\]", r"\2"), ("''{2,3}", ""), (r"\([^)]{1,25}\)", ""),
+)
 
 
 @query(f"SELECT page_id, md5({_RUNS.format(_FOLD.format(_WIKI))}) AS h FROM pages")
 def clean_wiki(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(T.clean_wiki(F.col("html"))).alias("h"))
+    return spread(table(spark, sf, "pages")).select("page_id", F.md5(T.clean_wiki(F.col("html"))).alias("h"))
 
 
 @query()
 def clean_forum(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.md5(T.clean_forum(F.col("html"))).alias("h"))
+    return spread(table(spark, sf, "pages")).select("page_id", F.md5(T.clean_forum(F.col("html"))).alias("h"))
 
 
-_LATEX = "text"
-for _p, _n in T.LATEX:
-    _LATEX = "regexp_replace({}, '{}', '{}', 'g')".format(_LATEX, _p.replace("(?U)", "").replace("(?d)", ""), _n)
+_LATEX = _chain(
+    "text", (r"\$[^$]+\$", ""), (r"\$\$[^$]+\$\$", ""), (r"\\[\p{L}\p{N}_]+\{[^}]*\}", ""), (r"\\[\p{L}\p{N}_]+", ""), (r"\{[^}]*\}", ""), (r"\[[0-9]+\]", ""),
+    (r"\(cf\.[^\n]*?\)", ""), (r"[^\x00-\x7F]", ""), (r"\.{3,}", "."),
+)
 
 
 @query(f"SELECT doc_id, md5({SQUEEZE.format(_LATEX)}) AS h FROM documents")
 def clean_abstract(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_abstract(F.col("text"))).alias("h"))
+    return docs(spark, sf).select("doc_id", F.md5(T.clean_abstract(F.col("text"))).alias("h"))
 
 
 @query(f"SELECT doc_id, md5(coalesce({SQUEEZE.format('lower(text)')}, '')) AS h FROM documents")
 def lower_squeezed(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.lower_squeezed(F.col("text"))).alias("h"))
+    return docs(spark, sf).select("doc_id", F.md5(T.lower_squeezed(F.col("text"))).alias("h"))
 
 
 @query(rf"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace({SQUEEZE.format('text')}, '[^\x00-\x7F]+', ' ', 'g'), '\b\w{{1,2}}\b', '', 'g'), '\s+', ' ', 'g'))) AS h FROM documents""")
 def clean_ocr(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_ocr(F.col("text"))).alias("h"))
+    return docs(spark, sf).select("doc_id", F.md5(T.clean_ocr(F.col("text"))).alias("h"))
 
 
 @query(r"""SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: regexp_replace(s, '\s', '', 'g') <> '')) AS INT) AS sentences FROM documents""")
 def sentence_counts(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(T.sentences_capital(F.col("text"))).alias("sentences"))
+    return docs(spark, sf).select("doc_id", F.size(T.sentences_capital(F.col("text"))).alias("sentences"))
 
 
 @query()
 def protected_sentences(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(T.sentences_protected(F.col("text"))).alias("sentences"), F.size(T.sentences_any(F.col("text"))).alias("parts"))
+    return docs(spark, sf).select("doc_id", F.size(T.sentences_protected(F.col("text"))).alias("sentences"), F.size(T.sentences_any(F.col("text"))).alias("parts"))
 
 
 @query(rf"""
@@ -144,7 +176,7 @@ SELECT doc_id, CAST(len({WORDS.format('text')}) AS INT) AS word_count, CAST(leng
   CAST(length(regexp_replace(text, '\P{{L}}', '', 'g')) AS INT) AS alpha_count, CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS INT) AS digit_count,
   regexp_matches(text, '^\p{{Ll}}') AS starts_lower, regexp_matches(text, 'https?://') AS has_url FROM documents""")
 def text_features(spark, sf):
-    df = with_features(table(spark, sf, "documents"))
+    df = with_features(docs(spark, sf))
     return df.select("doc_id", "word_count", "char_count", "quote_chars", "paren_chars", "comma_count", "upper_count", "alpha_count", "digit_count", "starts_lower", "has_url")
 
 
@@ -156,16 +188,21 @@ r AS (SELECT doc_id, CASE WHEN n NOT BETWEEN 100 AND 350 THEN 'word_count' WHEN
 
 @query(f"{_OLD} SELECT doc_id, reason FROM r")
 def filter_old_abstract(spark, sf):
-    return filters.with_reason(table(spark, sf, "documents"), "old_abstract").select("doc_id", "reason")
+    return filters.with_reason(docs(spark, sf), "old_abstract").select("doc_id", "reason")
 
 
 @query(f"{_OLD} SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason")
 def filter_reason_topk(spark, sf):
-    return chunk.reason_tally(filters.with_reason(table(spark, sf, "documents"), "old_abstract"))
+    return chunk.reason_tally(filters.with_reason(docs(spark, sf), "old_abstract"))
 
 
-_START = ", ".join(f"'{w}'" for w in __import__("quern.functions.features", fromlist=["START_STOP"]).START_STOP)
-_STOP = ", ".join(f"'{w}'" for w in __import__("quern.functions.features", fromlist=["STOP_ARCHIVE"]).STOP_ARCHIVE)
+# Fixed values, written out for the SQL: stop words at a sentence's start, and those of archives.
+_START = "'" + "', '".join("the a an in it he she this that they we i its his her their our at on by as of to for and but".split()) + "'"
+_STOP = "'" + "', '".join(
+    """that with they have were would will which what their from this been there very into could then them him her she his you the and but for not are was
+    had has its our more some when than also just like about over after before being other much well only even back know here time down still again never same
+    away make made take took look because though without through every might must each where while always already between""".split()
+) + "'"
 
 
 @query(rf"""
@@ -186,29 +223,29 @@ SELECT f.doc_id, CASE
   WHEN coalesce(ct.top / ct.total, 0) > CAST(0.04 AS DOUBLE) THEN 'top_word' END AS reason
 FROM f JOIN sw USING (doc_id) JOIN q USING (doc_id) LEFT JOIN ct USING (doc_id) LEFT JOIN sc USING (doc_id)""")
 def filter_archive(spark, sf):
-    return filters.with_reason(table(spark, sf, "documents"), "archive", least_words=50).select("doc_id", "reason")
+    return filters.with_reason(docs(spark, sf), "archive", least_words=50).select("doc_id", "reason")
 
 
 @query()
 def filter_book(spark, sf):
-    return filters.with_reason(table(spark, sf, "documents"), "book").select("doc_id", "reason")
+    return filters.with_reason(docs(spark, sf), "book").select("doc_id", "reason")
 
 
 @query()
 def filter_modern(spark, sf):
-    return filters.with_reason(table(spark, sf, "documents"), "modern", least_words=50).select("doc_id", "reason")
+    return filters.with_reason(docs(spark, sf), "modern", least_words=50).select("doc_id", "reason")
 
 
 @query()
 def filter_abstract(spark, sf):
-    return filters.with_reason(table(spark, sf, "documents"), "abstract").select("doc_id", "reason")
+    return filters.with_reason(docs(spark, sf), "abstract").select("doc_id", "reason")
 
 
 @query()
 def quality_recheck(spark, sf):
     """The archive rules over what the archive filter kept: every count is zero."""
-    docs = table(spark, sf, "documents")
-    kept = filters.with_reason(docs, "archive", least_words=50).where("reason is null").select(*docs.columns)
+    texts = docs(spark, sf)
+    kept = filters.with_reason(texts, "archive", least_words=50).where("reason is null").select(*texts.columns)
     return filters.quality_counts(kept, "archive", least_words=50)
 
 
@@ -220,7 +257,7 @@ r AS (SELECT doc_id, lang, CAST(k AS INT) AS chunk_no, array_to_string(x, ' ') A
 
 
 def _chunks(spark, sf):
-    return chunk.fixed_chunks(table(spark, sf, "documents").select("doc_id", "lang", "text"), size=50, least=20, most=50).drop("text")
+    return chunk.fixed_chunks(docs(spark, sf).select("doc_id", "lang", "text"), size=50, least=20, most=50).drop("text")
 
 
 @query(f"{_CHUNK} SELECT doc_id, chunk_no, md5(chunk) AS h FROM r")
@@ -242,7 +279,7 @@ def target_per_category(spark, sf):
 
 @query()
 def sentence_chunks(spark, sf):
-    return chunk.sentence_chunks(table(spark, sf, "documents"), "archive", size=80, least=40, most=100, skip=2).select("doc_id", "chunk_no", F.md5("chunk").alias("h"), "word_count")
+    return chunk.sentence_chunks(docs(spark, sf), "archive", size=80, least=40, most=100, skip=2).select("doc_id", "chunk_no", F.md5("chunk").alias("h"), "word_count")
 
 
 @query(r"""
@@ -263,7 +300,7 @@ FROM (SELECT lang, text, quality, CAST(len({WORDS.format('text')}) AS INT) AS w,
 
 
 def _labelled(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    return docs(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left")
 
 
 @query(f"SELECT {_PROFILE}")
@@ -278,12 +315,12 @@ def profile_rollup(spark, sf):
 
 @query("SELECT count(n_chars) AS count, round(avg(n_chars), 6) AS mean, round(stddev_samp(n_chars), 6) AS std, min(n_chars) AS min, quantile_cont(n_chars, 0.25) AS q25, quantile_cont(n_chars, 0.5) AS q50, quantile_cont(n_chars, 0.75) AS q75, max(n_chars) AS max FROM documents")
 def describe_lengths(spark, sf):
-    return profile.describe(table(spark, sf, "documents"), "n_chars")
+    return profile.describe(docs(spark, sf), "n_chars")
 
 
 @query("SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")
 def source_frequencies(spark, sf):
-    return profile.frequencies(table(spark, sf, "documents"), "source", "lang")
+    return profile.frequencies(docs(spark, sf), "source", "lang")
 
 
 @query(f"""
@@ -297,49 +334,49 @@ def class_shares(spark, sf):
 WITH a AS (SELECT text AS t0, {LEAKLESS} AS t1 FROM documents), b AS (SELECT *, {SQUEEZE.format('t1')} AS t2 FROM a), c AS (SELECT *, lower(t2) AS t3 FROM b)
 SELECT 'labels' AS step, count(*) FILTER (t1 <> t0) AS changed FROM c UNION ALL SELECT 'squeeze', count(*) FILTER (t2 <> t1) FROM c UNION ALL SELECT 'lower', count(*) FILTER (t3 <> t2) FROM c""")
 def cleaning_report(spark, sf):
-    return profile.step_report(table(spark, sf, "documents"), "text", [("labels", T.strip_leak_labels), ("squeeze", T.squeeze), ("lower", F.lower)])
+    return profile.step_report(docs(spark, sf), "text", [("labels", T.strip_leak_labels), ("squeeze", T.squeeze), ("lower", F.lower)])
 
 
 @query(rf"""
-WITH c AS (SELECT item_id, word, count(*) AS n FROM (SELECT item_id, unnest({WORDS.format('lower(text)')}) AS word FROM benchmark) GROUP BY item_id, word)
+WITH c AS (SELECT doc_id AS item_id, word, count(*) AS n FROM (SELECT doc_id, unnest({WORDS.format('lower(text)')}) AS word FROM documents) GROUP BY doc_id, word)
 SELECT item_id, word, n, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, word) AS k FROM c) WHERE k <= 3""")
 def top_words(spark, sf):
-    return profile.top_words(table(spark, sf, "benchmark"), "item_id")
+    return profile.top_words(docs(spark, sf).select(F.col("doc_id").alias("item_id"), "text"), "item_id")
 
 
 _TOKENS = "list_filter(string_split(translate(lower(text), '!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~' || chr(9) || chr(10), repeat(' ', 33)), ' '), lambda w: w <> '')"
 _VOCAB = f"""
-WITH t AS (SELECT item_id, w, i FROM (SELECT item_id, unnest({_TOKENS}) AS w, unnest(range(0, len({_TOKENS}))) AS i FROM benchmark)),
+WITH t AS (SELECT item_id, w, i FROM (SELECT item_id, unnest({_TOKENS}) AS w, unnest(range(0, len({_TOKENS}))) AS i FROM (SELECT doc_id AS item_id, text FROM documents))),
 c AS (SELECT w AS word, count(*) AS n, min((item_id, i)) AS f FROM t GROUP BY w),
 v AS (SELECT word, n, CAST(row_number() OVER (ORDER BY n DESC, f) + 1 AS INT) AS id FROM c)"""
 
 
 @query(f"{_VOCAB} SELECT word, n, id FROM v")
 def vocabulary(spark, sf):
-    return tokens.vocabulary(table(spark, sf, "benchmark"), "text", "item_id")
+    return tokens.vocabulary(docs(spark, sf), "text", "doc_id")
 
 
 @query(f"""{_VOCAB}, e AS (SELECT item_id, list(CASE WHEN id < 200 THEN id ELSE 1 END ORDER BY i) AS ids FROM t JOIN v ON w = word GROUP BY item_id)
-SELECT item_id, array_to_string(list_resize(ids, 20, 0), ',') AS ids FROM e""")
+SELECT doc_id, coalesce(array_to_string(list_resize(ids, 20, 0), ','), repeat('0,', 19) || '0') AS ids FROM documents LEFT JOIN e ON doc_id = item_id""")
 def encode_pad(spark, sf):
-    b = table(spark, sf, "benchmark")
-    made = tokens.encode(b, tokens.vocabulary(b, "text", "item_id"), "text", "item_id", 20, num_words=200)
-    return made.select("item_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    d = docs(spark, sf)
+    made = tokens.encode(d, tokens.vocabulary(d, "text", "doc_id"), "text", "doc_id", 20, num_words=200)
+    return made.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS preview FROM documents")
 def previews(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
+    return docs(spark, sf).select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
 @query(r"SELECT page_id, regexp_matches(trim(url), '(?i)^https?://[^\s/$.?#].[^\s]*$') AS valid, coalesce(nullif(trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '_'), ''), 'unknown') AS slug FROM pages")
 def url_slugs(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.valid_url(F.col("url")).alias("valid"), T.slug(F.col("url")).alias("slug"))
+    return spread(table(spark, sf, "pages")).select("page_id", T.valid_url(F.col("url")).alias("valid"), T.slug(F.col("url")).alias("slug"))
 
 
 @query()
 def tfidf_lr(spark, sf):
     """Fit TF-IDF with logistic regression on labelled documents and score them."""
     rows = _labelled(spark, sf).where("quality is not null").select("doc_id", "text", F.col("quality").alias("y"))
-    model = tokens.tfidf_pipeline(terms=2000, max_iter=20).fit(rows)
+    model = tokens.tfidf_pipeline().fit(rows)
     return model.transform(rows).select("doc_id", "y", F.col("prediction").cast("int").alias("pred"))

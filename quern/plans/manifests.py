@@ -60,13 +60,22 @@ def exact_dup_groups(spark, sf):
     return dedup.exact_groups(manifest(spark, sf)).select("path", "group_size")
 
 
+# Embeddings as images of 64 pixels; each comes again with its last two pixels turned over, and every seventh as it is.
 _AHASH = """
-WITH e AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN CAST(x AS DOUBLE) >= list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE))) / len(embedding) THEN '1' ELSE '0' END), '') AS bits FROM embeddings)"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings),
+x AS (SELECT vec_id, a FROM v UNION ALL SELECT vec_id + 1000000, a[1:62] || [-a[63], -a[64]] FROM v UNION ALL SELECT vec_id + 2000000, a FROM v WHERE vec_id % 7 = 0),
+e AS (SELECT vec_id, a, array_to_string(list_transform(a, lambda x: CASE WHEN x >= list_sum(a) / len(a) THEN '1' ELSE '0' END), '') AS bits FROM x)"""
+
+
+def images(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
+    turned = v.select(F.col("vec_id") + 1_000_000, F.concat(F.slice("a", 1, 62), F.array(-F.get("a", F.lit(62)), -F.get("a", F.lit(63)))))
+    return v.union(turned).union(v.where("vec_id % 7 = 0").select(F.col("vec_id") + 2_000_000, "a"))
 
 
 def hashed(spark, sf):
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("path"), dedup.average_hash_bits(v, "bits")).withColumn("ahash", dedup.bits_to_long(F.col("bits")))
+    made = images(spark, sf).select(F.col("vec_id").alias("path"), "a", dedup.average_hash_bits(F.col("a"), "bits"))
+    return made.withColumn("ahash", dedup.bits_to_long(F.col("bits")))
 
 
 @query(f"{_AHASH} SELECT vec_id AS path, bits FROM e")
@@ -84,24 +93,18 @@ def near_dup_pairs_banded(spark, sf):
     return dedup.near_pairs_banded(hashed(spark, sf), most=8).select("a_path", "b_path", "distance")
 
 
-@query(f"""{_MAN}, p AS (SELECT a.split <> b.split AS x FROM m a JOIN m b USING (hash) WHERE a.path < b.path)
-SELECT (SELECT count(*) FROM m) AS files, (SELECT count(*) FROM m WHERE hash IS NULL) AS errors, (SELECT count(*) FROM p) AS exact_pairs, (SELECT count(*) FROM p WHERE x) AS exact_cross_split, 0::BIGINT AS near_pairs, 0::BIGINT AS near_cross_split""")
-def dup_summary(spark, sf):
-    m = manifest(spark, sf)
-    pairs = dedup.exact_pairs(m)
-    return dedup.audit_summary(m, pairs, pairs.where("false"))
+_SPLIT = "CASE WHEN vec_id % 10 < 7 THEN 'train' WHEN vec_id % 10 < 9 THEN 'val' ELSE 'test' END"
 
 
-@query(f"""{_AHASH}, m AS (SELECT vec_id AS path, embedding, bits, CASE WHEN vec_id % 10 < 7 THEN 'train' WHEN vec_id % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM e JOIN embeddings USING (vec_id)),
-p AS (SELECT a.split <> b.split AS x FROM m a JOIN m b ON a.embedding = b.embedding AND a.path < b.path),
+@query(f"""{_AHASH}, m AS (SELECT vec_id AS path, a AS hash, bits, {_SPLIT} AS split FROM e),
+p AS (SELECT a.split <> b.split AS x FROM m a JOIN m b ON a.hash = b.hash AND a.path < b.path),
 n AS (SELECT a.split <> b.split AS x FROM m a JOIN m b ON substr(a.bits, 1, 16) = substr(b.bits, 1, 16) AND a.path < b.path WHERE hamming(a.bits, b.bits) <= 5)
-SELECT (SELECT count(*) FROM m) AS files, (SELECT count(*) FROM m WHERE embedding IS NULL) AS errors, (SELECT count(*) FROM p) AS exact_pairs, (SELECT count(*) FROM p WHERE x) AS exact_cross_split, (SELECT count(*) FROM n) AS near_pairs, (SELECT count(*) FROM n WHERE x) AS near_cross_split""")
-def dup_summary_near(spark, sf):
-    """The audit summary with both halves, over embeddings as files; dup_summary's texts have no average hash."""
+SELECT (SELECT count(*) FROM m) AS files, (SELECT count(*) FROM m WHERE hash IS NULL) AS errors, (SELECT count(*) FROM p) AS exact_pairs, (SELECT count(*) FROM p WHERE x) AS exact_cross_split, (SELECT count(*) FROM n) AS near_pairs, (SELECT count(*) FROM n WHERE x) AS near_cross_split""")
+def dup_summary(spark, sf):
+    """The audit summary with both halves."""
     d = F.col("path") % 10
     split = F.when(d < 7, "train").when(d < 9, "val").otherwise("test")
-    raw = table(spark, sf, "embeddings").select(F.col("vec_id").alias("path"), F.col("embedding").alias("hash"))
-    m = hashed(spark, sf).join(raw, "path").withColumn("split", split)
+    m = hashed(spark, sf).withColumn("split", split).withColumnRenamed("a", "hash")
     return dedup.audit_summary(m, dedup.exact_pairs(m), dedup.near_pairs(m))
 
 
@@ -165,33 +168,61 @@ def kfold(spark, sf):
     return splits.stratified_folds(table(spark, sf, "labels").select("doc_id", "quality"), "quality", "doc_id", 5)
 
 
+_UNKNOWN = "CASE WHEN lang = 'fr' THEN 'skipped_unknown' END"
+
+
+def _partly_known(spark, sf):
+    """Documents of one language have no label: a split leaves them as they are."""
+    return table(spark, sf, "documents").select("doc_id", "source", F.when(F.col("lang") == "fr", "skipped_unknown").alias("split"))
+
+
 @query(f"""
-WITH g AS (SELECT source AS g, count(*) AS n FROM documents WHERE trim(source) <> '' GROUP BY source),
+WITH d AS (SELECT doc_id, source, {_UNKNOWN} AS u FROM documents), e AS (SELECT * FROM d WHERE u IS NULL),
+g AS (SELECT source AS g, count(*) AS n FROM e WHERE source <> '' GROUP BY source),
 s AS (SELECT g, coalesce(sum(n) OVER (ORDER BY {_H.format('g')}, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
-t AS (SELECT greatest(1, CAST(floor(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT)) AS t FROM documents)
-SELECT doc_id, source, CASE WHEN before < t THEN 'val' ELSE 'train' END AS split FROM documents LEFT JOIN s ON source = g CROSS JOIN t""")
+t AS (SELECT greatest(1, CAST(floor(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT)) AS t FROM e)
+SELECT doc_id, source, CASE WHEN u IS NOT NULL THEN u WHEN before < t THEN 'val' ELSE 'train' END AS split FROM d LEFT JOIN s ON source = g CROSS JOIN t""")
 def group_split(spark, sf):
-    return splits.group_split(table(spark, sf, "documents").select("doc_id", "source"), "source", 0.2)
+    return splits.group_split(_partly_known(spark, sf), "source", 0.2)
 
 
-@query(f"""SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY {_H.format('doc_id')}, doc_id) <= greatest(1, floor((SELECT count(*) FROM documents) * CAST(0.1 AS DOUBLE))) THEN 'val' ELSE 'train' END AS split FROM documents""")
+_ROWS = f"""
+WITH d AS (SELECT doc_id, {_UNKNOWN} AS u FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY {_H.format('doc_id')}, doc_id) AS k FROM d WHERE u IS NULL)
+SELECT doc_id, coalesce(u, CASE WHEN k <= greatest(1, floor((SELECT count(*) FROM r) * CAST(0.1 AS DOUBLE))) THEN 'val' ELSE 'train' END) AS split FROM d LEFT JOIN r USING (doc_id)"""
+
+
+@query(_ROWS)
 def row_split(spark, sf):
-    return splits.row_split(table(spark, sf, "documents").select("doc_id"), "doc_id", 0.1)
+    return splits.row_split(_partly_known(spark, sf).select("doc_id", "split"), "doc_id", 0.1)
+
+
+@query(_ROWS)
+def group_split_without_groups(spark, sf):
+    """Rows are split where no row has a group."""
+    return splits.group_split(_partly_known(spark, sf).withColumn("source", F.lit("")), "source", 0.1, key="doc_id").select("doc_id", "split")
 
 
 _GROUPS = r"""
-WITH p AS (SELECT page_id, nullif(regexp_extract(regexp_extract(split_part(split_part(url, '://', 2), '/', 1), '([^/\\]*)$', 1), '^([^_\- ]+)[_\- ]', 1), '') AS p FROM pages),
-n AS (SELECT p AS q, count(*) AS n FROM p WHERE p IS NOT NULL GROUP BY p HAVING count(*) > 1),
-j AS (SELECT page_id, q, n FROM p LEFT JOIN n ON p = q)
-SELECT page_id, CASE WHEN (SELECT count(n) * 2 >= count(*) FROM j) THEN q END AS "group" FROM j"""
+WITH p AS (SELECT {0}, regexp_extract(regexp_replace({1}, '\.[^.]*$', ''), '^([^_\- ]*)', 1) AS p FROM {2}),
+n AS (SELECT p AS q, count(*) AS n FROM p GROUP BY p HAVING count(*) > 1),
+j AS (SELECT {0}, q, n FROM p LEFT JOIN n ON p = q)
+SELECT {0}, CASE WHEN (SELECT count(n) * 2 >= count(*) FROM j) THEN nullif(q, '') END AS "group" FROM j"""
 
 
-@query(_GROUPS)
+@query(_GROUPS.format("page_id", "split_part(split_part(url, '://', 2), '/', 1)", "pages"))
 def derived_groups(spark, sf):
+    """Hosts as names: whole stems."""
     named = table(spark, sf, "pages").select("page_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1)).alias("name"))
     return splits.derive_groups(named, "name").select("page_id", "group")
 
 
+@query(_GROUPS.format("doc_id", "CASE WHEN doc_id % 3 = 0 THEN lang || '.' || source ELSE source || '_' || doc_id || '.txt' END", "documents"))
+def derived_name_groups(spark, sf):
+    """Names with a separator and without."""
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(".", "lang", "source")).otherwise(F.concat("source", F.lit("_"), "doc_id", F.lit(".txt")))
+    return splits.derive_groups(table(spark, sf, "documents").select("doc_id", name.alias("name")), "name").select("doc_id", "group")
+
+
 _HOLD = f"""{_MAN}, v AS (SELECT DISTINCT domain AS holdout FROM m WHERE coalesce(domain, '') <> ''),
 h AS (SELECT path, holdout, CASE WHEN split IN ('train', 'val') THEN CASE WHEN coalesce(domain, '') = holdout THEN 'val' ELSE 'train' END ELSE split END AS split FROM m CROSS JOIN v)"""
 
@@ -206,9 +237,15 @@ def holdout_summary(spark, sf):
     return splits.holdout_summary(splits.holdouts(manifest(spark, sf), "domain"))
 
 
+@query(f"SELECT doc_id, row_number() OVER (ORDER BY {_H.format('doc_id')}, doc_id) AS place FROM documents")
+def shuffled(spark, sf):
+    """Every row's place in the seeded shuffle."""
+    return splits.ranked(table(spark, sf, "documents").select("doc_id"), "doc_id", 42, out="place")
+
+
 @query(f"SELECT doc_id FROM documents ORDER BY {_H.format('doc_id')}, doc_id LIMIT 50")
 def shuffled_head(spark, sf):
-    """The first rows of the seeded shuffle."""
+    """A limit is the feature here: the first rows of the seeded shuffle."""
     return splits.seeded_shuffle(table(spark, sf, "documents").select("doc_id"), "doc_id").limit(50)
 
 

@@ -45,7 +45,7 @@ SELECT event_id,
   m AND l AND f AND NOT (fb AND h AND t) AND NOT d AND NOT (h AND today >= 3) AND NOT o AS valid,
   CASE WHEN NOT m THEN 'manifest_required' WHEN NOT l THEN 'label_mapping_hash_required' WHEN NOT f THEN 'split_policy_not_frozen'
     WHEN fb AND h AND t THEN CASE WHEN o THEN 'override_held_out_tuning' ELSE 'held_out_tuning_forbidden' END WHEN d AND NOT o THEN 'hash_drift_blocked'
-    WHEN h AND today >= 3 THEN CASE WHEN o THEN 'override_daily_heldout_limit' ELSE 'daily_heldout_limit' END WHEN d THEN 'override_used_hash_drift' WHEN o THEN 'override_used' ELSE 'allowed' END AS reason
+    WHEN h AND today >= 3 THEN CASE WHEN o THEN 'override_daily_heldout_limit' ELSE 'daily_heldout_limit_exceeded' END WHEN d OR o THEN 'override_used_hash_drift' ELSE 'allowed' END AS reason
 FROM r""")
 def governance_replay(spark, sf):
     e = table(spark, sf, "events")
@@ -122,22 +122,59 @@ def co_occurrence(spark, sf):
     return cells.select("vec_id", F.floor(F.col("c") / 8).cast("int").alias("i"), (F.col("c") % 8).cast("int").alias("j"), F.col("n").cast("long").alias("n"))
 
 
-@query()
+def _conv(kernel, size, edge):
+    """SQL for a kernel over an 8 x 8 grid: sums over the kernel's places, at the edge mirrored or zero."""
+    r = size // 2
+    y, x = f"(k // 8 + t // {size} - {r})", f"(k % 8 + t % {size} - {r})"
+    if edge == "mirror":
+        value = f"a[(7 - abs(7 - abs({y}))) * 8 + (7 - abs(7 - abs({x}))) + 1]"
+    else:
+        value = f"CASE WHEN {y} BETWEEN 0 AND 7 AND {x} BETWEEN 0 AND 7 THEN a[{y} * 8 + {x} + 1] ELSE 0 END"
+    return f"list_transform(range(0, 64), lambda k: list_sum(list_transform(range(0, {size * size}), lambda t: CAST(([{kernel}])[t + 1] AS DOUBLE) * {value})))"
+
+
+# Fixed values, written out for the SQL: gradient kernels, and the high-pass kernel of the noise residual.
+_GY, _GX = _conv("-1, -2, -1, 0, 0, 0, 1, 2, 1", 3, "mirror"), _conv("-1, 0, 1, -2, 0, 2, -1, 0, 1", 3, "mirror")
+_NOISE = _conv("-1, 2, -2, 2, -1, 2, -6, 8, -6, 2, -2, 8, -12, 8, -2, 2, -6, 8, -6, 2, -1, 2, -2, 2, -1", 5, "zero")
+_GRADIENT = f"{_G}, d AS (SELECT vec_id, {_GY} AS gy, {_GX} AS gx FROM g)"
+
+
+@query(f"""{_GRADIENT}, m AS (SELECT vec_id, list_transform(range(1, 65), lambda k: sqrt(gy[k] * gy[k] + gx[k] * gx[k])) AS e FROM d)
+SELECT vec_id, round(list_sum(list_transform(e, lambda v: v / (list_max(e) + CAST(1e-7 AS DOUBLE)))), 6) AS edge FROM m""")
 def sobel_grid(spark, sf):
     return _grid(spark, sf).select("vec_id", _SUM(grid.sobel(F.col("a"), 8, 8)).alias("edge"))
 
 
-@query()
+@query(f"""{_GRADIENT} SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda k: gx[k] * gx[k])) / 64, 6) AS xx, round(list_sum(list_transform(range(1, 65), lambda k: gx[k] * gy[k])) / 64, 6) AS xy,
+round(list_sum(list_transform(range(1, 65), lambda k: gy[k] * gy[k])) / 64, 6) AS yy FROM d""")
 def gradient_covariance(spark, sf):
     c = grid.gradient_covariance(F.col("a"), 8, 8)
     return _grid(spark, sf).select("vec_id", *[F.round(c[n], 6).alias(n) for n in ("xx", "xy", "yy")])
 
 
-@query()
+@query(f"{_G}, r AS (SELECT vec_id, {_NOISE} AS r FROM g) SELECT vec_id, round(list_sum(list_transform(r, lambda x: abs(x))), 6) AS noise FROM r")
 def noise_residual(spark, sf):
     return _grid(spark, sf).select("vec_id", _SUM(F.transform(grid.noise_residual(F.col("a"), 8, 8), F.abs)).alias("noise"))
 
 
+_BANDS = f"{_G}, b AS (SELECT vec_id, {_BLOCK.format('+', '-', '-')} AS lh, {_BLOCK.format('-', '+', '-')} AS hl, {_BLOCK.format('-', '-', '+')} AS hh FROM g)"
+
+
+@query(f"""{_BANDS}, m AS (SELECT *, list_min(lh || hl || hh) AS low, list_max(lh || hl || hh) AS high FROM b)
+SELECT vec_id, {', '.join(f"round(list_sum(list_transform({n}, lambda v: (v - low) / (high - low + CAST(1e-7 AS DOUBLE)))), 6) AS {n}" for n in ('lh', 'hl', 'hh'))} FROM m""")
+def haar_detail(spark, sf):
+    """The detail bands, scaled together."""
+    d = grid.haar_detail(F.col("a"), 8, 8)
+    return _grid(spark, sf).select("vec_id", *[_SUM(d[n]).alias(n) for n in grid.DETAIL])
+
+
+@query(f"""{_BANDS}, m AS (SELECT *, list_max(list_transform(lh || hl || hh, lambda v: abs(v) / 2)) AS high FROM b)
+SELECT vec_id, {', '.join(f"round(list_sum(list_transform({n}, lambda v: abs(v) / 2 / (high + CAST(1e-7 AS DOUBLE)))), 6) AS {n}" for n in ('lh', 'hl', 'hh'))} FROM m""")
+def haar_layer(spark, sf):
+    d = grid.haar_layer(F.col("a"), 8, 8)
+    return _grid(spark, sf).select("vec_id", *[_SUM(d[n]).alias(n) for n in grid.DETAIL])
+
+
 @query()
 def spectrum_features(spark, sf):
     s = grid.spectrum_features(F.col("a"), 8, 8)
@@ -146,14 +183,37 @@ def spectrum_features(spark, sf):
 
 @query()
 def preprocess_modes(spark, sf):
-    """The mean pixel of each mode of preprocessing."""
-    modes = ("rgb", "sobel", "rgb+sobel", "wavelet", "rgb+wavelet")
-    return _grid(spark, sf).select("vec_id", *[F.round(_SUM(grid.dispatch(F.col("a"), m, 8, 8)) / 64, 6).alias(m.replace("+", "_")) for m in modes])
+    """The mean pixel of each channel under each mode of preprocessing; the channels are the grid, its mirror image and its negative."""
+    g, a = _grid(spark, sf), F.col("a")
+    g = g.select("vec_id", a.alias("r"), grid.flip(a, 8, 8).alias("g"), F.transform("a", lambda v: -v).alias("b"))
+    made = g.select("vec_id", *[grid.dispatch(F.col("r"), F.col("g"), F.col("b"), m, 8, 8).alias(m.replace("+", "_")) for m in grid.MODES])
+    return made.select("vec_id", *[F.round(_SUM(F.col(m.replace("+", "_"))[c]) / 64, 6).alias(f"{m.replace('+', '_')}_{c}") for m in grid.MODES for c in "rgb"])
+
+
+_BLUR = _conv(", ".join(["1"] * 9), 3, "zero")
+
+
+@query(f"{_G}, r AS (SELECT vec_id, list_transform({_BLUR}, lambda v: v / 9) AS r FROM g) SELECT vec_id, round(list_sum(list_transform(r, lambda x: abs(x))), 6) AS blur3 FROM r")
+def blurred(spark, sf):
+    return _grid(spark, sf).select("vec_id", _SUM(F.transform(grid.blur(F.col("a"), 8, 8), F.abs)).alias("blur3"))
+
+
+_HALF = "list_transform(range(0, 16), lambda k: (a[(k // 4) * 16 + (k % 4) * 2 + 1] + a[(k // 4) * 16 + (k % 4) * 2 + 2] + a[(k // 4) * 16 + (k % 4) * 2 + 9] + a[(k // 4) * 16 + (k % 4) * 2 + 10]) / 4)"
+# Of 8 places over 4 values, place j lies at j / 2 - 1 / 4: a quarter and three quarters of two neighbours, the edge repeated.
+_NEAR, _FAR = "greatest(0, least(3, {0} // 2))", "greatest(0, least(3, CASE WHEN {0} % 2 = 0 THEN {0} // 2 - 1 ELSE {0} // 2 + 1 END))"
+_AT = "s[{0} * 4 + {1} + 1]"
+_BACK = " + ".join(f"{u} * {v} * " + _AT.format(y.format("(k // 8)"), x.format("(k % 8)")) for u, y in ((0.75, _NEAR), (0.25, _FAR)) for v, x in ((0.75, _NEAR), (0.25, _FAR)))
+
+
+@query(f"{_G}, h AS (SELECT vec_id, {_HALF} AS s FROM g) SELECT vec_id, round(list_sum(list_transform(list_transform(range(0, 64), lambda k: ({_BACK})::DOUBLE), lambda x: abs(x))), 6) AS resized FROM h")
+def resized(spark, sf):
+    """Down to half the size by area and back bilinearly."""
+    return _grid(spark, sf).select("vec_id", _SUM(F.transform(grid.down_up(F.col("a"), 8, 8, (4, 4)), F.abs)).alias("resized"))
 
 
 @query()
 def corruptions(spark, sf):
-    return _grid(spark, sf).select("vec_id", *[_SUM(grid.corrupt(F.col("a"), F.col("vec_id"), k, 8, 8)).alias(k) for k in ("blur3", "resize112", "noise05")])
+    return _grid(spark, sf).select("vec_id", *[_SUM(grid.corrupt(F.col("a"), F.col("vec_id"), k, 8, 8, (4, 4))).alias(k) for k in ("blur3", "resize112", "noise05")])
 
 
 @query(f"{_G} SELECT vec_id, list_transform(range(0, 64), lambda k: round(a[(k // 8) * 8 + 7 - k % 8 + 1], 6)) AS flipped FROM g")

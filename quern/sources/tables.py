@@ -183,3 +183,10 @@ def eval_manifest(listing: DataFrame, mapping: dict[str, int], split: str, root:
     if there is not None and (n := out.join(there.select("path"), "path", "left_anti").count()):
         raise FileNotFoundError(f"{n} listed files are not there")
     return out
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt over all cores where its files have fewer splits than that, as one small file has: for work that takes longer
+    than moving the rows. A scan of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -334,6 +334,18 @@ def test_scoring_hooks(spark):
     df = spark.createDataFrame([("long enough text",), ("short",), (None,)], "text string")
     assert [r["score"] for r in tokens.score_texts(df, load).collect()] == [0.16, None, None]
 
+    def picky():
+        def run(texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("no bad texts")
+            return [1.0] * len(texts)
+
+        return run
+
+    mixed = spark.createDataFrame([(k, "a bad long text" if k == 3 else "a good long text") for k in range(8)], "k long, text string").coalesce(1)
+    assert [r["score"] for r in tokens.score_texts(mixed, picky).orderBy("k").collect()] == [1.0] * 3 + [None] + [1.0] * 4
+    assert [tuple(r) for r in tokens.score_errors(mixed, picky).collect()] == [(3, "a bad long text", "ValueError: no bad texts")]
+
 
 def test_cross_validation(spark):
     rows = [(k, "good fine great words" if k % 2 else "bad poor awful terms", k % 2, k % 3) for k in range(30)]
