@@ -204,7 +204,7 @@ def validate_images(df: DataFrame, content: str = "content", max_pixels: int = 8
         data = bytes(data)
         try:
             if data[:8] == b"\x89PNG\r\n\x1a\n":
-                at, size, packed, ended = 8, None, b"", False
+                at, size, packed, ended = 8, None, [], False
                 while at + 12 <= len(data) and not ended:
                     (n,) = struct.unpack_from(">I", data, at)
                     kind, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
@@ -212,10 +212,15 @@ def validate_images(df: DataFrame, content: str = "content", max_pixels: int = 8
                         return (False, "checksum", None, None, None)
                     if kind == b"IHDR":
                         size = struct.unpack_from(">II", body)
-                    packed, ended, at = packed + body * (kind == b"IDAT"), kind == b"IEND", at + 12 + n
+                    packed += [body] if kind == b"IDAT" else []
+                    ended, at = kind == b"IEND", at + 12 + n
                 if size is None or not ended:
                     return (False, "truncated", None, None, None)
-                zlib.decompress(packed)
+                unpack, rest = zlib.decompressobj(), b"".join(packed)
+                while not unpack.eof:  # a piece at a time, and none is kept
+                    if not unpack.decompress(rest, 1 << 20) and not unpack.unconsumed_tail and not unpack.eof:
+                        return (False, "truncated", None, None, None)
+                    rest = unpack.unconsumed_tail
             elif data[:6] in (b"GIF87a", b"GIF89a"):
                 size = struct.unpack_from("<HH", data, 6)
             elif data[:2] == b"BM":

@@ -162,9 +162,10 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def assign_prompts(df: DataFrame, key: str, prompts: list[str], seed: int = 42) -> DataFrame:
     """Add prompt_used and a temperature from 0.3 to 0.9 with two decimals, both from the key's hash."""
-    at = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(len(prompts))).cast("int") + 1
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(61)) / 100
-    return df.withColumns({"prompt_used": F.element_at(F.array(*map(F.lit, prompts)), at), "temperature": F.round(0.3 + part, 2)})
+    h = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
+    part = lambda a: F.conv(F.substring(h, a, 8), 16, 10).cast("long")
+    at = (part(1) % len(prompts)).cast("int") + 1
+    return df.withColumns({"prompt_used": F.element_at(F.array(*map(F.lit, prompts)), at), "temperature": F.round(0.3 + part(9) % 61 / 100, 2)})
 
 
 def tuning_split(available: list[str], preferences: list[str], eval_split: str) -> str:

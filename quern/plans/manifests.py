@@ -267,7 +267,8 @@ def class_weights(spark, sf):
     return splits.class_weights(table(spark, sf, "labels"), "quality")
 
 
-@query()
+@query("""
+WITH h AS (SELECT doc_id, sha256('42|' || doc_id) AS h FROM documents), p AS (SELECT doc_id, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS b FROM h)
+SELECT doc_id, (['rewrite', 'shorten', 'expand', 'formal', 'casual'])[a % 5 + 1] AS prompt_used, round(CAST(0.3 AS DOUBLE) + (b % 61) / 100, 2) AS temperature FROM p""")
 def assigned_prompts(spark, sf):
-    d = splits.assign_prompts(table(spark, sf, "documents").select("doc_id"), "doc_id", ["rewrite", "shorten", "expand", "formal", "casual"])
-    return d.groupBy("prompt_used").agg(F.count("*").alias("rows"), F.min("temperature").alias("low"), F.max("temperature").alias("high"))
+    return splits.assign_prompts(table(spark, sf, "documents").select("doc_id"), "doc_id", ["rewrite", "shorten", "expand", "formal", "casual"])

@@ -147,15 +147,26 @@ def quarantine_plan(bad: DataFrame, root: str, quarantine: str) -> DataFrame:
     return bad.select(F.col("path").alias("src"), F.concat(F.lit(quarantine.rstrip("/")), rest).alias("dst"), "reason")
 
 
+#: Rows that a report may have; a longer table belongs into a file of its own.
+REPORT_ROWS = 10_000
+
+
+def _report_rows(df: DataFrame) -> list:
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows; write the table instead")
+    return rows
+
+
 def report_markdown(title: str, df: DataFrame) -> str:
     """A small result as a Markdown table."""
-    rows = [tuple("" if v is None else str(v) for v in r) for r in df.collect()]
+    rows = [tuple("" if v is None else str(v) for v in r) for r in _report_rows(df)]
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(r) + " |" for r in rows]) + "\n"
 
 
 def report_json(df: DataFrame) -> str:
-    return json.dumps([r.asDict(recursive=True) for r in df.collect()], default=str, sort_keys=True)
+    return json.dumps([r.asDict(recursive=True) for r in _report_rows(df)], default=str, sort_keys=True)
 
 
 def save_model(model, path: str) -> None:
