@@ -242,7 +242,7 @@ def _remove(window: int, depth: int, width: int, block: int, buckets: int, texts
 def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, texts: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) per row of (doc_id, text): without each word that a window covers
     whose words also start in a document with a smaller doc_id. `kept` joins the words by blanks (null if not texts)."""
-    base, groups, size = grouped(docs, group_bytes)
+    base, groups, size = grouped(docs, 2 * window - 1, group_bytes)
     windows = max(1, size // 5)
     width = 1 << (CELLS_PER_WINDOW * windows - 1).bit_length()
     blocks = max(16, -(-windows // BLOCK_WINDOWS))

@@ -413,7 +413,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, gr
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of (doc_id, text): without each byte that a string of
     `length` bytes covers which also starts earlier, in a smaller doc_id or before in the same document. `kept` has the
     bytes that stay (null if not texts)."""
-    base, groups, size = grouped(docs, group_bytes)
+    base, groups, size = grouped(docs, length, group_bytes)
     segments = max(1, size // SEGMENT_BYTES)
     width = 1 << (CELLS_PER_SEGMENT * segments - 1).bit_length()
     block = -(-width // max(16, -(-segments // BLOCK_SEGMENTS)))

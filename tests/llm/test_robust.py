@@ -196,3 +196,19 @@ def test_scopes_are_per_thread(spark):
     shared.release(spark)
     with pytest.raises(Exception):
         outer.count()
+
+
+def test_many_equal_short_rows(spark):
+    """Empty and short texts under one id spread over the groups, and come back once each."""
+    from quern.llm import substring, suffix
+
+    words = " ".join(f"w{k}" for k in range(40))
+    df = spark.range(3000, numPartitions=5).selectExpr("cast(null as bigint) as doc_id", "case when id % 3 = 0 then null when id % 3 = 1 then '' else 'one two' end as text").unionByName(
+        spark.createDataFrame([(1, words), (2, words)], "doc_id long, text string"))
+    base, n, _ = shared.grouped(df, 25)
+    assert max(r["count"] for r in base.groupBy("g").count().collect()) < 200 and n == 64
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.remove_repeats(df).collect())
+    assert got == {(None, 0, 0): 2000, (None, 2, 0): 1000, (1, 40, 0): 1, (2, 40, 40): 1}
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix.remove_repeats(df).collect())
+    size = len(words)
+    assert got == {(None, 0, 0): 2000, (None, 7, 0): 1000, (1, size, 0): 1, (2, size, size): 1}
