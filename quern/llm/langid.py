@@ -100,45 +100,44 @@ class Model:
         if not size:
             return
         self.hashes, self.logp, self.ctx, self.weight = {}, {}, {}, {}
-        tables: dict[int, dict[str, pd.Series]] = {}
-        for name, part in counts.groupby("lang"):
-            c = part.groupby("gram")["n"].sum()
+        # by order and language: distinct n-grams as rows of code points, and their counts; below the top a count is that of
+        # the distinct longer n-grams that end in it
+        tables: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in range(1, ORDER + 1)}
+        for name in self.names:
+            part = counts[counts["lang"] == name].groupby("gram", sort=False)["n"].sum()
+            grams = np.frombuffer("".join(part.index).encode("utf-32-le"), np.uint32).reshape(-1, ORDER)
+            n = part.to_numpy(np.float64)
             for k in range(ORDER, 0, -1):
-                tables.setdefault(k, {})[name] = c
-                c = c.groupby(c.index.str[1:]).size() if k > 1 else c
-        letters = len(set().union(*(tables[1][n].index for n in self.names))) + 1
-        prob = pd.DataFrame(1 / letters, index=[""], columns=range(size))
+                tables[k].append((grams, n))
+                _, first, n = np.unique(_hash_rows(np.ascontiguousarray(grams[:, 1:])), return_index=True, return_counts=True) if k > 1 else (None, None, None)
+                grams, n = (grams[first, 1:], n.astype(np.float64)) if k > 1 else (None, None)
+        letters = len(np.unique(np.concatenate([g[:, 0] for g, _ in tables[1]]))) + 1
+        lower_hashes, lower = None, np.full((1, size), 1 / letters)
         for k in range(1, ORDER + 1):
-            grams = sorted(set().union(*(tables[k][n].index for n in self.names)))
-            now = prob.loc[[g[1:] for g in grams]].to_numpy().copy()
-            heads = sorted({g[:-1] for g in grams})
+            every = np.concatenate([g for g, _ in tables[k]])
+            hashes, first = np.unique(_hash_rows(every), return_index=True)
+            grams = every[first]
+            at = np.searchsorted(lower_hashes, _hash_rows(np.ascontiguousarray(grams[:, 1:]))) if k > 1 else np.zeros(len(grams), np.int64)
+            prob = lower[at]
+            head_of = _hash_rows(np.ascontiguousarray(grams[:, :-1])) if k > 1 else np.zeros(len(grams), np.uint64)
+            heads, head_of = np.unique(head_of, return_inverse=True)
             weight = np.ones((len(heads), size))
-            head_of, gram_of = {h: i for i, h in enumerate(heads)}, {g: i for i, g in enumerate(grams)}
-            for j, name in enumerate(self.names):
-                c = tables[k][name]
+            for j, (own, c) in enumerate(tables[k]):
                 n1, n2 = int((c == 1).sum()), int((c == 2).sum())
                 cut = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-                per = c.groupby(c.index.str[:-1])
-                total, kinds = per.sum(), per.size()
-                at = np.array([head_of[h] for h in total.index])
-                weight[at, j] = (cut * kinds / total).to_numpy()
-                now[:, j] *= weight[[head_of[g[:-1]] for g in grams], j]
-                rows = np.array([gram_of[g] for g in c.index])
-                now[rows, j] += (np.maximum(c - cut, 0) / total.loc[c.index.str[:-1]].to_numpy()).to_numpy()
-            prob = pd.DataFrame(now, index=grams)
-            self._store(k, grams, now, heads, weight)
-            if k == 1:
+                mine = np.searchsorted(hashes, _hash_rows(own))
+                total, kinds = np.bincount(head_of[mine], c, len(heads)), np.bincount(head_of[mine], minlength=len(heads))
+                there = kinds > 0
+                weight[there, j] = cut * kinds[there] / total[there]
+                prob[:, j] *= weight[head_of, j]
+                prob[mine, j] += np.maximum(c - cut, 0) / total[head_of[mine]]
+            lower_hashes, lower = hashes, prob
+            self.hashes[k], self.logp[k] = hashes, np.log(prob)
+            if k > 1:
+                self.ctx[k - 1], self.weight[k - 1] = heads, np.log(weight)
+            else:
                 self.unseen = np.log(weight[0] / letters)
 
-    def _store(self, k, grams, prob, heads, weight) -> None:
-        h = _hash_rows(np.array([[ord(c) for c in g] for g in grams], np.uint32))
-        order = np.argsort(h)
-        self.hashes[k], self.logp[k] = h[order], np.log(prob[order])
-        if k > 1:
-            h = _hash_rows(np.array([[ord(c) for c in g] for g in heads], np.uint32))
-            order = np.argsort(h)
-            self.ctx[k - 1], self.weight[k - 1] = h[order], np.log(weight[order])
-
     def _look(self, grams: np.ndarray) -> np.ndarray:
         """Log probabilities of the last letter of each row, in every language."""
         k = grams.shape[1]
