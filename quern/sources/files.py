@@ -109,3 +109,28 @@ def middle_text(text, share: float = 0.6, most: int = 8000):
     n = F.length(text)
     start = F.floor(n * cut / 100)
     return F.substring(F.substring(text, F.lit(1) + start.cast("int"), (n - 2 * start).cast("int")), F.lit(1), F.lit(most))
+
+
+def first_long_enough(columns, least: int = 200):
+    """Of several bodies fetched for one item the first that is a text of at least `least` characters; null without one."""
+    return F.coalesce(*[F.when(F.length(c) >= least, c) for c in map(F.col, columns)])
+
+
+def present_or_load(spark: SparkSession, path: str, loaders) -> DataFrame:
+    """The table at path if it has files; else the first loader that works is written there, lists and structs as JSON texts. The
+    last loader's error is raised when none does."""
+    from pyspark.errors import PySparkException
+
+    if not exists(spark, path):
+        error: Exception = ValueError("no loaders")
+        for load in loaders:
+            try:
+                df = load()
+                nested = {c: F.to_json(c) for c, kind in df.dtypes if kind.startswith(("array", "struct", "map"))}
+                df.withColumns(nested).write.mode("overwrite").parquet(path) if nested else df.write.mode("overwrite").parquet(path)
+                break
+            except (PySparkException, OSError) as e:
+                error = e
+        else:
+            raise error
+    return spark.read.parquet(path)

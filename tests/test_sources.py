@@ -112,3 +112,43 @@ def test_corpus_build(spark):
     got = {r["part"]: (r["rows"], r["blank"], r["repeated"], list(r["labels"]), r["in_both"]) for r in report.collect()}
     assert got == {"human": (4, 0, 0, [0], 1), "synthetic": (2, 0, 0, [1], 1)}
     assert [r["text"] for r in corpus.collect()] == [r["text"] for r in adapters.merge(human.orderBy("text"), rows("new", "both of us", y=1))[0].collect()]
+
+
+def test_reports(spark, tmp_path):
+    from quern.operators import evaluation
+    from quern.sources import reports
+
+    df = spark.createDataFrame([(1, 0.9, "a"), (0, 0.2, "a"), (1, 0.4, "b"), (0, 0.6, "b")], "y int, p double, domain string")
+    metrics = evaluation.bundle(df).crossJoin(evaluation.ece(df))
+    facts = dict(split="test", dataset_id=None, domain=None, manifest="m.csv", seed=42, preprocessing="rgb", policy="youden", threshold=0.5, calibration="none", allowed=True, reason="allowed", override=False, tuning_split="val", model="m")
+    text = reports.summary("r1", facts, metrics)
+    assert text.startswith("# Evaluation Summary - r1\n\n- Split: `test`\n- Dataset filter: `None`") and "- Selected threshold: `0.500000`\n" in text
+    assert "## Confusion Matrix\n\n- TN: `1`\n- FP: `1`\n- FN: `1`\n- TP: `1`\n" in text and "- Accuracy: `0.500000`\n" in text
+    table = reports.slice_summary("r1", facts, evaluation.slices(df, ["domain"]))
+    assert "## By `domain`\n\n| Slice | Samples | Accuracy |" in table and "| b | 2 | 0.0000 |" in table and table.index("| b |") < table.index("| a |")
+    paths = reports.write_report(spark, f"file://{tmp_path}/out", "r1", {"a": 1}, text)
+    assert [p.split("/")[-1] for p in paths] == ["r1_metrics.json", "r1_summary.md"] and (tmp_path / "out" / "r1_summary.md").read_text() == text
+    with pytest.raises(ValueError):
+        reports.summary("r1", facts, df)
+
+
+def test_fallbacks(spark, tmp_path):
+    from quern.sources import files
+
+    df = spark.createDataFrame([("x" * 10, "y" * 300, "z" * 400), (None, "short", None)], "a string, b string, c string")
+    assert [r[0] and r[0][0] for r in df.select(files.first_long_enough(["a", "b", "c"])).collect()] == ["y", None]
+    calls = []
+
+    def broken():
+        calls.append("broken")
+        return spark.read.parquet(f"{tmp_path}/nothing")
+
+    def works():
+        calls.append("works")
+        return spark.createDataFrame([(1, ["a", "b"])], "k int, answers array<string>")
+
+    for _ in range(2):
+        assert [tuple(r) for r in files.present_or_load(spark, f"{tmp_path}/table", [broken, works]).collect()] == [(1, '["a","b"]')]
+    assert calls == ["broken", "works"]
+    with pytest.raises(Exception):
+        files.present_or_load(spark, f"{tmp_path}/other", [broken])
