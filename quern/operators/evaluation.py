@@ -94,11 +94,11 @@ def area(points: DataFrame, x: str, y: str, by: list[str] | None = None, compat:
     return steps.groupBy(*by).agg(F.round(F.coalesce(F.sum((F.col(x) - F.col("__x")) * (F.col(y) + F.col("__y")) / 2), F.lit(0.0)), RATES).alias("auc"))
 
 
-def _pr_area(df: DataFrame, y: str, score: str, by: list[str]) -> DataFrame:
+def _pr_area(cum: DataFrame, by: list[str]) -> DataFrame:
     """(by, __pr): the area under the points of pr_points in order of (recall, precision). A level of recall begins at a score with
     positives, where its precision is greatest, and ends above the next such score, where it is least; the curve goes from
-    the greatest of one level to the least of the next. The neighbour of a slice's first or last level is another slice's."""
-    levels = _by_score(df, y, score, by, "__s").where("a > 0")
+    the greatest of one level to the least of the next. cum: _by_score() with its slices. The neighbour of a slice's first or last level is another slice's."""
+    levels = cum.where("a > 0")
     row, inside = F.struct("tp", "fp", "b"), Window.partitionBy(*by, "__s").orderBy(F.desc("threshold"))
     slices = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("__s"))  # SLICES rows a group
     ends = levels.groupBy(*by, "__s").agg(F.max_by(row, "threshold").alias("__first"), F.min_by(row, "threshold").alias("__last"))
@@ -116,7 +116,7 @@ def auc(df: DataFrame, y: str = "y", score: str = "p", by: list[str] | None = No
     """roc_auc and pr_auc, from counts by score: what lies at a score and above it names the point before on the curve too. Without
     negatives the ROC curve only has its closing step, without positives the other one has; compat as in area()."""
     by = by or []
-    cum = _by_score(df, y, score, by)
+    cum = _by_score(df, y, score, by, "__s")
     tp, a, b = (F.col(c) for c in ("tp", "a", "b"))
     closing = F.when(F.max("neg") > 0, 0.0).when(F.max("pos") > 0, 1.0).otherwise(0.5)
     roc = F.sum(b / F.greatest("neg", F.lit(1)) * (2 * tp - a) / F.greatest("pos", F.lit(1)) / 2) + closing
@@ -124,7 +124,7 @@ def auc(df: DataFrame, y: str = "y", score: str = "p", by: list[str] | None = No
     whole = cum.groupBy(*by).agg(zero(roc).alias("roc_auc"), F.max("pos").alias("__pos"))
     if compat:
         whole = _beside(whole.drop("roc_auc"), area(roc_points(df, y, score, by), "fpr", "tpr", by, True).withColumnRenamed("auc", "roc_auc"), by)
-    both = _beside(whole, _pr_area(df, y, score, by), by)
+    both = _beside(whole, _pr_area(cum, by), by)
     return both.select(*by, "roc_auc", zero(F.when(F.col("__pos") == 0, 0.5).otherwise(F.col("__pr"))).alias("pr_auc"))
 
 
