@@ -11,8 +11,8 @@ distinct segment per document. The sketch also adds up distinct segments, and of
 the strings go on one by one, as the 128-bit digest of their bytes with the first owner in the group, dealt by the digest; the
 earliest owner of each is found by sorting. So neither a shard nor a bucket grows with the number of documents that share a passage.
 
-In a shard, equal segments collapse to their earliest owner, and the distinct ones, in the order of their owners, are joined
-with separators. Suffixes are sorted by their first `length` symbols (prefix doubling stops there), which gives the transform.
+In a shard, equal segments collapse to their earliest owner, those without a string whose hash occurs twice drop out, and the
+others, in the order of their owners, are joined with separators. Suffixes are sorted by their first `length` symbols (prefix doubling stops there), which gives the transform.
 Interval expansion then walks breadth first: from the interval of the empty string, each interval of a string w is
 extended backwards by the symbols in its part of the transform; the end of a new interval of cw is a place where suffixes
 part after exactly |w| symbols, and an end seen before is not walked again. So common prefixes are derived by increasing
@@ -250,7 +250,12 @@ def parted(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
 def repeats(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For distinct segments in order, flags of the starts whose `length` bytes begin at an earlier start too."""
     sizes = np.array([len(s) for s in segments], np.int64)
-    text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
+    out = [np.zeros(n - length + 1, bool) for n in sizes.tolist()]
+    some = np.flatnonzero(_suspects(segments, sizes, length))
+    if not len(some):
+        return out
+    sizes = sizes[some]
+    text = np.frombuffer(b"\0".join([segments[k] for k in some.tolist()]) + b"\0", np.uint8).astype(np.uint16) + np.uint16(1)
     ends = np.cumsum(sizes + 1) - 1
     text[ends] = 0
     order = sort_suffixes(text, length)
@@ -259,8 +264,22 @@ def repeats(segments: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     earliest = np.minimum.reduceat(order, heads)
     again = np.ones(len(text), bool)
     again[earliest] = False
-    starts = ends - sizes
-    return [again[a : a + n - length + 1] for a, n in zip(starts.tolist(), sizes.tolist())]
+    for k, a, n in zip(some.tolist(), (ends - sizes).tolist(), sizes.tolist()):
+        out[k] = again[a : a + n - length + 1]
+    return out
+
+
+def _suspects(segments: list[bytes], sizes: np.ndarray, length: int) -> np.ndarray:
+    """Segments that have a string whose hash occurs twice among all; the others have no repeat and need no transform."""
+    h = mix(rolling(_TABLE[np.frombuffer(b"".join(segments), np.uint8)], length))
+    n, first = sizes - length + 1, np.cumsum(sizes) - sizes
+    own = h[np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)]
+    found = np.sort(own)
+    twice = found[1:][found[1:] == found[:-1]]
+    if not len(twice):
+        return np.zeros(len(segments), bool)
+    hit = twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
+    return np.logical_or.reduceat(hit, np.cumsum(n) - n)
 
 
 _SKETCH = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("g", pa.int32()), ("cells", pa.binary()), ("several", pa.binary()), ("counts", pa.binary())])
