@@ -9,7 +9,7 @@ cross-entropy per character wins.
 
 Rejection is calibrated on part of the sample that the counts leave out: a language's cross-entropies have a mean and a
 variance that falls with a text's length; a text is rejected whose distance from its own language's mean exceeds the
-largest one met there by a margin, which is the case for what is no language but not for clean text. A language of fewer than
+largest one met there by a margin, and FLOOR standard deviations, which is the case for what is no language but not for clean text. A language of fewer than
 2 * CALIBRATE sampled rows leaves none out, and one with fewer than LEAST texts left out takes the median mean and
 variance of the others; where no language has as many, nothing is rejected but texts without a letter.
 
@@ -41,10 +41,12 @@ CALIBRATE = 4
 OVERSAMPLE = 1.5
 #: Characters of a sampled row's text that are learned from; languages that one model may have, more are an error.
 SAMPLE_CHARS, LANGUAGES = 50_000, 1000
-#: Texts left out that a mean and a variance of a language's own take.
-LEAST = 5
+#: Texts left out that a mean and a variance of a language's own take; the largest distance among fewer says little about clean text.
+LEAST = 20
 #: Times the largest distance met in calibration.
 MARGIN = 2.0
+#: No text nearer than this many standard deviations is rejected: the largest distance among few texts may be small by chance.
+FLOOR = 4.0
 #: Characters read at once.
 CHUNK = 500_000
 #: Cross-entropy in nats to log odds, for the score.
@@ -205,7 +207,7 @@ class Model:
         self.mean[others], self.var[others] = np.median(self.mean[sure]), np.median(self.var[sure])
         far = (own_ce - self.mean[own]) / np.sqrt(np.maximum(self.var[own], 1e-12) * self._widen(n))
         worst = float(np.max(far[sizes[own] >= LEAST], initial=0))
-        self.limit = MARGIN * worst if worst else np.inf
+        self.limit = max(FLOOR, MARGIN * worst)
 
     @staticmethod
     def _widen(n: np.ndarray) -> np.ndarray:
