@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from . import decontam, langid, media, packing, secrets, simhash, substring, suffix, urls, wordpiece
+from . import decontam, infill, langid, media, packing, quality, secrets, simhash, spelling, substring, suffix, urls, wordpiece
 from .shared import table
 
 
@@ -66,8 +66,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_secret_scans, op4_media_columns, op5_language_id, op6_best_fit_packing, op7_benchmark_decontamination, op8_url_filters, op9_suffix_array_dedup, op10_token_counts, url_redirects)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_secret_scans, op4_media_columns, op5_language_id, op6_best_fit_packing, op7_benchmark_decontamination, op8_url_filters, op9_suffix_array_dedup, op10_token_counts, op11_spelling_variants, op12_quality_rules, op13_fill_in_middle, url_redirects)
 }
 
 #: Words of a text as DuckDB lists, for the rules that part words at U+0020 and U+0009 to U+000D.
@@ -147,4 +159,27 @@ SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM w LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
     "op8_url_filters": _JUDGED.replace("@LINKS", ""),
     "url_redirects": _JUDGED.replace("@LINKS", _HUBS),
+    # crc32 bit by bit into a table, then byte by byte over "<doc_id>:<run>"
+    "op11_spelling_variants": r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list(list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t FROM range(256) r(b)),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS h FROM runs),
+crc AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: CAST('0x' || h[2 * k + 1:2 * k + 2] AS BIGINT))), lambda c, b: xor(c // 256, t[1 + xor(c, b) % 256])), 4294967295) AS c FROM bytes CROSS JOIN t),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN c % 31 = 0 THEN run[:c % length(run)] || run[c % length(run) + 2:] ELSE run END AS word, n FROM crc) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gaps AS MATERIALIZED (SELECT word, n, i, word[:i] || word[i + 2:] AS gap FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.i = b.i AND a.gap = b.gap AND a.word <> b.word
+  UNION SELECT gaps.word, words.word, words.n FROM gaps JOIN words ON gap = words.word UNION SELECT words.word, gaps.word, gaps.n FROM gaps JOIN words ON gap = words.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM near GROUP BY word),
+found AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+ways AS (SELECT word, word AS root, form FROM found UNION ALL SELECT ways.word, found.word, found.form FROM ways JOIN found ON ways.form = found.word)
+SELECT found.word, found.form, root, n, n_near, form_n FROM found JOIN ways ON found.word = ways.word AND ways.form IS NULL""",
+    "op13_fill_in_middle": r"""
+WITH h AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+d AS (SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM h),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, coalesce(array_to_string(u[:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m, coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""",
 }
