@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.names import fresh
 
 
 def fixed_chunks(df: DataFrame, text: str = "text", size: int = 400, least: int = 100, most: int = 600, out: str = "chunk") -> DataFrame:
@@ -110,3 +111,17 @@ def json_strings(c: Column) -> Column:
     items = F.try_variant_get(parsed, "$", "array<variant>")
     return F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
 
+
+
+def fill_topics(rows: DataFrame, topic: str, order: str, topics: list[str], draw: Column, target: int, per_topic: int, attempts: int = 300) -> DataFrame:
+    """The rows of the named topics in their order, then of other topics in the order of `draw`, at most `attempts` of them, until
+    `target` rows are there. A topic gives its first `per_topic` rows by `order`; the one that reaches the target is taken whole."""
+    turn, drawn, n, before, place = fresh(rows, "turn", "drawn", "n", "before", "place")
+    sizes = rows.where(F.col(topic).isNotNull()).groupBy(topic).agg(F.least(F.count("*"), F.lit(per_topic)).alias(n)).withColumns({turn: F.array_position(F.array(*map(F.lit, topics)), F.col(topic)), drawn: draw})
+    named = sizes.where(F.col(turn) > 0).withColumn(drawn, F.lit(None).cast(sizes.schema[drawn].dataType))
+    others = sizes.where(F.col(turn) == 0).orderBy(drawn, topic).limit(attempts).withColumn(turn, F.lit(len(topics) + 1).cast("long"))
+    # no more rows than topics and attempts, so one task adds them up
+    ahead = Window.orderBy(turn, drawn, topic).rowsBetween(Window.unboundedPreceding, -1)
+    taken = named.unionByName(others).withColumn(before, F.coalesce(F.sum(n).over(ahead), F.lit(0))).where(F.col(before) < target).select(topic)
+    first = Window.partitionBy(topic).orderBy(order)
+    return rows.join(taken, topic, "left_semi").withColumn(place, F.row_number().over(first)).where(F.col(place) <= per_topic).drop(place)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,3 +140,21 @@ def present_or_load(spark: SparkSession, path: str, loaders) -> DataFrame:
         else:
             raise error
     return spark.read.parquet(path)
+
+
+def workspace(spark: SparkSession, label: str) -> str:
+    """A new folder's path below the one named in spark.checkpoint.dir, which all executors share; below one of this process's own
+    in local mode where that is unset, removed at its end."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own_folder()
+    return f"{found.rstrip('/')}/quern-work/{label}-{uuid.uuid4().hex}"
+
+
+@functools.cache
+def _own_folder() -> str:
+    made = tempfile.mkdtemp(prefix="quern-work-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return "file://" + made

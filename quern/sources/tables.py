@@ -44,20 +44,6 @@ def read_delimited(spark: SparkSession, path: str, required: list[str] | None =
     return df
 
 
-def read_family(spark: SparkSession, path: str, pattern: str = "cleaned_*.csv") -> DataFrame:
-    """All files of a pattern below a folder, with source_file; one scan per set of headers, aligned by name."""
-    listing = files.list_files(spark, path).where(F.element_at(F.split("path", "/"), -1).rlike("^" + pattern.replace(".", r"\.").replace("*", ".*") + "$"))
-    paths = [r["path"] for r in listing.select("path").orderBy("path").collect()]  # a folder's listing
-    if not paths:
-        raise FileNotFoundError(f"no {pattern} below {path}")
-    kinds: dict[str, list[str]] = {}
-    for p in paths:
-        head = files.read_head(spark, p)
-        kinds.setdefault(head.splitlines()[0] if head else "", []).append(p)
-    one = lambda ps: spark.read.csv(ps, header=True, multiLine=True, escape='"').withColumn("source_file", F.col("_metadata.file_name"))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(one, kinds.values()))
-
-
 def read_parts(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
     """The parts that exist, concatenated."""
     there = [f"{folder}/{n}" for n in names if files.exists(spark, f"{folder}/{n}")]

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from quern.sources import files, tables
+from quern.sources import datasource, files, tables
 from quern.streaming import events
 
 
@@ -29,7 +29,7 @@ def test_families_and_parts(spark, tmp_path):
     write(f"{tmp_path}/a/cleaned_1.csv", "text,y\nx,1\n")
     write(f"{tmp_path}/b/c/cleaned_2.csv", "y,text,more\n0,y,z\n")
     write(f"{tmp_path}/b/other.csv", "text\nno\n")
-    got = {tuple(r) for r in tables.read_family(spark, str(tmp_path)).select("text", "y", "more", "source_file").collect()}
+    got = {tuple(r) for r in datasource.read_family(spark, str(tmp_path)).select("text", "y", "more", "source_file").collect()}
     assert got == {("x", "1", None, "cleaned_1.csv"), ("y", "0", "z", "cleaned_2.csv")}
     assert tables.read_parts(spark, f"{tmp_path}/a", ["train.csv", "cleaned_1.csv"]).count() == 1
     with pytest.raises(FileNotFoundError):
