@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import chunk
 from ..sources import datasource, files
+from ..streaming import events as stream
+from ..streaming import sinks
 from .registry import query, table
 
 
@@ -57,3 +59,28 @@ def topics_then_random(spark, sf):
     """Named sources first, then others in the order of a hash, at most nine of them, until sixty rows are there; eight of a source."""
     docs = table(spark, sf, "documents").select("source", "doc_id")
     return chunk.fill_topics(docs, "source", "doc_id", ["src7", "src12", "nowhere"], F.md5("source"), target=60, per_topic=8, attempts=9)
+
+
+@query("SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day, CASE WHEN event_id % 3 = 2 AND event_id % 5 <> 0 THEN 'b' ELSE 'a' END AS writer FROM events")
+def log_with_replays(spark, sf):
+    """Two writers append the events in batches that overlap, and one batch is replayed: each event is in the log once."""
+    log = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    at = files.workspace(spark, "log")
+    first, second = log.where("event_id % 3 < 2 or event_id % 5 = 0"), log.where("event_id % 3 = 2")
+    for rows, batch, writer in ((first, 0, "a"), (second, 0, "b"), (first, 0, "a"), (second.unionAll(first), 1, "b")):
+        sinks.append_once(rows, batch, at, ["event_id"], writer, "ts")
+    return sinks.read_log(spark, at, "event_id bigint, user_id bigint, event_type string, ts string").select("event_id", "user_id", "event_type", "day", "writer")
+
+
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, least(count(*), 3) AS allowed FROM events GROUP BY ALL")
+def quota_stream(spark, sf):
+    """The daily quota as a stream over files that arrive out of order, run to its end; per user and day the events and those allowed."""
+    at = files.workspace(spark, "quota")
+    events = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    for k in range(3):
+        events.where(F.pmod(F.xxhash64("user_id", "ts"), F.lit(3)) == k).write.mode("append").parquet(f"{at}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stream.STATE_STORE)
+    counted = stream.running_quota(stream.read_events(spark, f"{at}/in", events.schema, files_per_batch=8), "user_id", 3, late="60 days")
+    counted.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.parquet(f"{at}/out")
+    return done.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("n").alias("n"), F.count_if("allowed").alias("allowed"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def read_events(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -29,34 +30,54 @@ def without_repeats(events: DataFrame, keys: list[str], ts: str = "ts", late: st
     return events.dropDuplicates(keys)
 
 
+#: Where transformWithState keeps its state.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DAY_MS = 86_400_000
+
+
+class DailyQuota(StatefulProcessor):
+    """Per key a map from day to count, and a timer at the end of each day: when the watermark passes it, the day's entry goes."""
+
+    def __init__(self, key: str, ts: str, limit: int):
+        self.key, self.ts, self.limit = key, ts, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.days = handle.getMapState("days", "day long", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))[[self.ts]].sort_values(self.ts, kind="stable")
+        # whole milliseconds since 1970 in the session's zone, in which the frame's times are
+        days = frame[self.ts].astype("datetime64[ms]").astype("int64") // DAY_MS
+        n = days.groupby(days).cumcount() + 1
+        for day, more in days.value_counts().items():
+            before = self.days.getValue((int(day),))
+            before = before[0] if before else 0
+            if before:
+                n[days == day] += before
+            else:
+                self.handle.registerTimer((int(day) + 1) * DAY_MS)
+            self.days.updateValue((int(day),), (before + int(more),))
+        yield pd.DataFrame({self.key: [key[0]] * len(frame), self.ts: frame[self.ts], "n": n, "allowed": n <= self.limit})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        day = (expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1,)
+        if self.days.containsKey(day):
+            self.days.removeKey(day)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def running_quota(events: DataFrame, key: str, limit: int, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """(key, ts, n, allowed) for each event of a stream: its number on its day, in order of arrival and, within a batch, of time,
-    and whether the day's limit allows it. State is a count for each day that the watermark still lets in, so a late event
-    counts on its own day; a key's state goes when the watermark is two days past its last event."""
-    import json
-
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    def run(k, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        counts = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(ts, kind="stable")
-        days = rows[ts].dt.strftime("%Y-%m-%d")
-        n = days.groupby(days).cumcount() + 1 + days.map(counts).fillna(0).astype("int64")
-        counts.update(n.groupby(days).max().to_dict())
-        mark = state.getCurrentWatermarkMs()
-        oldest = pd.Timestamp(mark, unit="ms").strftime("%Y-%m-%d")
-        last = pd.Timestamp(max(counts)).value // 1_000_000 + 86_400_000
-        state.update((json.dumps({d: int(c) for d, c in counts.items() if d >= oldest or mark <= 0}),))
-        state.setTimeoutTimestamp(max(last, mark) + 2 * 86_400_000)
-        yield pd.DataFrame({key: k[0], ts: rows[ts], "n": n, "allowed": n <= limit})
-
+    and whether the day's limit allows it. A late event counts on its own day as long as the watermark lets it in; behind the
+    watermark a day's count leaves the state, and with the last one the key does. Days are the session's zone's, which must be UTC, as timers
+    are. Needs a session whose spark.sql.streaming.stateStore.providerClass is STATE_STORE; rows without a key or a time are left out."""
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, ts).withWatermark(ts, late).groupBy(key).applyInPandasWithState(
-        run, f"{key} {kind}, {ts} timestamp, n long, allowed boolean", "counts string", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    timed = events.select(key, ts).where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late)
+    return timed.groupBy(key).transformWithStateInPandas(DailyQuota(key, ts, limit), f"{key} {kind}, {ts} timestamp, n long, allowed boolean", "Append", "EventTime")
 
 
 def recent(events: DataFrame, key: str, ts: str = "ts", order: str = "event_id", n: int = 5) -> DataFrame:

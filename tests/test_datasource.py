@@ -53,6 +53,8 @@ def test_many_dialects_in_one_job(spark, family):
 
 
 def test_pushed_filters(spark, family):
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
     plain = datasource.read_files(spark, family, SCHEMA, "*.csv")
     where = [F.col("source_file") == "part_00042.csv", F.col("path").startswith("p999"), F.col("path").isin("p1", "q1", "zz"), F.col("text").isNull() & F.col("path").endswith("7"), (F.col("label") > 5) & F.col("text").contains('"77')]
     want = [sorted(map(tuple, plain.where(w).collect()), key=str) for w in where]
@@ -65,7 +67,7 @@ def test_pushed_filters(spark, family):
         assert one.rdd.getNumPartitions() == 1  # other files are not opened
         assert "ArrowEvalPython" not in one._jdf.queryExecution().toString()
     finally:
-        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", pushed)
 
 
 def test_errors_and_types(spark, family, tmp_path):

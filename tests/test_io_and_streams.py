@@ -148,3 +148,23 @@ def test_running_quota_out_of_order(spark, tmp_path):
     for user, t in rows:
         want[user, t[:10]] = want.get((user, t[:10]), 0) + 1
     assert {(u, str(d)): sorted(n) for (u, d), n in got.items()} == {k: list(range(1, n + 1)) for k, n in want.items()}
+
+
+def test_quota_state_shrinks(spark, tmp_path):
+    """Days behind the watermark leave the state, and late events that it still lets in count on their own day."""
+    folder, n = f"{tmp_path}/in", 40
+    batches = [[(u, f"2024-01-0{d} 10:00:00") for u in range(n) for d in (1, 2)], [(0, "2024-01-01 09:00:00"), (1, "2024-01-03 09:00:00")], [(5, "2024-02-20 00:00:00")], [(5, "2024-02-20 01:00:00"), (6, "2024-01-02 00:00:00")]]
+    schema = "user_id long, ts timestamp"
+
+    def feed(rows):
+        spark.createDataFrame(rows, "user_id long, t string").select("user_id", F.col("t").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(folder)
+        stream = events.read_events(spark, folder, schema)
+        q = events.running_quota(stream, "user_id", 1, late="2 days").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    sizes = [feed(b) for b in batches]
+    assert sizes[0] >= 2 * n and sizes[-1] < n / 4, sizes
+    got = {(r["user_id"], str(r["ts"]), r["n"], r["allowed"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert (0, "2024-01-01 09:00:00", 2, False) in got and (1, "2024-01-03 09:00:00", 1, True) in got and (5, "2024-02-20 01:00:00", 2, False) in got
+    assert len(got) == 2 * n + 4  # user 6's event came behind the watermark
