@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dedup, filters, splits
+from ..operators import dedup, filters, hashes, splits
 from ..sources import tables
 from .registry import query, table
 
@@ -93,6 +93,12 @@ def near_dup_pairs_banded(spark, sf):
     return dedup.near_pairs_banded(hashed(spark, sf), most=8).select("a_path", "b_path", "distance")
 
 
+@query(f"""{_AHASH}, d AS (SELECT CAST(CAST(bits AS BIT) AS BIGINT) AS h, any_value(bits) AS bits, count(*) AS n FROM e GROUP BY 1)
+SELECT a.h AS "left", b.h AS "right", CAST(hamming(a.bits, b.bits) AS INT) AS distance, a.n AS left_n, b.n AS right_n FROM d a JOIN d b ON a.h < b.h WHERE hamming(a.bits, b.bits) <= 8""")
+def near_hash_links(spark, sf):
+    return hashes.near_links(hashed(spark, sf), radius=8)
+
+
 _SPLIT = "CASE WHEN vec_id % 10 < 7 THEN 'train' WHEN vec_id % 10 < 9 THEN 'val' ELSE 'test' END"
 
 

@@ -158,3 +158,10 @@ def _own_folder() -> str:
     made = tempfile.mkdtemp(prefix="quern-work-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     return "file://" + made
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written into a new folder of the workspace and read back: what reads it does not compute it again."""
+    path = workspace(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
