@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.features import with_features
-from ..operators import chunk, dedup, filters, profile, tokens
+from ..operators import chunk, dedup, filters, profile, sketches, tokens
+from ..sources import files
 from ..sources.tables import spread
 from .registry import query, table
 
@@ -407,3 +408,29 @@ def tfidf_lr(spark, sf):
     rows = _labelled(spark, sf).where("quality is not null").select("doc_id", "text", F.col("quality").alias("y"))
     model = tokens.tfidf_pipeline().fit(rows)
     return model.transform(rows).select("doc_id", "y", F.col("prediction").cast("int").alias("pred"))
+
+
+_W = r"len(regexp_extract_all(text, '\S+'))"
+
+
+@query(f"""SELECT source, count(*) AS rows, CAST(sum({_W}) AS BIGINT) AS words, min({_W}) AS min_words, max({_W}) AS max_words, count(*) FILTER (quality = 1) AS ai_rows,
+  round(avg({_W}), 6) AS mean_words, true AS quartiles_hold, true AS distinct_holds FROM (SELECT DISTINCT ON (doc_id) * FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY source""")
+def profile_from_days(spark, sf):
+    """The profile by source, merged from a table of daily sketches that was written in two parts, and whether its quartiles and distinct
+    counts lie within their errors of the exact ones."""
+    docs = _labelled(spark, sf).withColumns({"day": F.format_string("2024-01-%02d", F.col("doc_id") % 30 + 1), "is_generated": F.col("quality")})
+    at = files.workspace(spark, "profile")
+    for part in (F.col("doc_id") % 30 < 20, F.col("doc_id") % 30 >= 20):
+        sketches.add_days(docs.where(part), at, by=("source",))
+    got = sketches.profile(spark, at, "source")
+    words = docs.select("source", T.word_count(F.col("text")).alias("w"), F.xxhash64("text").alias("h"))
+    exact = words.groupBy("source").agg(F.count_distinct("h").alias("texts"))
+    ranks = words.join(got.select("source", *[f"words_q{q}" for q in (25, 50, 75)]), "source").groupBy("source").agg(
+        *[F.avg(F.when(F.col("w") < F.col(f"words_q{q}"), 1.0).otherwise(0.0)).alias(f"below{q}") for q in (25, 50, 75)],
+        *[F.avg(F.when(F.col("w") <= F.col(f"words_q{q}"), 1.0).otherwise(0.0)).alias(f"upto{q}") for q in (25, 50, 75)],
+    )
+    held = [(F.col(f"below{q}") - sketches.RANK_ERROR <= q / 100) & (F.col(f"upto{q}") + sketches.RANK_ERROR >= q / 100) for q in (25, 50, 75)]
+    near = F.abs(F.col("distinct_texts") - F.col("texts")) <= F.greatest(F.lit(1.0), 3 * sketches.DISTINCT_ERROR * F.col("texts"))
+    return got.join(exact, "source").join(ranks, "source").select(
+        "source", "rows", "words", "min_words", "max_words", "ai_rows", "mean_words", (held[0] & held[1] & held[2]).alias("quartiles_hold"), near.alias("distinct_holds")
+    )
