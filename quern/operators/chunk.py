@@ -14,10 +14,11 @@ from ..functions.names import fresh
 
 def fixed_chunks(df: DataFrame, text: str = "text", size: int = 400, least: int = 100, most: int = 600, out: str = "chunk") -> DataFrame:
     """A row per run of `size` words; runs with fewer than `least` or more than `most` words go. Adds chunk_no and `out`."""
+    words, part = fresh(df, "w", "c")
     w = T.words(F.col(text))
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("__w") / size).cast("int") - 1, F.lit(0))), lambda k: F.slice("__w", k * size + 1, F.lit(size)))
-    found = df.withColumn("__w", w).select(*df.columns, F.posexplode(cut).alias("chunk_no", "__c"))
-    return found.where(F.size("__c").between(least, most)).select(*df.columns, "chunk_no", F.array_join("__c", " ").alias(out))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / size).cast("int") - 1, F.lit(0))), lambda k: F.slice(words, k * size + 1, F.lit(size)))
+    found = df.withColumn(words, w).select(*df.columns, F.posexplode(cut).alias("chunk_no", part))
+    return found.where(F.size(part).between(least, most)).select(*df.columns, "chunk_no", F.array_join(part, " ").alias(out))
 
 
 # size, least and most words, the share and least number of sentences skipped at either end, whether always
@@ -72,15 +73,17 @@ def first_raw(df: DataFrame, key: str, raw: int = 9) -> DataFrame:
 
 def at_most(df: DataFrame, key: str, n: int, order: str = "chunk_no") -> DataFrame:
     """The first n rows of each key."""
-    return df.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("__k") <= n).drop("__k")
+    (k,) = fresh(df, "k")
+    return df.withColumn(k, F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col(k) <= n).drop(k)
 
 
 def middle_slice(df: DataFrame, key: str, most: int = 150, order: str = "chunk_no") -> DataFrame:
     """Of each key with more than `most` rows the centred ones."""
     w = Window.partitionBy(key)
-    ranked = df.withColumns({"__k": F.row_number().over(w.orderBy(order)) - 1, "__n": F.count("*").over(w)})
-    first = F.when(F.col("__n") > most, F.floor((F.col("__n") - most) / 2)).otherwise(0)
-    return ranked.where((F.col("__k") >= first) & (F.col("__k") < first + F.greatest(F.lit(most), F.when(F.col("__n") > most, F.lit(0)).otherwise(F.col("__n"))))).drop("__k", "__n")
+    k, n = fresh(df, "k", "n")
+    ranked = df.withColumns({k: F.row_number().over(w.orderBy(order)) - 1, n: F.count("*").over(w)})
+    first = F.when(F.col(n) > most, F.floor((F.col(n) - most) / 2)).otherwise(0)
+    return ranked.where((F.col(k) >= first) & (F.col(k) < first + F.greatest(F.lit(most), F.when(F.col(n) > most, F.lit(0)).otherwise(F.col(n))))).drop(k, n)
 
 
 def reason_tally(df: DataFrame, reason: str = "reason", k: int = 10) -> DataFrame:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import checks
+from ..functions.names import fresh
+
 
 def union_all(*frames: DataFrame) -> DataFrame:
     """UNION ALL by name; columns that a side lacks are null."""
@@ -122,8 +125,9 @@ def lookup(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
 
 def with_frequency(df: DataFrame, key: str, out: str = "n") -> DataFrame:
     """Each row with its key's count. Counts are joined back, so a hot key is counted map-side."""
-    counts = df.groupBy(key).agg(F.count("*").alias(out)).withColumnRenamed(key, "__key")
-    return df.join(counts, df[key].eqNullSafe(counts["__key"]), "left").drop("__key")
+    (other,) = fresh(df, "key")
+    counts = df.groupBy(key).agg(F.count("*").alias(out)).withColumnRenamed(key, other)
+    return df.join(counts, df[key].eqNullSafe(counts[other]), "left").drop(other)
 
 
 def resume(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -137,9 +141,8 @@ def grid(*axes: DataFrame) -> DataFrame:
 
 
 def zip_by_key(left: DataFrame, right: DataFrame, key: str, label: str = "y") -> DataFrame:
-    """Inner join of two members' predictions; raises when keys are missing on a side or labels differ."""
-    j = left.alias("l").join(right.alias("r"), key, "full_outer")
-    bad = j.agg(F.count_if(F.col(f"l.{label}").isNull() | F.col(f"r.{label}").isNull()).alias("missing"), F.count_if(F.col(f"l.{label}") != F.col(f"r.{label}")).alias("differ")).first()
-    if bad["missing"] or bad["differ"]:
-        raise ValueError(f"members disagree: {bad['missing']} keys on one side only, {bad['differ']} labels differ")
-    return left.join(right.drop(label), key)
+    """Join of two members' predictions; reading it is an error where a key is missing on a side or labels differ."""
+    of_left, of_right, other = fresh(left.join(right.drop(label), key), "left", "right", "label")
+    j = left.withColumn(of_left, F.lit(True)).join(right.withColumnRenamed(label, other).withColumn(of_right, F.lit(True)), key, "full_outer")
+    j = checks.no_row(j, F.col(of_left).isNull() | F.col(of_right).isNull(), "members disagree: on one side only is ", F.col(key))
+    return checks.no_row(j, ~F.col(label).eqNullSafe(F.col(other)), "members disagree in the label of ", F.col(key)).drop(of_left, of_right, other)

@@ -11,7 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import checks
 from ..functions.labels import safe_divide
+from ..functions.names import fresh
 
 RATES = 6  # decimals of reported rates
 
@@ -35,7 +37,8 @@ def with_rates(counts: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def threshold_metrics(df: DataFrame, threshold: float = 0.5, y: str = "y", score: str = "p", by: list[str] | None = None, strict: bool = True) -> DataFrame:
-    return with_rates(confusion(df.withColumn("__pred", (F.col(score) >= threshold).cast("int")), y, "__pred", by), strict)
+    (pred,) = fresh(df, "pred")
+    return with_rates(confusion(df.withColumn(pred, (F.col(score) >= threshold).cast("int")), y, pred, by), strict)
 
 
 #: Slices of the distinct scores, cut at quantiles of them, so that no task sees all.
@@ -268,12 +271,11 @@ def slice_recall(df: DataFrame, by: list[str], y: str = "y", pred: str = "pred")
 
 
 def soft_vote(long: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Mean probability of the members; labels must agree, and every member must have every sample."""
-    per = long.groupBy(key).agg(F.min("y").alias("y"), F.max("y").alias("__y"), F.avg("p").alias("p"), F.count("*").alias("members"))
-    bad = per.agg(F.count_if(F.col("y") != F.col("__y")).alias("labels"), (F.min("members") != F.max("members")).alias("members")).first()
-    if bad["labels"] or bad["members"]:
-        raise ValueError("members disagree in labels or samples")
-    return per.drop("__y")
+    """Mean probability of the members. Labels must agree, and every member must have every sample: else reading it is an error."""
+    (most,) = fresh(long, "most")
+    per = long.groupBy(key).agg(F.min("y").alias("y"), F.max("y").alias(most), F.avg("p").alias("p"), F.count("*").alias("members"))
+    agreed = checks.no_row(per, F.col("y") != F.col(most), "members disagree in the label of ", F.col(key)).drop(most)
+    return checks.fact(agreed, per.agg(F.min("members").alias("a"), F.max("members").alias("b")), F.col("a") != F.col("b"), "members disagree in samples")
 
 
 CORRUPTIONS = ("jpeg30", "jpeg50", "blur3", "resize112", "noise05")

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import checks
 from ..functions import text as T
 from ..functions.features import BRACKETED, DEEP, PUNCTUATION, STOP_ARCHIVE, STOP_STORY, with_features
+from ..functions.names import fresh
 
 # Fixed value: spellings of dialect.
 DIALECT = (
@@ -162,16 +164,15 @@ def drop_blank(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def split_frame(df: DataFrame, split: str, dataset_id: str | None = None, domain: str | None = None) -> DataFrame:
-    """Labelled rows of a split, by dataset and domain where given; raises when none are left or a filter has no column."""
+    """Labelled rows of a split, by dataset and domain where given. A filter without a column is an error, and reading no rows is."""
     out = df.where((F.col("split") == split) & (F.col("label") >= 0))
     for name, value in (("dataset_id", dataset_id), ("domain", domain)):
         if value and value.strip():
             if name not in df.columns:
                 raise ValueError(f"no column {name} to filter by; there are {df.columns}")
             out = out.where(F.col(name) == value.strip())
-    if out.isEmpty():
-        raise ValueError(f"no rows for split {split}")
-    return out
+    (n,) = fresh(df, "n")
+    return checks.fact(out, out.limit(1).agg(F.count("*").alias(n)), F.col(n) == 0, f"no rows for split {split}")
 
 
 def training_rows(df: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
+
 ARTIFACTS = ("governance_config_hash", "manifest_hash", "model_hash", "label_mapping_hash")
 #: Keys that a config must have.
 REQUIRED = ("held_out_splits", "max_heldout_evals_per_day", "selection_metric")
@@ -109,7 +111,8 @@ def decide(requests: DataFrame, config: Config, compat: bool = False) -> DataFra
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     held = lambda c: F.coalesce(F.col(c).isin(*config.held_out_splits), F.lit(False))
     said = _ladder(config, there("manifest_path"), there("label_mapping_hash"), yes("split_frozen"), held("eval_split"), held("tuning_split"), yes("forbid_test_tuning"), yes("drift"), messages, F.coalesce("heldout_today", F.lit(0)), yes("override"), compat)
-    return requests.withColumn("__d", said).select(*requests.columns, "__d.allowed", "__d.valid", "__d.reason")
+    (d,) = fresh(requests, "decided")
+    return requests.withColumn(d, said).select(*[f"`{c}`" for c in requests.columns], f"{d}.allowed", f"{d}.valid", f"{d}.reason")
 
 
 def access_record(spark, **values) -> DataFrame:
@@ -121,9 +124,10 @@ def access_record(spark, **values) -> DataFrame:
 
 def baseline_pending(decided: DataFrame, baseline: DataFrame) -> DataFrame:
     """Add baseline_pending: the request is allowed and valid, no override was used, and no baseline is pinned yet."""
-    none = baseline.agg((F.count("*") == 0).alias("__none"))
+    (none_yet,) = fresh(decided, "none")
+    none = baseline.agg((F.count("*") == 0).alias(none_yet))
     free = F.col("allowed") & F.col("valid") & ~F.coalesce("override", F.lit(False))
-    return decided.crossJoin(none).withColumn("baseline_pending", free & F.col("__none")).drop("__none")
+    return decided.crossJoin(none).withColumn("baseline_pending", free & F.col(none_yet)).drop(none_yet)
 
 
 def finalize(decided: DataFrame, run_id: str, user_id: str, at: str) -> tuple[DataFrame, DataFrame]:

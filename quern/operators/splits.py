@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import checks
+from ..functions.names import fresh
+
 #: Hex digits of the hash that name a slice: 65,536 slices.
 DIGITS = 4
 #: Rows that a split leaves as they are: their label is unknown.
@@ -26,33 +29,35 @@ def ranked(df: DataFrame, key: str, seed: int, by: list[str] | None = None, out:
     """Add the 1-based rank in shuffled order, over all rows or inside `by`. Rows are dealt by the first hex digits of
     their hash; slices are counted (65,536 rows a class at most), and a row's rank is its slice's offset plus its place there."""
     by = by or []
-    df = df.withColumn("__h", shuffle_key(key, seed)).withColumn("__s", F.substring("__h", 1, DIGITS))
-    before = df.groupBy(*by, "__s").agg(F.count("*").alias("__n"))
-    offsets = Window.partitionBy(*by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(0)).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.withColumn("__before", F.coalesce(F.sum("__n").over(offsets), F.lit(0))).drop("__n")
-    place = F.row_number().over(Window.partitionBy(*by, "__s").orderBy("__h", key))
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*by, "__s"]]
-    joined = df.withColumn("__p", place).alias("l").join(before.alias("r"), on)
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns if not c.startswith("__")], (F.col("__p") + F.col("__before")).alias(out))
+    h, s, n, ahead, p = fresh(df, "h", "s", "n", "before", "p")
+    dealt = df.withColumn(h, shuffle_key(key, seed)).withColumn(s, F.substring(h, 1, DIGITS))
+    before = dealt.groupBy(*by, s).agg(F.count("*").alias(n))
+    offsets = Window.partitionBy(*by).orderBy(s).rowsBetween(Window.unboundedPreceding, -1) if by else Window.partitionBy(F.lit(0)).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
+    before = before.withColumn(ahead, F.coalesce(F.sum(n).over(offsets), F.lit(0))).drop(n)
+    place = F.row_number().over(Window.partitionBy(*by, s).orderBy(h, key))
+    on = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in [*by, s]]
+    joined = dealt.withColumn(p, place).alias("l").join(before.alias("r"), on)
+    return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col(p) + F.col(ahead)).alias(out))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, fraction: float, seed: int = 42, classes: int | None = 2, out: str = "part") -> DataFrame:
-    """test for the first round-half-even(n * fraction) of each class, else train. Raises unless there are `classes` classes."""
-    counts = df.groupBy(label).agg(F.count("*").alias("__n"))
-    if classes is not None and (n := counts.count()) != classes:
-        raise ValueError(f"{classes} classes are needed, got {n}")
-    sized = counts.withColumn("__t", F.bround(F.col("__n") * F.lit(fraction), 0)).drop("__n").withColumnRenamed(label, "__y")
-    r = ranked(df, key, seed, [label], "__k")
-    return r.join(sized, r[label].eqNullSafe(sized["__y"])).withColumn(out, F.when(F.col("__k") <= F.col("__t"), "test").otherwise("train")).drop("__k", "__t", "__y")
+    """test for the first round-half-even(n * fraction) of each class, else train. Reading it is an error unless there are `classes` classes."""
+    n, k, t, y = fresh(df, "n", "k", "t", "y")
+    counts = df.groupBy(F.col(label).alias(y)).agg(F.count("*").alias(n))
+    sized = counts.select(y, F.bround(F.col(n) * F.lit(fraction), 0).alias(t))
+    r = ranked(df, key, seed, [label], k)
+    made = r.join(sized, r[label].eqNullSafe(sized[y])).withColumn(out, F.when(F.col(k) <= F.col(t), "test").otherwise("train")).drop(k, t, y)
+    return made if classes is None else checks.fact(made, counts.agg(F.count("*").alias(n)), F.col(n) != classes, f"{classes} classes are needed, got ", F.col(n))
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
     """Folds 0 .. k-1 in runs of the shuffled class; the first n mod k folds have one row more."""
-    counts = df.groupBy(label).agg(F.count("*").alias("__n")).withColumnRenamed(label, "__y")
-    r = ranked(df, key, seed, [label], "__k")
-    q, more, at = F.floor(F.col("__n") / k), F.col("__n") % k, F.col("__k") - 1
+    n, rank, y = fresh(df, "n", "k", "y")
+    counts = df.groupBy(F.col(label).alias(y)).agg(F.count("*").alias(n))
+    r = ranked(df, key, seed, [label], rank)
+    q, more, at = F.floor(F.col(n) / k), F.col(n) % k, F.col(rank) - 1
     fold = F.when(at < more * (q + 1), F.floor(at / (q + 1))).otherwise(more + F.floor((at - more * (q + 1)) / F.greatest(q, F.lit(1))))
-    return r.join(counts, r[label].eqNullSafe(counts["__y"])).withColumn(out, fold.cast("int")).drop("__k", "__n", "__y")
+    return r.join(counts, r[label].eqNullSafe(counts[y])).withColumn(out, fold.cast("int")).drop(rank, n, y)
 
 
 def eligible(df: DataFrame, out: str) -> Column:
@@ -64,31 +69,33 @@ def group_split(df: DataFrame, group: str, fraction: float, seed: int = 42, out:
     """Whole groups go to val, in shuffled order, until it has max(1, int(n * fraction)) rows, one group at least; rows without a
     group (null or empty) go to train. n counts eligible rows; rows that say SKIPPED keep that. Without any group it is
     the row split by `key`. Only group sizes are put in order."""
+    g, n, h, s, m, before, i, v, k = fresh(df, "g", "n", "h", "s", "m", "before", "i", "v", "k")
     takes, named = eligible(df, out), F.when(F.col(group) != "", F.col(group))
-    sizes = df.where(takes).groupBy(named.alias("__g")).agg(F.count("*").alias("__n"))
-    total, groups = sizes.agg(F.sum("__n"), F.count("__g")).first()
+    sizes = df.where(takes).groupBy(named.alias(g)).agg(F.count("*").alias(n))
+    total, groups = sizes.agg(F.sum(n), F.count(g)).first()
     if not groups:
         if key is None:
             raise ValueError("there are no groups: the row split needs a key")
         return row_split(df, key, fraction, seed, out)
     target = max(1, int(total * fraction))
-    r = sizes.where("__g is not null").withColumn("__h", shuffle_key("__g", seed)).withColumn("__s", F.substring("__h", 1, DIGITS))
-    offsets = r.groupBy("__s").agg(F.sum("__n").alias("__m")).withColumn(
-        "__before", F.coalesce(F.sum("__m").over(Window.partitionBy(F.lit(0)).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = sizes.where(F.col(g).isNotNull()).withColumn(h, shuffle_key(g, seed)).withColumn(s, F.substring(h, 1, DIGITS))
+    offsets = r.groupBy(s).agg(F.sum(n).alias(m)).withColumn(
+        before, F.coalesce(F.sum(m).over(Window.partitionBy(F.lit(0)).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    inside = F.coalesce(F.sum("__n").over(Window.partitionBy("__s").orderBy("__h", "__g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    val = r.withColumn("__i", inside).join(offsets.drop("__m"), "__s").where(F.col("__before") + F.col("__i") < target).select("__g", F.lit("val").alias("__v"))
-    said = F.when(takes, F.coalesce("__v", F.lit("train"))).otherwise(F.lit(SKIPPED))
-    return df.withColumn("__k", named).join(val, F.col("__k") == F.col("__g"), "left").withColumn(out, said).drop("__k", "__g", "__v")
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy(s).orderBy(h, g).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    val = r.withColumn(i, inside).join(offsets.drop(m), s).where(F.col(before) + F.col(i) < target).select(g, F.lit("val").alias(v))
+    said = F.when(takes, F.coalesce(v, F.lit("train"))).otherwise(F.lit(SKIPPED))
+    return df.withColumn(k, named).join(val, F.col(k) == F.col(g), "left").withColumn(out, said).drop(k, g, v)
 
 
 def row_split(df: DataFrame, key: str, fraction: float, seed: int = 42, out: str = "split") -> DataFrame:
     """val for the first max(1, int(n * fraction)) shuffled rows (all of fewer than two), else train. n counts eligible rows; rows
     that say SKIPPED keep that and are not ranked."""
+    (k,) = fresh(df, "k")
     takes = eligible(df, out)
     n = df.where(takes).count()
     size = max(1, int(n * fraction)) if n > 1 else n
-    made = ranked(df.where(takes), key, seed, None, "__k").withColumn(out, F.when(F.col("__k") <= size, "val").otherwise("train")).drop("__k")
+    made = ranked(df.where(takes), key, seed, None, k).withColumn(out, F.when(F.col(k) <= size, "val").otherwise("train")).drop(k)
     return made.unionByName(df.where(~takes)) if out in df.columns else made
 
 
@@ -98,6 +105,7 @@ GROUP_COLUMNS = ("group_id", "subject_id", "source_id", "generator_id")
 def derive_groups(df: DataFrame, name: str, out: str = "group") -> DataFrame:
     """Add a group: the first of GROUP_COLUMNS that has a value, else the name without its extension up to the first _, - or blank
     (all of it, where there is none), if parts that occur again cover half the rows; parts that occur once are no group."""
+    p, many, q = fresh(df, "p", "n", "q")
     there = [c for c in GROUP_COLUMNS if c in df.columns]
     if there:
         has = df.agg(*[F.count(c).alias(c) for c in there]).first()
@@ -105,12 +113,12 @@ def derive_groups(df: DataFrame, name: str, out: str = "group") -> DataFrame:
             if has[c]:
                 return df.withColumn(out, F.nullif(F.col(c).cast("string"), F.lit("")))
     stem = F.regexp_replace(F.col(name).cast("string"), r"(?s)\.[^.]*$", "")
-    df = df.withColumn("__p", F.regexp_extract(stem, r"(?s)^([^_\- ]*)", 1))
-    counts = df.where("__p is not null").groupBy("__p").agg(F.count("*").alias("__n")).where("__n > 1")
-    joined = df.join(counts.withColumnRenamed("__p", "__q"), F.col("__p") == F.col("__q"), "left")
-    n, covered = joined.agg(F.count("*"), F.count("__n")).first()
-    group = F.nullif(F.col("__q"), F.lit("")) if n and covered * 2 >= n else F.lit(None).cast("string")
-    return joined.withColumn(out, group).drop("__p", "__q", "__n")
+    df = df.withColumn(p, F.regexp_extract(stem, r"(?s)^([^_\- ]*)", 1))
+    counts = df.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias(many)).where(F.col(many) > 1)
+    joined = df.join(counts.withColumnRenamed(p, q), F.col(p) == F.col(q), "left")
+    n, covered = joined.agg(F.count("*"), F.count(many)).first()
+    group = F.nullif(F.col(q), F.lit("")) if n and covered * 2 >= n else F.lit(None).cast("string")
+    return joined.withColumn(out, group).drop(p, q, many)
 
 
 def load_or_create(spark, path: str, make, regenerate: bool = False) -> DataFrame:
@@ -141,16 +149,17 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 def balance(df: DataFrame, by: list[str], key: str, seed: int = 42) -> DataFrame:
     """Upsample each stratum to the largest: row k of n comes once for every place k, k + n, ... up to the largest size. Adds copy_no."""
-    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
-    sizes = sizes.crossJoin(sizes.agg(F.max("__n").alias("__m")))
-    r = ranked(df, key, seed, by, "__k")
-    joined = r.alias("r").join(sizes.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by])
+    n, m, k, c, u, l = fresh(df, "n", "m", "k", "c", "u", "l")
+    sizes = df.groupBy(*by).agg(F.count("*").alias(n))
+    sizes = sizes.crossJoin(sizes.agg(F.max(n).alias(m)))
+    r = ranked(df, key, seed, by, k)
+    joined = r.alias("r").join(sizes.alias("s"), [F.col(f"r.`{x}`").eqNullSafe(F.col(f"s.`{x}`")) for x in by])
     # two levels, as one row of a small stratum may stand for most of the result
-    most = F.floor((F.col("__m") - F.col("__k")) / F.col("__n"))
-    names = [F.col(f"r.{c}").alias(c) for c in df.columns]
-    high = joined.select(*names, most.alias("__c"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(most / COPIES))).alias("__u"))
-    low = F.sequence(F.lit(0).cast("long"), F.least(F.lit(COPIES - 1).cast("long"), F.col("__c") - F.col("__u") * COPIES))
-    return high.select(*df.columns, "__u", F.explode(low).alias("__l")).select(*df.columns, (F.col("__u") * COPIES + F.col("__l")).alias("copy_no"))
+    most = F.floor((F.col(m) - F.col(k)) / F.col(n))
+    given = [f"`{x}`" for x in df.columns]
+    high = joined.select(*[F.col(f"r.{x}") for x in given], most.alias(c), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(most / COPIES))).alias(u))
+    low = F.sequence(F.lit(0).cast("long"), F.least(F.lit(COPIES - 1).cast("long"), F.col(c) - F.col(u) * COPIES))
+    return high.select(*given, u, F.explode(low).alias(l)).select(*given, (F.col(u) * COPIES + F.col(l)).alias("copy_no"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

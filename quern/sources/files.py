@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh
+
 
 def _path(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -94,13 +96,14 @@ def latest(listing: DataFrame, suffix: str) -> DataFrame:
 
 def best_candidate(listing: DataFrame, extensions: list[str], names: list[str]) -> DataFrame:
     """One file: by the order of its extension, then of the first name it contains, then by size, the largest first."""
+    rank, by_name = fresh(listing, "e", "n")
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     ext, known = F.lit(len(extensions)), F.lit(len(names))
     for k in reversed(range(len(extensions))):
         ext = F.when(name.endswith("." + extensions[k]), k).otherwise(ext)
     for k in reversed(range(len(names))):
         known = F.when(name.contains(names[k]), k).otherwise(known)
-    return listing.withColumns({"__e": ext, "__n": known}).where(F.col("__e") < len(extensions)).orderBy("__e", "__n", F.desc("length"), "path").limit(1).drop("__e", "__n")
+    return listing.withColumns({rank: ext, by_name: known}).where(F.col(rank) < len(extensions)).orderBy(rank, by_name, F.desc("length"), "path").limit(1).drop(rank, by_name)
 
 
 def choose_item_file(listing: DataFrame, by: str, name: str = "name", size: str = "size") -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from ..functions import checks
+from ..functions.names import fresh
 from . import files
 
 
@@ -160,26 +162,25 @@ def save_model(model, path: str) -> None:
 
 
 def assign_labels(df: DataFrame, mapping: dict[str, int], allow_unknown: bool = False, category: str = "category") -> DataFrame:
-    """Add label from the category; unknown ones raise, or get label -1 and split skipped_unknown."""
+    """Add label from the category; reading a row of an unknown one is an error, or it gets label -1 and split skipped_unknown."""
     from ..functions.labels import map_value
 
     out = df.withColumn("label", map_value(F.col(category), mapping))
     if not allow_unknown:
-        unknown = [r[0] for r in out.where("label is null").select(category).distinct().limit(5).collect()]
-        if unknown:
-            raise ValueError(f"unknown categories, such as {unknown}")
-        return out
+        return checks.no_row(out, F.col("label").isNull(), "unknown category ", F.col(category))
     split = F.col("split") if "split" in df.columns else F.lit(None).cast("string")
     return out.withColumns({"split": F.when(F.col("label").isNull(), "skipped_unknown").otherwise(split), "label": F.coalesce("label", F.lit(-1))})
 
 
 def eval_manifest(listing: DataFrame, mapping: dict[str, int], split: str, root: str = "/app/data", there: DataFrame | None = None) -> DataFrame:
-    """A manifest with one split from (image_name, category, ...); raises when a file is not in the listing `there` (path)."""
+    """A manifest with one split from (image_name, category, ...); reading a file that is not in the listing `there` (path) is an error."""
     path = F.concat_ws("/", F.lit(root), "category", "image_name")
     out = assign_labels(listing, mapping).withColumns({"path": path, "split": F.lit(split), "label_mapping": F.lit(json.dumps(mapping, sort_keys=True))})
-    if there is not None and (n := out.join(there.select("path"), "path", "left_anti").count()):
-        raise FileNotFoundError(f"{n} listed files are not there")
-    return out
+    if there is None:
+        return out
+    (seen,) = fresh(out, "seen")
+    known = there.select(F.col("path").alias(seen)).distinct()
+    return checks.no_row(out.join(known, out["path"] == known[seen], "left"), F.col(seen).isNull(), "listed, but not there: ", F.col("path")).drop(seen)
 
 
 def spread(df: DataFrame) -> DataFrame:

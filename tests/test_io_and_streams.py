@@ -93,14 +93,14 @@ def test_feed(spark, tmp_path):
 
 def test_manifests(spark):
     listing = spark.createDataFrame([("1.png", "real"), ("2.png", "odd")], "image_name string, category string")
-    with pytest.raises(ValueError):
-        tables.assign_labels(listing, {"real": 0})
+    with pytest.raises(Exception, match="unknown category odd"):
+        tables.assign_labels(listing, {"real": 0}).collect()
     got = tables.assign_labels(listing, {"real": 0}, allow_unknown=True).collect()
     assert [(r["label"], r["split"]) for r in got] == [(0, None), (-1, "skipped_unknown")]
     there = spark.createDataFrame([("/app/data/real/1.png",)], "path string")
     assert tables.eval_manifest(listing.where("category = 'real'"), {"real": 0}, "test", there=there).first()["path"] == "/app/data/real/1.png"
-    with pytest.raises(FileNotFoundError):
-        tables.eval_manifest(listing, {"real": 0, "odd": 1}, "test", there=there)
+    with pytest.raises(Exception, match="not there: /app/data/odd/2.png"):
+        tables.eval_manifest(listing, {"real": 0, "odd": 1}, "test", there=there).collect()
 
 
 def test_streams_agree_with_batch(spark, sf, tmp_path):

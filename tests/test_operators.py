@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import dedup, evaluation as E, governance as G, grid, profile, splits, tokens
+from quern.operators import chunk, dedup, evaluation as E, filters, governance as G, grid, profile, splits, tokens
+from quern.sources import tables
 
 
 def test_dedup(spark):
@@ -46,10 +47,40 @@ def test_near_pairs(spark):
 
 def test_member_checks(spark):
     a = spark.createDataFrame([(1, 0, 0.1), (2, 1, 0.9)], "sample_id long, y int, p double")
-    with pytest.raises(ValueError):
-        dedup.zip_by_key(a, a.where("sample_id = 1"), "sample_id")
-    with pytest.raises(ValueError):
-        E.soft_vote(a.unionByName(a.withColumn("y", 1 - F.col("y"))))
+    for made, message in (
+        (dedup.zip_by_key(a, a.where("sample_id = 1"), "sample_id"), "on one side only is 2"), (dedup.zip_by_key(a.where("sample_id = 2"), a, "sample_id"), "on one side only is 1"),
+        (dedup.zip_by_key(a, a.withColumn("y", F.lit(1)), "sample_id"), "the label of 1"), (E.soft_vote(a.unionByName(a.withColumn("y", 1 - F.col("y")))), "the label of"),
+        (E.soft_vote(a.unionByName(a.where("sample_id = 1"))), "in samples"),
+    ):
+        with pytest.raises(Exception, match=message):
+            made.collect()
+    assert dedup.zip_by_key(a, a.withColumnRenamed("p", "q"), "sample_id").count() == 2 and E.soft_vote(a.unionByName(a)).count() == 2
+
+
+def test_checks_are_part_of_the_plan(spark, people):
+    """No job runs while these plans are built."""
+    a = spark.createDataFrame([(1, 0, 0.1), (2, 1, 0.9)], "sample_id long, y int, p double")
+    listing = spark.createDataFrame([("1.png", "real"), ("2.png", "odd")], "image_name string, category string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "no job")
+    made = [
+        dedup.zip_by_key(a, a, "sample_id"), E.soft_vote(a), splits.stratified_split(people, "y", "id", 0.2), filters.split_frame(people.selectExpr("'val' as split", "1 as label"), "val"),
+        tables.assign_labels(listing, {"real": 0, "odd": 1}), tables.eval_manifest(listing, {"real": 0, "odd": 1}, "test", there=spark.createDataFrame([("/app/data/real/1.png",), ("/app/data/odd/2.png",)], "path string")),
+    ]
+    assert len(tracker.getJobIdsForGroup("planning")) == 0
+    spark.sparkContext.setJobGroup("after", "")
+    assert [m.count() for m in made] == [2, 2, 103, 103, 2, 2]
+
+
+def test_names_that_clash(spark):
+    """Temporary names never take a column of the caller's, whatever the case of its letters."""
+    names = ["__" + x for x in ("h", "s", "n", "k", "p", "g", "m", "before", "i", "v", "q", "t", "y", "c", "u", "l", "key", "decided", "ok", "words", "part", "PRED")]
+    df = spark.createDataFrame([(k, k % 2, f"g{k % 3}", "w " * 120, "val", *range(len(names))) for k in range(20)], "id long, label int, grp string, text string, split string, " + ", ".join(f"`{n}` int" for n in names))
+    for made in (
+        splits.ranked(df, "id", 1), splits.ranked(df, "__h", 1), splits.stratified_split(df, "label", "id", 0.3), splits.stratified_folds(df, "label", "id", 3), splits.group_split(df, "grp", 0.3), splits.row_split(df, "id", 0.3),
+        splits.balance(df, ["label"], "id"), splits.derive_groups(df.drop("grp"), "text"), dedup.with_frequency(df, "label"), filters.split_frame(df, "val"), chunk.fixed_chunks(df, size=50, least=10), chunk.at_most(df, "label", 5, "id"),
+    ):
+        assert made.count() > 0 and all([r[n] for n in names] == list(range(len(names))) for r in made.collect())
 
 
 @pytest.fixture(scope="module")
@@ -64,8 +95,8 @@ def test_splits(people):
     for y in (0, 1):
         sizes = [r["count"] for r in sorted(folds, key=lambda r: r["fold"]) if r["y"] == y]
         assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1 and sizes == sorted(sizes, reverse=True)
-    with pytest.raises(ValueError):
-        splits.stratified_split(people.where("y = 1"), "y", "id", 0.2)
+    with pytest.raises(Exception, match="2 classes are needed, got 1"):
+        splits.stratified_split(people.where("y = 1"), "y", "id", 0.2).collect()
     ranks = [r["rank"] for r in splits.ranked(people, "id", 7).collect()]
     assert sorted(ranks) == list(range(1, 104))
     assert splits.row_split(people, "id", 0.1).where("split = 'val'").count() == 10
