@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.names import fresh
+from .grid import let
 
 
 def fixed_chunks(df: DataFrame, text: str = "text", size: int = 400, least: int = 100, most: int = 600, out: str = "chunk") -> DataFrame:
@@ -29,41 +27,40 @@ PROFILES = {
 }
 
 
-def cut_sentences(sentences: list[str], size: int, least: int, most: int, share: int, skip: int, always: bool) -> list[str]:
-    """Gather words sentence by sentence. With `size` words or more together, the first `size` make a candidate, cut behind its
+def cut_sentences(sentences: Column, size: int, least: int, most: int, share: int, skip: int, always: bool) -> Column:
+    """Array of (chunk, word_count). Gather words sentence by sentence. With `size` words or more together, the first `size` make a candidate, cut behind its
     last . ! or ? if that lies past character size // 2; what is left over carries on. One candidate a sentence at most."""
-    ends = max(skip, len(sentences) // share)
-    if always or len(sentences) > 2 * ends:
-        sentences = sentences[ends:-ends]
-    chunks, held = [], []
-    for sentence in sentences:
-        held += sentence.split()
-        if len(held) < size:
-            continue
-        text = " ".join(held[:size])
-        stop = max(text.rfind(mark) for mark in ".!?")
-        if stop > size // 2:
-            text = text[: stop + 1]
-        n = len(text.split())
-        if least <= n <= most:
-            chunks.append(text)
-        held = held[n:]
-    return chunks
+    none = "cast(array() as array<{}>)".format
+
+    def trimmed(all_):
+        ends = F.greatest(F.lit(skip), F.floor(F.size(all_) / share).cast("int"))
+        inner = F.slice(all_, ends + 1, F.greatest(F.lit(0), F.size(all_) - 2 * ends))
+        return inner if always else F.when(F.size(all_) > 2 * ends, inner).otherwise(all_)
+
+    def gathered(done: Column, held: Column) -> Column:
+        """One step with `size` words or more: the candidate, and what is held after it."""
+        upto = lambda text: let(F.regexp_extract(text, r"(?s)^.*[.!?]", 0), lambda cut: F.when(F.length(cut) - 1 > size // 2, cut).otherwise(text))
+        candidate = let(F.array_join(F.slice(held, 1, size), " "), lambda text: let(upto(text), lambda cut: F.struct(cut.alias("chunk"), F.size(F.split(cut, " ")).alias("word_count"))))
+        return let(
+            candidate,
+            lambda c: F.struct(
+                F.when(c["word_count"].between(least, most), F.concat(done, F.array(c))).otherwise(done).alias("done"),
+                F.slice(held, c["word_count"] + 1, F.size(held)).alias("held"),
+            ),
+        )
+
+    start = F.struct(F.expr(none("struct<chunk:string,word_count:int>")).alias("done"), F.expr(none("string")).alias("held"))
+    step = lambda acc, sentence: let(F.concat(acc["held"], T.words(sentence)), lambda held: F.when(F.size(held) < size, F.struct(acc["done"].alias("done"), held.alias("held"))).otherwise(gathered(acc["done"], held)))
+    return F.aggregate(let(sentences, trimmed), start, step, lambda acc: acc["done"])
 
 
 def sentence_chunks(df: DataFrame, profile: str = "book", text: str = "text", key: str = "doc_id", **other) -> DataFrame:
-    """(key, chunk_no, chunk, word_count): the carry-over makes a document's chunks sequential, so documents are the unit of
-    parallelism. Sentences come from the JVM; an Arrow map gathers them."""
+    """(key, chunk_no, chunk, word_count): the carry-over makes a document's chunks sequential, so each document is one fold over its
+    sentences; a narrow plan of expressions. Null texts and those without a candidate have no chunk."""
     how = {**PROFILES[profile], **other}
     split: Column = {"any": T.sentences_any, "capital": T.sentences_capital, "protected": T.sentences_protected}[how.pop("split")](F.col(text))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(k, no, c, len(c.split())) for k, parts in zip(frame["k"], frame["s"]) if parts is not None for no, c in enumerate(cut_sentences(list(parts), **how))]
-            yield pd.DataFrame(rows, columns=["k", "chunk_no", "chunk", "word_count"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), split.alias("s")).mapInPandas(run, f"k {kind}, chunk_no int, chunk string, word_count int").withColumnRenamed("k", key)
+    chunks = F.when(F.col(text).isNotNull(), cut_sentences(split, **how))
+    return df.select(key, F.posexplode(chunks).alias("chunk_no", "c")).select(key, "chunk_no", "c.chunk", "c.word_count")
 
 
 def first_raw(df: DataFrame, key: str, raw: int = 9) -> DataFrame:

@@ -107,9 +107,16 @@ def temperature_scaled(spark, sf):
     return E.apply_temperature(scored(spark, sf), 1.5).select("doc_id", F.round("p", 6).alias("p"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_S.strip()[5:]}, q AS (SELECT y, greatest(1e-6, least(1 - 1e-6, (2 * p + y) / 3)) AS q FROM s),
+l AS (SELECT CASE WHEN y = 1 THEN ln(q / (1 - q)) ELSE -ln(q / (1 - q)) END AS z, count(*) AS n FROM q GROUP BY 1),
+w AS (SELECT 0 AS k, 1.0::DOUBLE AS x UNION ALL
+  SELECT k + 1, x + sum(n * z / (1 + exp(x * z))) / sum(n * z * z * exp(x * z) / power(1 + exp(x * z), 2)) FROM w, l WHERE k < 40 GROUP BY k, x)
+SELECT round(1 / x, 3) AS temperature FROM w WHERE k = 40""")
 def fitted_temperature(spark, sf):
-    return spark.createDataFrame([(round(E.fit_temperature(scored(spark, sf)), 3),)], "temperature double")
+    """The temperature of scores that lean towards their labels."""
+    leaning = scored(spark, sf).withColumn("p", (2 * F.col("p") + F.col("y")) / 3)
+    return spark.createDataFrame([(round(E.fit_temperature(leaning), 3),)], "temperature double")
 
 
 def _grouped(dim):

@@ -84,3 +84,12 @@ def quota_stream(spark, sf):
     counted.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     done = spark.read.parquet(f"{at}/out")
     return done.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("n").alias("n"), F.count_if("allowed").alias("allowed"))
+
+
+@query(r"SELECT source, CAST(octet_length(encode(string_agg(text || chr(10), '' ORDER BY doc_id))) AS BIGINT) AS bytes, sha256(string_agg(text || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY source")
+def file_digests(spark, sf):
+    """Digests of files, one of each source's documents."""
+    at = files.workspace(spark, "digests")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
+    table(spark, sf, "documents").groupBy("source").agg(texts.alias("value")).repartition("source").write.partitionBy("source").text(at)
+    return datasource.file_hashes(spark, at).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "bytes", "sha256")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import fnmatch
+import hashlib
 import io
 import json
 import re
@@ -409,3 +410,48 @@ def read_pages(spark: SparkSession, path: str, target: int = 0, until: str | Non
 def stream_pages(spark: SparkSession, path: str, target: int = 0, until: str | None = None, least_words: int = 0, least_score: float | None = None, pattern: str = "*") -> DataFrame:
     """The same as a stream."""
     return _paged(spark, spark.readStream, path, target, until, least_words, least_score, pattern)
+
+
+# Digests of whole files
+
+
+class FileDigests(DataSource):
+    """(path, bytes, sha256) of the files below a folder: a partition a file, read in blocks, so files may be of any size.
+
+    Options: path; pattern. Files whose names begin with _ or a dot are hidden."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "file_digests"
+
+    def schema(self) -> str:
+        return "path string, bytes bigint, sha256 string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return DigestReader(dict(self.options))
+
+
+class DigestReader(DataSourceReader):
+    BLOCK = 1 << 20
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def partitions(self) -> list[Files]:
+        # small files share a partition, a large one has its own
+        return _packed(_listing(self.options["path"], self.options.get("pattern", "*")), PARTITION_BYTES) or [Files([])]
+
+    def read(self, partition: Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            digest, n = hashlib.sha256(), 0
+            with _open(path) as stream:
+                while block := stream.read(self.BLOCK):
+                    digest.update(block)
+                    n += len(block)
+            yield path, n, digest.hexdigest()
+
+
+def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """The digests of files of any size; see FileDigests."""
+    spark.dataSource.register(FileDigests)
+    return spark.read.format("file_digests").option("path", path).option("pattern", pattern).load()

@@ -145,3 +145,26 @@ def test_fill_topics(spark):
     more = lambda n: {(t, k) for t in drawn[:n] for k in range(4)}
     assert take(3, 9) == b and take(4, 9) == b | a and take(8, 9) == b | a and take(9, 9) == b | a | more(1) and take(500, 2) == b | a | more(2)
     assert chunk.fill_topics(df, "topic", "place", ["a"], F.md5("topic"), 2, 5).columns == df.columns
+
+
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    """A sparse file beyond what one row can hold, read in blocks by a task of constant memory."""
+    import hashlib
+    import resource
+
+    size = 3 * 1024**3
+    write(f"{tmp_path}/a/small.bin", b"abc")
+    write(f"{tmp_path}/a/b/empty.bin", b"")
+    write(f"{tmp_path}/a/_hidden.bin", b"no")
+    with open(f"{tmp_path}/a/large.bin", "wb") as f:
+        f.truncate(size)
+    want, block = hashlib.sha256(), bytes(1 << 24)
+    for _ in range(size >> 24):
+        want.update(block)
+    got = {r["path"].rsplit("/", 1)[-1]: (r["bytes"], r["sha256"]) for r in datasource.file_hashes(spark, f"{tmp_path}/a").collect()}
+    assert got == {"small.bin": (3, hashlib.sha256(b"abc").hexdigest()), "empty.bin": (0, hashlib.sha256(b"").hexdigest()), "large.bin": (size, want.hexdigest())}
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    reader = datasource.DigestReader({"path": f"{tmp_path}/a", "pattern": "large*"})
+    assert len([x for p in reader.partitions() for x in reader.read(p)]) == 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # kilobytes
+    assert datasource.file_hashes(spark, f"{tmp_path}/a", "none*").count() == 0

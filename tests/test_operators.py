@@ -231,8 +231,18 @@ def test_calibration(spark):
     ps = [rng.random() for _ in range(3000)]
     ys = [int(rng.random() < p) for p in ps]
     sharp = [1 / (1 + math.exp(-2.5 * math.log(max(p, 1e-6) / max(1 - p, 1e-6)))) for p in ps]
-    t = E.fit_temperature(scores(spark, ys, sharp))
+    given = scores(spark, ys, sharp)
+    spark.sparkContext.setJobGroup("fit", "one job")
+    t = E.fit_temperature(given)
+    spark.sparkContext.setJobGroup("after", "")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit")) <= 2  # one query: its shuffle's map stage and its result
     assert t == pytest.approx(2.5, rel=0.1)
+    z = np.log(np.clip(sharp, 1e-6, 1 - 1e-6) / (1 - np.clip(sharp, 1e-6, 1 - 1e-6))) * np.where(np.array(ys) == 1, 1, -1)
+    loss = lambda v: np.logaddexp(0, -z / v).sum()
+    assert all(loss(t) <= loss(t * f) + 1e-9 for f in (0.999, 1.001, 0.9, 1.1)) and E.fit_temperature(given, compat=True) == pytest.approx(2 * t, rel=1e-5)
+    assert E.fit_temperature(scores(spark, [1, 0], [0.1, 0.9])) == pytest.approx(20, rel=1e-3) and E.fit_temperature(scores(spark, [1, 0], [0.9, 0.1])) == pytest.approx(0.05, rel=1e-3)
+    with pytest.raises(ValueError):
+        E.fit_temperature(given.where("false"))
     with pytest.raises(ValueError):
         E.apply_temperature(df, 0)
     with pytest.raises(ValueError):
