@@ -7,14 +7,16 @@ n-gram in every language, worked out at training even where a language never saw
 back-off weights; a missing n-gram costs its context's weight and is looked up one order lower. The language with the least
 cross-entropy per character wins.
 
-Rejection is calibrated on part of the sample that the counts leave out: a language's cross-entropies have a mean and a
-variance that falls with a text's length; a text is rejected whose distance from its own language's mean exceeds the
-largest one met there by a margin, and FLOOR standard deviations, which is the case for what is no language but not for clean text. A language of fewer than
-2 * CALIBRATE sampled rows leaves none out, and one with fewer than LEAST texts left out takes the median mean and
-variance of the others; where no language has as many, nothing is rejected but texts without a letter.
+Rejection is calibrated on the half of the sample that the counts leave out. A text's distance is that of its cross-entropy from
+its language's median there, in robust deviations (from the median distance, so that odd rows do not widen them), which shrink as texts
+grow. A language's limit is MARGIN times the distance that at most RATE of its clean texts exceed, with 95 % confidence
+in that number (an order statistic), or FLOOR, whichever is more. A language with too few texts left out for such a statement takes the
+one of all languages together, FLOOR where they are too few as well; with fewer than LEAST it takes the median centre and deviation of the others.
+Where no language has as many, nothing is rejected but texts without a letter.
 
-The sample is bounded: SAMPLE_ROWS rows a language, of a row's text SAMPLE_CHARS characters, LANGUAGES languages. Only counts of
-n-grams, which follow from that, and a few numbers for each row left out reach the driver. Predictions read whole texts.
+The sample is bounded: SAMPLE_ROWS rows a language, of the LANGUAGES languages with the most rows (of as many, the first by name).
+Only counts of n-grams, which follow from that, and a few numbers for each row left out reach the driver. Learning and predictions
+read whole texts, a long one in pieces of CHUNK characters that carry their context on, so a task holds a piece at a time.
 
 Null texts and texts without a letter are `und`, rejected, score 0. Without any labelled row everything is `und`. Null
 langs are not learned from; rows with a null doc_id neither, and count as not held out. Of languages at the same
@@ -23,6 +25,7 @@ cross-entropy the first by name wins. Repeated rows pass through, an empty table
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
@@ -36,17 +39,15 @@ from .shared import fresh, mix, rolling
 
 ORDER = 4
 #: Labelled rows of each language in the sample: those with the least hash of id and text, equal rows once. One in CALIBRATE is left out of the counts.
-SAMPLE_ROWS = 600
-CALIBRATE = 4
+SAMPLE_ROWS = 1000
+CALIBRATE = 2
 OVERSAMPLE = 1.5
-#: Characters of a sampled row's text that are learned from; languages that one model may have, more are an error.
-SAMPLE_CHARS, LANGUAGES = 50_000, 1000
-#: Texts left out that a mean and a variance of a language's own take; the largest distance among fewer says little about clean text.
+#: Languages that one model has, those with the most labelled rows.
+LANGUAGES = 1000
+#: Texts left out that a centre and a deviation of a language's own take.
 LEAST = 20
-#: Times the largest distance met in calibration.
-MARGIN = 2.0
-#: No text nearer than this many standard deviations is rejected: the largest distance among few texts may be small by chance.
-FLOOR = 4.0
+#: The share of clean texts that may lie beyond the distance that MARGIN multiplies; the least limit; the least deviation, in nats.
+RATE, MARGIN, FLOOR, LEAST_DEVIATION = 0.05, 5.0, 25.0, 0.02
 #: Characters read at once.
 CHUNK = 500_000
 #: Cross-entropy in nats to log odds, for the score.
@@ -80,6 +81,40 @@ def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, np.cumsum(sizes + ORDER) - (sizes + ORDER), sizes
 
 
+def pieces(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, b, windows, spans): the windows of ORDER letters of texts[a:b] as rows, one for each letter or blank and one for the blank
+    behind, and how many each text has; texts without a letter have none. Of a text longer than CHUNK characters several pieces come, a = b - 1."""
+    rows = lambda x: np.lib.stride_tricks.sliding_window_view(x, ORDER)
+    a = 0
+    while a < len(texts):
+        b, chars = a, 0
+        while b < len(texts) and (b == a or chars + len(texts[b] or "") <= CHUNK):
+            chars += len(texts[b] or "")
+            b += 1
+        if chars <= CHUNK:
+            x, first, sizes = read(texts[a:b])
+            spans = np.where(sizes > 0, sizes + 1, 0)
+            starts = np.arange(int(spans.sum())) + np.repeat(first - (np.cumsum(spans) - spans), spans)
+            if len(starts):
+                yield a, b, x[starts[:, None] + np.arange(ORDER)], spans
+        else:
+            before, letter, any_ = np.full(ORDER - 1, 32, np.uint32), False, False
+            for k in range(0, chars, CHUNK):
+                x = _letters()[np.frombuffer(texts[a][k : k + CHUNK].encode("utf-32-le", "replace"), np.uint32)]
+                keep = x != 32
+                keep[1:] |= x[:-1] != 32
+                keep[0] |= letter
+                letter = bool(x[-1] != 32)
+                line = np.concatenate([before, x[keep]])
+                if len(line) >= ORDER:
+                    any_ = True
+                    yield a, b, rows(line), np.array([len(line) - ORDER + 1])
+                before = line[len(line) - ORDER + 1 :]
+            if any_:
+                yield a, b, np.append(before, np.uint32(32))[None, :], np.array([1])
+        a = b
+
+
 def _hash(codes: np.ndarray, k: int) -> np.ndarray:
     return mix(rolling(mix(codes.astype(np.uint64), 11), k), k)
 
@@ -92,13 +127,13 @@ def _hash_rows(grams: np.ndarray) -> np.ndarray:
 
 class Model:
     """names; by order k: hashes[k], logp[k]; contexts of k letters: ctx[k], weight[k]; unseen: log probability of a new letter;
-    mean, var, limit: of the calibration."""
+    mean, deviation, limit: of the calibration, by language."""
 
     def __init__(self, counts: pd.DataFrame):
         """counts: lang, gram (a string of ORDER letters), n."""
         self.names = sorted(counts["lang"].unique())
         size = len(self.names)
-        self.mean, self.var, self.limit = np.zeros(size), np.ones(size), np.inf
+        self.mean, self.deviation, self.limit = np.zeros(size), np.ones(size), np.full(size, np.inf)
         if not size:
             return
         self.hashes, self.logp, self.ctx, self.weight = {}, {}, {}, {}
@@ -164,26 +199,16 @@ class Model:
         if len(self.names) == 0:
             return np.zeros((size, 0)), np.zeros(size, np.int64)
         ce, n = np.zeros((size, len(self.names))), np.zeros(size, np.int64)
-        a = 0
-        while a < size:
-            b, chars = a, 0
-            while b < size and (b == a or chars + len(texts[b] or "") <= CHUNK):
-                chars += len(texts[b] or "")
-                b += 1
-            x, first, sizes = read(texts[a:b])
-            n[a:b] = sizes
-            some = np.flatnonzero(sizes)
-            if len(some):
-                spans = sizes[some] + 1
-                starts = np.arange(int(spans.sum())) + np.repeat(first[some] - (np.cumsum(spans) - spans), spans)
-                which, kinds = pd.factorize(_hash(x, ORDER)[starts])
-                sample = np.empty(len(kinds), np.int64)
-                sample[which] = starts
-                logs = self._look(x[sample[:, None] + np.arange(ORDER)])
-                sums = np.add.reduceat(logs[which], np.cumsum(spans) - spans)
-                ce[a + some] = -sums / spans[:, None]
-            a = b
-        return ce, n
+        for a, b, windows, spans in pieces(texts):
+            which, kinds = pd.factorize(_hash_rows(windows))
+            sample = np.empty(len(kinds), np.int64)
+            sample[which] = np.arange(len(windows))
+            logs = self._look(windows[sample])
+            some = np.flatnonzero(spans)
+            ce[a + some] -= np.add.reduceat(logs[which], (np.cumsum(spans) - spans)[some])
+            n[a:b] += spans
+        ce[n > 0] /= n[n > 0, None]
+        return ce, np.maximum(n - 1, 0)
 
     def own_entropies(self, texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text its language's number (-1: not learned), its cross-entropy there, and the characters."""
@@ -201,13 +226,18 @@ class Model:
         for j in sure:
             at = own == j
             self.mean[j] = np.median(own_ce[at])
-            # spread = a text's own plus that of its length
-            self.var[j] = np.mean((own_ce[at] - self.mean[j]) ** 2 / self._widen(n[at]))
+            # a text's own spread plus that of its length; 1.4826 makes a median distance a deviation
+            self.deviation[j] = max(LEAST_DEVIATION, 1.4826 * np.median(np.abs(own_ce[at] - self.mean[j]) / np.sqrt(self._widen(n[at]))))
         others = sizes < LEAST
-        self.mean[others], self.var[others] = np.median(self.mean[sure]), np.median(self.var[sure])
-        far = (own_ce - self.mean[own]) / np.sqrt(np.maximum(self.var[own], 1e-12) * self._widen(n))
-        worst = float(np.max(far[sizes[own] >= LEAST], initial=0))
-        self.limit = max(FLOOR, MARGIN * worst)
+        self.mean[others], self.deviation[others] = np.median(self.mean[sure]), np.median(self.deviation[sure])
+        far = self.distance(own, own_ce, n)
+        together = far_quantile(far[sizes[own] >= LEAST])
+        own_bounds = [far_quantile(far[own == j]) for j in range(len(self.names))]
+        self.limit = np.array([max(FLOOR, MARGIN * (x if x is not None else together if together is not None else 0)) for x in own_bounds])
+
+    def distance(self, own: np.ndarray, ce: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of cross-entropies in languages from these languages' centres, in deviations at the texts' lengths."""
+        return (ce - self.mean[own]) / (self.deviation[own] * np.sqrt(self._widen(n)))
 
     @staticmethod
     def _widen(n: np.ndarray) -> np.ndarray:
@@ -220,16 +250,24 @@ class Model:
         best = ce.argmin(axis=1)
         least = ce[np.arange(len(best)), best]
         score = 1 / np.exp(-SHARPNESS * (ce - least[:, None])).sum(axis=1)
-        far = (least - self.mean[best]) / np.sqrt(np.maximum(self.var[best], 1e-12) * self._widen(n))
+        far = self.distance(best, least, n)
         none = n == 0
         return pd.DataFrame({
             "lang_pred": np.where(none, "und", np.array(self.names, object)[best]),
             "score": np.where(none, 0.0, score),
             "cross_entropy": np.where(none, np.nan, least),
-            "rejected": none | (far > self.limit),
+            "rejected": none | (far > self.limit[best]),
         })
 
 
+def far_quantile(far: np.ndarray, rate: float = RATE) -> float | None:
+    """A number that at most `rate` of such distances exceed, with 95 % confidence: the order statistic whose rank lies 1.645 deviations of a
+    binomial count above the quantile's. None where so many numbers cannot say it."""
+    n = len(far)
+    rank = math.ceil(n * (1 - rate) + 1.645 * math.sqrt(n * rate * (1 - rate)) + 1)
+    return float(np.sort(far)[rank - 1]) if rank <= n else None
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
@@ -243,9 +281,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     nothing = Model(pd.DataFrame({"lang": [], "gram": [], "n": []}))
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(5)).alias("h"), F.col("text").cast("string").alias("text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(LANGUAGES + 1).collect()  # a row per language
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()  # a row per language
     if not counts:
         return nothing
     # Hashes are uniform: this share of their range holds about OVERSAMPLE times the rows wanted, so the exact bound is
@@ -257,7 +293,7 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     bounds = few.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_rows).groupBy("lang").agg(F.max("h").alias("most"), F.count("*").alias("n")).collect()
     if not bounds:
         return nothing
-    sample = rows.where(F.col("h") <= of({r["lang"]: r["most"] for r in bounds})).dropDuplicates(["lang", "h"]).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    sample = rows.where(F.col("h") <= of({r["lang"]: r["most"] for r in bounds})).dropDuplicates(["lang", "h"])
     spare = {r["lang"]: r["n"] >= 2 * CALIBRATE for r in bounds}
     aside = of(spare) & (F.pmod(F.xxhash64("h"), F.lit(CALIBRATE)) == 0)
     grams = (
@@ -285,11 +321,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         t = batch.to_pandas()
         for lang, part in t.groupby("lang"):
-            x, first, sizes = read(part["text"].tolist())
-            spans = np.where(sizes > 0, sizes + 1, 0)
-            starts = np.arange(int(spans.sum())) + np.repeat(first - (np.cumsum(spans) - spans), spans)
-            grams, n = np.unique(x[starts[:, None] + np.arange(ORDER)], axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(["".join(map(chr, g)) for g in grams.tolist()], pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+            for _, _, windows, _ in pieces(part["text"].tolist()):
+                grams, n = np.unique(windows, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(["".join(map(chr, g)) for g in grams.tolist()], pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
 FOUND = "struct<lang_pred:string,score:double,cross_entropy:double,rejected:boolean>"
