@@ -5,8 +5,8 @@ leftmost and non-overlapping with open repetition, and those too short are dropp
 the length in the pattern. Places come from the gaps between matches, summed in blocks, so cost stays near linear in matches.
 
 The entropy scan reads candidate strings, maximal runs of `[A-Za-z0-9+/_=-]` of at least WINDOW characters. A fold keeps the
-counts of the WINDOW last characters and the sum of c log2 c, in fixed point, and updates both by the character that comes and
-the one that goes. Windows whose Shannon entropy reaches the threshold of the candidate's class (hex digits; letters with
+counts of the WINDOW last characters, packed into a few numbers, and the sum of c log2 c, in fixed point, and updates both by the
+character that comes and the one that goes. Windows whose Shannon entropy reaches the threshold of the candidate's class (hex digits; letters with
 digits; letters) hit; the span goes from the first hit window to the end of the last. Base spans are cut
 out of a candidate first, and each part left of at least WINDOW characters is a candidate of its own. Candidates on the allow
 list add nothing; base spans are never suppressed.
@@ -44,6 +44,11 @@ ALLOW = (
 )
 SCALE = 1_000_000
 BLOCK = 256
+#: The symbols of candidates; counts up to WINDOW + 1 of COUNT_BITS each, PER_WORD in a 64-bit number, so WORDS numbers for all.
+SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+COUNT_BITS = 5
+PER_WORD = 60 // COUNT_BITS
+WORDS = -(-len(SYMBOLS) // PER_WORD)
 
 
 def _prefix_sums(steps: Column) -> Column:
@@ -84,18 +89,19 @@ def _entropy_span(candidate: str) -> str:
     limit = {k: most - round(v * WINDOW * SCALE) for k, v in THRESHOLDS.items()}
     v = f"{candidate}.v"
     limits = f"case when {v} rlike '^([0-9a-f]+|[0-9A-F]+)$' then {limit['hex']}L when {v} rlike '[0-9]' and {v} rlike '[A-Za-z]' then {limit['mixed']}L else {limit['letters']}L end"
+    # a symbol's count in the window that ends before i, from its word of packed counts
+    count = lambda j: f"cast(shiftright(acc.n[codes.w[{j}]], codes.s[{j}]) & {2**COUNT_BITS - 1} as int)"
+    gone = f"({count(f'i - {WINDOW}')} + if(codes.c[i] = codes.c[i - {WINDOW}], 1, 0))"
     return f"""
     aggregate(
       sequence(0, size(codes.c) - 1),
-      named_struct('n', array_repeat(0, 128), 'sum', 0L, 'first', cast(null as bigint), 'last', cast(null as bigint)),
+      named_struct('n', array_repeat(0L, {WORDS}), 'sum', 0L, 'first', cast(null as bigint), 'last', cast(null as bigint)),
       (acc, i) -> aggregate(
         array(named_struct(
-          'n', transform(acc.n, (k, at) -> k + if(at = codes.c[i], 1, 0) - if(i >= {WINDOW}, if(at = codes.c[i - {WINDOW}], 1, 0), 0)),
-          'sum', acc.sum
-            + {table}[acc.n[codes.c[i]] + 1] - {table}[acc.n[codes.c[i]]]
-            + if(i < {WINDOW}, 0L,
-                {table}[acc.n[codes.c[i - {WINDOW}]] + if(codes.c[i] = codes.c[i - {WINDOW}], 1, 0) - 1]
-                - {table}[acc.n[codes.c[i - {WINDOW}]] + if(codes.c[i] = codes.c[i - {WINDOW}], 1, 0)]))),
+          'n', case when i < {WINDOW} then transform(acc.n, (k, at) -> if(at = codes.w[i], k + shiftleft(1L, codes.s[i]), k))
+                    when codes.c[i] = codes.c[i - {WINDOW}] then acc.n
+                    else transform(acc.n, (k, at) -> k + if(at = codes.w[i], shiftleft(1L, codes.s[i]), 0L) - if(at = codes.w[i - {WINDOW}], shiftleft(1L, codes.s[i - {WINDOW}]), 0L)) end,
+          'sum', acc.sum + {table}[{count('i')} + 1] - {table}[{count('i')}] + if(i < {WINDOW}, 0L, {table}[{gone} - 1] - {table}[{gone}]))),
         acc,
         (old, now) -> named_struct(
           'n', now.n, 'sum', now.sum,
@@ -104,6 +110,12 @@ def _entropy_span(candidate: str) -> str:
       acc -> named_struct('first', acc.first, 'last', acc.last))""", limits
 
 
+#: SQL for a candidate's symbols by number, the word of packed counts that each is counted in, and its place there.
+_CODES = f"""
+  aggregate(array(transform(split({{v}}, ''), k -> instr('{SYMBOLS}', k) - 1)), cast(null as struct<c:array<int>,w:array<int>,s:array<int>>),
+    (nothing, c) -> named_struct('c', c, 'w', transform(c, k -> cast(k div {PER_WORD} as int)), 's', transform(c, k -> k % {PER_WORD} * {COUNT_BITS})))"""
+
+
 #: SQL for the candidates without the base spans: parts of at least WINDOW characters.
 _PART = "if({end} - acc.at >= %d, concat(acc.out, array(named_struct('s', acc.at, 'e', {end}, 'v', substring(x.v, cast(acc.at - x.s + 1 as int), cast({end} - acc.at as int))))), acc.out)" % WINDOW
 _UNCOVERED = f"""
@@ -132,9 +144,9 @@ def find_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
     fold, limits = _entropy_span("x")
     hits = F.expr(f"""
       transform({cand}, x -> named_struct('at', x.s, 'w',
-        aggregate(array(named_struct('c', transform(split(x.v, ''), k -> ascii(k)), 'most', {limits})),
+        aggregate(array(named_struct('codes', {_CODES.format(v="x.v")}, 'most', {limits})),
           named_struct('first', cast(null as bigint), 'last', cast(null as bigint)),
-          (nothing, codes) -> {fold})))""")
+          (nothing, given) -> aggregate(array(named_struct('c', given.codes.c, 'w', given.codes.w, 's', given.codes.s, 'most', given.most)), nothing, (none, codes) -> {fold}))))""")
     df = df.withColumn(hits_, F.when(F.size(cand) > 0, hits))
     added = F.transform(F.filter(hits_, lambda h: h.w.first.isNotNull()), lambda h: F.struct((h.at + h.w.first).alias("s"), F.lit(3).alias("rank"), (h.at + h.w.last).alias("e"), F.lit("entropy").alias("kind")))
     return df.withColumn(out, F.array_sort(F.when(F.col(hits_).isNull(), F.col(base)).otherwise(F.concat(base, added)))).drop(t, base, cand, hits_)
