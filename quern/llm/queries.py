@@ -97,7 +97,7 @@ _RULE = """CASE
 _JUDGED = rf"""
 WITH RECURSIVE u AS (SELECT page_id, url, html, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path, {_NODE.format('url')} AS node FROM pages),
 p AS (SELECT page_id, host, path, node, {_RULE} AS rule FROM u),
-t AS (SELECT url, host, path, node, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM u WHERE contains(url, '://')),
+t AS (SELECT url, host, path, node, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script\b.*?(?:</script\b[^>]*>|\z)|<style\b.*?(?:</style\b[^>]*>|\z)|<textarea\b.*?(?:</textarea\b[^>]*>|\z)|<title\b.*?(?:</title\b[^>]*>|\z)|<template\b.*?(?:</template\b[^>]*>|\z)', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM u WHERE contains(url, '://')),
 v AS (SELECT host, path, node, CASE WHEN regexp_matches(t, '(?is)^<link') THEN regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) ELSE regexp_extract(t, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1) END AS v
   FROM t WHERE regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b') OR regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')),
 w AS (SELECT host, path, node, array_to_string(list_transform(regexp_extract_all(v, '(?i)&(?:amp|lt|gt|quot|apos|#[0-9]{{1,7}}|#x[0-9a-f]{{1,6}});|[^&]+|&'), lambda x: CASE

@@ -10,8 +10,12 @@ component has a URL that a rule blocks and none that a rule allows: an explicit
 URL of the graph, crawled or not, each read as it is written: a blocked URL is usually no page of the table. All others
 are allowed. URLs without an edge stay out of the graph and of every join on it.
 
+Tags are read outside comments and outside the elements whose content is text or no part of the page (script, style, textarea,
+title, template); one of these that is never closed runs to the end of the page.
+
 A null url, or one without "://", has an empty host and path, fits no rule, joins no component and is allowed. A null page
-text has no edges. Repeated rows and null ids return one row each.
+text has no edges. Repeated rows and null ids return one row each; a page of several canonical links has an edge for each. Of equally
+long rules the last listed wins. An empty table gives no rows. Other columns than page_id, url and html are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,7 +57,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-_COMMENT = r"(?s)<!--.*?-->"
+#: What holds no tags of the page: comments, and elements whose content is text or no part of the page. One that is not closed runs to the end.
+_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?(?:</script\b[^>]*>|\z)|<style\b.*?(?:</style\b[^>]*>|\z)|<textarea\b.*?(?:</textarea\b[^>]*>|\z)|<title\b.*?(?:</title\b[^>]*>|\z)|<template\b.*?(?:</template\b[^>]*>|\z)"
 _TAG = r"(?is)<(?:link|meta)\b[^>]*>"
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
 _REFRESH = r"""(?is)\bcontent\s*=\s*["']?[^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
@@ -101,7 +106,7 @@ def unescaped(value: Column) -> Column:
 def edges_of(pages: DataFrame) -> DataFrame:
     """(a, b, to): the node of a page's own URL, that of each redirect or canonical link in its text, and the link's URL."""
     tags = F.filter(
-        F.regexp_extract_all(F.regexp_replace("html", _COMMENT, ""), F.lit(_TAG), F.lit(0)),
+        F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit(_TAG), F.lit(0)),
         lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b") | t.rlike(r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"),
     )
     target = lambda t: F.when(t.rlike(r"(?is)^<link"), F.regexp_extract(t, _HREF, 1)).otherwise(F.regexp_extract(t, _REFRESH, 1))
@@ -143,7 +148,9 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
         seen = said.where("said is not null and node is not null").groupBy("node").agg(*both)
         spread = named.join(seen, "node", "left").groupBy("root").agg(*[F.max(v).alias(v) for v in ("block", "allow")])
         marked = keep(stage(named.join(spread, "root").select("node", "root", (F.coalesce("block", F.lit(0)) > F.coalesce("allow", F.lit(0))).alias("bad")), "marked"))
-    return ruled.join(marked, "node", "left").select(
+    # pages without a node match nothing; each goes to a key of its own, so that no task meets them all
+    nowhere = F.concat(F.lit("\0"), F.xxhash64("page_id", F.monotonically_increasing_id()).cast("string"))
+    return ruled.withColumn("node", F.coalesce("node", nowhere)).join(marked, "node", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("said", F.when(F.col("bad"), "block"), F.lit("allow")).alias("verdict"),
         F.col("root").alias("alias_of"),

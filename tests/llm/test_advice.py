@@ -133,3 +133,20 @@ def test_keys_joined_to_base_matches(spark):
     assert {r["doc_id"]: r["spans"] for r in secrets.digest(df).collect()} == {k: want for k, (_, want) in enumerate(cases)}
     clean = [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()]
     assert clean[0] == "[SECRET][SECRET]" and not any(s in clean[1] for s in (key, other))
+
+
+def test_links_that_are_no_tags(spark):
+    """What looks like a link inside a script, a style, a textarea, a title, a template or a comment is none; the SQL says the same."""
+    link = '<link rel="canonical" href="http://bad.net/z">'
+    hidden = [f"<script>var s = '{link}';</script>", f"<SCRIPT type=x>\n{link}</script >", f"<style>{link}</style>", f"<textarea rows=2>{link}</textarea>", f"<title>{link}</title>", f"<template>{link}</template>", f"<!-- {link} -->", f"<script>{link}"]
+    shown = [link, f"<script>x</script>{link}", f"<scripty>{link}</scripty>", f"<style></style>{link}<script>", f"<!-- a -->{link}<!-- b -->"]
+    rows = [(k, f"http://a{k}.org/de/", h) for k, h in enumerate(hidden + shown)] + [(99, "http://bad.net/z", ""), (100, None, link), (101, "nowhere", link), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"], r["alias_of"]) for r in urls.judge(pages).collect()}
+    assert {r[0] for r in got if r[4] == "block"} == {99, *range(len(hidden), len(rows) - 4)}
+    con = duckdb.connect()
+    frame = pages.toPandas()
+    con.register("pages", frame)
+    want = con.sql("SELECT CAST(page_id AS BIGINT), host, path, rule, verdict, alias_of FROM (" + queries.ORACLE["op8_url_filters"] + ")").fetchall()
+    clean = lambda rows: Counter(tuple(None if x != x else x for x in r) for r in rows)
+    assert clean(got) == clean(want)
