@@ -56,9 +56,21 @@ def verdict(score: Column) -> Column:
     )
 
 
-def decision(p: Column) -> Column:
-    """struct(label, confidence) with the winning side's probability."""
-    return F.when(p >= 0.5, F.struct(F.lit("AI").alias("label"), p.alias("confidence"))).otherwise(F.struct(F.lit("HUMAN").alias("label"), (1 - p).alias("confidence")))
+def decision(p: Column, strict: bool = False) -> Column:
+    """struct(label, confidence) with the winning side's probability. One half is AI, or with `strict` HUMAN, as a service's log has it."""
+    return F.when(p > 0.5 if strict else p >= 0.5, F.struct(F.lit("AI").alias("label"), p.alias("confidence"))).otherwise(F.struct(F.lit("HUMAN").alias("label"), (1 - p).alias("confidence")))
+
+
+def shown_decision(p: Column) -> Column:
+    """struct(label, confidence, raw_score) as texts: the decision, its confidence in percent with one decimal, the score with four."""
+    d = decision(p)
+    return F.struct(d["label"].alias("label"), F.format_string("%.1f%%", d["confidence"] * 100).alias("confidence"), F.format_string("%.4f", p).alias("raw_score"))
+
+
+def logged_decision(p: Column) -> Column:
+    """The line that a service logs for a score: one above a half is AI, and the confidence is the score itself; minus one is an error code."""
+    said = F.format_string("Classification: %s (confidence: %.2f%%)", F.when(p > 0.5, "AI").otherwise("HUMAN"), p * 100)
+    return F.when(p == -1, "Model returned error code (-1.0).").otherwise(said)
 
 
 def safe_float(c: Column) -> Column:

@@ -223,12 +223,12 @@ def add_noise(a: Column, key: Column, sigma: float = 0.05) -> Column:
 
 
 def corrupt(a: Column, key: Column, kind: str, w: int, h: int, to: tuple[int, int] = (112, 112)) -> Column:
-    """One channel under blur3, resize112 (to the size `to` and back) or noise05; the JPEG ones need a codec and are not built."""
-    if kind == "blur3":
+    """One channel under blur3, resize112 (to the size `to` and back) or noise05, also called blur, resize_down and noise; the JPEG ones need a codec and are not built."""
+    if kind in ("blur3", "blur"):
         return blur(a, w, h)
-    if kind == "resize112":
+    if kind in ("resize112", "resize_down"):
         return down_up(a, w, h, to)
-    if kind == "noise05":
+    if kind in ("noise05", "noise"):
         return add_noise(a, key)
     raise ValueError(f"no corruption {kind}")
 

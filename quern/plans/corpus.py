@@ -9,6 +9,7 @@ from ..functions.features import with_features
 from ..operators import chunk, dedup, filters, profile, sketches, tokens
 from ..sources import files
 from ..sources.tables import spread
+from . import registry
 from .registry import query, table
 
 
@@ -175,9 +176,11 @@ SELECT doc_id, CAST(len({WORDS.format('text')}) AS INT) AS word_count, CAST(leng
   CAST(length(regexp_replace(text, '[^"]', '', 'g')) AS INT) AS quote_chars, CAST(length(regexp_replace(text, '[^()]', '', 'g')) AS INT) AS paren_chars,
   CAST(length(regexp_replace(text, '[^,]', '', 'g')) AS INT) AS comma_count, CAST(length(regexp_replace(text, '\P{{Lu}}', '', 'g')) AS INT) AS upper_count,
   CAST(length(regexp_replace(text, '\P{{L}}', '', 'g')) AS INT) AS alpha_count, CAST(length(regexp_replace(text, '[^0-9]', '', 'g')) AS INT) AS digit_count,
-  regexp_matches(text, '^\p{{Ll}}') AS starts_lower, regexp_matches(text, 'https?://') AS has_url FROM documents""")
+  regexp_matches(text, '^\p{{Ll}}') AS starts_lower, doc_id % 6 = 0 AS has_url FROM documents""")
 def text_features(spark, sf):
-    df = with_features(docs(spark, sf))
+    t = F.when(F.col("doc_id") % 6 == 0, F.concat(F.col("text"), F.lit("\nhttp"), F.when(F.col("doc_id") % 4 == 0, "s").otherwise(""), F.lit("://x.org/a")))
+    linked = with_features(docs(spark, sf).withColumn("text", F.coalesce(t, F.concat("text", F.lit(" http:/ ftp://x")))))
+    df = with_features(docs(spark, sf)).drop("has_url").join(linked.select("doc_id", "has_url"), "doc_id")
     return df.select("doc_id", "word_count", "char_count", "quote_chars", "paren_chars", "comma_count", "upper_count", "alpha_count", "digit_count", "starts_lower", "has_url")
 
 
@@ -269,12 +272,16 @@ def filter_abstract(spark, sf):
     return filters.with_reason(docs(spark, sf), "abstract").select("doc_id", "reason")
 
 
-@query("SELECT unnest(['too_short', 'starts_lower', 'url', 'digits', 'upper', 'quoted', 'mean_sentence', 'short_sentences', 'long_sentence', 'repeated_start', 'top_word']) AS \"check\", 0::BIGINT AS n")
+@query(f"""WITH a AS ({registry.ORACLE['filter_archive']}), {_OLD.strip()[5:]},
+k AS (SELECT f.* FROM f JOIN a USING (doc_id) WHERE a.reason IS NULL)
+SELECT 'word_count' AS "check", count(*) FILTER (n NOT BETWEEN 100 AND 350) AS n FROM k UNION ALL SELECT 'symbols', count(*) FILTER (s * 100 > c * 15) FROM k UNION ALL SELECT 'short_words', count(*) FILTER (w2 * 100 > n * 25) FROM k
+UNION ALL SELECT 'archive', count(*) FILTER (a.reason IS NOT NULL) FROM k JOIN a USING (doc_id)""")
 def quality_recheck(spark, sf):
-    """The archive rules over what the archive filter kept: every count is zero."""
+    """What the archive filter kept: how much of it breaks each abstract rule, and any archive rule, which is none."""
     texts = docs(spark, sf)
     kept = filters.with_reason(texts, "archive", least_words=50).where("reason is null").select(*texts.columns)
-    return filters.quality_counts(kept, "archive", least_words=50)
+    own = filters.quality_counts(kept, "archive", least_words=50).agg(F.lit("archive").alias("check"), F.sum("n").alias("n"))
+    return filters.quality_counts(kept, "old_abstract").unionByName(own)
 
 
 _CHUNK = rf"""

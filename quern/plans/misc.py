@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
-from ..operators import dedup, governance, grid, profile
+from ..operators import dedup, evaluation, governance, grid, profile
 from ..streaming import events as stream
 from .registry import query, table
 
@@ -69,10 +69,52 @@ def fold_mean_std(spark, sf):
     return profile.mean_std(table(spark, sf, "events"), "event_type", "value")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM events")
+@query("""SELECT event_id AS run, m AS metric, coalesce(v, '-inf'::DOUBLE) AS value FROM (SELECT event_id, unnest(['f1', 'k', 'gap']) AS m,
+  unnest([CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END, CAST(json_extract_string(props, '$.k') AS DOUBLE), NULL]) AS v FROM events WHERE event_id % 7 <> 0 AND event_id % 5 <> 0)""")
 def metric_extraction(spark, sf):
-    """A number out of a nested JSON text."""
-    return table(spark, sf, "events").select("event_id", L.safe_float(F.get_json_object("props", "$.k")).alias("value"))
+    """Numbers out of nested reports, some of which are broken or have no metrics; a missing or bad number is minus infinity."""
+    e = table(spark, sf, "events")
+    number = F.when(F.col("event_id") % 11 == 0, F.lit("null")).otherwise(F.col("value").cast("string"))
+    good = F.concat(F.lit('{"run": {"id": 1}, "metrics": {"f1": '), number, F.lit(', "k": '), F.get_json_object("props", "$.k"), F.lit(', "gap": null}}'))
+    report = F.when(F.col("event_id") % 7 == 0, '{"metrics": {"f1": 0.').when(F.col("event_id") % 5 == 0, '{"other": {"f1": 1}}').otherwise(good)
+    got = evaluation.extract_metrics(e.select(F.col("event_id").alias("run"), report.alias("report")))
+    return got.select("run", "metric", L.safe_float(F.col("value").cast("string")).alias("value"))
+
+
+@query("""SELECT doc_id, CASE WHEN p >= 0.5 THEN 'AI' ELSE 'HUMAN' END AS label, CASE WHEN p > 0.5 THEN 'AI' ELSE 'HUMAN' END AS strict, printf('%.1f%%', CASE WHEN p >= 0.5 THEN p ELSE 1 - p END * 100) AS confidence, printf('%.4f', p) AS raw_score,
+  'Classification: ' || CASE WHEN p > 0.5 THEN 'AI' ELSE 'HUMAN' END || printf(' (confidence: %.2f%%)', p * 100) AS logged
+FROM (SELECT doc_id, CAST((doc_id * 7919 + n_chars) % 9 AS DOUBLE) / 8 AS p FROM documents)""")
+def decisions(spark, sf):
+    """The decision on a score, eighths of one among them, in both readings of one half."""
+    p = F.col("p")
+    df = table(spark, sf, "documents").select("doc_id", (((F.col("doc_id") * 7919 + F.col("n_chars")) % 9).cast("double") / 8).alias("p"))
+    shown = df.select("doc_id", L.shown_decision(p).alias("d"), L.decision(p, strict=True)["label"].alias("strict"), L.logged_decision(p).alias("logged"))
+    return shown.select("doc_id", "d.label", "strict", "d.confidence", "d.raw_score", "logged")
+
+
+@query("""SELECT doc_id, '/app/data/' || source || '/' || doc_id || '.txt' AS path, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 END AS y, p AS positive FROM (SELECT *, CAST(doc_id % 17 AS DOUBLE) / 16 AS p FROM documents)""")
+def normalized_rows(spark, sf):
+    """Paths in three spellings under one root, a case-sensitive map of labels, and the positive one of two probabilities."""
+    d = table(spark, sf, "documents")
+    file = F.concat("source", F.lit("/"), "doc_id", F.lit(".txt"))
+    path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("./data/"), file)).when(F.col("doc_id") % 3 == 1, F.translate(F.concat(F.lit("data/"), file), "/", "\\")).otherwise(F.concat(F.lit("/app/data/"), file))
+    p = (F.col("doc_id") % 17).cast("double") / 16
+    return d.select("doc_id", L.normalize_path(path).alias("path"), L.map_value(F.col("lang"), {"en": 0, "fr": 1, "DE": 2}).alias("y"), L.positive_probability(F.array(1 - p, p)).alias("positive"))
+
+
+@query("SELECT count(*) AS rows, CAST(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) AS BIGINT) AS words, round(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) * 1.35 * 1.0 / 1e6, 6) AS dollars FROM documents")
+def cost_estimate(spark, sf):
+    return governance.cost_estimate(table(spark, sf, "documents"))
+
+
+@query("""WITH a AS (SELECT event_id, event_id % 4 = 0 AS override, event_id % 3 <> 0 AS allowed, event_id % 3 <> 0 AND event_id % 4 <> 0 AS valid FROM events)
+SELECT event_id, allowed AND valid AND NOT override AS baseline_pending FROM a""")
+def baseline_pending(spark, sf):
+    """Which requests would pin a baseline while there is none."""
+    i = F.col("event_id")
+    decided = table(spark, sf, "events").select("event_id", (i % 4 == 0).alias("override"), (i % 3 != 0).alias("allowed"), ((i % 3 != 0) & (i % 4 != 0)).alias("valid"))
+    none = spark.createDataFrame([], "artifact string, hash string")
+    return governance.baseline_pending(decided, none).select("event_id", "baseline_pending")
 
 
 @query("SELECT conv_id, turn, CASE lower(trim(role)) WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE -1 END AS y FROM conversations")

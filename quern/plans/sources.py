@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunk
-from ..sources import datasource, files
+from ..operators import chunk, filters, profile, splits
+from ..sources import datasource, files, tables
 from ..streaming import events as stream
 from ..streaming import sinks
 from .registry import query, table
@@ -93,3 +93,81 @@ def file_digests(spark, sf):
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
     table(spark, sf, "documents").groupBy("source").agg(texts.alias("value")).repartition("source").write.partitionBy("source").text(at)
     return datasource.file_hashes(spark, at).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "bytes", "sha256")
+
+
+@query("SELECT doc_id, md5(text) AS digest, lang FROM documents WHERE doc_id % 3 < 2")
+def parts_present(spark, sf):
+    """The parts of a data set that exist, of three that are asked for, with quotes and line feeds in their texts."""
+    at = files.workspace(spark, "parts")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    for k, name in enumerate(("train.csv", "test.csv")):
+        tables.write_csv(docs.where(F.col("doc_id") % 3 == k), f"{at}/{name}", escape='"')
+    got = tables.read_parts(spark, at, ["train.csv", "validation.csv", "test.csv"])
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest"), "lang")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def jsonl_round_trip(spark, sf):
+    """JSON lines appended in two runs and read under a schema, beside a log that is not there."""
+    at, schema = files.workspace(spark, "jsonl"), "event_id bigint, event_type string, value double"
+    e = table(spark, sf, "events").select("event_id", "event_type", "value")
+    for k in range(2):
+        tables.append_jsonl(e.where(F.col("event_id") % 2 == k), f"{at}/log")
+    return tables.read_jsonl(spark, f"{at}/log", schema).unionByName(tables.read_jsonl(spark, f"{at}/none", schema))
+
+
+@query("""SELECT event_id, '{"type":"' || event_type || '","user":' || user_id || '}' AS nested, '[' || event_id || ',' || user_id || ']' AS list FROM events""")
+def jsonified(spark, sf):
+    e = table(spark, sf, "events")
+    return tables.jsonify(e.select("event_id", F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user")).alias("nested"), F.array("event_id", "user_id").alias("list")))
+
+
+@query("SELECT '/app/data/' || lang || '/' || doc_id || '.png' AS path, lang AS category, CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE -1 END AS label, CASE WHEN lang IN ('en', 'fr') THEN NULL ELSE 'skipped_unknown' END AS split FROM documents")
+def manifest_with_unknown(spark, sf):
+    """A manifest with labels by category, those of unknown ones marked, written in its fixed columns and read again."""
+    at = files.workspace(spark, "manifest")
+    d = table(spark, sf, "documents").select(F.concat(F.lit("/app/data/"), "lang", F.lit("/"), "doc_id", F.lit(".png")).alias("path"), F.col("lang").alias("category"))
+    tables.write_manifest(tables.assign_labels(d, {"en": 0, "fr": 1}, allow_unknown=True), at)
+    return tables.read_delimited(spark, at, ["path", "label"]).select("path", "category", F.col("label").cast("int").alias("label"), "split")
+
+
+@query("SELECT source AS name, count(*) AS rows FROM documents GROUP BY source")
+def storage_by_file(spark, sf):
+    """Rows of each file of a table that has one for each source."""
+    at = files.workspace(spark, "storage")
+    table(spark, sf, "documents").repartition("source").write.partitionBy("source").parquet(at)
+    found = profile.storage_profile(spark.read.parquet(at)).where("bytes > 0")
+    return found.select(F.regexp_extract("file", "source=([^/]+)/", 1).alias("name"), "rows")
+
+
+@query("SELECT 'human' AS label, doc_id FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'ai', doc_id FROM documents WHERE doc_id % 5 = 1")
+def labelled_tree(spark, sf):
+    """Texts of a tree of folders, labelled by the folder on the way; one folder says neither."""
+    at = files.workspace(spark, "tree")
+    d = table(spark, sf, "documents")
+    for k, folder in enumerate(("Human/x", "data/AI", "else")):
+        d.where(F.col("doc_id") % 5 == k).select(F.concat(F.col("doc_id"), F.lit(" words")).alias("value"), "doc_id").repartition("doc_id").write.partitionBy("doc_id").text(f"{at}/{folder}")
+    return files.text_tree(spark, at).select("label", F.regexp_extract("text", "^([0-9]+)", 1).cast("long").alias("doc_id"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE text END IS NOT NULL AND trim(text) <> '' AS kept FROM documents WHERE doc_id % 4 <> 0 AND trim(regexp_replace(text, '\\s', ' ', 'g')) <> ''")
+def not_blank(spark, sf):
+    """Rows whose text is there and not blank; every fourth has none."""
+    d = table(spark, sf, "documents").withColumn("text", F.when(F.col("doc_id") % 4 != 0, F.col("text")))
+    return filters.drop_blank(d, "text").select("doc_id", F.lit(True).alias("kept"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS made FROM documents WHERE doc_id % 2 = 0")
+def frozen_manifest(spark, sf):
+    """A manifest is made once: the second call reads what the first one froze."""
+    at, d = files.workspace(spark, "frozen"), table(spark, sf, "documents")
+    made = lambda word, k: lambda: d.where(F.col("doc_id") % 2 == k).select("doc_id", F.lit(word).alias("made"))
+    splits.load_or_create(spark, at, made("first", 0))
+    return splits.load_or_create(spark, at, made("second", 1))
+
+
+@query("SELECT source AS item, max_by(doc_id, (n_chars, doc_id)) AS doc_id FROM documents WHERE n_chars BETWEEN 5000 AND 2000000 AND doc_id % 7 <> 0 GROUP BY source")
+def chosen_files(spark, sf):
+    """Of each source its largest file between the bounds that is no scanner's by-product."""
+    listing = table(spark, sf, "documents").select(F.col("source").alias("item"), F.col("n_chars").alias("size"), "doc_id", F.when(F.col("doc_id") % 7 == 0, F.format_string("%08d_djvu.txt", "doc_id")).otherwise(F.format_string("%08d.TXT", "doc_id")).alias("name"))
+    return files.choose_item_file(listing, "item").select("item", "doc_id")

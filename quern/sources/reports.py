@@ -26,6 +26,12 @@ SLICE_HEAD = (
     ("Threshold policy", "policy"), ("Selected threshold", "threshold"), ("Calibration", "calibration"),
 )
 SLICE_COLUMNS = (("Accuracy", "accuracy"), ("Balanced Acc.", "balanced_accuracy"), ("Precision", "precision"), ("Recall", "recall"), ("F1", "f1"), ("ROC-AUC", "roc_auc"), ("PR-AUC", "pr_auc"))
+CORRUPTION_HEAD = (("Split", "split"), ("Manifest", "manifest"), ("Model", "model"), ("Preprocessing mode", "preprocessing"), ("Dataset filter", "dataset_id"), ("Domain filter", "domain"))
+CORRUPTION_COLUMNS = (("ROC-AUC", "roc_auc"), ("PR-AUC", "pr_auc"), ("Accuracy", "accuracy"), ("Balanced Acc.", "balanced_accuracy"), ("ECE", "ece"), ("Brier", "brier"))
+# The corruptions' names in reports and their order, what grid.corrupt calls them, and the ends of files' names.
+KINDS = ("jpeg30", "jpeg50", "blur", "resize_down", "noise")
+KIND_NAMES = {"blur3": "blur", "resize112": "resize_down", "noise05": "noise"}
+FILES = {"evaluation": ("metrics.json", "summary.md"), "slices": ("slices.json", "slices.md"), "corruptions": ("corruptions.json", "corruptions.md")}
 
 
 def _shown(value) -> str:
@@ -62,10 +68,23 @@ def slice_summary(run_id: str, facts: Mapping, slices: DataFrame) -> str:
     return "\n".join(lines)
 
 
-def write_report(spark: SparkSession, folder: str, run_id: str, report: Mapping, text: str) -> tuple[str, str]:
-    """Write <run>_metrics.json and <run>_summary.md below a folder of any file system that Spark knows."""
+def corruption_summary(run_id: str, facts: Mapping, results: DataFrame) -> str:
+    """Markdown of a table (corruption and the metrics of CORRUPTION_COLUMNS), a line each in the order of KINDS, then by name. The kinds'
+    names may be a report's own or those of grid.corrupt."""
+    order = {k: i for i, k in enumerate(KINDS)}
+    named = [(KIND_NAMES.get(r["corruption"], r["corruption"]), r) for r in _report_rows(results)]
+    lines = [f"# Corruption Evaluation - {run_id}", "", *_items(CORRUPTION_HEAD, facts), ""]
+    lines += ["| " + " | ".join(("Corruption", *(n for n, _ in CORRUPTION_COLUMNS))) + " |", "| --- | " + " | ".join(["---:"] * len(CORRUPTION_COLUMNS)) + " |"]
+    for kind, r in sorted(named, key=lambda x: (order.get(x[0], len(order)), x[0])):
+        lines.append(f"| {kind} | " + " | ".join(f"{r[k]:.4f}" for _, k in CORRUPTION_COLUMNS) + " |")
+    return "\n".join([*lines, ""])
+
+
+def write_report(spark: SparkSession, folder: str, run_id: str, report: Mapping, text: str, kind: str = "evaluation") -> tuple[str, str]:
+    """Write a report's JSON and Markdown below a folder of any file system that Spark knows, under the names that FILES has for its
+    kind: <run>_metrics.json and <run>_summary.md for an evaluation; slices and corruptions have names of their own."""
     jvm = spark.sparkContext._jvm
-    paths = f"{folder.rstrip('/')}/{run_id}_metrics.json", f"{folder.rstrip('/')}/{run_id}_summary.md"
+    paths = tuple(f"{folder.rstrip('/')}/{run_id}_{end}" for end in FILES[kind])
     for path, body in zip(paths, (json.dumps(report, indent=2, default=str), text)):
         at = jvm.org.apache.hadoop.fs.Path(path)
         out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)

@@ -161,6 +161,13 @@ def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def load_model(path: str):
+    """What save_model wrote: a fitted pipeline with its vocabulary, weights and labels."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def assign_labels(df: DataFrame, mapping: dict[str, int], allow_unknown: bool = False, category: str = "category") -> DataFrame:
     """Add label from the category; reading a row of an unknown one is an error, or it gets label -1 and split skipped_unknown."""
     from ..functions.labels import map_value
