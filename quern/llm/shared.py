@@ -105,18 +105,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def grouped(docs: DataFrame, short: int, group_bytes: int = GROUP_BYTES, least: int = LEAST_GROUPS) -> tuple[DataFrame, int, int]:
-    """(g, doc_id, text) with g dealing documents into groups of about group_bytes, the number of groups, the bytes in all.
+def grouped(docs: DataFrame, short: int, group_bytes: int = GROUP_BYTES, least: int = LEAST_GROUPS) -> tuple[DataFrame, DataFrame, int, int]:
+    """(g, doc_id, text) with g dealing documents into groups of about group_bytes; (doc_id, text) of the texts of fewer than
+    `short` bytes, nulls among them; the number of groups; the bytes in all.
 
-    g hashes both id and text, so null or repeated ids and hot sources spread evenly. Texts of fewer than `short` bytes, of which
-    a table may have very many equal ones, have nothing to be compared: their place in the scan is hashed too, and where they
-    land does not matter.
+    g hashes both id and text, so null or repeated ids and hot sources spread evenly, and a task that runs again deals its rows as
+    before, in whatever order it reads them. Short texts, of which a table may have very many equal ones, have nothing to be compared
+    and stay out of the groups.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
     n = max(least, math.ceil(size / group_bytes))
-    place = F.when(F.coalesce(F.octet_length("text"), F.lit(0)) < short, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
-    return base.select(F.pmod(F.xxhash64("doc_id", "text", place), F.lit(n)).cast("int").alias("g"), "doc_id", "text"), n, size
+    is_short = F.coalesce(F.octet_length("text"), F.lit(0)) < short
+    return base.where(~is_short).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("g"), "doc_id", "text"), base.where(is_short), n, size
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:

@@ -239,10 +239,23 @@ def _remove(window: int, depth: int, width: int, block: int, buckets: int, texts
     return run
 
 
+def _whole(texts: bool):
+    """Texts without a window, as they are."""
+
+    def run(batches):
+        for batch in batches:
+            words = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
+            kept = [b" ".join(w) for w in words]
+            out = [[len(w) for w in words], [0] * len(words), [hashlib.sha256(k).hexdigest() for k in kept], [k.decode() if texts else None for k in kept]]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, group_bytes: int = GROUP_BYTES, texts: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) per row of (doc_id, text): without each word that a window covers
     whose words also start in a document with a smaller doc_id. `kept` joins the words by blanks (null if not texts)."""
-    base, groups, size = grouped(docs, 2 * window - 1, group_bytes)
+    base, short, groups, size = grouped(docs, 2 * window - 1, group_bytes)
     windows = max(1, size // 5)
     width = 1 << (CELLS_PER_WINDOW * windows - 1).bit_length()
     blocks = max(16, -(-windows // BLOCK_WINDOWS))
@@ -253,4 +266,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, gr
     cells = stage(sketch.groupBy("row", "block").applyInArrow(_merge_cells, reply), "sketch")
     records = base.groupBy("g").cogroup(cells.groupBy("g")).applyInArrow(_records(*shape, blocks), "block int, g int, h1 binary, h2 binary, ids binary")
     found = records.groupBy("block").applyInArrow(_merge_records, reply)
-    return base.groupBy("g").cogroup(cells.unionByName(found).groupBy("g")).applyInArrow(_remove(*shape, blocks, texts), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    made = base.groupBy("g").cogroup(cells.unionByName(found).groupBy("g")).applyInArrow(_remove(*shape, blocks, texts), out)
+    return made.unionByName(short.mapInArrow(_whole(texts), out))

@@ -31,6 +31,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .shared import GROUP_BYTES, bits_of, covered, grouped, mix, pack_cells, rolling, rows, spans_of, stage, unpack_cells
 from .substring import NO_ID, RECORDS, REPLY, _repeated
@@ -432,7 +433,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, gr
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of (doc_id, text): without each byte that a string of
     `length` bytes covers which also starts earlier, in a smaller doc_id or before in the same document. `kept` has the
     bytes that stay (null if not texts)."""
-    base, groups, size = grouped(docs, length, group_bytes)
+    base, short, groups, size = grouped(docs, length, group_bytes)
     segments = max(1, size // SEGMENT_BYTES)
     width = 1 << (CELLS_PER_SEGMENT * segments - 1).bit_length()
     block = -(-width // max(16, -(-segments // BLOCK_SEGMENTS)))
@@ -443,6 +444,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, depth: int = DEPTH, gr
     cells = stage(sketch.groupBy("row", "block").applyInArrow(_merge_names(hot_segments), reply), "names")
     found = base.groupBy("g").cogroup(cells.groupBy("g")).applyInArrow(_segments(*shape, shards), "shard int, g int, sizes binary, ids binary, marks binary, lo binary, texts binary")
     answers = found.groupBy("shard").applyInArrow(_shard(length, shards), reply)
-    return base.groupBy("g").cogroup(cells.unionByName(answers).groupBy("g")).applyInArrow(
+    made = base.groupBy("g").cogroup(cells.unionByName(answers).groupBy("g")).applyInArrow(
         _remove(*shape, shards, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
+    # texts shorter than a string stay as they are
+    data, none = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.lit(0).cast("long")
+    whole = short.select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(data, 256).alias("kept_sha256"), (data if texts else F.lit(None).cast("binary")).alias("kept"))
+    return made.unionByName(whole)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("quern.llm")
 from quern.llm import decontam, langid, media, packing, secrets, shared, simhash, wordpiece  # noqa: E402
@@ -312,3 +313,24 @@ def test_many_equal_short_rows(spark):
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix.remove_repeats(df).collect())
     size = len(words)
     assert got == {(None, 0, 0): 2000, (None, 7, 0): 1000, (1, size, 0): 1, (2, size, size): 1}
+
+
+def test_groups_follow_from_rows_alone(spark):
+    """Which group a text is in does not depend on the order or the partition that it is read in: a task that runs again after its input
+    came in another order deals its rows as before, so none is lost or doubled. Short texts are in no group."""
+    import random
+
+    from quern.llm import substring, suffix
+
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdef", k=draw.randint(1, 6)))
+    texts = [" ".join(word() for _ in range(draw.choice([0, 3, 12, 13, 40]))) for _ in range(60)]
+    rows = [(k, draw.choice(texts)) for k in range(120)] + [(5, None)] * 30 + [(5, "x y")] * 30 + [(None, "x")] * 10 + [(7, texts[0])] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for make in (lambda d: substring.remove_repeats(d, group_bytes=500), lambda d: suffix.remove_repeats(d, group_bytes=500)):
+        results = [Counter(map(tuple, make(d).collect())) for d in (df, df.repartition(7), df.orderBy(F.rand(3)).coalesce(2))]
+        assert results[0] == results[1] == results[2] and sum(results[0].values()) == len(rows)
+        assert "monotonically_increasing_id" not in make(df.repartition(3))._jdf.queryExecution().toString()
+    long, short, n, _ = shared.grouped(df, 25, 500)
+    dealt = [{(r["doc_id"], r["text"], r["g"]) for r in shared.grouped(d, 25, 500)[0].collect()} for d in (df, df.repartition(5, "text"))]
+    assert dealt[0] == dealt[1] and long.count() + short.count() == len(rows) and all(len((r["text"] or "").encode()) < 25 for r in short.collect())
