@@ -240,3 +240,11 @@ def test_caps_and_answers(spark):
     rows = [('["one ", "", 5, null]', '["two"]'), ("broken", "[]"), (None, '{"a": 1}')]
     got = chunk.explode_answers(spark.createDataFrame(rows, "human_answers string, chatgpt_answers string")).collect()
     assert sorted(map(tuple, got)) == [("one", 0), ("two", 1)]
+
+
+def test_decisions_of_both_paths(spark):
+    df = spark.createDataFrame([(0.5,), (0.51,), (0.2,), (-1.0,), (None,)], "p double")
+    got = df.select(L.decision(F.col("p"))["label"], L.decision(F.col("p"), strict=True)["label"], L.shown_decision(F.col("p")), L.logged_decision(F.col("p"))).collect()
+    assert [r[0] for r in got[:3]] == ["AI", "AI", "HUMAN"] and [r[1] for r in got[:3]] == ["HUMAN", "AI", "HUMAN"]
+    assert tuple(got[2][2]) == ("HUMAN", "80.0%", "0.2000") and tuple(got[0][2]) == ("AI", "50.0%", "0.5000")
+    assert [r[3] for r in got[:4]] == ["Classification: HUMAN (confidence: 50.00%)", "Classification: AI (confidence: 51.00%)", "Classification: HUMAN (confidence: 20.00%)", "Model returned error code (-1.0)."]

@@ -402,3 +402,17 @@ def test_small_rules(spark):
     tokens.check_preprocessing("cnn", "sobel")
     with pytest.raises(ValueError):
         tokens.check_preprocessing("CLIP_vit_b32", "sobel")
+
+
+def test_saved_models_come_back(spark, tmp_path):
+    """A fitted pipeline that is saved, and loaded as by another session, gives the same scores and has the same vocabulary."""
+    rows = spark.createDataFrame([(k, ("good fine great " if k % 2 else "bad poor awful ") * (1 + k % 3) + f"word{k % 5} common", k % 2) for k in range(40)], "id long, text string, y int")
+    model = tokens.tfidf_pipeline(terms=50, max_iter=20).fit(rows)
+    tables.save_model(model, f"{tmp_path}/model")
+    tables.save_model(model, f"{tmp_path}/model")  # written again in place
+    again = tables.load_model(f"{tmp_path}/model")
+    assert again.stages[4].vocabulary == model.stages[4].vocabulary and again.stages[-1].coefficients == model.stages[-1].coefficients
+    score = lambda m: [(r["id"], r["probability"], r["prediction"]) for r in m.transform(rows).orderBy("id").collect()]
+    assert score(again) == score(model)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        tables.load_model(f"{tmp_path}/none")

@@ -130,6 +130,17 @@ def test_reports(spark, tmp_path):
     assert [p.split("/")[-1] for p in paths] == ["r1_metrics.json", "r1_summary.md"] and (tmp_path / "out" / "r1_summary.md").read_text() == text
     with pytest.raises(ValueError):
         reports.summary("r1", facts, df)
+    paths = reports.write_report(spark, f"file://{tmp_path}/out", "r1", {"b": 2}, table, kind="slices")
+    assert [p.split("/")[-1] for p in paths] == ["r1_slices.json", "r1_slices.md"] and (tmp_path / "out" / "r1_summary.md").read_text() == text  # the summary stays
+    kinds = df.withColumn("corruption", F.lit("noise05")).unionByName(df.withColumn("corruption", F.lit("blur"))).unionByName(df.withColumn("corruption", F.lit("jpeg50"))).unionByName(df.withColumn("corruption", F.lit("other")))
+    results = evaluation.corruption_report(kinds).join(evaluation.ece(df).crossJoin(kinds.select("corruption").distinct()), "corruption").drop("ece").crossJoin(evaluation.ece(df))
+    rough = reports.corruption_summary("r1", facts, results)
+    lines = rough.splitlines()
+    assert lines[0] == "# Corruption Evaluation - r1" and lines[2:8] == ["- Split: `test`", "- Manifest: `m.csv`", "- Model: `m`", "- Preprocessing mode: `rgb`", "- Dataset filter: `None`", "- Domain filter: `None`"]
+    assert lines[9] == "| Corruption | ROC-AUC | PR-AUC | Accuracy | Balanced Acc. | ECE | Brier |" and lines[10] == "| --- | ---: | ---: | ---: | ---: | ---: | ---: |"
+    assert [x.split(" | ")[0] for x in lines[11:]] == ["| jpeg50", "| blur", "| noise", "| other"] and lines[11].split(" | ")[3] == "0.5000" and rough.endswith("|\n")
+    paths = reports.write_report(spark, f"file://{tmp_path}/out", "r1", {}, rough, kind="corruptions")
+    assert [p.split("/")[-1] for p in paths] == ["r1_corruptions.json", "r1_corruptions.md"]
 
 
 def test_fallbacks(spark, tmp_path):
