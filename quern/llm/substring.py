@@ -20,6 +20,7 @@ empty table gives no rows, and other columns than doc_id and text are not read.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +70,7 @@ class Group:
         self.words = [texts[k].encode().split() for k in self.order]
         counts = np.array([len(w) for w in self.words], np.int64)
         self.first = np.concatenate(([0], np.cumsum(counts)))  # of each document, in the group's words
-        get = _hashes.__getitem__
-        h = np.fromiter((x for w in self.words for x in map(get, w)), np.uint64, int(self.first[-1]))
+        h = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(self.words)), np.uint64, int(self.first[-1]))
         n = np.maximum(counts - window + 1, 0)
         self.doc = np.repeat(np.arange(len(counts)), n)
         self.at = np.arange(len(self.doc)) + np.repeat(self.first[:-1] - (np.cumsum(n) - n), n)  # first word of each window
