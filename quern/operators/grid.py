@@ -17,6 +17,12 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def rounded(c: Column, places: int = 6) -> Column:
+    """Rounded with its sign: what is below zero and rounds to zero is minus zero, as in IEEE arithmetic."""
+    r = F.round(c, places)
+    return F.when(r == 0, c * 0.0).otherwise(r)
+
+
 def _at(a: Column, y, x, w: int, h: int, edge: str) -> Column:
     if edge == "mirror":
         fold = lambda v, n: F.when(v < 0, -v).when(v >= n, 2 * (n - 1) - v).otherwise(v)

@@ -191,7 +191,7 @@ def sobel_grid(spark, sf):
 round(list_sum(list_transform(range(1, 65), lambda k: gy[k] * gy[k])) / 64, 6) AS yy FROM d""")
 def gradient_covariance(spark, sf):
     c = grid.gradient_covariance(F.col("a"), 8, 8)
-    return _grid(spark, sf).select("vec_id", *[F.round(c[n], 6).alias(n) for n in ("xx", "xy", "yy")])
+    return _grid(spark, sf).select("vec_id", *[grid.rounded(c[n]).alias(n) for n in ("xx", "xy", "yy")])
 
 
 @query(f"{_G}, r AS (SELECT vec_id, {_NOISE} AS r FROM g) SELECT vec_id, round(list_sum(list_transform(r, lambda x: abs(x))), 6) AS noise FROM r")
@@ -260,4 +260,4 @@ def corruptions(spark, sf):
 
 @query(f"{_G} SELECT vec_id, list_transform(range(0, 64), lambda k: round(a[(k // 8) * 8 + 7 - k % 8 + 1], 6)) AS flipped FROM g")
 def flipped(spark, sf):
-    return _grid(spark, sf).select("vec_id", F.transform(grid.flip(F.col("a"), 8, 8), lambda x: F.round(x, 6)).alias("flipped"))
+    return _grid(spark, sf).select("vec_id", F.transform(grid.flip(F.col("a"), 8, 8), lambda x: grid.rounded(x)).alias("flipped"))
