@@ -74,9 +74,12 @@ def fold_mean_std(spark, sf):
 def metric_extraction(spark, sf):
     """Numbers out of nested reports, some of which are broken or have no metrics; a missing or bad number is minus infinity."""
     e = table(spark, sf, "events")
-    number = F.when(F.col("event_id") % 11 == 0, F.lit("null")).otherwise(F.col("value").cast("string"))
-    good = F.concat(F.lit('{"run": {"id": 1}, "metrics": {"f1": '), number, F.lit(', "k": '), F.get_json_object("props", "$.k"), F.lit(', "gap": null}}'))
-    report = F.when(F.col("event_id") % 7 == 0, '{"metrics": {"f1": 0.').when(F.col("event_id") % 5 == 0, '{"other": {"f1": 1}}').otherwise(good)
+    value, k = F.col("value"), F.get_json_object("props", "$.k")
+    # JSON has no numbers for NaN and the infinities: they are written as texts, which are read as numbers
+    odd = F.isnan(value) | (F.abs(value) == float("inf"))
+    number = F.when((F.col("event_id") % 11 == 0) | value.isNull(), F.lit("null")).when(odd, F.concat(F.lit('"'), value.cast("string"), F.lit('"'))).otherwise(value.cast("string"))
+    good = F.concat(F.lit('{"run": {"id": 1}, "metrics": {"f1": '), number, F.lit(', "k": '), F.coalesce(k, F.lit("null")), F.lit(', "gap": null}}'))
+    report = F.when(F.col("event_id").isNull() | (F.col("event_id") % 7 == 0), '{"metrics": {"f1": 0.').when(F.col("event_id") % 5 == 0, '{"other": {"f1": 1}}').otherwise(good)
     got = evaluation.extract_metrics(e.select(F.col("event_id").alias("run"), report.alias("report")))
     return got.select("run", "metric", L.safe_float(F.col("value").cast("string")).alias("value"))
 
