@@ -80,9 +80,15 @@ def mean_std(df: DataFrame, by: str, value: str) -> DataFrame:
     return df.groupBy(by).agg(F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"))
 
 
+def partitions(df: DataFrame) -> int:
+    """As many parts as the input has splits or a shuffle has parts, whichever are more, so that a part is no larger than a split."""
+    return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def top_words(df: DataFrame, key: str, text: str = "text", k: int = 3) -> DataFrame:
-    """(key, word, n, rank): each text's most frequent words, ties by word."""
-    counts = df.select(key, F.explode(T.words(F.lower(F.col(text)))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    """(key, word, n, rank): each text's most frequent words, ties by word. Texts are shuffled by key, and their words not at all."""
+    texts = df.select(key, text).repartition(partitions(df), key)
+    counts = texts.select(key, F.explode(T.words(F.lower(F.col(text)))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "word"))).where(F.col("rank") <= k)
 
 
