@@ -6,6 +6,10 @@
    most typical ones (hubs) are paired with all, so pairs stay linear in the members. Sizes that rule 0.8 out are dropped.
 3. Only sets that are in a pair are made again from their texts and joined to the pairs; a link is a pair whose exact similarity
    is at least 0.8. Connected components of the links follow in distributed rounds.
+4. What bands and their hubs leave out is found by prefixes, which lose no pair: of two sets 0.8 alike, the first shingle in common, in an
+   order of all shingles, is among the first fifth of each, rounded down, and one more. Pairs within one component need no further link,
+   so shingles met in one component only drop out, and the rest is paired across components, held against sizes and the number they have in common there, and verified
+   like the others. Any order is right; to keep pairs few, shingles that recur within chunks of the corpus come last.
 
 Texts without words, and nulls, have the empty set in common. Texts of fewer than five words are one shingle.
 """
@@ -33,6 +37,10 @@ BUCKET_KEYS = 2_000_000
 TASK_KEYS = 500_000
 PACKET = 4096
 LEAST_BUCKETS = 64
+#: Shingles of a chunk in which repeats are counted, repeats in all that make a shingle a frequent one, and most frequent ones that tasks hold.
+CHUNK, REPEATS, FREQUENT = 2_000_000, 16, 1_000_000
+#: Most sets to be verified that are joined to the texts by a broadcast.
+FEW_SETS = 200_000
 
 _SALTS = mix(np.arange(1, 2 * BANDS * MINIMA + 1, dtype=np.uint64))
 _TIMES, _PLUS = _SALTS[: BANDS * MINIMA] | np.uint64(1), _SALTS[BANDS * MINIMA :]
@@ -65,25 +73,65 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return mix((least.reshape(BANDS, MINIMA) * _JOIN).sum(axis=1, dtype=np.uint64) + _PLUS[:BANDS])
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, n, sim, bands): fp names the set of shingles, n is its size, sim its SimHash; a narrow map."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("sim", pa.int64()), ("bands", pa.binary())])
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Shingles that recur, the more frequent the later; they only order the shingles of a prefix, so what is missing here costs time, not pairs."""
+
+    def count(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                held.append(shingles(text))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield count(held)
+                    held, size = [], 0
+        if held:
+            yield count(held)
+
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") >= REPEATS).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    return top.column("key").to_numpy().view(np.uint64)[::-1].copy()
+
+
+def prefix(found: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The shingles of which a set 0.8 alike has one as the first in common. last: frequent shingles, sorted, and their places in the order."""
+    up, down = SIMILARITY
+    size = len(found) - -(-len(found) * up // down) + 1
+    if not len(found) or not len(last):
+        return found[:size]
+    at = np.minimum(np.searchsorted(last, found), len(last) - 1)
+    late = last[at] == found
+    rare = found[~late]
+    return rare[:size] if len(rare) >= size else np.concatenate([rare, found[late][np.argsort(place[at[late]])]])[:size]
+
+
+def signatures(docs: DataFrame, late: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, text_hash, fp, n, sim, bands, prefix): fp names the set of shingles, n is its size, sim its SimHash; a narrow map. late: frequent()."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("sim", pa.int64()), ("bands", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    late = np.empty(0, np.uint64) if late is None else late
+    place = np.argsort(late)
+    order = docs.sparkSession.sparkContext.broadcast((late[place], place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            fps, sizes, sims, bands = [], [], [], []
+            fps, sizes, sims, bands, firsts = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text)
                 fps.append(xxhash.xxh64_intdigest(found.tobytes()))
                 sizes.append(len(found))
                 sims.append(sim_of(found))
                 bands.append(band_keys(found).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(bands, pa.binary())], schema=schema)
+                firsts.append(prefix(found, *order.value).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(bands, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], schema=schema)
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long, n int, sim long, bands binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long, n int, sim long, bands binary, prefix array<long>")
 
 
 def _emit(buckets: int):
@@ -169,9 +217,29 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return packets.groupBy("bucket").applyInArrow(_meet, "a long, b long")
 
 
+def across(distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all pairs of sets of different components that can be SIMILARITY alike. distinct: (fp, n, prefix); roots: (node, root)."""
+    up, down = SIMILARITY
+    rooted = distinct.where("n > 0").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), "prefix")
+    keys = stage(rooted, "rooted").select("fp", "n", "root", F.explode("prefix").alias("key"))
+    mixed = stage(keys.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key"), "mixed")
+    met = stage(keys.join(mixed, "key"), "met")
+    # each pair has a set outside the key's largest component; that one's own pairs, which may be very many, are not formed
+    main = met.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    outer = met.join(main, "key").where("root <> main").select("key", "main", *[F.col(c).alias(f"x_{c}") for c in ("fp", "n", "root")])
+    both = outer.join(met, "key").where((F.col("x_root") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("x_fp") < F.col("fp"))))
+    p, q = F.least("n", "x_n"), F.greatest("n", "x_n")
+    sized = both.where(down * p >= up * q).groupBy(F.least("x_fp", "fp").alias("a"), F.greatest("x_fp", "fp").alias("b"), p.alias("p"), q.alias("q")).agg(F.count("*").alias("c"))
+    # what two sets have in common besides the c shingles in both prefixes lies behind the prefix that ends first
+    behind = F.floor((up * F.col("q") + down - 1) / down) - 1
+    return sized.where((F.col("c") + behind) * (up + down) >= up * (F.col("p") + F.col("q"))).select("a", "b")
+
+
 def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets are at least SIMILARITY alike. distinct: (fp, best) with best a row of docs."""
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(distinct.select("fp", "best"), "fp")
+    """Those of pairs (a, b), a written table, whose sets are at least SIMILARITY alike. distinct: (fp, best) with best a row of docs."""
+    needed = stage(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(distinct.select("fp", "best"), "fp"), "needed")
+    if needed.count() <= FEW_SETS:
+        needed = F.broadcast(needed)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     texts = rows.alias("d").join(needed.alias("k"), F.expr("d.doc_id <=> k.best.doc_id and d.text_hash = k.best.text_hash")).select("k.fp", "d.text")
     sets = stage(texts.mapInArrow(_sets, "fp long, found array<long>").dropDuplicates(["fp"]), "sets")

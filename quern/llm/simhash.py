@@ -15,7 +15,8 @@
 `near_duplicates` takes those links as they are: three words, 3 bits. `keep_one`, for a corpus to be filtered, takes five words and
 a similarity of shingle sets of 0.8: the links are only candidates there, held against the sets themselves. Two sets
 that are 0.8 alike differ in 10 bits on average, which no ball of half that radius can span (10^7 variants), so candidates from
-`minhash`, which reach that far, come on top.
+`minhash`, which reach that far, come on top. Neither is complete: balls and hot bands give stars, not all pairs. So their components are
+completed by the prefixes of `minhash`, which lose no pair of sets 0.8 alike in different components.
 
 Nulls, empty texts and texts without words get fingerprint zero and link like any other. A null doc_id is no candidate for a
 component's name; a component with no other gets null. Repeated rows return one row each, an empty table none. Very long texts
@@ -226,9 +227,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     one stays, whichever. Nulls and texts without words have the empty set in common.
     """
     with scope() as keep:
-        marked = stage(minhash.signatures(docs), "signatures")
+        marked = stage(minhash.signatures(docs, minhash.frequent(docs)), "signatures")
         order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
-        distinct = stage(marked.groupBy("fp").agg(F.min(order).alias("best"), *[F.first(c).alias(c) for c in ("n", "sim", "bands")]), "distinct")
+        distinct = stage(marked.groupBy("fp").agg(F.min(order).alias("best"), *[F.first(c).alias(c) for c in ("n", "sim", "bands", "prefix")]), "distinct")
         # sets of one fingerprint, and fingerprints within a ball, as pairs of sets
         sims = stage(distinct.where("n > 0").groupBy("sim").agg(F.min("fp").alias("one")), "sims")
         near = links(sims.select(F.col("sim").alias("fp")))
@@ -238,6 +239,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
         pairs = stage(balls.union(same).union(minhash.candidates(distinct)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         roots = components(minhash.verified(docs, distinct, pairs), "similar")
         named = distinct.select("fp", "best").join(roots, distinct.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("root"), "best")
+        rest = stage(minhash.across(distinct, roots), "rest")
+        if not rest.isEmpty():
+            name = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+            links_left = minhash.verified(docs, distinct, rest).join(name("a"), "a", "left").join(name("b"), "b", "left")
+            joined = components(links_left.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")), "joined")
+            named = named.join(joined, named.root == joined.node, "left").select(F.coalesce(joined.root, named.root).alias("root"), "best")
         best = keep(stage(named.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.text_hash"), "kept"))
         # rows that agree in id and text, if the table has any at all
         again = marked.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
