@@ -254,7 +254,15 @@ def read_family(spark: SparkSession, path: str, pattern: str = "cleaned_*.csv",
 class Page(InputPartition):
     path: str
     page: int
-    take: int
+    take: int | None
+
+
+@dataclass
+class Pages(InputPartition):
+    """Pages that follow one another, the first of them with its number."""
+
+    paths: list[str]
+    first: int
 
 
 def _text(node, tag: str) -> str | None:
@@ -300,6 +308,8 @@ class StoredPages(DataSource):
     Options: path; pattern; target (stop when so many items are kept; 0: never); until (last day of publication), leastWords,
     leastScore: what an item must have to be kept. A page without any item ends the feed, as the service would have said that there is no more.
     Pages are counted one after another where the table is planned, as a client has to that stops at a target; their items are read by a task a page.
+    Without a target a table's pages are read by tasks that share small ones, and none is read where it is planned; the option ends (true) gives
+    instead a row for each page without items, of which read_pages takes the first as the end.
     As a stream, pages that arrive later go on from where the offset stands, also after a restart.
     """
 
@@ -324,11 +334,15 @@ class Paging:
         self.target = int(o.get("target", 0))
         self.until, self.words = o.get("until"), int(o.get("leastwords", 0))
         self.score = float(o["leastscore"]) if "leastscore" in o else None
+        self.ends = o.get("ends", "").lower() == "true"
         self.counts: list[int] = []
 
+    def sized(self) -> list[tuple[str, int]]:
+        number = lambda f: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", f[0])]
+        return sorted(_listing(self.path, self.pattern), key=number)
+
     def pages(self) -> list[str]:
-        number = lambda p: [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", p)]
-        return sorted((p for p, _ in _listing(self.path, self.pattern)), key=number)
+        return [p for p, _ in self.sized()]
 
     def items(self, path: str) -> list[dict]:
         with _open(path) as stream:
@@ -358,8 +372,22 @@ class Paging:
             kept += take
         return out
 
+    def whole(self) -> list[Pages]:
+        """All pages, small ones together."""
+        files = self.sized()
+        first, out = 0, []
+        for part in _packed(files, PARTITION_BYTES):
+            out.append(Pages(part.paths, first))
+            first += len(part.paths)
+        return out
+
     def rows(self, page: Page) -> Iterator[tuple]:
-        kept = [(k, x) for k, x in enumerate(self.items(page.path)) if self.keeps(x)][: page.take]
+        items = self.items(page.path)
+        if self.ends:
+            if not items:
+                yield page.page, None, None, None, None, None, None
+            return
+        kept = [(k, x) for k, x in enumerate(items) if self.keeps(x)][: page.take]
         text = lambda v: None if v is None else str(v)
         for k, x in kept:
             score = x.get("score")
@@ -370,10 +398,12 @@ class PageReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paging = Paging(options)
 
-    def partitions(self) -> list[Page]:
-        return self.paging.plan() or [Page("", 0, 0)]
+    def partitions(self) -> list[Page] | list[Pages]:
+        return (self.paging.plan() if self.paging.target else self.paging.whole()) or [Page("", 0, 0)]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Page | Pages) -> Iterator[tuple]:
+        if isinstance(partition, Pages):
+            return (row for k, path in enumerate(partition.paths) for row in self.paging.rows(Page(path, partition.first + k, None)))
         return self.paging.rows(partition) if partition.take else iter(())
 
 
@@ -396,15 +426,20 @@ class PageStream(DataSourceStreamReader):
         return self.paging.rows(partition) if partition.take else iter(())
 
 
-def _paged(spark: SparkSession, reader, path: str, target: int, until: str | None, least_words: int, least_score: float | None, pattern: str) -> DataFrame:
+def _paged(spark: SparkSession, reader, path: str, target: int, until: str | None, least_words: int, least_score: float | None, pattern: str, ends: str | None = None) -> DataFrame:
     spark.dataSource.register(StoredPages)
-    given = {"path": path, "pattern": pattern, "target": target, "leastWords": least_words, "until": until, "leastScore": least_score}
+    given = {"ends": ends, "path": path, "pattern": pattern, "target": target, "leastWords": least_words, "until": until, "leastScore": least_score}
     return reader.format("stored_pages").options(**{k: v for k, v in given.items() if v is not None}).load()
 
 
 def read_pages(spark: SparkSession, path: str, target: int = 0, until: str | None = None, least_words: int = 0, least_score: float | None = None, pattern: str = "*") -> DataFrame:
-    """Items of stored response pages; see StoredPages."""
-    return _paged(spark, spark.read, path, target, until, least_words, least_score, pattern)
+    """Items of stored response pages; see StoredPages. Without a target the pages are read in parallel, twice, as the first one without items,
+    which ends the feed, must be known."""
+    found = _paged(spark, spark.read, path, target, until, least_words, least_score, pattern)
+    if target:
+        return found
+    ends = _paged(spark, spark.read, path, 0, None, 0, None, pattern, ends="true").agg(F.min("page").alias("__end"))
+    return found.crossJoin(F.broadcast(ends)).where("__end is null or page < __end").drop("__end")
 
 
 def stream_pages(spark: SparkSession, path: str, target: int = 0, until: str | None = None, least_words: int = 0, least_score: float | None = None, pattern: str = "*") -> DataFrame:
