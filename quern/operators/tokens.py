@@ -44,8 +44,12 @@ def vocabulary(df: DataFrame, text: str, key: str, limit: int | None = None, oov
 
 def encode(df: DataFrame, vocab: DataFrame, text: str, key: str, length: int, padding: str = "post", truncating: str = "post", num_words: int | None = None, oov: bool = True, out: str = "ids") -> DataFrame:
     """(key, ids): sequences of `length` ids, 0 for padding, OOV for unknown words and ids from num_words on (left out without
-    an OOV id). Words meet their ids in a join, so the vocabulary may be of any size."""
-    found = df.select(F.col(key).alias("__k"), F.posexplode_outer(tokens(F.col(text))).alias("__p", "word"))
+    an OOV id). Words meet their ids in a join, so the vocabulary may be of any size. With an OOV id every word has a place in the
+    sequence, so words that are cut off are left out before the join."""
+    words = tokens(F.col(text))
+    if oov:
+        words = F.slice(words, 1, length) if truncating == "post" else F.slice(words, F.greatest(F.size(words) - length + 1, F.lit(1)), F.lit(length))
+    found = df.select(F.col(key).alias("__k"), F.posexplode_outer(words).alias("__p", "word"))
     keep = vocab.select("word", "id") if num_words is None else vocab.select("word", "id").where(F.col("id") < num_words)
     joined = found.join(keep, "word", "left").withColumn("id", F.coalesce("id", F.lit(OOV)) if oov else F.col("id"))
     ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("__p").isNotNull() & F.col("id").isNotNull(), F.struct("__p", "id")))), lambda x: x.id)
