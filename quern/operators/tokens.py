@@ -22,6 +22,7 @@ def tokens(c: Column) -> Column:
 def vocabulary(df: DataFrame, text: str, key: str, limit: int | None = None, oov: bool = True) -> DataFrame:
     """(word, n, id): ids by falling frequency, ties by first place (least key, then place in the text). Ids begin at 2 with an
     out-of-vocabulary id, else at 1. With `limit` the rank is over a top-k only."""
+    kind = df.schema[key].dataType.simpleString()
     found = df.select(F.col(key).alias("__k"), F.posexplode(tokens(F.col(text))).alias("__p", "word"))
     counts = found.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("__k", "__p")).alias("__f"))
     order = [F.desc("n"), F.asc("__f")]
@@ -31,14 +32,15 @@ def vocabulary(df: DataFrame, text: str, key: str, limit: int | None = None, oov
         return top.withColumn("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) + (first - 1)).select("word", "n", "id")
     # Words of one count are cut at quantiles of their first key, where there are many; slices are counted, and a word's
     # rank is its slice's offset plus its place there. Counts that occur are few, as they grow by the square of their number.
-    numeric = df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double")
-    cuts = counts.agg(F.percentile_approx(F.col("__f.__k"), [k / SLICES for k in range(1, SLICES)], 1000).alias("__cuts")) if numeric else None
-    sliced = counts.crossJoin(cuts).withColumn("__s", F.size(F.filter("__cuts", lambda c: c < F.col("__f.__k")))).drop("__cuts") if numeric else counts.withColumn("__s", F.lit(0))
+    numeric = kind in ("tinyint", "smallint", "int", "bigint", "float", "double")
+    first_key = F.col("__f.__k") if kind in ("float", "double") else F.col("__f").cast("double")
+    cuts = counts.agg(F.percentile_approx(first_key, [k / SLICES for k in range(1, SLICES)], 1000).alias("__cuts")) if numeric else None
+    sliced = counts.crossJoin(cuts).withColumn("__s", F.size(F.filter("__cuts", lambda c: c < first_key))).drop("__cuts") if numeric else counts.withColumn("__s", F.lit(0))
     sizes = sliced.groupBy(F.col("n").alias("__n"), F.col("__s").alias("__z")).agg(F.count("*").alias("__c"))
     before = F.sum("__c").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("__n"), "__z").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("__n", "__z", F.coalesce(before, F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("n", "__s").orderBy("__f"))
-    ranked = sliced.withColumn("__i", place).join(offsets, (F.col("n") == F.col("__n")) & (F.col("__s") == F.col("__z")))
+    rank = F.row_number().over(Window.partitionBy("n", "__s").orderBy("__f"))
+    ranked = sliced.withColumn("__i", rank).join(offsets, (F.col("n") == F.col("__n")) & (F.col("__s") == F.col("__z")))
     return ranked.select("word", "n", (F.col("__before") + F.col("__i") + (first - 1)).cast("int").alias("id"))
 
 
