@@ -24,7 +24,11 @@ def vocabulary(df: DataFrame, text: str, key: str, limit: int | None = None, oov
     out-of-vocabulary id, else at 1. With `limit` the rank is over a top-k only."""
     kind = df.schema[key].dataType.simpleString()
     found = df.select(F.col(key).alias("__k"), F.posexplode(tokens(F.col(text))).alias("__p", "word"))
-    counts = found.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("__k", "__p")).alias("__f"))
+    place = F.struct("__k", "__p")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        # key and place as one number, a null key before all others: numbers are counted by hash, while structs would have every word sorted
+        place = F.coalesce(F.col("__k").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(2**31).cast("decimal(10,0)") + F.col("__p")
+    counts = found.groupBy("word").agg(F.count("*").alias("n"), F.min(place).alias("__f"))
     order = [F.desc("n"), F.asc("__f")]
     first = 2 if oov else 1
     if limit is not None:
