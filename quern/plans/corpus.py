@@ -281,8 +281,9 @@ SELECT 'word_count' AS "check", count(*) FILTER (n NOT BETWEEN 100 AND 350) AS n
 UNION ALL SELECT 'archive', count(*) FILTER (a.reason IS NOT NULL) FROM k JOIN a USING (doc_id)""")
 def quality_recheck(spark, sf):
     """What the archive filter kept: how much of it breaks each abstract rule, and any archive rule, which is none."""
-    texts = docs(spark, sf)
-    kept = filters.with_reason(texts, "archive", least_words=50).where("reason is null").select(*texts.columns)
+    at = files.workspace(spark, "kept")
+    filters.with_reason(docs(spark, sf).select("doc_id", "text"), "archive", least_words=50).where("reason is null").select("doc_id", "text").write.parquet(at)
+    kept = spread(spark.read.parquet(at))
     own = filters.quality_counts(kept, "archive", least_words=50).agg(F.lit("archive").alias("check"), F.sum("n").alias("n"))
     return filters.quality_counts(kept, "old_abstract").unionByName(own)
 
