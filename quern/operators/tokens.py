@@ -99,6 +99,20 @@ def tfidf_pipeline(text: str = "text", label: str = "y", terms: int = 20_000, ma
     return Pipeline(stages=stages)
 
 
+def fit_written(pipeline, df: DataFrame, at: str, *columns: str):
+    """(model, scored): a tfidf_pipeline fitted to df, and df's `columns` with its predictions. The terms' counts are written to the folder `at`
+    once, and the later stages and the scoring read them instead of taking the texts apart again."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    stages = pipeline.getStages()
+    k = next(i for i, s in enumerate(stages) if type(s).__name__ == "CountVectorizer") + 1
+    counting = Pipeline(stages=stages[:k]).fit(df)
+    counting.transform(df).select(*columns, stages[k - 1].getOutputCol()).write.parquet(at)
+    counted = df.sparkSession.read.parquet(at)
+    weighing = Pipeline(stages=stages[k:]).fit(counted)
+    return PipelineModel([*counting.stages, *weighing.stages]), weighing.transform(counted)
+
+
 def cross_validate(df: DataFrame, make: Callable, fold: str = "fold", label: str = "y") -> DataFrame:
     """(fold, accuracy, precision, recall, f1): fit on the other folds, score one, for each fold."""
     from .evaluation import confusion, with_rates

@@ -417,8 +417,8 @@ def url_slugs(spark, sf):
 def tfidf_lr(spark, sf):
     """Fit TF-IDF with logistic regression on labelled documents and score them."""
     rows = _labelled(spark, sf).where("quality is not null").select("doc_id", "text", F.col("quality").alias("y"))
-    model = tokens.tfidf_pipeline().fit(rows)
-    return model.transform(rows).select("doc_id", "y", F.col("prediction").cast("int").alias("pred"))
+    _, scored = tokens.fit_written(tokens.tfidf_pipeline(), rows, files.workspace(spark, "terms"), "doc_id", "y")
+    return scored.select("doc_id", "y", F.col("prediction").cast("int").alias("pred"))
 
 
 _W = r"len(regexp_extract_all(text, '\S+'))"
