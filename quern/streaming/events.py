@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ DAY_MS = 86_400_000
 
 
 class DailyQuota(StatefulProcessor):
-    """Per key a map from day to count, and a timer at the end of each day: when the watermark passes it, the day's entry goes."""
+    """Per key a map from day to count, and a timer at the end of its first day: when the watermark passes it, the days that have ended go.
+    Each call of the state is a message, so a batch reads a key's map at once and writes each day of its rows once."""
 
     def __init__(self, key: str, ts: str, limit: int):
         self.key, self.ts, self.limit = key, ts, limit
@@ -46,24 +48,25 @@ class DailyQuota(StatefulProcessor):
         self.days = handle.getMapState("days", "day long", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))[[self.ts]].sort_values(self.ts, kind="stable")
+        times = np.sort(np.concatenate([r[self.ts].to_numpy() for r in rows]))
         # whole milliseconds since 1970 in the session's zone, in which the frame's times are
-        days = frame[self.ts].astype("datetime64[ms]").astype("int64") // DAY_MS
-        n = days.groupby(days).cumcount() + 1
-        for day, more in days.value_counts().items():
-            before = self.days.getValue((int(day),))
-            before = before[0] if before else 0
-            if before:
-                n[days == day] += before
-            else:
-                self.handle.registerTimer((int(day) + 1) * DAY_MS)
-            self.days.updateValue((int(day),), (before + int(more),))
-        yield pd.DataFrame({self.key: [key[0]] * len(frame), self.ts: frame[self.ts], "n": n, "allowed": n <= self.limit})
+        found, start, more = np.unique(times.astype("datetime64[ms]").astype("int64") // DAY_MS, return_index=True, return_counts=True)
+        held = {day[0]: n[0] for day, n in self.days.iterator()}
+        if not held or found[0] < min(held):
+            self.handle.registerTimer((int(found[0]) + 1) * DAY_MS)
+        before = np.array([held.get(day, 0) for day in found.tolist()], np.int64)
+        n = np.arange(1, len(times) + 1) + np.repeat(before - start, more)
+        for day, k in zip(found.tolist(), (before + more).tolist()):
+            self.days.updateValue((day,), (k,))
+        yield pd.DataFrame({self.key: [key[0]] * len(times), self.ts: times, "n": n, "allowed": n <= self.limit})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = (expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - 1,)
-        if self.days.containsKey(day):
-            self.days.removeKey(day)
+        held = [day[0] for day, _ in self.days.iterator()]
+        left = [day for day in held if (day + 1) * DAY_MS > expiredTimerInfo.getExpiryTimeInMs()]
+        for day in set(held) - set(left):
+            self.days.removeKey((day,))
+        if left:
+            self.handle.registerTimer((min(left) + 1) * DAY_MS)
         return iter(())
 
     def close(self) -> None:
