@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, mix, rolling
+from .shared import fresh, mix, rolling, slices
 
 ORDER = 4
 #: Labelled rows of each language in the sample: those with the least hash of id and text, equal rows once. One in CALIBRATE is left out of the counts.
@@ -48,8 +48,8 @@ LANGUAGES = 1000
 LEAST = 20
 #: The share of clean texts that may lie beyond the distance that MARGIN multiplies; the least limit; the least deviation, in nats.
 RATE, MARGIN, FLOOR, LEAST_DEVIATION = 0.05, 5.0, 25.0, 0.02
-#: Characters read at once.
-CHUNK = 500_000
+#: Characters read at once; what is made of each takes some 300 bytes.
+CHUNK = 100_000
 #: Cross-entropy in nats to log odds, for the score.
 SHARPNESS = 12.0
 
@@ -307,8 +307,9 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = held.value.own_entropies(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["own", "ce", "n"])
+            for part in slices(batch):
+                found = held.value.own_entropies(part.column("text").to_pylist(), part.column("lang").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["own", "ce", "n"])
 
     left = sample.where(aside).select("lang", "text").mapInArrow(score, "own long, ce double, n long").toPandas()
     if len(left):
@@ -327,15 +328,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 FOUND = "struct<lang_pred:string,score:double,cross_entropy:double,rejected:boolean>"
+_FOUND = pa.schema([("lang_pred", pa.string()), ("score", pa.float64()), ("cross_entropy", pa.float64()), ("rejected", pa.bool_())])
 
 
 def identify(docs: DataFrame, model: Model, out: str = "lang_id") -> DataFrame:
     """Add a struct (lang_pred, score, cross_entropy, rejected) of each whole text. A narrow map; the model's size is bounded."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(FOUND)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return held.value.predict(texts.tolist())
+    @F.arrow_udf(FOUND)
+    def run(texts: pa.Array) -> pa.Array:
+        found = [pa.RecordBatch.from_pandas(held.value.predict(part.to_pylist()), _FOUND, preserve_index=False).to_struct_array() for part in slices(texts)]
+        return pa.concat_arrays(found) if found else pa.array([], pa.struct(list(_FOUND)))
 
     return docs.withColumn(out, run(F.col("text").cast("string")))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import mix, rolling, stage
+from .shared import mix, rolling, slices, stage
 
 SHINGLE = 5
 #: The least similarity of a link, as a fraction.
@@ -73,22 +73,34 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return mix((least.reshape(BANDS, MINIMA) * _JOIN).sum(axis=1, dtype=np.uint64) + _PLUS[:BANDS])
 
 
+def repeated(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """What comes twice or more in the arrays together, sorted, and how often. Sorted in place, and the list is emptied, as a chunk is large."""
+    line = np.concatenate(held)
+    held.clear()
+    line.sort()
+    again = np.zeros(len(line) + 1, bool)  # equal to the one before
+    np.equal(line[1:], line[:-1], out=again[1:-1])
+    first, last = np.flatnonzero(~again[:-1] & again[1:]), np.flatnonzero(again[:-1] & ~again[1:])
+    return line[first], last - first + 1
+
+
 def frequent(docs: DataFrame) -> np.ndarray:
     """Shingles that recur, the more frequent the later; they only order the shingles of a prefix, so what is missing here costs time, not pairs."""
 
     def count(held: list[np.ndarray]) -> pa.RecordBatch:
-        found, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(found[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
+        found, n = repeated(held)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.append(shingles(text))
-                size += len(held[-1])
-                if size >= CHUNK:
-                    yield count(held)
-                    held, size = [], 0
+            for part in slices(batch.column("text")):
+                for text in part.to_pylist():
+                    held.append(shingles(text))
+                    size += len(held[-1])
+                    if size >= CHUNK:
+                        yield count(held)
+                        size = 0
         if held:
             yield count(held)
 
@@ -119,7 +131,7 @@ def signatures(docs: DataFrame, late: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             fps, sizes, sims, bands, firsts = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text)
@@ -203,7 +215,7 @@ def _meet(packets: pa.Table) -> pa.Table:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         found = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.list_(pa.int64()))], ["fp", "found"])
 

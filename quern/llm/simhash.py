@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .shared import components, kept_rows, mix, scope, stage
+from .shared import components, kept_rows, mix, scope, slices, stage
 
 SHINGLE = 3
 SEED = 42
@@ -45,6 +45,8 @@ LEAST_BUCKETS = 64
 #: Variants that one task emits, and that one task holds when it repacks; codes that a packet's row has at least on average.
 TASK_VARIANTS = 8_000_000
 ROW_CODES = 128
+#: Variants that are made and hashed at once.
+BLOCK = 100_000
 
 
 def fingerprint(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
@@ -72,7 +74,7 @@ def fingerprints(docs: DataFrame, k: int = SHINGLE, seed: int = SEED) -> DataFra
     """(doc_id, text_hash, fp) with fp as a signed long; a narrow map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             fps = np.array([fingerprint(t, k, seed) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
@@ -93,11 +95,20 @@ NEAR = 65  # masks of at most one bit
 _PACKETS = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("codes", pa.binary())])
 
 
+def _variants(fps: np.ndarray, who: np.ndarray, what: np.ndarray, buckets: int | None = None) -> np.ndarray:
+    """fps[who] ^ MASKS[what], or their buckets, made in blocks: many millions come at once, and each step of the hash would hold them all."""
+    out = np.empty(len(who), np.uint64 if buckets is None else np.uint16 if buckets <= 65536 else np.uint32)
+    for a in range(0, len(who), BLOCK):
+        made = fps[who[a : a + BLOCK]] ^ MASKS[what[a : a + BLOCK]]
+        out[a : a + BLOCK] = made if buckets is None else mix(made) % np.uint64(buckets)
+    return out
+
+
 def _packed(fps: np.ndarray, who: np.ndarray, what: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     """A row per bucket: the fingerprints that have a variant there, once each, and the variants' codes (owner, mask)."""
-    bucket = bucket.astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     who, what, bucket = who[order], what[order], bucket[order]
+    del order
     found, owners, packed = [], [], []
     cuts = (np.flatnonzero(np.diff(bucket)) + 1).tolist()
     for a, b in zip([0, *cuts], [*cuts, len(bucket)]):
@@ -118,25 +129,27 @@ def _emit(buckets: int):
                 odd = (np.bitwise_count(fps) & 1).astype(bool)
                 who, what = [], []
                 for part, n in ((np.flatnonzero(~odd), len(MASKS)), (np.flatnonzero(odd), NEAR)):
-                    who.append(np.repeat(part, n))
-                    what.append(np.tile(np.arange(n), len(part)))
+                    who.append(np.repeat(part.astype(np.uint16), n))
+                    what.append(np.tile(np.arange(n, dtype=np.uint16), len(part)))
                 who, what = np.concatenate(who), np.concatenate(what)
-                yield _packed(fps, who, what, mix(fps[who] ^ MASKS[what]) % np.uint64(buckets))
+                yield _packed(fps, who, what, _variants(fps, who, what, buckets))
 
     return run
 
 
 def links_of(fps: np.ndarray, owner: np.ndarray, code: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Verified links, n x 2, among the owners (indexes into fps) that meet on a variant."""
-    variant = fps[owner] ^ MASKS[code]
-    order = np.argsort(variant)
-    variant = variant[order]
-    same = np.flatnonzero(variant[1:] == variant[:-1])
-    if not len(same):
+    variant = _variants(fps, owner, code)
+    met = np.sort(variant)
+    met = np.unique(met[1:][met[1:] == met[:-1]])  # variants of several owners
+    if not len(met):
         return np.empty((0, 2), np.uint64)
-    take = np.zeros(len(variant), bool)
-    take[same] = take[same + 1] = True
-    variant, order = variant[take], order[take]
+    found = []
+    for a in range(0, len(variant), BLOCK):
+        made = variant[a : a + BLOCK]
+        found.append(a + np.flatnonzero(met[np.minimum(np.searchsorted(met, made), len(met) - 1)] == made))
+    order = np.concatenate(found)
+    variant = variant[order]
     fp, far = fps[owner[order]], np.bitwise_count(MASKS[code[order]])
     order = np.lexsort((fp, far, variant))
     variant, fp, far = variant[order], fp[order], far[order]
@@ -151,8 +164,8 @@ def _meet(packets: pa.Table) -> pa.Table:
     for o, c in zip(packets.column("owners"), packets.column("codes")):
         f, x = np.frombuffer(o.as_py(), np.uint64), np.frombuffer(c.as_py(), np.uint32)
         fps.append(f)
-        owner.append((x >> 11).astype(np.int64) + at)
-        code.append(x & 2047)
+        owner.append((x >> 11) + np.uint32(at))
+        code.append((x & 2047).astype(np.uint16))
         at += len(f)
     found = links_of(np.concatenate(fps), np.concatenate(owner), np.concatenate(code))
     return pa.table({"a": pa.array(found[:, 0].view(np.int64)), "b": pa.array(found[:, 1].view(np.int64))})
@@ -165,11 +178,12 @@ def _repacked(split: int):
         fps, who, what, at = [], [], [], 0
         for f, x in held:
             fps.append(f)
-            who.append((x >> 11).astype(np.int64) + at)
-            what.append(x & 2047)
+            who.append((x >> 11) + np.uint32(at))
+            what.append((x & 2047).astype(np.uint16))
             at += len(f)
+        held.clear()
         fps, who, what = np.concatenate(fps), np.concatenate(who), np.concatenate(what)
-        return _packed(fps, who, what, mix(fps[who] ^ MASKS[what]) % np.uint64(split))
+        return _packed(fps, who, what, _variants(fps, who, what, split))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -179,7 +193,7 @@ def _repacked(split: int):
                 n += len(held[-1][1])
                 if n >= TASK_VARIANTS:
                     yield flush(held)
-                    held, n = [], 0
+                    n = 0
         if held:
             yield flush(held)
 
