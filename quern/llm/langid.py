@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fresh, mix, rolling, slices
+from .shared import fresh, mix, rolling, slices, small_batches
 
 ORDER = 4
 #: Labelled rows of each language in the sample: those with the least hash of id and text, equal rows once. One in CALIBRATE is left out of the counts.
@@ -351,4 +351,6 @@ def digest(docs: DataFrame, model: Model) -> DataFrame:
 def keep_known(docs: DataFrame) -> DataFrame:
     """docs without those that are rejected, all columns kept; learned from docs' own labelled rows."""
     (out,) = fresh(docs, "lang_id")
-    return identify(docs, train(docs), out).where(~F.col(f"{out}.rejected")).drop(out)
+    with small_batches(docs.sparkSession):
+        model = train(docs)
+    return identify(docs, model, out).where(~F.col(f"{out}.rejected")).drop(out)

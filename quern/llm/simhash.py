@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .shared import components, kept_rows, mix, scope, slices, stage
+from .shared import components, kept_rows, mix, scope, slices, small_batches, stage
 
 SHINGLE = 3
 SEED = 42
@@ -240,7 +240,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Null doc_ids come last, and rows that share an id follow the hash of their texts; of rows that agree in id and text
     one stays, whichever. Nulls and texts without words have the empty set in common.
     """
-    with scope() as keep:
+    with scope() as keep, small_batches(docs.sparkSession):
         marked = stage(minhash.signatures(docs, minhash.frequent(docs)), "signatures")
         order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
         distinct = stage(marked.groupBy("fp").agg(F.min(order).alias("best"), *[F.first(c).alias(c) for c in ("n", "sim", "bands", "prefix")]), "distinct")
