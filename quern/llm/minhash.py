@@ -8,8 +8,9 @@
    is at least 0.8. Connected components of the links follow in distributed rounds.
 4. What bands and their hubs leave out is found by prefixes, which lose no pair: of two sets 0.8 alike, the first shingle in common, in an
    order of all shingles, is among the first fifth of each, rounded down, and one more. Pairs within one component need no further link,
-   so shingles met in one component only drop out, and the rest is paired across components, held against sizes and the number they have in common there, and verified
-   like the others. Any order is right; to keep pairs few, shingles that recur within chunks of the corpus come last.
+   so shingles met in one component only drop out. The rest is paired across components where the shingle can be the first in common by its
+   place in either set, held against the number in common in the prefixes, and verified like the others. Any order is right; to keep
+   pairs few, shingles that recur within chunks of the corpus come last.
 
 Texts without words, and nulls, have the empty set in common. Texts of fewer than five words are one shingle.
 """
@@ -39,6 +40,8 @@ PACKET = 4096
 LEAST_BUCKETS = 64
 #: Shingles of a chunk in which repeats are counted, repeats in all that make a shingle a frequent one, and most frequent ones that tasks hold.
 CHUNK, REPEATS, FREQUENT = 2_000_000, 16, 1_000_000
+#: Sets that share a shingle of their prefixes and are held against one another without looking at the sizes that fit first.
+HOT = 64
 #: Most sets to be verified that are joined to the texts by a broadcast.
 FEW_SETS = 200_000
 
@@ -229,22 +232,43 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return packets.groupBy("bucket").applyInArrow(_meet, "a long, b long")
 
 
+def meetings(met: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets of different components that meet on a key which can be their first shingle in common; a row for each such key.
+    met: (key, fp, n, left, root), left being how many of the set's n shingles come at the key or later; a written table.
+
+    From the first shingle in common on, each of two sets must hold what they have to share. So a key deep in a set's order joins it
+    to sets of a few sizes only, to which it comes early. Keys of up to HOT sets are joined as they are; for the others, the (n, left) that fit
+    are found first, of which there are few whatever the number of sets, and only sets that fit are joined.
+    """
+    up, down = SIMILARITY
+    # each pair has a set outside the key's largest component; that one's own pairs, which may be very many, are not formed
+    per = met.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("total"))
+    per = stage(per, "per_key")
+    other = lambda df: df.where("root <> main").select("key", "main", *[F.col(c).alias(f"x_{c}") for c in ("fp", "n", "left", "root")])
+    apart = (F.col("x_root") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("x_fp") < F.col("fp")))
+    fits = F.least("left", "x_left") * (up + down) >= (F.col("n") + F.col("x_n")) * up
+    few = other(met.join(per.where(F.col("total") <= HOT), "key")).join(met, "key").where(apart & fits)
+    hot = stage(met.join(per.where(F.col("total") > HOT), "key"), "hot")
+    outer, inner = other(hot), hot.drop("main", "total")
+    forms = outer.select("key", "x_n", "x_left").distinct().join(inner.select("key", "n", "left").distinct(), "key").where(fits)
+    many = outer.join(forms, ["key", "x_n", "x_left"]).join(inner, ["key", "n", "left"]).where(apart)
+    return few.select("x_fp", "fp").union(many.select("x_fp", "fp")).select(F.least("x_fp", "fp").alias("a"), F.greatest("x_fp", "fp").alias("b"))
+
+
 def across(distinct: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): all pairs of sets of different components that can be SIMILARITY alike. distinct: (fp, n, prefix); roots: (node, root)."""
     up, down = SIMILARITY
-    rooted = distinct.where("n > 0").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), "prefix")
-    keys = stage(rooted, "rooted").select("fp", "n", "root", F.explode("prefix").alias("key"))
+    rooted = stage(distinct.where("n > 0").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), "prefix"), "rooted")
+    keys = rooted.select("fp", "n", "root", F.posexplode("prefix").alias("at", "key")).select("key", "fp", "n", (F.col("n") - F.col("at")).alias("left"), "root")
     mixed = stage(keys.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("key"), "mixed")
-    met = stage(keys.join(mixed, "key"), "met")
-    # each pair has a set outside the key's largest component; that one's own pairs, which may be very many, are not formed
-    main = met.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    outer = met.join(main, "key").where("root <> main").select("key", "main", *[F.col(c).alias(f"x_{c}") for c in ("fp", "n", "root")])
-    both = outer.join(met, "key").where((F.col("x_root") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("x_fp") < F.col("fp"))))
-    p, q = F.least("n", "x_n"), F.greatest("n", "x_n")
-    sized = both.where(down * p >= up * q).groupBy(F.least("x_fp", "fp").alias("a"), F.greatest("x_fp", "fp").alias("b"), p.alias("p"), q.alias("q")).agg(F.count("*").alias("c"))
-    # what two sets have in common besides the c shingles in both prefixes lies behind the prefix that ends first
-    behind = F.floor((up * F.col("q") + down - 1) / down) - 1
-    return sized.where((F.col("c") + behind) * (up + down) >= up * (F.col("p") + F.col("q"))).select("a", "b")
+    pairs = stage(meetings(stage(keys.join(mixed, "key"), "met")).distinct(), "meeting")
+    needed = stage(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "meeting_sets")
+    firsts = stage(rooted.join(needed, "fp", "left_semi").select("fp", "n", "prefix"), "prefixes")
+    side = lambda c, n, x: firsts.select(F.col("fp").alias(c), F.col("n").alias(n), F.col("prefix").alias(x))
+    both = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b")
+    # what two sets have in common besides the shingles in both prefixes lies behind the prefix that ends first
+    behind = F.floor((F.greatest("n", "m") * up + down - 1) / down) - 1
+    return both.where((F.size(F.array_intersect("x", "y")) + behind) * (up + down) >= (F.col("n") + F.col("m")) * up).select("a", "b")
 
 
 def verified(docs: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
